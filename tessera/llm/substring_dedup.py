@@ -26,7 +26,7 @@ from tessera.llm.spans import PACKED, counted, covered, salted, word_windows
 #: The longest run of windows in one packed string.
 RUN = 128
 #: Rows of one bucket that one task counts; more are dealt to several salts.
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 1000
 
 
 def _super_kmers(length: int, k: int):
