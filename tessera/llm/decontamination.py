@@ -32,19 +32,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, GAP), "")
 
 
+def _gram(n: int):
+    return lambda x, i: F.xxhash64(F.lit(n), x, *(F.get("hashes", i + j) for j in range(1, n)))
+
+
+def _start(n: int):
+    return lambda p, i: F.when(F.array_contains("hits", p), F.struct(i.alias("at"), F.lit(n).alias("n")))
+
+
 def _with_fingerprints(df: DataFrame, length: int, k: int, short: list[int]) -> DataFrame:
     """Adds f<L>, the fingerprint of the window that starts at each place, for `length` and each of short, from column words."""
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
     def at(a: str, n: int, of) -> Column:
-        """of(i) for each place with n items of array a."""
-        return F.when(F.size(a) >= n, F.transform(F.slice(a, 1, F.size(a) - (n - 1)), lambda x, i: of(x, i))).otherwise(F.array().cast("array<long>"))
+        """of(item, place) for each place from which a has n items."""
+        return F.when(F.size(a) >= n, F.transform(F.slice(a, 1, F.size(a) - (n - 1)), of)).otherwise(F.array().cast("array<long>"))
 
     df = df.withColumn("grams", at("hashes", k, lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, k)))))
     w = length - k + 1
     df = df.withColumn(f"f{length}", at("grams", w, lambda x, i: F.least(x, *(F.get("grams", i + j) for j in range(1, w)))))
     for n in short:
-        df = df.withColumn(f"f{n}", at("hashes", n, lambda x, i, n=n: F.xxhash64(F.lit(n), x, *(F.get("hashes", i + j) for j in range(1, n)))))
+        df = df.withColumn(f"f{n}", at("hashes", n, _gram(n)))
     return df
 
 
@@ -56,17 +64,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(f"n < {length}").distinct().collect())  # fewer than `length` rows
     sizes = [length, *short]
     named = _with_fingerprints(items, length, k, short)
-    parts = [named.where(F.size("words") >= length if n == length else F.size("words") == n).select("item_id", F.posexplode(f"f{n}").alias("at", "print"), "words").select("item_id", "print", F.lit(n).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("window")) for n in sizes]
+    parts = [named.where(F.size("words") >= length if n == length else F.size("words") == n).select("item_id", F.posexplode_outer(f"f{n}").alias("at", "print"), "words").where("print is not null").select("item_id", "print", F.lit(n).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("window")) for n in sizes]
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionAll(p)
     windows = written(windows, "windows")
 
+    # explode_outer, here and below: for explode, Spark adds a filter on the array and pushes it down, which
+    # repeats the arrays' expressions inside their own lambdas
     texts = texts_of(docs, key, text)
     cut = texts.select("doc_id", words(F.col("text")).alias("words"))
     seen = _with_fingerprints(cut, length, k, short).select("doc_id", F.size("words").alias("n_words"), F.array_distinct(F.concat(*(F.array_distinct(f"f{n}") for n in sizes))).alias("prints"))
     own = F.struct(F.xxhash64("doc_id", F.lit("document")).alias("print"), F.lit(True).alias("whole"))
-    each = F.explode(F.concat(F.array(own), F.transform("prints", lambda p: F.struct(p.alias("print"), F.lit(False).alias("whole")))))
+    each = F.explode_outer(F.concat(F.array(own), F.transform("prints", lambda p: F.struct(p.alias("print"), F.lit(False).alias("whole")))))
     each = seen.select("doc_id", "n_words", each.alias("e")).select("doc_id", "n_words", "e.*")
     known = written(windows.select("print").distinct(), "prints").withColumn("known", F.lit(True))
     found = written(each.join(known, "print", "left").where("whole or known"), "found")
@@ -74,9 +84,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     hits = found.where("known").groupBy("doc_id").agg(F.collect_set("print").alias("hits"))
     cut = texts.join(hits, "doc_id").select("doc_id", "hits", words(F.col("text")).alias("words"))
     near = _with_fingerprints(cut, length, k, short)
-    starts = F.concat(*(F.filter(F.transform(f"f{n}", lambda p, i, n=n: F.when(F.array_contains("hits", p), F.struct(i.alias("at"), F.lit(n).alias("n")))), lambda s: s.isNotNull()) for n in sizes))
-    spans = near.select("doc_id", "words", starts.alias("starts")).where("size(starts) > 0")
-    spans = spans.select("doc_id", F.explode(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))).alias("s")).select("doc_id", "s.*")
+    starts = F.concat(*(F.filter(F.transform(f"f{n}", _start(n)), lambda s: s.isNotNull()) for n in sizes))
+    spans = near.select("doc_id", "words", starts.alias("starts"))
+    spans = spans.select("doc_id", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))).alias("s")).where("s is not null").select("doc_id", "s.*")
     whole = written(spans.join(windows.select("window", "n").distinct(), ["window", "n"]), "hits")
 
     # words covered: for sorted spans, those before the next span's start
