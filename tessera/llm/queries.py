@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, simhash, substring_dedup
+from tessera.llm import decontamination, sentencepiece_codec, simhash, substring_dedup, topk
 from tessera.llm.common import table
 from tessera.llm.oracle import ORACLE_SQL
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = sentencepiece_codec.send(spark)
+    return sentencepiece_codec.digest(sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sent), sent))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_groups(simhash.fingerprints(table(spark, sf_dir, "documents"))))
 
@@ -24,6 +34,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_simhash, op8_decontamination, op9_substring_dedup)
+    f.__name__: f for f in (op2_sentencepiece, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup)
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
