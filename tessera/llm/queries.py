@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, sentencepiece_codec, simhash, substring_dedup, topk
+from tessera.llm import decontamination, language_id, sentencepiece_codec, simhash, substring_dedup, topk
 from tessera.llm.common import table
 from tessera.llm.oracle import ORACLE_SQL
 
@@ -33,7 +33,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup)
+    f.__name__: f for f in (op2_sentencepiece, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

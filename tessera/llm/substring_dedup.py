@@ -89,7 +89,7 @@ def _pack(length: int):
     return run
 
 
-def _kept(length: int):
+def _kept(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
@@ -101,28 +101,33 @@ def _kept(length: int):
                 lo, hi = offsets[i], offsets[i + 1]
                 if lo == hi:
                     removed.append(0)
-                    kept.append(b" ".join(words))
+                    kept.append(text if whole else b" ".join(words))
                     continue
                 gone = covered(len(words), starts[lo:hi], ns[lo:hi], length)
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "rest", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and the kept text (its words joined by one space)."""
+def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Per document: doc_id, rest (a struct of the columns named by carry), n_words, n_removed and the kept text.
+
+    Kept words are joined by one space; with whole, a text that loses no word stays as it is.
+    """
     prepare(docs.sparkSession)
     texts = texts_of(docs, key, text)
     runs = texts.mapInArrow(_super_kmers(length, k), "key long, doc_id long, start int, n int, weight long")
     again = runs.groupBy("key").agg(F.sum("weight").alias("rows")).where("rows > 1")
     spans = salted(runs.drop("weight").join(again, "key"), BUCKET_ROWS)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
-    dealt = texts.repartition("doc_id")  # the one exchange of texts; used again below
+    rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest")).repartition("doc_id")  # the one exchange of texts, used twice
     packed = dealt.join(spans, "doc_id").mapInArrow(_pack(length), PACKED)
     gone = counted(packed, word_windows(length), "windows").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return texts.repartition("doc_id").join(gone, "doc_id", "left").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
+    kind = dealt.schema["rest"].dataType.simpleString()
+    return dealt.join(gone, "doc_id", "left").mapInArrow(_kept(length, whole), f"doc_id long, rest {kind}, n_words long, n_removed long, kept string")
 
 
 def digest(result: DataFrame) -> DataFrame:
