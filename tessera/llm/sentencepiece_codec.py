@@ -12,7 +12,9 @@ equal texts and repeated rows get equal ids; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from tessera.llm.common import prepare, texts_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept in a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: Below the least score, for a character in bytes.
 PENALTY = 10.0
 
@@ -60,10 +62,14 @@ class Codec:
         # words can be encoded one by one if no piece spans the place before a mark
         whole = any(MARK in p.lstrip(MARK) for p, _ in self.pieces if p)
         self.word = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache: dict[str, list[int]] = {}
-        self.raw = [b"" if p is None else p.replace(MARK, " ").encode() for p, _ in self.pieces]
+        self.known = {p for p, _ in self.pieces if p and len(p) == 1}
+        self.cache: dict[str, bytes] = {}
+        raw = [b"" if p is None else p.replace(MARK, " ").encode() for p, _ in self.pieces]
         for b in range(256):
-            self.raw[self.first_byte + b] = bytes([b])
+            raw[self.first_byte + b] = bytes([b])
+        self.size = np.array([len(x) for x in raw])
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         return self
 
     def __getstate__(self) -> dict:
@@ -73,50 +79,80 @@ class Codec:
         return [self.first_byte + b for b in text.encode()]
 
     def viterbi(self, word: str) -> list[int]:
+        if not self.known.issuperset(word):
+            return self._with_bytes(word)
+        n = len(word)
+        best: list[float] = [0.0] + [-math.inf] * n
+        back: list[tuple] = [()] * (n + 1)
+        for end, piece in self.automaton.iter(word):  # at one end, the longest first
+            score = best[end + 1 - piece[0]] + piece[1]
+            if score > best[end + 1]:
+                best[end + 1], back[end + 1] = score, piece
+        out: list[int] = []
+        while n:
+            piece = back[n]
+            out.append(piece[2])
+            n -= piece[0]
+        out.reverse()
+        return out
+
+    def _with_bytes(self, word: str) -> list[int]:
+        """As viterbi(), where a character may be no piece."""
         n, floor = len(word), self.floor
-        best, size, piece = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        best, back = [0.0] * (n + 1), [(1, 0.0, -1)] * (n + 1)
         done = 0
-        for end, (length, score, i) in self.automaton.iter(word):
-            end += 1
-            while done < end:
+        for end, piece in self.automaton.iter(word):
+            while done <= end:
                 done += 1
                 best[done] = best[done - 1] + floor
-            s = best[end - length] + score
-            if s > best[end] or s == best[end] and length > size[end]:
-                best[end], size[end], piece[end] = s, length, i
+            score = best[end + 1 - piece[0]] + piece[1]
+            if score > best[end + 1]:
+                best[end + 1], back[end + 1] = score, piece
         out: list[int] = []
-        while n:  # from the end; places that no match reached have size 1 and no piece
-            if piece[n] < 0:
+        while n:
+            length, _, i = back[n]
+            if i < 0:
                 out.extend(reversed(self._bytes(word[n - 1])))
-                n -= 1
             else:
-                out.append(piece[n])
-                n -= size[n]
+                out.append(i)
+            n -= length
         out.reverse()
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The text's ids as 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out: list[bytes] = []
         cache = self.cache
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
-                out += self._bytes(MARK)
+                out.append(struct.pack("3i", *self._bytes(MARK)))
             for w in self.word.findall(part.replace(" ", MARK)):
                 ids = cache.get(w)
                 if ids is None:
-                    ids = self.viterbi(w)
+                    found = self.viterbi(w)
+                    ids = struct.pack(f"{len(found)}i", *found)
                     if len(w) <= CACHE_CHARS:
                         if len(cache) >= CACHE_WORDS:
                             cache.clear()
                         cache[w] = ids
-                out += ids
-        return out
+                out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The texts, in UTF-8, of lists of ids that lie one after another."""
+        begin, size = self.at[ids], self.size[ids]
+        ends = np.cumsum(size)
+        data = self.bytes[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        edge = np.append(0, ends)[offsets].tolist()
+        return [data[a + (data[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(edge, edge[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode(errors="replace")
 
 
 _READY: dict[str, Codec] = {}
@@ -131,17 +167,13 @@ def _ready(sent) -> Codec:
     return _READY[name]
 
 
-def _id_lists(each: list[list[int]]) -> pa.Array:
-    offsets = np.append(0, np.cumsum([len(x) for x in each])).astype(np.int32)
-    flat = np.fromiter((i for x in each for i in x), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _ready(sent)
         for b in batches:
-            ids = _id_lists([codec.encode(t) for t in b.column("text").to_pylist()])
+            each = [codec.packed(t) for t in b.column("text").to_pylist()]
+            offsets = np.append(0, np.cumsum([len(x) // 4 for x in each])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(each), np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return run
@@ -151,8 +183,10 @@ def _decode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _ready(sent)
         for b in batches:
-            texts = [codec.decode(x or []) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            ids = b.column("ids")
+            offsets = np.append(0, np.cumsum(np.asarray(ids.value_lengths().fill_null(0), np.int64)))
+            texts = codec.decode_all(ids.flatten().to_numpy(), offsets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array([t.decode(errors="replace") for t in texts], pa.string())], names=["doc_id", "ids", "text"])
 
     return run
 
