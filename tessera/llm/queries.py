@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, sentencepiece_codec, simhash, substring_dedup, topk
+from tessera.llm import decontamination, language_id, lm_scoring, sentencepiece_codec, simhash, substring_dedup, topk
 from tessera.llm.common import table
 from tessera.llm.oracle import ORACLE_SQL
 
@@ -17,6 +17,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sent), sent))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), ~lm_scoring.held_out())
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -41,6 +45,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
+    f.__name__: f for f in (op2_sentencepiece, op4_lm_scoring, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
