@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, lm_scoring, sentencepiece_codec, simhash, substring_dedup, topk
+from tessera.llm import decontamination, language_id, lm_scoring, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, topk
 from tessera.llm.common import table
 from tessera.llm.oracle import ORACLE_SQL
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = sentencepiece_codec.send(spark)
     return sentencepiece_codec.digest(sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sent), sent))
@@ -45,6 +49,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_lm_scoring, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
+    f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op4_lm_scoring, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 PACKED = "key long, salt int, salts int, doc_id long, start int, n int, packed binary"
+#: Rows whose buckets are counted together.
+TOGETHER = 1000
 FOUND = "doc_id long, start int, n int, window binary, times long"
 
 
@@ -47,7 +49,9 @@ def byte_windows(length: int) -> Callable[[bytes, int], list[bytes]]:
     return cut
 
 
-class _Out:
+class Found:
+    """Rows of FOUND."""
+
     def __init__(self) -> None:
         self.cols: tuple[list, ...] = ([], [], [], [], [])
 
@@ -62,67 +66,73 @@ class _Out:
         return out
 
 
-def _bucket(rows: list[tuple], cut: Callable, out: _Out) -> None:
-    """Counts the windows of one bucket (of one salt); rows: doc_id, start, n, packed, salts."""
-    where: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
-    for doc, start, n, packed, _ in rows:
-        where.setdefault((packed, n), []).append((doc, start))
-    each = [cut(packed, n) for packed, n in where]
-    order = sorted((w, i, j) for i, windows in enumerate(each) for j, w in enumerate(windows))
-    copies = [len(v) for v in where.values()]
-    flags = [bytearray(len(w)) for w in each]
-    several, k = rows[0][4] > 1, 0
-    places = list(where.values())
-    while k < len(order):
-        w, times, e = order[k][0], copies[order[k][1]], k + 1
-        while e < len(order) and order[e][0] == w:
-            times += copies[order[e][1]]
-            e += 1
-        if times > 1:
-            for _, i, j in order[k:e]:
-                flags[i][j] = 1
-        if several:  # other salts may hold it too
-            _, i, j = order[k]
-            doc, start = places[i][0]
-            out.add(doc, start + j, 1, hashlib.blake2b(w, digest_size=16).digest(), times)
-        k = e
-    for flag, at in zip(flags, places, strict=True):
-        j = flag.find(1)
-        while j >= 0:
-            e = flag.find(0, j)
-            e = len(flag) if e < 0 else e
-            for doc, start in at:
-                out.add(doc, start + j, e - j, None, 0)
-            j = flag.find(1, e)
-
-
-def _counter(cut: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def exact_bucket(cut: Callable[[bytes, int], list[bytes]]) -> Callable:
+    """Counts windows by sorting them as strings; rows: doc_id, start, n, packed, salts."""
+
+    def bucket(rows: list[tuple], out: Found) -> None:
+        where: dict[tuple[bytes, int, bool], list[tuple[int, int]]] = {}
+        for doc, start, n, packed, salts in rows:
+            where.setdefault((packed, n, salts > 1), []).append((doc, start))
+        each = [cut(packed, n) for packed, n, _ in where]
+        order = sorted((w, i, j) for i, windows in enumerate(each) for j, w in enumerate(windows))
+        copies = [len(v) for v in where.values()]
+        flags = [bytearray(len(w)) for w in each]
+        several, k = [s for _, _, s in where], 0
+        places = list(where.values())
+        while k < len(order):
+            w, times, e = order[k][0], copies[order[k][1]], k + 1
+            while e < len(order) and order[e][0] == w:
+                times += copies[order[e][1]]
+                e += 1
+            if times > 1:
+                for _, i, j in order[k:e]:
+                    flags[i][j] = 1
+            if several[order[k][1]]:  # other salts may hold it too
+                _, i, j = order[k]
+                doc, start = places[i][0]
+                out.add(doc, start + j, 1, hashlib.blake2b(w, digest_size=16).digest(), times)
+            k = e
+        for flag, at in zip(flags, places, strict=True):
+            j = flag.find(1)
+            while j >= 0:
+                e = flag.find(0, j)
+                e = len(flag) if e < 0 else e
+                for doc, start in at:
+                    out.add(doc, start + j, e - j, None, 0)
+                j = flag.find(1, e)
+
+    return bucket
+
+
+def _counter(bucket: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hands whole buckets to `bucket`, TOGETHER rows or one bucket at a time: windows of different keys always differ."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        last, out = None, _Out()
+        last, out = None, Found()
         for b in batches:
             cols = [b.column(k).to_pylist() for k in ("key", "salt", "doc_id", "start", "n", "packed", "salts")]
             for key, salt, *row in zip(*cols, strict=True):
-                if (key, salt) != last:
-                    if held:
-                        _bucket(held, cut, out)
-                    held, last = [], (key, salt)
+                if len(held) >= TOGETHER and (key, salt) != last or salt and (key, salt) != last:
+                    bucket(held, out)
+                    held = []
+                last = key, salt
                 held.append(tuple(row))
             yield out.batch()
         if held:
-            _bucket(held, cut, out)
+            bucket(held, out)
         yield out.batch()
 
     return run
 
 
-def counted(packed: DataFrame, cut: Callable, name: str) -> DataFrame:
+def counted(packed: DataFrame, bucket: Callable, name: str) -> DataFrame:
     """Runs (doc_id, start, n) of windows that occur more than once, from rows of PACKED.
 
     A bucket dealt to several salts is counted in each; one row for each of its distinct windows and salt then
     settles what no salt could see alone, grouped by a 128-bit digest of the window.
     """
-    found = packed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_counter(cut), FOUND)
+    found = packed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_counter(bucket), FOUND)
     found = written(found, name)
     one = found.where("window is null").select("doc_id", "start", "n")
     spread = found.where("window is not null")

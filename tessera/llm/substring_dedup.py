@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, prepare, raw, runs_of, signed, texts_of, words_in
-from tessera.llm.spans import PACKED, counted, covered, salted, word_windows
+from tessera.llm.spans import PACKED, counted, covered, exact_bucket, salted, word_windows
 
 #: The longest run of windows in one packed string.
 RUN = 128
@@ -125,7 +125,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "d
     rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest")).repartition("doc_id")  # the one exchange of texts, used twice
     packed = dealt.join(spans, "doc_id").mapInArrow(_pack(length), PACKED)
-    gone = counted(packed, word_windows(length), "windows").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    gone = counted(packed, exact_bucket(word_windows(length)), "windows").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     kind = dealt.schema["rest"].dataType.simpleString()
     return dealt.join(gone, "doc_id", "left").mapInArrow(_kept(length, whole), f"doc_id long, rest {kind}, n_words long, n_removed long, kept string")
 
