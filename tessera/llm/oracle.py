@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tessera.llm.license_scan import TEMPLATES
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+
 ORACLE_SQL: dict[str, str] = {
     "op9_substring_dedup": r"""
 WITH w AS (
@@ -55,5 +59,26 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op6_license_scan": rf"""
+WITH t AS (
+  SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS ws FROM (VALUES {_TEMPLATES}) AS v(license, body)
+), tb AS (
+  SELECT DISTINCT license, ws[i] AS a, ws[i + 1] AS b FROM (SELECT license, ws, unnest(range(1, len(ws))) AS i FROM t)
+), parts AS (
+  SELECT DISTINCT doc_id, part FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t\r\f\v]*\n') || [text]) AS part FROM documents WHERE text IS NOT NULL)
+), words AS (
+  SELECT row_number() OVER () AS part_id, doc_id, regexp_extract_all(lower(part), '[a-z0-9]+') AS ws FROM parts
+), pb AS (
+  SELECT DISTINCT part_id, doc_id, ws[i] AS a, ws[i + 1] AS b FROM (SELECT part_id, doc_id, ws, unnest(range(1, len(ws))) AS i FROM words)
+), np AS (SELECT part_id, count(*) AS n FROM pb GROUP BY ALL
+), nt AS (SELECT license, count(*) AS n FROM tb GROUP BY ALL
+), both_ AS (
+  SELECT part_id, doc_id, license, count(*) AS c FROM pb JOIN tb USING (a, b) GROUP BY ALL
+), d AS (
+  SELECT doc_id, license, 2.0::DOUBLE * c / (np.n + nt.n) AS dice FROM both_ JOIN np USING (part_id) JOIN nt USING (license)
+)
+SELECT doc_id, license, max(dice) AS dice, count(*)::BIGINT AS n_candidates FROM d WHERE dice >= 0.8 GROUP BY ALL
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, lm_scoring, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, topk
+from tessera.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, topk
 from tessera.llm.common import table
 from tessera.llm.oracle import ORACLE_SQL
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sent), sent))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.digest(html_extraction.main_text(table(spark, sf_dir, "pages")))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), ~lm_scoring.held_out())
 
@@ -29,6 +33,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_groups(simhash.fingerprints(table(spark, sf_dir, "documents"))))
 
@@ -49,6 +57,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op4_lm_scoring, op5_exact_top_k, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
+    f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_html_extraction, op4_lm_scoring, op5_exact_top_k, op6_license_scan, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
