@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import aggregation, annotation, evaluation, ordered, relational, rl, sampling, stateful, text  # noqa: F401  (they register)
+from tessera.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "filter_first_failing_reason"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "agg_session_answer_stats"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
