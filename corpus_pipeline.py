@@ -27,9 +27,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur elsewhere too go; other documents stay as they are, emptied ones go."""
-    found = substring_dedup.substring_dedup(docs, carry=tuple(docs.columns), whole=True).where("n_removed = 0 or kept <> ''")
-    cut = F.col("n_removed") > 0
-    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("rest.text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
+    rest = [c for c in docs.columns if c != "text"]
+    marked = docs.withColumn("_no_text", F.col("text").isNull())
+    found = substring_dedup.substring_dedup(marked, carry=(*rest, "_no_text"), whole=True).where("n_removed = 0 or kept <> ''")
+    new = {"text": F.when(~F.col("rest._no_text"), F.col("kept")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
     return found.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
