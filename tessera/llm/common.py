@@ -16,7 +16,7 @@ from tessera.shipping import ship
 #: Rows in one Arrow batch; texts are long, so that batches stay at a few MB.
 BATCH_ROWS = "1000"
 #: Bytes of text that the vectorised helpers handle at once; a longer text is one chunk.
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from tessera.llm.common import prepare, texts_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept in a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 #: Below the least score, for a character in bytes.
 PENALTY = 10.0
 
