@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, mixed, prepare, raw, runs_of, signed, texts_of
+from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, mixed, prepare, raw, runs_of, signed, texts_of, written
 from tessera.llm.spans import PACKED, Found, counted, covered, exact_bucket, byte_windows, salted
 
-RUN, BUCKET_ROWS = 400, 1000
+RUN, BUCKET_ROWS = 400, 6000
 #: Windows compared byte by byte at once.
 COMPARE = 2048
 
@@ -163,19 +163,18 @@ def _kept(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, piece: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, piece: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes. gram: piece times a power of 2."""
     prepare(docs.sparkSession)
     texts = texts_of(docs, key, text)
     parts = [f"p{i}" for i in range(gram // piece)]
     rows = texts.mapInArrow(_places(length, gram, piece), ", ".join(f"{p} long" for p in parts) + ", doc_id long, start int, n int, weight long")
-    while len(parts) > 1:  # ranks of pairs: each rank now covers twice as many bytes
-        rows = rows.select(*(F.xxhash64(parts[i], parts[i + 1]).alias(f"p{i // 2}") for i in range(0, len(parts), 2)), "doc_id", "start", "n", "weight")
+    while len(parts) > 1:  # ranks of pairs at growing offsets: each rank now covers twice as many bytes
+        pairs = [F.xxhash64(parts[i], parts[i + 1]).alias(f"p{i // 2}") for i in range(0, len(parts), 2)]
         parts = parts[: len(parts) // 2]
-        ranks = [F.xxhash64(*parts)] if len(parts) > 1 else [F.col("p0")]
-        first = rows.withColumn("rank", F.col("p0") if len(parts) > 1 else ranks[0])
-        shared = first.groupBy("rank").agg(F.sum("weight").alias("rows")).where("rows > 1")
-        rows = first.join(shared, "rank").drop("rank")
+        rows = rows.select(*pairs, "doc_id", "start", "n", "weight")
+        shared = rows.groupBy("p0").agg(F.sum("weight").alias("rows")).where("rows > 1")
+        rows = written(rows.join(shared, "p0"), "ranks")
         if len(parts) > 1:
             rows = rows.drop("rows")
     spans = salted(rows.select(F.col("p0").alias("key"), "doc_id", "start", "n", "rows"), BUCKET_ROWS)
