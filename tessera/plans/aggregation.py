@@ -42,12 +42,12 @@ def exact_order_statistics(t: Tables) -> DataFrame:
     return A.order_statistics(t.documents, ["lang"], "n_chars", [0, 0.25, 0.5, 0.75, 1])
 
 
-RUNS = """WITH r AS (SELECT l_orderkey AS k, l_linenumber * 1000000 + l_partkey AS run, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 0 END AS score, CASE WHEN l_tax > 0.07 THEN 'late' ELSE '' END AS error, l_discount AS rate, l_linestatus AS answer FROM lineitem)"""
+RUNS = """WITH r AS (SELECT l_orderkey AS k, (l_linenumber * 1000000 + l_partkey) * 100 + round(l_discount * 100)::BIGINT AS run, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 0 END AS score, CASE WHEN l_tax > 0.07 THEN 'late' ELSE '' END AS error, l_discount AS rate, l_linestatus AS answer FROM lineitem)"""
 
 
 def runs(t: Tables) -> DataFrame:
     f = F.col("l_returnflag")
-    return t.lineitem.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("run"), F.when(f == "A", 1).when(f == "N", 0).alias("score"), F.when(F.col("l_tax") > 0.07, "late").otherwise("").alias("error"), F.col("l_discount").alias("rate"), F.col("l_linestatus").alias("answer"))
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100 + F.round(F.col("l_discount") * 100).cast("long")).alias("run"), F.when(f == "A", 1).when(f == "N", 0).alias("score"), F.when(F.col("l_tax") > 0.07, "late").otherwise("").alias("error"), F.col("l_discount").alias("rate"), F.col("l_linestatus").alias("answer"))
 
 
 @query(RUNS + """
@@ -90,7 +90,7 @@ def category_accuracy_with_average(t: Tables) -> DataFrame:
 
 @query(RUNS + """
 , v AS (SELECT k, answer, count(*) AS n, min_by(rate, run) AS value, min(run) AS f FROM r GROUP BY ALL)
-SELECT k, max_by(value, n * 1000000000 - f) AS value FROM v GROUP BY k HAVING count(*) > 0
+SELECT k, max_by(value, n::HUGEINT * 1000000000000 - f) AS value FROM v GROUP BY k HAVING count(*) > 0
 """)
 def majority_vote_value(t: Tables) -> DataFrame:
     return A.majority(runs(t), ["k"], "answer", "rate", "run")
