@@ -19,10 +19,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (SimHash), the document with the smallest doc_id stays; rows that repeat a doc_id are one."""
+    """Of near copies (SimHash), the document with the smallest doc_id stays; rows that repeat a doc_id are one; rows without one stay."""
     groups = simhash.near_groups(simhash.fingerprints(docs))
     first = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionAll(docs.where("doc_id is null"))
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rest = [c for c in docs.columns if c != "text"]
     marked = docs.withColumn("_no_text", F.col("text").isNull())
     found = substring_dedup.substring_dedup(marked, carry=(*rest, "_no_text"), whole=True).where("n_removed = 0 or kept <> ''")
-    new = {"text": F.when(~F.col("rest._no_text"), F.col("kept")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
-    return found.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+    new = {"text": F.when(~F.col("own._no_text"), F.col("kept")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("own.n_chars"))}
+    return found.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def rows_of(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, rest, text): row tells texts and keys apart, whether keys are null or repeat; rest: the key (doc_id) and what to carry.
+
+    Rows that are equal in key and text share a row number.
+    """
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    doc_id = F.col(key).cast("long")
+    return df.select(F.xxhash64(doc_id, text_).alias("row"), F.struct(doc_id.alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own") if carry else F.lit(None).cast("boolean").alias("own")).alias("rest"), text_.alias("text"))
+
+
 # --- hashing of stretches of bytes or words -------------------------------------------------
 
 _P = 0x9E3779B97F4A7C55

@@ -6,7 +6,7 @@ documents and benchmark finds every document that may hold one. In those documen
 fingerprint are compared as strings, which extends each hit to all the words it covers.
 
 Defined results: a null, empty or wordless text has no words and no hits; an item without words is never found; an item of
-fewer than `length` words is one window of its own length; equal items are all named; an empty benchmark leaves every document clean;
+fewer than `length` words is one window of its own length; equal items are all named, items without an id are not; a doc_id may be null or repeat; an empty benchmark leaves every document clean;
 other columns are ignored.
 """
 
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, texts_of, written
+from tessera.llm.common import prepare, rows_of, texts_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, as a pattern.
@@ -57,7 +57,7 @@ def _with_fingerprints(df: DataFrame, length: int, k: int, short: list[int]) ->
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words, n_hit) of every document, and (doc_id, item_id) of the items found in each."""
+    """(row, doc_id, n_words, n_hit) of every document, and (row, item_id) of the items found in each; row stands for key and text."""
     spark = docs.sparkSession
     prepare(spark)
     items = texts_of(items, item_key, item_text).select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0")
@@ -72,21 +72,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
 
     # explode_outer, here and below: for explode, Spark adds a filter on the array and pushes it down, which
     # repeats the arrays' expressions inside their own lambdas
-    texts = texts_of(docs, key, text)
-    cut = texts.select("doc_id", words(F.col("text")).alias("words"))
-    seen = _with_fingerprints(cut, length, k, short).select("doc_id", F.size("words").alias("n_words"), F.array_distinct(F.concat(*(F.array_distinct(f"f{n}") for n in sizes))).alias("prints"))
-    own = F.struct(F.xxhash64("doc_id", F.lit("document")).alias("print"), F.lit(True).alias("whole"))
+    texts = rows_of(docs, key, text).select("row", "rest.doc_id", "text")
+    cut = texts.select("row", "doc_id", words(F.col("text")).alias("words"))
+    seen = _with_fingerprints(cut, length, k, short).select("row", "doc_id", F.size("words").alias("n_words"), F.array_distinct(F.concat(*(F.array_distinct(f"f{n}") for n in sizes))).alias("prints"))
+    own = F.struct(F.xxhash64("row", F.lit("document")).alias("print"), F.lit(True).alias("whole"))
     each = F.explode_outer(F.concat(F.array(own), F.transform("prints", lambda p: F.struct(p.alias("print"), F.lit(False).alias("whole")))))
-    each = seen.select("doc_id", "n_words", each.alias("e")).select("doc_id", "n_words", "e.*")
+    each = seen.select("row", "doc_id", "n_words", each.alias("e")).select("row", "doc_id", "n_words", "e.*")
     known = written(windows.select("print").distinct(), "prints").withColumn("known", F.lit(True))
     found = written(each.join(known, "print", "left").where("whole or known"), "found")
 
-    hits = found.where("known").groupBy("doc_id").agg(F.collect_set("print").alias("hits"))
-    cut = texts.join(hits, "doc_id").select("doc_id", "hits", words(F.col("text")).alias("words"))
+    hits = found.where("known").groupBy("row").agg(F.collect_set("print").alias("hits"))
+    cut = texts.join(hits, "row").select("row", "hits", words(F.col("text")).alias("words"))
     near = _with_fingerprints(cut, length, k, short)
     starts = F.concat(*(F.filter(F.transform(f"f{n}", _start(n)), lambda s: s.isNotNull()) for n in sizes))
-    spans = near.select("doc_id", "words", starts.alias("starts"))
-    spans = spans.select("doc_id", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))).alias("s")).where("s is not null").select("doc_id", "s.*")
+    spans = near.select("row", "words", starts.alias("starts"))
+    spans = spans.select("row", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))).alias("s")).where("s is not null").select("row", "s.*")
     whole = written(spans.join(windows.select("window", "n").distinct(), ["window", "n"]), "hits")
 
     # words covered: for sorted spans, those before the next span's start
@@ -94,16 +94,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     ends = F.transform("spans", lambda s: s["at"] + s["n"])
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     total = F.aggregate(F.arrays_zip(F.col("spans.at").alias("at"), ends.alias("end")), state, lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], acc["end"]))).alias("total")), lambda acc: acc["total"])
-    counts = whole.groupBy("doc_id").agg(ordered.alias("spans")).select("doc_id", total.cast("long").alias("n_hit"))
-    per_doc = found.where("whole").select("doc_id", F.col("n_words").cast("long").alias("n_words")).join(counts, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
-    pairs = whole.select("doc_id", "window", "n").distinct().join(windows.select("window", "n", "item_id").distinct(), ["window", "n"]).select("doc_id", "item_id").distinct()
+    counts = whole.groupBy("row").agg(ordered.alias("spans")).select("row", total.cast("long").alias("n_hit"))
+    per_doc = found.where("whole").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(counts, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
+    pairs = whole.select("row", "window", "n").distinct().join(windows.select("window", "n", "item_id").distinct(), ["window", "n"]).select("row", "item_id").distinct()
     return per_doc, pairs
 
 
 def digest(per_doc: DataFrame, pairs: DataFrame) -> DataFrame:
-    items = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     none = F.array().cast("array<string>")
-    out = per_doc.join(items, "doc_id", "left").withColumn("items", F.coalesce("items", none))
+    out = per_doc.join(items, "row", "left").withColumn("items", F.coalesce("items", none))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

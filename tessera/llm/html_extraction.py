@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 from tessera.llm.html_pages import Pages
 
-TRAINING, EPOCHS, BATCH, STEP = 700, 6, 25, 0.3
+TRAINING, EPOCHS, BATCH, STEP = 1500, 6, 25, 0.3
 #: A word counts as a cue if so many short blocks outside the article hold it.
 CUE_BLOCKS = 8
 SLOTS = 1 << 16

@@ -105,7 +105,7 @@ class Pages:
 
         title = self.words(2, 12)
         parts = [f"<h1>{main(title)}</h1>"] if self.chance(0.9) else []
-        for _ in range(int(self.rng.integers(1, 14))):
+        for _ in range(int(self.rng.integers(1, self.pick([2, 5, 14])))):
             parts.append(paragraph())
             if self.chance(0.1):
                 parts.append(self.other(self.pick(["ad", "notice", "share", "aside", "form"]), None))
@@ -113,7 +113,7 @@ class Pages:
             parts.append(self.other(self.pick(["share", "comments"]), None))
         tag = self.pick(["article", "article", "article", "main", "div", "section"])
         body = f"<{tag}{self.attribute('article')}>" + "".join(parts) + f"</{tag}>"
-        before = [self.other(self.pick(["header", "header", "ad", "notice", "share", "form"]), None) for _ in range(int(self.rng.integers(1, 4)))]
-        after = [self.other(self.pick(["aside", "comments", "ad", "share", "form", "footer", "notice"]), None) for _ in range(int(self.rng.integers(0, 4)))] + [self.other("footer", None)] * self.chance(0.9)
+        before = [self.other(self.pick(["header", "header", "ad", "notice", "share", "form"]), None) for _ in range(int(self.rng.integers(0, 4)))]
+        after = [self.other(self.pick(["aside", "comments", "ad", "share", "form", "footer", "notice"]), None) for _ in range(int(self.rng.integers(0, 4)))] + [self.other("footer", None)] * self.chance(0.8)
         html = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>' + "".join(before) + body + "".join(after) + "</body></html>"
         return html, marks

@@ -249,7 +249,7 @@ def _label(sent):
         model = sent.value
         for b in batches:
             data, offsets, _ = _columns(b)
-            ids = b.column("doc_id").to_numpy()
+            ids = b.column("doc_id")
             for lo, hi in chunks(offsets) if model.languages else ():
                 f, p = _marginals(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 if not len(p):
@@ -258,7 +258,7 @@ def _label(sent):
                 begin = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (f.doc[1:] != f.doc[:-1])))
                 base = np.searchsorted(f.doc, f.doc[begin])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + f.doc[begin]]), pa.array((begin - base).astype(np.int32)), pa.array(np.diff(np.append(begin, len(y))).astype(np.int32)), pa.array([model.languages[i] for i in y[begin]], pa.string())],
+                    [ids.take(pa.array(lo + f.doc[begin])), pa.array((begin - base).astype(np.int32)), pa.array(np.diff(np.append(begin, len(y))).astype(np.int32)), pa.array([model.languages[i] for i in y[begin]], pa.string())],
                     names=["doc_id", "start", "n", "lang"],
                 )
 

@@ -6,7 +6,7 @@ together, differing bits add up, and a pair is pruned once they exceed the budge
 nodes are already in one group. A bucket returns a spanning forest and not its pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle are one shingle;
-equal texts and repeated rows share a fingerprint; an empty table gives an empty result; other columns are ignored.
+equal texts and repeated rows share a fingerprint; rows without a doc_id count for links only (a group of such rows alone has no component_id); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _links(bits: int, width: int):
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for b in batches:
-            block, value, rep = (b.column(c).to_numpy() for c in ("block", "value", "rep"))
+            block, value, rep = (b.column(c).to_numpy() for c in ("block", "value", "print"))
             held.append((block, value.view(np.uint64), rep))
             rows += len(block)
             if rows < ROWS:
@@ -151,11 +151,12 @@ def near_groups(prints: DataFrame, bits: int = 3) -> DataFrame:
     blocks = F.explode(F.transform(F.array(*map(F.lit, range(bits + 1))), lambda i: F.struct(
         i.alias("block"), F.call_function("shiftleft", F.col("print"), i * width).bitwiseOR(
             F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("print"), 64 - i * width))).alias("value"))))
-    rotated = distinct.select("rep", blocks.alias("x")).select("rep", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width)))
-    links = rotated.repartition("block", "top").sortWithinPartitions("block", "top").select("rep", "block", "value").mapInArrow(_links(bits, width), "u long, v long")
-    groups = components(links)
-    reps = distinct.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(reps, "print").select("doc_id", "print", "component_id")
+    rotated = distinct.select("print", blocks.alias("x")).select("print", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width)))
+    links = rotated.repartition("block", "top").sortWithinPartitions("block", "top").select("print", "block", "value").mapInArrow(_links(bits, width), "u long, v long")
+    groups = components(links).withColumnRenamed("node", "print")
+    joined = distinct.join(groups, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("component"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.join(joined.join(least, "component").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def digest(groups: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-PACKED = "key long, salt int, salts int, doc_id long, start int, n int, packed binary"
+PACKED = "key long, salt int, salts int, row long, start int, n int, packed binary"
 #: Rows whose buckets are counted together.
 TOGETHER = 1000
-FOUND = "doc_id long, start int, n int, window binary, times long"
+FOUND = "row long, start int, n int, window binary, times long"
 
 
 def salted(keyed: DataFrame, most: int) -> DataFrame:
     """Deals the rows of a key that has more than `most` of them (column rows) to several salts."""
     salts = F.ceil(F.col("rows") / F.lit(most)).cast("int")
-    dealt = F.pmod(F.xxhash64("doc_id", "start"), F.col("salts").cast("long")).cast("int")
+    dealt = F.pmod(F.xxhash64("row", "start"), F.col("salts").cast("long")).cast("int")
     return keyed.withColumn("salts", salts).withColumn("salt", dealt).drop("rows")
 
 
@@ -61,13 +61,13 @@ class Found:
 
     def batch(self) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.cols, kinds, strict=True)], names=["doc_id", "start", "n", "window", "times"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.cols, kinds, strict=True)], names=["row", "start", "n", "window", "times"])
         self.cols = ([], [], [], [], [])
         return out
 
 
 def exact_bucket(cut: Callable[[bytes, int], list[bytes]]) -> Callable:
-    """Counts windows by sorting them as strings; rows: doc_id, start, n, packed, salts."""
+    """Counts windows by sorting them as strings; rows: row, start, n, packed, salts."""
 
     def bucket(rows: list[tuple], out: Found) -> None:
         where: dict[tuple[bytes, int, bool], list[tuple[int, int]]] = {}
@@ -111,7 +111,7 @@ def _counter(bucket: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         held: list[tuple] = []
         last, out = None, Found()
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("key", "salt", "doc_id", "start", "n", "packed", "salts")]
+            cols = [b.column(k).to_pylist() for k in ("key", "salt", "row", "start", "n", "packed", "salts")]
             for key, salt, *row in zip(*cols, strict=True):
                 if len(held) >= TOGETHER and (key, salt) != last or salt and (key, salt) != last:
                     bucket(held, out)
@@ -127,20 +127,25 @@ def _counter(bucket: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def counted(packed: DataFrame, bucket: Callable, name: str) -> DataFrame:
-    """Runs (doc_id, start, n) of windows that occur more than once, from rows of PACKED.
+    """Runs (row, start, n) of windows that occur more than once, from rows of PACKED.
 
     A bucket dealt to several salts is counted in each; one row for each of its distinct windows and salt then
     settles what no salt could see alone, grouped by a 128-bit digest of the window.
     """
     found = packed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_counter(bucket), FOUND)
     found = written(found, name)
-    one = found.where("window is null").select("doc_id", "start", "n")
+    one = found.where("window is null").select("row", "start", "n")
     spread = found.where("window is not null")
     more = spread.groupBy("window").agg(F.sum("times").alias("all")).where("all > 1")
-    late = spread.where("times = 1").join(more, "window").select("doc_id", "start", "n")
+    late = spread.where("times = 1").join(more, "window").select("row", "start", "n")
     return one.unionAll(late)
 
 
+def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of rows_of() with the runs of their windows, as a set."""
+    return texts.join(runs.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "row", "left")
+
+
 def covered(n_units: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     """Which units the windows cover that begin in the runs (starts, counts)."""
     edge = np.zeros(n_units + 1, np.int32)

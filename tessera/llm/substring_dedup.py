@@ -6,8 +6,7 @@ minimiser's bucket, where sorting counts the windows exactly. Before any string
 counted by their hash alone: a window whose minimiser occurs once in the corpus can't repeat.
 
 Defined results: a null or empty text has no words and keeps nothing; a text of fewer than `length` words has no window
-and is kept; equal texts lose all windows in every copy; equal doc_ids with different texts aren't supported
-(doc_id is the key); an empty table gives an empty result; other columns are ignored.
+and is kept; equal texts lose all windows in every copy, so do repeated rows; a doc_id may be null or repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, prepare, raw, runs_of, signed, texts_of, words_in
-from tessera.llm.spans import PACKED, counted, covered, exact_bucket, salted, word_windows
+from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, prepare, raw, rows_of, runs_of, signed, words_in
+from tessera.llm.spans import PACKED, counted, covered, exact_bucket, salted, with_runs, word_windows
 
 #: The longest run of windows in one packed string.
 RUN = 128
@@ -34,7 +33,7 @@ def _super_kmers(length: int, k: int):
         w = length - k + 1
         for b in batches:
             data, offsets = raw(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
+            ids = b.column("row").to_numpy()
             for lo, hi in chunks(offsets):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, doc = words_in(part, at)
@@ -63,7 +62,7 @@ def _super_kmers(length: int, k: int):
                 base = np.searchsorted(doc, np.arange(hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h[begin])), pa.array(ids[lo + d[begin]]), pa.array((at0[begin] - base[d[begin]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1)],
-                    names=["key", "doc_id", "start", "n", "weight"],
+                    names=["key", "row", "start", "n", "weight"],
                 )
 
     return run
@@ -72,7 +71,7 @@ def _super_kmers(length: int, k: int):
 def _pack(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_pylist()
+            texts, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("row").to_pylist()
             spans = b.column("spans")
             cols, offsets = {f: lists(spans, f)[0] for f in ("key", "salt", "salts", "start", "n")}, lists(spans, "n")[1]
             packed = []
@@ -83,7 +82,7 @@ def _pack(length: int):
                     packed.append(b" ".join(words[s : s + cols["n"][j] + length - 1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()), pa.array(np.repeat(np.asarray(ids, np.int64), np.diff(offsets))), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()), pa.array(packed, pa.binary())],
-                names=["key", "salt", "salts", "doc_id", "start", "n", "packed"],
+                names=["key", "salt", "salts", "row", "start", "n", "packed"],
             )
 
     return run
@@ -106,28 +105,27 @@ def _kept(length: int, whole: bool):
                 gone = covered(len(words), starts[lo:hi], ns[lo:hi], length)
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "rest", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["rest", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
-    """Per document: doc_id, rest (a struct of the columns named by carry), n_words, n_removed and the kept text.
+    """Per document: doc_id, own (a struct of the columns named by carry), n_words, n_removed and the kept text.
 
     Kept words are joined by one space; with whole, a text that loses no word stays as it is.
     """
     prepare(docs.sparkSession)
-    texts = texts_of(docs, key, text)
-    runs = texts.mapInArrow(_super_kmers(length, k), "key long, doc_id long, start int, n int, weight long")
+    texts = rows_of(docs, key, text, carry)
+    runs = texts.select("row", "text").mapInArrow(_super_kmers(length, k), "key long, row long, start int, n int, weight long")
     again = runs.groupBy("key").agg(F.sum("weight").alias("rows")).where("rows > 1")
     spans = salted(runs.drop("weight").join(again, "key"), BUCKET_ROWS)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
-    rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
-    dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest")).repartition("doc_id")  # the one exchange of texts, used twice
-    packed = dealt.join(spans, "doc_id").mapInArrow(_pack(length), PACKED)
-    gone = counted(packed, exact_bucket(word_windows(length)), "windows").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
+    dealt = texts.repartition("row")  # the one exchange of texts, used twice
+    packed = dealt.join(spans, "row").mapInArrow(_pack(length), PACKED)
+    found = with_runs(dealt, counted(packed, exact_bucket(word_windows(length)), "windows"))
     kind = dealt.schema["rest"].dataType.simpleString()
-    return dealt.join(gone, "doc_id", "left").mapInArrow(_kept(length, whole), f"doc_id long, rest {kind}, n_words long, n_removed long, kept string")
+    return found.mapInArrow(_kept(length, whole), f"rest {kind}, n_words long, n_removed long, kept string").select("rest.*", "n_words", "n_removed", "kept")
 
 
 def digest(result: DataFrame) -> DataFrame:

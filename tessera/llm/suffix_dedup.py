@@ -4,11 +4,11 @@ Ranking all suffixes would shuffle many times the text. Each string of `length`
 minimiser: the least hash of `gram` bytes inside it. Equal strings have equal minimisers at equal places. From these places the ranks
 grow by prefix doubling: Spark joins and recounts pairs of the ranks at a place and at an offset of
 piece, 2 piece, ... bytes, and a place whose rank became unique goes, with all strings it represents. What is still shared at
-`gram` bytes travels, as one packed run of strings, to the bucket of its rank, where ranks of pairs at offsets of `gram` and 2 `gram`
-go past `length`, equal ranks are sorted together, and neighbours are compared byte by byte.
+`gram` bytes travels, as one packed run of strings, to the bucket of its rank, where ranks of pairs at offsets of `gram`, 2 `gram` ...
+go up to `length`, equal ranks are sorted together, and neighbours are compared byte by byte.
 
 Defined results: texts are UTF-8, null is empty and keeps nothing; a text of fewer than `length` bytes is kept; equal texts lose all
-strings in every copy; overlapping matches in one document count; matches never cross documents; doc_id is the key; an empty table gives an
+strings in every copy; overlapping matches in one document count; matches never cross documents; a doc_id may be null or repeat; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, mixed, prepare, raw, runs_of, signed, texts_of, written
-from tessera.llm.spans import PACKED, Found, counted, covered, exact_bucket, byte_windows, salted
+from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, mixed, prepare, raw, rows_of, runs_of, signed, written
+from tessera.llm.spans import PACKED, Found, byte_windows, counted, covered, exact_bucket, salted, with_runs
 
 RUN, BUCKET_ROWS = 400, 6000
 #: Windows compared byte by byte at once.
@@ -37,7 +37,7 @@ def _places(length: int, gram: int, piece: int):
         w = length - gram + 1
         for b in batches:
             data, offsets = raw(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
+            ids = b.column("row").to_numpy()
             for lo, hi in chunks(offsets):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 sizes = np.diff(at)
@@ -63,7 +63,7 @@ def _places(length: int, gram: int, piece: int):
                     twice = twice[begin]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(h[begin]) for h in pieces), pa.array(ids[lo + doc[begin]]), pa.array((at0[begin] - at[doc[begin]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1)],
-                    names=[*(f"p{i}" for i in range(len(pieces))), "doc_id", "start", "n", "weight"],
+                    names=[*(f"p{i}" for i in range(len(pieces))), "row", "start", "n", "weight"],
                 )
 
     return run
@@ -80,8 +80,8 @@ def _pack(length: int):
             hi, whole = lo + cols["n"] + length - 1, data.tobytes()
             packed = [whole[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()), pa.array(np.repeat(b.column("doc_id").to_numpy(), each)), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()), pa.array(packed, pa.binary())],
-                names=["key", "salt", "salts", "doc_id", "start", "n", "packed"],
+                [pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()), pa.array(np.repeat(b.column("row").to_numpy(), each)), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()), pa.array(packed, pa.binary())],
+                names=["key", "salt", "salts", "row", "start", "n", "packed"],
             )
 
     return run
@@ -158,7 +158,7 @@ def _kept(length: int):
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -166,23 +166,24 @@ def _kept(length: int):
 def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, piece: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes. gram: piece times a power of 2."""
     prepare(docs.sparkSession)
-    texts = texts_of(docs, key, text)
+    texts = rows_of(docs, key, text)
     parts = [f"p{i}" for i in range(gram // piece)]
-    rows = texts.mapInArrow(_places(length, gram, piece), ", ".join(f"{p} long" for p in parts) + ", doc_id long, start int, n int, weight long")
+    rows = texts.select("row", "text").mapInArrow(_places(length, gram, piece), ", ".join(f"{p} long" for p in parts) + ", row long, start int, n int, weight long")
     while len(parts) > 1:  # ranks of pairs at growing offsets: each rank now covers twice as many bytes
         pairs = [F.xxhash64(parts[i], parts[i + 1]).alias(f"p{i // 2}") for i in range(0, len(parts), 2)]
         parts = parts[: len(parts) // 2]
-        rows = rows.select(*pairs, "doc_id", "start", "n", "weight")
+        rows = rows.select(*pairs, "row", "start", "n", "weight")
         shared = rows.groupBy("p0").agg(F.sum("weight").alias("rows")).where("rows > 1")
         rows = written(rows.join(shared, "p0"), "ranks")
         if len(parts) > 1:
             rows = rows.drop("rows")
-    spans = salted(rows.select(F.col("p0").alias("key"), "doc_id", "start", "n", "rows"), BUCKET_ROWS)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
-    dealt = texts.repartition("doc_id")  # the one exchange of texts, used twice
-    packed = dealt.join(spans, "doc_id").mapInArrow(_pack(length), PACKED)
-    gone = counted(packed, doubling_bucket(length, gram), "strings").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return dealt.join(gone, "doc_id", "left").mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = salted(rows.select(F.col("p0").alias("key"), "row", "start", "n", "rows"), BUCKET_ROWS)
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
+    dealt = texts.repartition("row")  # the one exchange of texts, used twice
+    packed = dealt.join(spans, "row").mapInArrow(_pack(length), PACKED)
+    found = with_runs(dealt, counted(packed, doubling_bucket(length, gram), "strings"))
+    kind = dealt.schema["rest"].dataType.simpleString()
+    return found.mapInArrow(_kept(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(result: DataFrame) -> DataFrame:
