@@ -9,7 +9,7 @@ from tessera.llm import decontamination, language_id, sentencepiece_codec, simha
 from tessera.llm.common import table, written
 
 #: A document stays if one language has at least this mean marginal.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
