@@ -139,3 +139,38 @@ def test_expected_best_is_the_bootstrap_limit(spark):
     row = aggregates.best_and_worst_of(df, ["k"], "v", 2).first()
     draws = [(a, b) for a in (1, 4, 9) for b in (1, 4, 9)]
     assert row.best == pytest.approx(sum(map(max, draws)) / 9) and row.worst == pytest.approx(sum(map(min, draws)) / 9)
+
+
+def test_judging():
+    from tessera.functions import judging as J
+
+    assert J.same_answer("The red car turned left at the corner.", "the red car turned left at the corner")
+    assert J.same_answer("A vehicle is moving outside in the snow", "cars in motion outdoors, snowing")
+    assert not J.same_answer("I cannot answer", "a red car") and not J.same_answer("red car", "blue car") and not J.same_answer("", "x")
+    assert J.boxed("a \\boxed{1} b \\boxed{\\frac{1}{2}} c") == "\\frac{1}{2}" and J.boxed("\\boxed 7$") == "7" and J.boxed("no") is None and J.boxed("\\boxed{1") is None
+    for a, b in (("0.5", "\\frac12"), ("x = 3", "3"), ("1,000", "1000"), ("\\dfrac{3}{4}", "3/4"), ("50\\%", "50"), ("2.50", "5/2")):
+        assert J.same_math(a, b), (a, b)
+    assert not J.same_math("1", "2") and not J.same_math("", "") and not J.same_math("a", "b")
+    assert J.first_json('x ```json {"b": [1, {"a": null}]} ``` {') == '{"b":[1,{"a":null}]}' and J.first_json("none [") is None
+    assert [J.verdict(x) for x in ('{"correct": true}', '{"score": 0.4}', '{"is_correct": "no"}', "[1]", None)] == [True, False, False, None, None]
+    calls = '[{"name": "f", "parameters": {"a": 1, "b": 2}}]'
+    assert J.call_likeness(calls, calls) == 3 and J.call_likeness("nonsense", calls) == -3 and -3 < J.call_likeness(calls.replace("2", "3"), calls) < 3
+    assert J.bleu4("a b c d", "a b c d") == pytest.approx(1) and J.rouge_l("a b c", "a x c") == pytest.approx(2 / 3) and J.bleu4("", "a") == 0
+
+
+def test_timeline(spark):
+    from tessera.operators import timeline as L
+
+    gaps = one(spark, L.complement(F.array(F.struct(F.lit(1.0).alias("start"), F.lit(2.0).alias("end")), F.struct(F.lit(2.0).alias("start"), F.lit(3.0).alias("end"))), F.lit(0), F.lit(5)))
+    assert [tuple(g) for g in gaps] == [(0, 1), (3, 5)]
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, L.history_frames(ids(9, 1), ids(1, 2, 3, 9), 3)) == [1, 3, 9] and one(spark, L.history_frames(ids(1, 2, 3, 4), ids(5), 3)) == [1, 2, 3]
+    assert one(spark, L.around(F.array().cast("array<int>"), F.lit(1), F.lit(0), F.lit(9))) == [0, 1, 2, 3]
+
+
+def test_rejection_masks(spark):
+    from tessera.operators import metrics as M
+
+    a, b, m = (F.array(*map(F.lit, x)) for x in ([0.0, 1.0], [0.0, -1.0], [1.0, 1.0]))
+    got = {k: one(spark, M.rejection_mask(a, b, m, k, -1.0, 1.0)) for k in ("token_k1", "token_k2", "token_k3", "seq_sum", "seq_mean", "seq_max")}
+    assert got == {"token_k1": [1, 0], "token_k2": [1, 0], "token_k3": [1, 0], "seq_sum": [0, 0], "seq_mean": [1, 1], "seq_max": [0, 0]}
