@@ -172,3 +172,85 @@ def clipped_loss(new: Column, old: Column, adv: Column, mask: Column, low: float
 
     total = F.aggregate(F.transform(F.arrays_zip(new.alias("a"), old.alias("b"), adv.alias("d"), mask.alias("m")), one), F.lit(0.0), lambda a, x: a + x)
     return total / (F.aggregate(mask, F.lit(0.0), lambda a, m: a + m) + 1e-8)
+
+
+@estimator("gdpo")
+def gdpo(df: DataFrame, group: str = "group", scores: dict[str, float] | None = None) -> DataFrame:
+    """Weighted sum of each component's group-relative value, whitened over all rows."""
+    rows, total, names = df, F.lit(0.0), []
+    for i, (c, weight) in enumerate((scores or {"score": 1.0}).items()):
+        rows = grpo(rows, group, c).withColumnRenamed("advantage", f"_c{i}")
+        total, names = total + weight * F.col(f"_c{i}"), [*names, f"_c{i}"]
+    rows = rows.withColumn("_s", total).drop(*names)
+    all_ = rows.agg(F.avg("_s").alias("_m"), F.var_samp("_s").alias("_v"))
+    return rows.crossJoin(F.broadcast(all_)).withColumn("advantage", (F.col("_s") - F.col("_m")) / F.sqrt(F.col("_v") + 1e-8)).drop("_s", "_m", "_v")  # one row
+
+
+@estimator("trajectory_sum")
+def trajectory_sum(df: DataFrame, group: str = "group", traj: str = "traj", score: str = "score", valid: str = "valid") -> DataFrame:
+    """Trajectories' summed scores against their group; trajectories with an invalid turn count for nothing and get 0."""
+    sums = df.groupBy(group, traj).agg(F.sum(score).alias("_s"), F.bool_and(valid).alias("_ok"))
+    w = _group(group)
+    x = F.when(F.col("_ok"), F.col("_s"))
+    value = F.when(F.col("_ok") & (F.count(x).over(w) > 1), (F.col("_s") - F.avg(x).over(w)) / (F.stddev_samp(x).over(w) + EPS)).otherwise(0.0)
+    return df.join(sums.withColumn("advantage", value).drop("_s", "_ok"), [group, traj])
+
+
+@estimator("mixed")
+def mixed(df: DataFrame, group: str = "group", turn: str = "turn", outcome: str = "outcome", state: str = "state", alpha: float = 0.5) -> DataFrame:
+    """alpha times the outcome's value in the group plus the rest of the state's value in (group, turn)."""
+    rows = grpo(df, group, outcome).withColumnRenamed("advantage", "_o")
+    rows = component(rows.withColumn("_all", F.lit(True)), group, turn, state, "_all", 0.0).withColumnRenamed("advantage", "_s")
+    return rows.withColumn("advantage", alpha * F.col("_o") + (1 - alpha) * F.col("_s")).drop("_o", "_s", "_all")
+
+
+def answer_supervision(target: Column, wants_answer: Column, asked: Column, query_wants_answer: Column, said: Column) -> Column:
+    """struct(kind, status): answer, silence or none, as a step's target, question and answer ask for."""
+    pair = lambda kind, status: F.struct(F.lit(kind).alias("kind"), F.lit(status).alias("status"))
+    return (
+        F.when(target & wants_answer, pair("answer", "answer_target")).when(target, pair("silence", "answer_target_without_target"))
+        .when(asked & query_wants_answer, pair("answer", "query_answer")).when(asked, pair("silence", "query_silence"))
+        .when(said, pair("silence", "unprompted_answer")).otherwise(pair("none", ""))
+    )
+
+
+def answer_reward(score: Column, kind: Column, said: Column, status: Column, silence: float = 1.0, attempt: float = 0.1) -> Column:
+    """Reward of a step's answer: silence pays where it is due; an answer where one is due pays its attempt and, from 0.5 on, one more."""
+    right = F.when(score >= 0.5, 1.0).otherwise(0.0)
+    return F.when((kind == "none") | (status == "parser_invalid"), 0.0).when(kind == "silence", F.when(said, 0.0).otherwise(silence)).otherwise(F.when(said, silence + attempt + right).otherwise(0.0))
+
+
+def forced_answers(df: DataFrame, group: str, turn: str, asked: str, target: str, said: str, reward: str, silence: float = 1.0) -> DataFrame:
+    """Where some of a (group, turn) answered though nothing was asked or due: answers earn nothing, silence its reward (forced: true)."""
+    w = Window.partitionBy(group, turn)
+    any_ = lambda c: F.coalesce(F.bool_or(F.col(c)).over(w), F.lit(False))
+    forced = ~any_(asked) & ~any_(target) & any_(said)
+    rows = df.withColumn("forced", forced)
+    return rows.withColumn(reward, F.when(F.col("forced"), F.when(F.col(said), 0.0).otherwise(silence)).otherwise(F.col(reward)))
+
+
+def sequence_ratio_loss(new: Column, old: Column, adv: Column, mask: Column, low: float, high: float) -> Column:
+    """Clipped loss by one ratio for the sequence: the exponential of the masked mean of log ratios."""
+    n = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m) + 1e-8
+    gap = F.aggregate(F.transform(F.arrays_zip(new.alias("a"), old.alias("b"), mask.alias("m")), lambda x: (x["a"] - x["b"]) * x["m"]), F.lit(0.0), lambda a, g: a + g) / n
+    ratio = F.exp(F.least(gap, F.lit(10.0)))
+    return F.aggregate(F.zip_with(adv, mask, lambda d, m: F.greatest(-d * ratio, -d * F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high))) * m), F.lit(0.0), lambda a, x: a + x) / n
+
+
+def weighted_likelihood_loss(new: Column, old: Column, adv: Column, mask: Column, low: float | None = None, high: float | None = None) -> Column:
+    """-ratio * advantage * log-probability, ratios clipped (held constant); without bounds, ratios are one."""
+    ratio = lambda x: F.lit(1.0) if low is None else F.least(F.greatest(F.exp(x["a"] - x["b"]), F.lit(1 - low)), F.lit(1 + high))
+    total = F.aggregate(F.transform(F.arrays_zip(new.alias("a"), old.alias("b"), adv.alias("d"), mask.alias("m")), lambda x: -ratio(x) * x["d"] * x["a"] * x["m"]), F.lit(0.0), lambda a, v: a + v)
+    return total / (F.aggregate(mask, F.lit(0.0), lambda a, m: a + m) + 1e-8)
+
+
+class AdaptiveKl:
+    """A coefficient that follows a target: it grows or shrinks with the error, cut to a fifth, a step."""
+
+    def __init__(self, start: float, target: float, horizon: int):
+        self.value, self.target, self.horizon = start, target, horizon
+
+    def update(self, now: float, steps: int) -> float:
+        error = min(max(now / self.target - 1, -0.2), 0.2)
+        self.value *= 1 + error * steps / self.horizon
+        return self.value
