@@ -9,7 +9,7 @@ from tessera.functions import text as T
 
 #: Least confidence of a leak through text, of visual support, of a leak through history, and of a guess from it.
 TEXT_LEAK, SUPPORT, LANGUAGE_LEAK, GUESS = 0.50, 0.55, 0.55, 0.70
-SUPPORTED = ("supported", "fully_supported", "partially_supported")
+SUPPORTED = ("fully_supported", "partially_supported")
 
 
 def sound_options(audit: Column) -> Column:

@@ -254,3 +254,22 @@ class AdaptiveKl:
         error = min(max(now / self.target - 1, -0.2), 0.2)
         self.value *= 1 + error * steps / self.horizon
         return self.value
+
+
+def step_reward(process: Column, format_: Column, note: Column, w_process: float = 1.0, w_format: float = 0.1, w_note: float = 0.0, most: float = 1.0) -> Column:
+    """Weighted process and format scores; with a weight for notes, a note score of zero voids the process score, and any other adds its weight."""
+    cut = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(most))
+    value, weight = F.greatest(process, F.lit(0.0)), F.lit(w_process)
+    if w_note > 0:
+        value = F.when(cut(note) > 0, value).otherwise(0.0)
+        weight = F.when(cut(note) > 0, w_process + w_note).otherwise(w_process)
+    return F.greatest(weight * value + w_format * cut(format_), F.lit(0.0))
+
+
+def note_frequency(df: DataFrame, key: list[str], order: list[str], notes: str, most: int, stale: int, full: float = 1.0, penalty: float = 0.0) -> DataFrame:
+    """Adds note_score and note_reasons: too many notes in a step, or none for `stale` steps."""
+    from tessera.operators.ordered import streak
+
+    rows = streak(df.withColumn("_some", F.col(notes) > 0), key, order, "_some", "_streak")
+    reasons = F.array_compact(F.array(F.when(F.col(notes) > most, "too_many_notes"), F.when(F.col("_streak") >= stale, "note_stale")))
+    return rows.withColumn("note_reasons", reasons).withColumn("note_score", F.when(F.size("note_reasons") > 0, penalty).otherwise(full)).drop("_some", "_streak")

@@ -100,3 +100,27 @@ def column_chunks(df: DataFrame, array: str, n: int) -> DataFrame:
     """n rows for each row, its array cut into n equal pieces."""
     width = (F.size(array) / n).cast("int")
     return df.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(array, (i * width + 1).cast("int"), width))).alias("chunk", "piece"))
+
+
+def minibatches(df: DataFrame, key: list[str], size: int, seed: str, epoch: int) -> DataFrame:
+    """Adds batch: rows in the seeded order of the epoch, `size` at a time."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(epoch)), *(F.col(k).cast("string") for k in key)))
+    rows = with_position(df.withColumn("_order", order), ["_order", *key])
+    return rows.withColumn("batch", F.floor(F.col("position") / size)).drop("_order", "position")
+
+
+def padded(df: DataFrame, order: list[str], multiple: int) -> DataFrame:
+    """Rows with their position, and the first ones again (padding) up to a multiple."""
+    rows = with_position(df, order).withColumn("position", F.col("position").cast("long"))
+    n = df.count()
+    more = -n % multiple if n else 0
+    again = [rows.where(F.col("position") < min(n, more - k)).withColumn("position", F.col("position") + n + k) for k in range(0, more, max(n, 1))]
+    out = rows.withColumn("padding", F.lit(False))
+    for a in again:
+        out = out.unionAll(a.withColumn("padding", F.lit(True)))
+    return out
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that both have; empty if the splits don't overlap."""
+    return a.select(*key).intersect(b.select(*key))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import acceptance as Q
 from tessera.operators import advantages as A
 from tessera.operators import grouping as G
+from tessera.operators import relational as J
 from tessera.plans.rl import S, scores
 from tessera.registry import Tables, query, seconds
 
@@ -23,7 +24,7 @@ def accepted_questions(t: Tables) -> DataFrame:
     options = F.struct(F.lit(True).alias("is_valid_mcq"), F.lit(True).alias("has_single_correct_answer"), (size % 7 == 0).alias("has_option_bias"), F.lit(True).alias("is_visual_question"))
     audit = lambda choice, sure, support: F.struct(choice.alias("choice"), sure.cast("double").alias("confidence"), F.lit(support).alias("support"), F.lit(False).alias("is_answer_available_before_ask_time"))
     guess = F.when(size % 2 == 0, "A").otherwise("B")
-    rows = t.part.select("p_partkey", kind.alias("kind"), options.alias("o"), audit(guess, size / 50, "unsure").alias("text"), audit(F.lit("A"), (F.col("p_retailprice") % 10) / 10, "supported").alias("visual"), audit(guess, size / 50, "supported").alias("history"))
+    rows = t.part.select("p_partkey", kind.alias("kind"), options.alias("o"), audit(guess, size / 50, "unsure").alias("text"), audit(F.lit("A"), (F.col("p_retailprice") % 10) / 10, "fully_supported").alias("visual"), audit(guess, size / 50, "partially_supported").alias("history"))
     return rows.select("p_partkey", "kind", Q.accepted_question(F.col("kind"), F.lit("A"), F.col("o"), F.col("text"), F.col("visual"), F.col("history"), F.lit(True)).alias("accepted"))
 
 
@@ -122,3 +123,37 @@ def further_policy_losses(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", F.slice(v, 1, 16).alias("a"), F.slice(v, 17, 16).alias("b"), F.slice(v, 33, 16).alias("d"), F.array_repeat(F.lit(1.0), 16).alias("m"))
     x = [F.col(c) for c in "abdm"]
     return rows.select("vec_id", F.round(A.sequence_ratio_loss(*x, 0.2, 0.28), 6).alias("by_sequence"), F.round(A.weighted_likelihood_loss(*x, 0.2, 0.28), 6).alias("by_token"), F.round(A.weighted_likelihood_loss(*x), 6).alias("plain"))
+
+
+@query("""
+SELECT event_id, round(greatest((CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE greatest(value / 50, 0) END) * CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 1.2 END + 0.1 * (event_id % 2), 0), 6)::DOUBLE AS reward FROM events
+""")
+def step_rewards(t: Tables) -> DataFrame:
+    note = F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(1.0)
+    return t.events.select("event_id", F.round(A.step_reward(F.col("value") / 50, (F.col("event_id") % 2).cast("double"), note, w_note=0.2), 6).alias("reward"))
+
+
+@query("""
+WITH s AS (SELECT *, sum((event_type = 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events), r AS (
+  SELECT event_id, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) - CASE WHEN part = 0 THEN 0 ELSE 1 END AS streak FROM s)
+SELECT event_id, CASE WHEN streak >= 3 THEN 'note_stale' END AS reason, CASE WHEN streak >= 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM r
+""")
+def note_frequency(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("notes", (F.col("event_type") == "view").cast("int"))
+    return A.note_frequency(rows, ["user_id"], ["ts", "event_id"], "notes", most=2, stale=3).select("event_id", F.get("note_reasons", F.lit(0)).alias("reason"), F.col("note_score").alias("score"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY md5('b:0:' || doc_id), doc_id) - 1 AS r FROM documents)
+SELECT doc_id, (r // 64)::BIGINT AS batch FROM b
+""")
+def seeded_minibatches(t: Tables) -> DataFrame:
+    return J.minibatches(t.documents.select("doc_id"), ["doc_id"], 64, "b", 0).select("doc_id", "batch")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS p, count(*) OVER () AS n FROM supplier)
+SELECT s_suppkey, p::BIGINT AS position, false AS padding FROM s UNION ALL SELECT s_suppkey, (n + p)::BIGINT, true FROM s WHERE p < (7 - n % 7) % 7
+""")
+def padded_to_multiple(t: Tables) -> DataFrame:
+    return J.padded(t.supplier.select("s_suppkey"), ["s_suppkey"], 7)

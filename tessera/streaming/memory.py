@@ -110,3 +110,22 @@ def live(steps: DataFrame, policy: str = "full") -> DataFrame:
         yield pd.DataFrame(rows, columns=names)
 
     return steps.groupBy("video_id").applyInPandasWithState(one, STEPS, "memory string", "append", GroupStateTimeout.NoTimeout)
+
+
+def snapshots(steps: DataFrame, queries: DataFrame, policy: str = "full") -> DataFrame:
+    """(video_id, query_id, memory): what each query (query_id, at) sees; the common prefix of steps runs once for all of them."""
+    names = ["video_id", "query_id", "memory"]
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        memory, out = Memory(), []
+        todo = sorted(b.itertuples(index=False), key=lambda q: (q.at, q.query_id), reverse=True)
+        for r in [*a.sort_values("step_index").itertuples(index=False), None]:
+            while todo and (r is None or todo[-1].at < r.step_end):
+                q = todo.pop()
+                out.append((q.video_id, q.query_id, memory.shown(policy)))
+            if r is not None:
+                advance(memory, r.step_start, r.step_end, [(e["kind"], e["start"], e["end"], e["text"]) for e in r.events], r.question, r.answer, policy)
+        return pd.DataFrame(out, columns=names)
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return steps.groupBy("video_id").cogroup(queries.groupBy("video_id")).applyInPandas(one, f"video_id long, query_id {kind}, memory string")

@@ -174,3 +174,26 @@ def test_rejection_masks(spark):
     a, b, m = (F.array(*map(F.lit, x)) for x in ([0.0, 1.0], [0.0, -1.0], [1.0, 1.0]))
     got = {k: one(spark, M.rejection_mask(a, b, m, k, -1.0, 1.0)) for k in ("token_k1", "token_k2", "token_k3", "seq_sum", "seq_mean", "seq_max")}
     assert got == {"token_k1": [1, 0], "token_k2": [1, 0], "token_k3": [1, 0], "seq_sum": [0, 0], "seq_mean": [1, 1], "seq_max": [0, 0]}
+
+
+def test_step_reward_values(spark):
+    from tessera.operators import advantages as V
+
+    lit = F.lit
+    assert one(spark, V.step_reward(lit(0.5), lit(1.0), lit(0.0))) == pytest.approx(0.6) and one(spark, V.step_reward(lit(2.0), lit(1.0), lit(0.0))) == pytest.approx(2.1)
+    kl = V.AdaptiveKl(0.1, 1.0, 100)
+    assert kl.update(3.0, 10) == pytest.approx(0.102) and kl.update(0.0, 10) == pytest.approx(0.102 * 0.98)
+
+
+def test_openai_messages(spark):
+    kind = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
+    rows = [(1, [("system", "s", None), ("user", "q", None), ("assistant", None, [("f", "{}")]), ("tool", "1", None), ("tool", "2", None), ("assistant", "a", None)]), (2, [("assistant", "a", None), ("user", "q", None)]), (3, [])]
+    got = {r.id: r for r in C.openai(spark.createDataFrame(rows, f"id int, messages {kind}")).collect()}
+    assert [m.role for m in got[1]._prompt] == ["user", "function", "observation"] and got[1]._prompt[2].content == "1\n</tool_response>\n<tool_response>\n2" and got[1]._system == "s"
+    assert not got[2]._prompt and not got[3]._response
+
+
+def test_padding_and_overlap(spark):
+    df = spark.range(3)
+    assert relational.padded(df, ["id"], 8).count() == 8 and relational.padded(df, ["id"], 3).where("padding").count() == 0 and relational.padded(df.limit(0), ["id"], 4).count() == 0
+    assert [r.id for r in relational.disjoint(df, spark.range(2, 9), ["id"]).collect()] == [2]

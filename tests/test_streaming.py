@@ -81,6 +81,15 @@ def test_live_memory_is_replayed_memory(spark, tmp_path):
     assert sorted(map(tuple, live)) == sorted(map(tuple, batch)) and len(live) == 12
 
 
+def test_snapshots_see_the_prefix_only(spark):
+    ship(spark)
+    schema = "video_id long, step_index long, step_start double, step_end double, events " + tagged.EVENT + ", question string, answer string"
+    rows = [(1, i, 5.0 * i, 5.0 * i + 5, [("bridge", 5.0 * i, 5.0 * i + 5, f"part {i}")], None, "") for i in range(4)]
+    queries = spark.createDataFrame([(1, "early", 1.0), (1, "mid", 10.0), (1, "late", 99.0), (2, "other", 3.0)], "video_id long, query_id string, at double")
+    got = {r.query_id: r.memory for r in memory.snapshots(spark.createDataFrame(rows, schema), queries).collect()}
+    assert got["early"] == got["other"] == "" and "part 1" in got["mid"] and "part 2" not in got["mid"] and "part 3" in got["late"]
+
+
 def test_streamed_windows_are_batch_windows(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
