@@ -7,14 +7,14 @@ import numpy as np
 SYLLABLES = [c + v for c in ("b", "d", "f", "k", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "sh", "") for v in ("a", "e", "i", "o", "u", "an", "er", "on", "é", "ü")]
 #: Attribute words of containers, by what they hold.
 NAMES = {
-    "article": ["content", "post", "article", "entry", "story", "main", "body", "text", "page", ""],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"],
-    "aside": ["sidebar", "aside", "related", "widget", "popular", "trending", "recommended", "tags"],
-    "notice": ["notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "subscribe", "paywall"],
-    "comments": ["comments", "comment", "discussion", "replies", "respond", "disqus", "thread"],
-    "share": ["share", "social", "byline", "meta", "breadcrumb", "breadcrumbs", "pagination", "author", "toolbar"],
-    "footer": ["footer", "copyright", "legal", "bottom"],
-    "header": ["header", "masthead", "top", "branding", "logo", "menu", "nav", "navbar"],
+    "article": "content post article entry story main body text page primary center blog news prose copy single".split() + [""],
+    "ad": "ad ads advert advertisement advertising adbox adsense sponsored sponsor promo promotion banner outbrain taboola native-ad ad-slot".split(),
+    "aside": "sidebar aside related widget popular trending recommended tags rail right-rail left-col complementary teaser more-stories see-also links toc".split(),
+    "notice": "notice cookie cookies consent gdpr alert popup modal newsletter subscribe signup paywall dialog toast sticky disclaimer announcement hint overlay".split(),
+    "comments": "comments comment discussion replies reply respond responses disqus thread reader-comments cmt feedback reviews user-comments commentlist".split(),
+    "share": "share social byline meta breadcrumb breadcrumbs pagination pager author-box toolbar tools print rating dateline caption-bar".split(),
+    "footer": "footer copyright legal bottom foot colophon contentinfo site-info".split(),
+    "header": "header masthead top branding logo menu nav navbar navigation site-head topbar skip-link search-bar".split(),
 }
 CUES = {
     "ad": ["Advertisement", "Sponsored", "Buy now", "Special offer"],
