@@ -83,3 +83,40 @@ def token_baseline(df: DataFrame, key: str, group: str, rewards: str, weights: s
     g = Window.partitionBy(group, "place")
     base = F.when(F.count("*").over(g) > 1, F.sum(F.col("to_go") * F.col("running")).over(g) / (F.sum("running").over(g) + 1e-8)).otherwise(0.0)
     return tokens.withColumn("advantage", F.col("to_go") - base).select(key, "place", "advantage")
+
+
+def aggregated_loss(df: DataFrame, losses: str, mask: str, mode: str, scale: float = 1.0) -> DataFrame:
+    """One loss of token losses: token-mean, seq-mean-token-sum, seq-mean-token-sum-norm (by scale) or seq-mean-token-mean; rows without tokens don't count."""
+    add = lambda a, v: a + v
+    total, n = F.aggregate(F.zip_with(losses, mask, lambda x, m: x * m), F.lit(0.0), add), F.aggregate(F.transform(mask, lambda m: m.cast("double")), F.lit(0.0), add)
+    rows = df.select(total.alias("s"), n.alias("n"), (n > 0).cast("double").alias("on"))
+    s, on = F.col("s"), F.col("on")
+    out = {"token-mean": F.sum("s") / F.sum("n"), "seq-mean-token-sum": F.sum(s * on) / F.sum(on), "seq-mean-token-sum-norm": F.sum("s") / F.lit(scale), "seq-mean-token-mean": F.sum(s / (F.col("n") + 1e-8) * on) / F.sum(on)}[mode]
+    return rows.agg(out.alias("loss"))
+
+
+def variance_proxy(df: DataFrame, advantage: str, weight: str, gradient_norm: float) -> DataFrame:
+    """Signal, total and noise: squared norm, mean of A**2 max(W, 0), and their difference over n - 1."""
+    total = F.avg(F.col(advantage) * F.col(advantage) * F.greatest(F.col(weight), F.lit(0.0)))
+    return df.agg(F.lit(gradient_norm**2).alias("signal"), total.alias("total"), F.greatest(F.lit(0.0), (total - gradient_norm**2) / (F.count("*") - 1)).alias("noise"))
+
+
+def perplexity(nll: Column, mask: Column) -> Column:
+    return F.exp(_mean(nll, mask))
+
+
+def map_sums(df: DataFrame, key: list[str], counts: str) -> DataFrame:
+    """Maps of counts added up for each key."""
+    rows = df.select(*key, F.explode(counts).alias("_k", "_v")).groupBy(*key, "_k").agg(F.sum("_v").alias("_v"))
+    return rows.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(counts))
+
+
+def call_savings(df: DataFrame, group: list[str], size: str) -> DataFrame:
+    """Calls made (one a group), questions they answered, and the share of calls saved."""
+    first = df.groupBy(*group).agg(F.max(size).alias("n"))
+    return first.agg(F.count("*").alias("calls"), F.sum("n").alias("questions"), (1 - F.count("*") / F.sum("n")).alias("saved"))
+
+
+def cleaning_decision(rate: Column, scored: Column, errors: Column) -> Column:
+    """What to do with a sample after repeated runs: retry, drop_easy, keep, or check (never passed)."""
+    return F.when(scored == 0, "retry").when(errors * 2 > scored, "retry").when(rate >= 1, "drop_easy").when(rate > 0, "keep").otherwise("check")

@@ -121,3 +121,28 @@ def curriculum(df: DataFrame, rate: str, rescued: str, sft_share: float, seed: s
     sft = F.col("_pool") & (F.col("_r") <= F.bround(F.col("_n") * sft_share))
     target = F.when(F.col(rate).isNull(), F.array(F.lit("unscored"))).when(F.col(rate) >= 1, F.array(F.lit("drop"))).when(F.col("_pool"), F.array(F.when(sft, "sft").otherwise("rl"))).when(F.col(rescued), F.array(F.lit("sft"), F.lit("rl"))).otherwise(F.array(F.lit("unsolved")))
     return rows.select(*df.columns, F.explode(target).alias("target"))
+
+
+def weighted_copies(df: DataFrame, size: int, weights: dict[str, float], source: str, seed: str, key: list[str]) -> DataFrame:
+    """About size * weight rows of each source: whole copies, and a seeded part of one more (copy: which)."""
+    total = sum(weights.values())
+    n = F.count("*").over(Window.partitionBy(source))
+    want = F.coalesce(_lookup(F.col(source), {k: float(size * w / total) for k, w in weights.items()}), F.lit(0.0))
+    rows = df.where(F.col(source).isin(list(weights))).withColumn("_n", n).withColumn("_w", want)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(draw(seed, *key), *key)))
+    times = F.floor(F.col("_w") / F.col("_n")) + F.when(F.col("_r") <= F.floor(F.col("_w") - F.floor(F.col("_w") / F.col("_n")) * F.col("_n")), 1).otherwise(0)
+    return rows.withColumn("_t", times.cast("int")).where("_t > 0").select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("copy"))
+
+
+def rounds(parts: list[DataFrame], names: list[str], seed: str, key: list[str]) -> DataFrame:
+    """All parts interleaved until the longest ends, shorter ones starting over (round, source)."""
+    sizes = [p.count() for p in parts]
+    most, out = max(sizes), None
+    for i, (p, n, name) in enumerate(zip(parts, sizes, names, strict=True)):
+        if not n:
+            continue
+        rows = p.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(draw(seed, *key), *key)) - 1)
+        rows = rows.select("*", F.explode(F.sequence(F.col("_r"), F.lit(most - 1), F.lit(n))).alias("round")).where(F.col("round") < most).withColumn("source", F.lit(name)) if n < most else rows.withColumn("round", F.col("_r")).withColumn("source", F.lit(name))
+        rows = rows.drop("_r")
+        out = rows if out is None else out.unionByName(rows)
+    return out
