@@ -24,11 +24,13 @@ def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, key: list[str], value: str, shares: list[float]) -> DataFrame:
-    """The values at rank int(share * (n - 1)) of each key, exactly, by ranking instead of gathering."""
-    n, r = F.count("*").over(Window.partitionBy(*key)), F.row_number().over(Window.partitionBy(*key).orderBy(value)) - 1
-    rows = df.where(F.col(value).isNotNull()).select(*key, value, n.alias("_n"), r.alias("_r"))
-    at = [F.max(F.when(F.col("_r") == F.floor(F.lit(s) * (F.col("_n") - 1)), F.col(value))).alias(f"p{int(100 * s)}") for s in shares]
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), *at)
+    """The values at rank int(share * (n - 1)) of each key, exactly, from counts of distinct values instead of gathered rows."""
+    w = Window.partitionBy(*key)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
+    rows = counts.select(*key, value, F.sum("_c").over(w).alias("_n"), F.sum("_c").over(w.orderBy(value)).alias("_to"), "_c")
+    place = lambda s: F.floor(F.lit(s) * (F.col("_n") - 1))
+    at = [F.max(F.when((F.col("_to") > place(s)) & (F.col("_to") - F.col("_c") <= place(s)), F.col(value))).alias(f"p{int(100 * s)}") for s in shares]
+    return rows.groupBy(*key).agg(F.max("_n").alias("n"), *at)
 
 
 def runs(df: DataFrame, key: list[str], score: str, error: str, rates: list[str]) -> DataFrame:

@@ -94,18 +94,6 @@ def smoothed(values: Column, weight: float) -> Column:
     return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) == 0, v).otherwise(F.element_at(acc, -1) * weight + v * (1 - weight)))))
 
 
-def stratum_assignment(df: DataFrame, strata: list[str], order: list, shares: dict[str, float], name: str = "split") -> DataFrame:
-    """Deals each stratum's rows, in order, to the names by the rank's midpoint and cumulative shares."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    at = (F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 0.5) / n
-    total, out, so_far = sum(shares.values()), None, 0.0
-    *most, last = shares
-    for k in most:
-        so_far += shares[k] / total
-        out = F.when(at <= so_far, k) if out is None else out.when(at <= so_far, k)
-    return df.withColumn(name, F.lit(last) if out is None else out.otherwise(last))
-
-
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:
     """Each left row with the values of the key's latest right row at or before it (strict: before it).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
 
 def pending(samples: DataFrame, completed: DataFrame, key: list[str], expected: int = 1) -> DataFrame:
     """Samples whose key isn't completed `expected` times."""
@@ -77,8 +79,11 @@ def interleaved(parts: list[DataFrame], orders: list[list[str]], until: str = "a
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Numbers rows from 0 in a global order: range partitions are counted, then numbered side by side."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Numbers rows from 0 in a global order: range partitions are counted, then numbered side by side.
+
+    The partitions are settled first, since range bounds come from samples that may differ between two runs.
+    """
+    parts = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = parts.groupBy("_p").agg(F.max("_n").alias("_s"))
     before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

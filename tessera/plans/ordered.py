@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rounding as R
 from tessera.operators import ordered as O
+from tessera.operators import sampling as P
 from tessera.registry import Tables, query, seconds
 
 E = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch(ts) AS s FROM events)"
@@ -138,7 +139,7 @@ WITH r AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY m
 SELECT doc_id, CASE WHEN p <= 0.8 THEN 'train' WHEN p <= 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM r
 """)
 def split_by_midpoint_rank(t: Tables) -> DataFrame:
-    rows = O.stratum_assignment(t.documents.select("doc_id", "lang"), ["lang"], [F.md5(F.concat(F.lit("s:"), F.col("doc_id").cast("string"))), "doc_id"], {"train": 0.8, "val": 0.1, "test": 0.1})
+    rows = P.stratum_assignment(t.documents.select("doc_id", "lang"), ["lang"], "s", ["doc_id"], {"train": 0.8, "val": 0.1, "test": 0.1})
     return rows.select("doc_id", "split")
 
 

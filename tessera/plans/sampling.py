@@ -76,13 +76,12 @@ def validation_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT s_suppkey, greatest(s_acctbal, 0.0) AS w, sum(greatest(s_acctbal, 0.0)) OVER (ORDER BY s_suppkey) AS hi, sum(greatest(s_acctbal, 0.0)) OVER () AS total FROM supplier), d AS (
-  SELECT i, (('0x' || md5('i:draw:' || i)[1:12])::BIGINT + 0.5) / 281474976710656.0 AS u FROM (SELECT unnest(range(0, 60)) AS i))
-SELECT s_suppkey, i::INTEGER AS draw FROM c JOIN d ON u * total > hi - w AND u * total <= hi WHERE w > 0
+WITH c AS (SELECT s_suppkey, s_acctbal AS w, sum(s_acctbal) OVER (ORDER BY md5('i:' || s_suppkey), s_suppkey) AS hi, sum(s_acctbal) OVER () AS total FROM supplier WHERE s_acctbal > 0), u AS (
+  SELECT *, ('0x' || md5('i:start')[1:12])::BIGINT / 281474976710656.0::DOUBLE AS u FROM c)
+SELECT s_suppkey, unnest(range(0, (ceil(hi * 60 / total - u) - ceil((hi - w) * 60 / total - u))::BIGINT))::INTEGER AS copy FROM u
 """)
 def importance_resample(t: Tables) -> DataFrame:
-    rows = t.supplier.select("s_suppkey", F.greatest("s_acctbal", F.lit(0.0)).alias("w"))
-    return S.importance_resampled(rows, "w", 60, "i", ["s_suppkey"]).select("s_suppkey", "draw")
+    return S.importance_resampled(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", 60, "i", ["s_suppkey"]).select("s_suppkey", "copy")
 
 
 @query("""
