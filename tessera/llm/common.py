@@ -42,14 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of executors."""
+    """df as a table in the shared folder: cuts the lineage and survives the loss of executors. sweep() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that operators of this process wrote; call it when their results are stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """The key and the text (null: empty) of df, whatever else it has."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -143,3 +143,15 @@ def test_pipeline_against_brute_force(spark, small):
 def test_every_query_runs(spark, small):
     for name in ("op2_sentencepiece", "op6_license_scan", "op5_exact_top_k"):
         assert QUERIES[name](spark, small).count() >= 0
+
+
+def test_sweep_deletes_intermediate_tables(spark, tmp_path):
+    from tessera.llm import common
+
+    common.sweep(spark)
+    df = common.written(spark.range(3).toDF("x"), "test")
+    path = common._written[-1]
+    assert df.count() == 3
+    common.sweep(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and not common._written
