@@ -3,7 +3,8 @@
 Fingerprints within `bits` differing bits share one of bits + 1 blocks. Each distinct fingerprint is rotated so that
 every block leads once; those with one leading block form the trie below that block, where node pairs are traversed
 together, differing bits add up, and a pair is pruned once they exceed the budget, or when both
-nodes are already in one group. A bucket returns a spanning forest and not its pairs.
+nodes are already in one group. A bucket returns a spanning forest and not its pairs. Crowded buckets are split by a second
+block of what is left.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle are one shingle;
 equal texts and repeated rows share a fingerprint; rows without a doc_id count for links only (a group of such rows alone has no component_id); an empty table gives an empty result; other columns are ignored.
@@ -26,6 +27,8 @@ from tessera.llm.components import components
 SHINGLES = 1 << 15
 #: Node pairs that are expanded at once, and rows of whole buckets that are joined at once.
 PAIRS, ROWS = 1 << 18, 1 << 16
+#: A bucket of more distinct fingerprints is split further.
+CROWDED = 1 << 18
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -143,6 +146,22 @@ def _links(bits: int, width: int):
     return run
 
 
+def _joined(rows: DataFrame, bits: int, width: int) -> DataFrame:
+    dealt = rows.repartition("block", "top").sortWithinPartitions("block", "top")
+    return dealt.select("print", "block", "value").mapInArrow(_links(bits, width), "u long, v long")
+
+
+def _split(rows: DataFrame, bits: int, width: int) -> DataFrame:
+    """Rows of crowded buckets in narrower ones: what is left of the fingerprint has bits + 1 blocks again, one of which is shared too."""
+    left = 64 - width
+    part = left // (bits + 1)
+    mask = (1 << left) - 1
+    low = F.col("value").bitwiseAND(F.lit(mask))
+    turned = lambda j: F.call_function("shiftleft", low, j * part).bitwiseOR(F.when(j == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", low, left - j * part))).bitwiseAND(F.lit(mask))
+    each = F.explode(F.transform(F.array(*map(F.lit, range(bits + 1))), lambda j: F.struct((F.col("block") * (bits + 1) + j).alias("block"), F.call_function("shiftleft", F.col("top"), F.lit(left)).bitwiseOR(turned(j)).alias("value"))))
+    return rows.select("print", each.alias("x")).select("print", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width - part)))
+
+
 def near_groups(prints: DataFrame, bits: int = 3) -> DataFrame:
     """(doc_id, print, component_id) from (doc_id, print); component_id: the smallest doc_id reachable over links."""
     width = 64 // (bits + 1)
@@ -152,7 +171,8 @@ def near_groups(prints: DataFrame, bits: int = 3) -> DataFrame:
         i.alias("block"), F.call_function("shiftleft", F.col("print"), i * width).bitwiseOR(
             F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("print"), 64 - i * width))).alias("value"))))
     rotated = distinct.select("print", blocks.alias("x")).select("print", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width)))
-    links = rotated.repartition("block", "top").sortWithinPartitions("block", "top").select("print", "block", "value").mapInArrow(_links(bits, width), "u long, v long")
+    crowded = rotated.groupBy("block", "top").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("block", "top")
+    links = _joined(rotated.join(crowded, ["block", "top"], "left_anti"), bits, width).unionAll(_joined(_split(rotated.join(crowded, ["block", "top"]), bits, width), bits, width + (64 - width) // (bits + 1)))
     groups = components(links).withColumnRenamed("node", "print")
     joined = distinct.join(groups, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

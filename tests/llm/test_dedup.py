@@ -74,7 +74,9 @@ def test_simhash(spark, odd_docs, odd_rows):
     assert all(r.component_id == least[r.fingerprint] for r in got)
 
 
-def test_trie_links_all_near_pairs(spark):
+@pytest.mark.parametrize("crowded", [20, 1 << 18])
+def test_trie_links_all_near_pairs(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     values = {int(s) for s in seeds}
