@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import tools as X
 from tessera.operators import acceptance as Q
 from tessera.operators import advantages as A
 from tessera.operators import grouping as G
@@ -157,3 +158,15 @@ SELECT s_suppkey, p::BIGINT AS position, false AS padding FROM s UNION ALL SELEC
 """)
 def padded_to_multiple(t: Tables) -> DataFrame:
     return J.padded(t.supplier.select("s_suppkey"), ["s_suppkey"], 7)
+
+
+@query("""
+SELECT p_partkey, 'Action: find' || chr(10) || 'Action Input: {"size":' || p_size || '}' || chr(10) || 'Action: show' || chr(10) || 'Action Input: {"id":' || p_partkey || '}' AS text, 2::BIGINT AS n FROM part
+""")
+def tool_calls_round_trip(t: Tables) -> DataFrame:
+    call = lambda name, key, c: F.struct(F.lit(name).alias("name"), F.concat(F.lit(f'{{"{key}":'), c.cast("string"), F.lit("}")).alias("arguments"))
+    calls = F.array(call("find", "size", F.col("p_size")), call("show", "id", F.col("p_partkey")))
+    rows = t.part.select("p_partkey", calls.alias("calls"))
+    same = [F.coalesce(X.read(X.written(F.col("calls"), d), d) == F.col("calls"), F.lit(False)) for d in X.DIALECTS]
+    n = F.size(F.filter(F.array(*same), lambda x: ~x))
+    return rows.select("p_partkey", X.written(F.col("calls")).alias("text"), (F.size("calls") - n).cast("long").alias("n"))

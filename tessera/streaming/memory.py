@@ -14,8 +14,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.streaming.tagged import Step, repaired
 
-#: Which events each reading policy shows: notes, bridges, and how many of the latest (0: all).
-POLICIES: dict[str, tuple[bool, bool, int]] = {"full": (True, True, 0), "anchor_only": (True, False, 0), "delta_only": (False, True, 0), "recent": (True, True, 4), "none": (False, False, 0)}
+@dataclass(frozen=True)
+class Policy:
+    """What is shown of the memory, whether bridges go on from step to step, whether steps are kept at all, and how many recent frames are shown instead."""
+
+    notes: bool = True
+    bridges: bool = True
+    tail: bool = True
+    keeps: bool = True
+    frames: int = 0
+
+
+POLICIES = {"full": Policy(), "anchor_only": Policy(bridges=False, tail=False), "delta_only": Policy(notes=False), "recent": Policy(False, False, False, True, 5), "none": Policy(False, False, False)}
 WINDOW = 120.0
 
 
@@ -37,8 +47,9 @@ class Memory:
         last = max(self.records, key=lambda r: (r[2], r[0] == "note"), default=None)
         return (last[1], last[2], last[3]) if last and last[0] == "bridge" else None
 
-    def commit(self, events: list[tuple[str, float, float, str]], answer: str, now: float) -> None:
-        old = self.tail()
+    def commit(self, events: list[tuple[str, float, float, str]], answer: str, now: float, goes_on: bool = True) -> None:
+        """Adds a step's events; where bridges go on, the first one takes the open tail's place."""
+        old = self.tail() if goes_on else None
         bridges = [e for e in events if e[0] == "bridge"]
         if old and bridges and abs(bridges[0][1] - old[0]) <= 0.11:
             last = max((r for r in self.records if r[0] == "bridge"), key=lambda r: r[2])
@@ -49,9 +60,8 @@ class Memory:
             self.questions.append((now, "a", answer.strip()))
 
     def shown(self, policy: str = "full") -> str:
-        notes, bridges, latest = POLICIES[policy]
-        found = sorted((r for r in self.records if (notes if r[0] == "note" else bridges)), key=lambda r: (r[1], r[0] == "note"))
-        found = found[-latest:] if latest else found
+        p = POLICIES[policy]
+        found = sorted((r for r in self.records if (p.notes if r[0] == "note" else p.bridges)), key=lambda r: (r[1], r[0] == "note"))
         return "\n".join(f'<delta t="{a:.1f}-{b:.1f}">{text}</delta>' if kind == "bridge" else f'<anchor t="{a:.1f}-{b:.1f}">{"" if not seen else "[image]"}</anchor>' for kind, a, b, text, seen in found)
 
     def dialogue(self) -> str:
@@ -67,8 +77,9 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
         memory.questions.append((step_start, "q", question))
     memory.evict(step_end)
     frames = [(float(x), float(x) + 1) for x in range(int(step_start), int(step_end))]
-    fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail(), not memory.records))
-    memory.commit(fixed, answer or "", step_end)
+    p = POLICIES[policy]
+    fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.records))
+    memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
     tail, notes = memory.tail(), [r for r in memory.records if r[0] == "note"]
     return {"n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None, "n_repairs": len(done), "memory": memory.shown(policy)}
 

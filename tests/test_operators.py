@@ -197,3 +197,15 @@ def test_padding_and_overlap(spark):
     df = spark.range(3)
     assert relational.padded(df, ["id"], 8).count() == 8 and relational.padded(df, ["id"], 3).where("padding").count() == 0 and relational.padded(df.limit(0), ["id"], 4).count() == 0
     assert [r.id for r in relational.disjoint(df, spark.range(2, 9), ["id"]).collect()] == [2]
+
+
+def test_tool_dialects(spark):
+    from tessera.functions import tools as X
+
+    calls = F.array(F.struct(F.lit("f").alias("name"), F.lit('{"a":1}').alias("arguments")), F.struct(F.lit("g_2").alias("name"), F.lit('{"b":[1,2]}').alias("arguments")))
+    for d in X.DIALECTS:
+        assert [tuple(c) for c in one(spark, X.read(X.written(calls, d), d))] == [("f", '{"a":1}'), ("g_2", '{"b":[1,2]}')], d
+        assert one(spark, X.read(F.lit("just text"), d)) is None
+    assert one(spark, X.read(F.lit("Action: f\nAction Input: {oops"), "action")) is None
+    ok = "<think>x</think>\n<tool_call>\n{}\n</tool_call>"
+    assert one(spark, X.format_reward(F.lit(ok), F.lit(True), F.lit(False))) == 1 and one(spark, X.format_reward(F.lit(ok), F.lit(False), F.lit(True))) == 0

@@ -65,7 +65,9 @@ def test_memory_by_hand():
     b = memory.advance(m, 5, 10, [("bridge", 1.0, 10.0, "y")], None, "yes", "full")
     assert (a["n_notes"], a["n_bridges"], a["tail_start"]) == (1, 1, 1.0)
     assert (b["n_bridges"], b["n_seen"], b["tail_start"]) == (1, 0, 1.0) and m.dialogue().endswith('role="a">yes</qa>')
-    assert "[image]" not in m.shown() and m.shown("delta_only") == '<delta t="1.0-10.0">y</delta>' and m.shown("none") == ""
+    assert "[image]" not in m.shown() and m.shown("delta_only") == '<delta t="1.0-10.0">y</delta>' and m.shown("none") == m.shown("recent") == ""
+    n = memory.Memory()
+    assert memory.advance(n, 0, 5, [], None, "", "none")["n_notes"] == 1 and n.shown("none") == ""
 
 
 def test_live_memory_is_replayed_memory(spark, tmp_path):
