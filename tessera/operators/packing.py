@@ -91,3 +91,24 @@ def small_at_both_ends(costs: list[int]) -> list[int]:
     """Order of micro-batches: cheapest at the start and the end, dearest in the middle."""
     order = sorted(range(len(costs)), key=lambda i: (costs[i], i))
     return order[::2] + order[1::2][::-1]
+
+
+def balanced_groups(df: DataFrame, key: str, group: str, length: str, batch: Column, k: int) -> DataFrame:
+    """As balanced(), by workload, with all rows of a group in one part and as many groups in each part."""
+    costs = df.groupBy(batch.cast("long").alias("batch"), group).agg(F.sum(workload(F.col(length))).cast("long").alias("cost"))
+    kind = df.schema[group].dataType.simpleString()
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(group, kind="stable").reset_index(drop=True)
+        parts = karmarkar_karp(pdf.cost.tolist(), k, equal=len(pdf) % k == 0)
+        return pd.DataFrame([(pdf.batch[0], pdf[group][i], p) for p, items in enumerate(parts) for i in items], columns=["batch", group, "part"])
+
+    dealt = costs.groupBy("batch").applyInPandas(one, f"batch long, {group} {kind}, part int")
+    return df.withColumn("batch", batch.cast("long")).join(dealt, ["batch", group]).select("batch", group, key, "part")
+
+
+def padded_batch(ids: Column, most: int, pad: int, left: bool = False) -> Column:
+    """An array of ids cut and padded to one length."""
+    cut = F.slice(ids, 1, most)
+    fill = F.array_repeat(F.lit(pad), F.lit(most) - F.size(cut))
+    return F.concat(fill, cut) if left else F.concat(cut, fill)

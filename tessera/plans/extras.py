@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import grouping as G
 from tessera.operators import metrics as M
 from tessera.operators import ordered as O
+from tessera.operators import policy_losses as L
 from tessera.operators import sampling as S
 from tessera.registry import Tables, query
 from tessera.sources import readers
@@ -117,3 +118,42 @@ SELECT user_id, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kin
 def streams_of_two_kinds(t: Tables) -> DataFrame:
     rows = O.running_number(t.events.where("event_type in ('view', 'click')"), ["user_id"], ["ts", "event_id"])
     return rows.groupBy("user_id").agg((F.max("number") + 1).cast("long").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+TOKENS = "WITH p AS (SELECT vec_id, i - 1 AS place, -abs(embedding[i]::DOUBLE) AS new, -abs(embedding[i + 16]::DOUBLE) AS old, embedding[i + 32]::DOUBLE AS adv FROM embeddings, (SELECT unnest(range(1, 17)) AS i) WHERE i <= 8 + vec_id % 9), t AS (SELECT *, exp(new - old) AS ratio FROM p)"
+
+
+def token_rows(t: Tables) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    mask = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (i <= 8 + F.col("vec_id") % 9).cast("int"))
+    rows = t.embeddings.select("vec_id", F.transform(F.slice(v, 1, 16), lambda x: -F.abs(x)).alias("a"), F.transform(F.slice(v, 17, 16), lambda x: -F.abs(x)).alias("b"), F.slice(v, 33, 16).alias("d"), mask.alias("m"))
+    return L.tokens(rows, "vec_id", "a", "b", "d", "m")
+
+
+@query(TOKENS + """
+, r AS (SELECT vec_id, avg(-adv * 4.0 / tau / (1 + exp(-tau * (ratio - 1)))) AS s FROM (SELECT *, CASE WHEN adv > 0 THEN 1.0 ELSE 1.05 END::DOUBLE AS tau FROM t) GROUP BY vec_id)
+SELECT 'soft_gate' AS name, round(avg(s), 6) AS loss FROM r UNION ALL
+SELECT 'trust_by_probability', round(avg(CASE WHEN CASE WHEN adv > 0 THEN exp(new) - exp(old) <= 0.05 ELSE exp(new) - exp(old) >= -0.04 END THEN -adv * least(ratio, 20) * new ELSE 0 END), 6) FROM t
+""")
+def gated_policy_losses(t: Tables) -> DataFrame:
+    rows = token_rows(t)
+    a = L.total(rows, L.LOSSES["soft_gate"](1.0, 1.05), "vec_id", "row-mean").select(F.lit("soft_gate").alias("name"), F.round("loss", 6).alias("loss"))
+    b = L.total(rows, L.LOSSES["trust_by_probability"](0.04, 0.05), "vec_id").select(F.lit("trust_by_probability").alias("name"), F.round("loss", 6).alias("loss"))
+    return a.unionAll(b)
+
+
+@query(TOKENS + """
+, c AS (SELECT *, (adv - avg(adv) OVER ()) * (new - avg(new) OVER ()) AS cov, count(*) OVER () AS n FROM t), k AS (SELECT *, row_number() OVER (ORDER BY cov DESC, vec_id, place) AS r FROM c)
+SELECT round(avg(-adv * ratio + CASE WHEN r <= greatest(1, floor(0.01 * n)) THEN 0.5 * abs(new - old) ELSE 0 END), 6) AS loss FROM k
+""")
+def covariance_held_loss(t: Tables) -> DataFrame:
+    return L.total(L.held_by_covariance(token_rows(t), 0.01, 0.5, "vec_id"), "loss", "vec_id").select(F.round("loss", 6).alias("loss"))
+
+
+@query(TOKENS + """
+, c AS (SELECT *, (adv - avg(adv) OVER ()) * (new - avg(new) OVER ()) AS cov, count(*) OVER () AS n, -adv * ratio AS plain, -adv * least(greatest(ratio, 0.8), 1.28) AS clipped FROM t), k AS (
+  SELECT *, cov > 0.005 AND cov < 0.05 AND NOT clipped > plain AS pick FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY md5('v:' || vec_id || ':' || place)) AS i FROM k)
+SELECT round(avg(CASE WHEN pick AND i <= greatest(1, floor(0.02 * n)) THEN 0 ELSE greatest(plain, clipped) END), 6) AS loss FROM r
+""")
+def covariance_clipped_loss(t: Tables) -> DataFrame:
+    return L.total(L.clipped_by_covariance(token_rows(t), 0.2, 0.28, (0.005, 0.05), 0.02, "v", "vec_id"), "loss", "vec_id").select(F.round("loss", 6).alias("loss"))

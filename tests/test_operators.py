@@ -209,3 +209,14 @@ def test_tool_dialects(spark):
     assert one(spark, X.read(F.lit("Action: f\nAction Input: {oops"), "action")) is None
     ok = "<think>x</think>\n<tool_call>\n{}\n</tool_call>"
     assert one(spark, X.format_reward(F.lit(ok), F.lit(True), F.lit(False))) == 1 and one(spark, X.format_reward(F.lit(ok), F.lit(False), F.lit(True))) == 0
+
+
+def test_balanced_groups_keep_groups_together(spark):
+    from tessera.shipping import ship
+
+    ship(spark)
+    df = spark.range(240).select(F.col("id"), F.floor(F.col("id") / 5).alias("g"), (F.col("id") % 37 + 1).alias("n"))
+    got = packing.balanced_groups(df, "id", "g", "n", F.lit(0), 8).collect()
+    assert len(got) == 240 and {len({r.part for r in got if r.g == g}) for g in range(48)} == {1}
+    assert {sum(r.part == p for r in got) for p in range(8)} == {30}
+    assert one(spark, packing.padded_batch(F.array(F.lit(1), F.lit(2)), 4, 0)) == [1, 2, 0, 0] and one(spark, packing.padded_batch(F.array(F.lit(1), F.lit(2), F.lit(3)), 2, 0, True)) == [1, 2]
