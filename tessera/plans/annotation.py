@@ -24,6 +24,7 @@ def videos(t: Tables) -> DataFrame:
     """Videos with nested query events; a query's options are its answers' ground truths and its id."""
     lines = t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", (F.col("l_quantity") * F.col("l_linenumber") * 0.8).alias("time"))
     answer = F.struct(F.col("time"), F.col("l_linestatus").alias("gt"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    lines = lines.repartition("l_orderkey")  # one exchange serves both groupings and the join
     queries = lines.groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(answer).alias("answer_events"), F.min("time").alias("time"))
     event = F.struct(F.col("l_returnflag").alias("qid"), F.greatest(F.lit(0.0), F.col("time") - 10.0).alias("time"), F.array(F.col("l_returnflag"), F.lit("B. none")).alias("options"), F.array_sort("answer_events").alias("answer_events"))
     events = queries.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(event)).alias("query_events"))
