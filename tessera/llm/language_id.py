@@ -284,7 +284,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 def predict(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rest, lang_pred, score) of every text; rest: the whole row as a struct."""
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("rest"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
     kind = texts.schema["rest"].dataType.simpleString()
     return texts.mapInArrow(_predict(sent), f"doc_id long, rest {kind}, lang_pred string, score double")
 
