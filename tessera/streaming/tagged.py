@@ -243,3 +243,21 @@ def with_quality(df: DataFrame, text_only: bool = False) -> DataFrame:
         return pd.DataFrame(rows, columns=["format_reward", "timing_reward", "order_reward", "tail_reward", "valid", "issues"])
 
     return df.withColumn("quality", quality("events", "issues", "step_start", "step_end"))
+
+
+#: What to tell a model whose step had an issue; codes without a hint are named.
+HINTS = {
+    "text_outside_tags": "Write nothing outside the tags.", "no_tags": "Answer with the tags only.", "tag_parse_error": 'Give every interval as t="start-end" with start before end.',
+    "anchor_tag_format": "Close anchors with their own end tag.", "state_count": "Write exactly one <state>.", "state_empty": "Say something in <state>.", "state_contains_xml": "Write no tags inside <state>.",
+    "answer_count": "Write exactly one <answer>.", "missing_observation": "Write at least one <anchor> or <delta>.", "tag_order": "Begin with <state>, then <answer>, then the observations.",
+    "note_time_unmatched": "Take anchor times from the given frames.", "note_time_ambiguous": "An anchor must fit one frame only.", "empty_bridge": "Describe the interval in every <delta>.",
+    "open_tail_start_mismatch": "Begin the first <delta> where the open one begins.", "missing_open_tail_bridge": "Begin with a <delta> that goes on from the open one.", "open_tail_end_oob": "End the first <delta> within this step.",
+    "bridge_time_oob": "Keep every <delta> within this step.", "event_overlap": "Put events in order of time, without overlaps.", "missing_initial_anchor": "Begin with an <anchor> on the first frame.",
+    "missing_bridge_gap": "Cover every gap between anchors with one <delta>.", "duplicate_bridge_gap": "Cover each gap once.", "invalid_bridge_gap": "Match every <delta> to a gap between anchors.",
+}
+
+
+def feedback(issues: Column) -> Column:
+    """One line for each distinct issue, in order; empty without issues."""
+    hints = F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv))
+    return F.array_join(F.transform(F.array_distinct(issues), lambda c: F.concat(F.lit("- "), F.coalesce(F.get(F.filter(F.map_entries(hints), lambda e: e["key"] == c), F.lit(0))["value"], F.concat(F.lit("Mind: "), c)))), "\n")

@@ -28,3 +28,25 @@ def sessions(events: DataFrame, time: str, gap: str, keys: list[str], late: str
 def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Writes all that a stream has now to Parquet, and ends."""
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key: a queue that drops its oldest rows when it is full."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def in_step(df: DataFrame, version: str, now: int, most: int) -> DataFrame:
+    """Rows made at most `most` versions ago; older ones are stale."""
+    return df.where(F.lit(now) - F.col(version) <= most)
+
+
+def buffer_shuffled(df: DataFrame, order: list[str], size: int, seed: str) -> DataFrame:
+    """Adds place: rows shuffled within buffers of `size` in order, as a stream's shuffle buffer does."""
+    from tessera.operators.relational import with_position
+
+    rows = with_position(df, order)
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("position").cast("string")))
+    return rows.withColumn("place", F.struct(F.floor(F.col("position") / size).alias("buffer"), draw.alias("draw"))).drop("position")

@@ -128,3 +128,13 @@ def test_readers_and_writers(spark, tmp_path):
     frames = spark.createDataFrame([("v", i) for i in (1, 2, 4)] + [("w", 1), ("w", 2)], "v string, i int")
     manifest = spark.createDataFrame([("v", 3), ("w", 2), ("x", 1)], "v string, n_frames int")
     assert {r.v: r.fault for r in readers.frame_gaps(frames, "v", "i", manifest, "n_frames").collect()} == {"v": "gap", "w": None, "x": "missing"}
+
+
+def test_feedback_queue_and_buffer(spark):
+    row = spark.range(1).select(tagged.feedback(F.array(F.lit("no_tags"), F.lit("no_tags"), F.lit("other"))).alias("x"), tagged.feedback(F.array().cast("array<string>")).alias("y")).first()
+    assert row.x == "- Answer with the tags only.\n- Mind: other" and row.y == ""
+    df = spark.range(10).withColumn("k", F.col("id") % 2)
+    assert sorted(r.id for r in windows.latest(df, ["k"], ["id"], 2).collect()) == [6, 7, 8, 9]
+    assert windows.in_step(df, "id", 9, 3).count() == 4
+    out = windows.buffer_shuffled(df, ["id"], 4, "s").orderBy("place").collect()
+    assert [r.id // 4 for r in out] == [0] * 4 + [1] * 4 + [2] * 2 and [r.id for r in out] != list(range(10))
