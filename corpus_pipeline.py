@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, sentencepiece_codec, simhash, substring_dedup
+from tessera.llm import decontamination, jaccard, language_id, sentencepiece_codec, substring_dedup
 from tessera.llm.common import table, written
 
 #: A document stays if one language has at least this mean marginal.
@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (SimHash), the document with the smallest doc_id stays; rows that repeat a doc_id are one; rows without one stay."""
-    groups = simhash.near_groups(simhash.fingerprints(docs))
+    """Of near copies (Jaccard of 5-word shingles of 0.8 or more), the document with the smallest doc_id stays; rows that repeat a doc_id are one; rows without one stay."""
+    groups = jaccard.near_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id")
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return kept.unionAll(docs.where("doc_id is null"))

@@ -1,13 +1,16 @@
 """Dedup operators against brute force, with odd rows."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, spans, substring_dedup, suffix_dedup
+import corpus_pipeline
+from tessera.llm import jaccard, simhash, spans, substring_dedup, suffix_dedup
 from tessera.llm.components import components
+from tests.llm.conftest import prose
 
 
 def by_row(rows):
@@ -109,3 +112,18 @@ def test_empty_tables(no_docs):
     assert substring_dedup.digest(substring_dedup.substring_dedup(no_docs)).count() == 0
     assert suffix_dedup.digest(suffix_dedup.suffix_dedup(no_docs)).count() == 0
     assert simhash.digest(simhash.near_groups(simhash.fingerprints(no_docs))).select(F.col("component_id")).count() == 0
+
+
+def test_pipeline_stage_links_all_of_jaccard_four_fifths(spark, odd_rows):
+    rng = random.Random(8)
+    base = [prose(rng, rng.randrange(60, 110)).split() for _ in range(12)]
+    near = [[f"x{rng.randrange(99)}" if k in at else w for k, w in enumerate(b)] for b in base for at in (set(rng.sample(range(len(b)), n)) for n in (1, 1, 2, 3))]
+    texts = [t for i, t in odd_rows if i is not None] + [" ".join(w) for w in base + near] + [" ".join(base[0][:4]), "Four small words here", "four small WORDS here"]
+    rows = list(enumerate(texts))
+    want = jaccard.brute(rows)
+    simhash_ = simhash.brute(rows)
+    assert len({i for i in want if simhash_[i][1] == i and want[i] != i}) > 3  # three bits lose these
+    docs = spark.createDataFrame(rows + [(None, texts[7])], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.near_groups(docs).where("doc_id is not null").collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs.where("doc_id is not null"), "").collect()) == sorted(set(want.values()))
