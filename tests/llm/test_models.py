@@ -45,6 +45,16 @@ def test_lm_learns_and_empty_tables(spark, small, no_docs):
     assert all(abs(r.base_score) < 1e-6 and abs(r.score) < 1e-6 for r in none)
 
 
+def test_lm_learns_from_every_training_document(spark):
+    import pyarrow as pa
+
+    texts = [f"only{i} same words here" for i in range(40)]
+    model = lm_scoring.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    for text in texts:
+        t = lm_scoring.Tokens(*raw(pa.array([text])))
+        assert all(model.by_class[model.slots(f[1:2])].any() for f in model.features(t, 0, len(t.token))[:1]), text
+
+
 def test_lm_tokens_are_cut_and_lowered():
     import pyarrow as pa
 
