@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder if that is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a new folder on one machine (tests), an error on a cluster."""
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tessera-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
