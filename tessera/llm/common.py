@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
+from tessera.storage import shared_dir
 
-#: Rows in one Arrow batch; texts are long, so that batches stay at a few MB.
-BATCH_ROWS = "1000"
+#: Rows and bytes in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 #: Bytes of text that the vectorised helpers handle at once; a longer text is one chunk.
 CHUNK_BYTES = 1 << 17
 
@@ -24,41 +25,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on the executors, small Arrow batches for this session, and a checkpoint folder where none is set (tests)."""
+    """The package on the executors, Arrow batches of a few MB for this session, and the shared folder."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     shared_dir(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one if that is unset."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not set_to:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        set_to = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(set_to)
-    return set_to
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run meanwhile go as soon as each has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 _written: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of executors. sweep() deletes it."""
+    """df as a table in the shared folder: cuts the lineage and survives the loss of executors. sweep() or discard() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables that operators of this process wrote; call it when their results are stored."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that operators of this process wrote, from number `since` on; call it when their results are stored."""
+    while len(_written) > since:
+        _delete(spark, _written.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for df in tables:
+        if df._tessera_path in _written:
+            _written.remove(df._tessera_path)
+            _delete(df.sparkSession, df._tessera_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -138,6 +155,31 @@ class Stretches:
         return mixed((self.sums[end] - self.sums[start]) * down[start])
 
 
+SLICE_BYTES = 1 << 20
+
+
+def _slices(size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words of about SLICE_BYTES."""
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a random value for each byte at each place, so that no structure of a word cancels."""
+    size = ends - starts
+    total = int(size.sum())
+    if not total:
+        return np.zeros(len(starts), np.uint64)
+    if total > 2 * SLICE_BYTES and len(parts := _slices(size)) > 1:  # a very long text
+        return np.concatenate([word_hashes(data, starts[i:j], ends[i:j]) for i, j in parts])
+    first = np.cumsum(size) - size
+    place = np.arange(total) - np.repeat(first, size)
+    cells = data[np.repeat(starts, size) + place].astype(np.uint64)
+    sums = np.add.reduceat(mixed(cells + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(0x2545F4914F6CDD1D)), first)
+    return mixed(sums + size.astype(np.uint64))
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 

@@ -16,9 +16,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = sentencepiece_codec.send(spark)
-    return sentencepiece_codec.digest(sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sent), sent))
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepiece_codec.MODEL) -> DataFrame:
+    return sentencepiece_codec.digest(sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), sentencepiece_codec.send(spark, model)))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

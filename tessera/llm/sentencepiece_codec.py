@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
-A text is encoded as the pieces of the highest total score, ties to the longer last piece. The automaton reports, in one pass, every
-piece that ends at each place (its output links); each relaxes the best score there. A character that no
-piece reaches becomes its UTF-8 bytes. Pieces never hold another character before a word mark, so that the best
-pieces of a text are those of its words, which are cached. For a model of merges the scores are merge ranks,
-and this encoding may differ from the one that replays merges; decoding gives the text back exactly.
-
-Defined results: a null text is encoded as an empty one, which has no pieces; a word mark that stands in the text itself is encoded as bytes;
-equal texts and repeated rows get equal ids; an empty table gives an empty result; other columns are ignored.
+The automaton reports, in one pass, every piece that ends at each place (its output links); each relaxes the best way there.
+For a model of merges (BPE) a way is allowed if merging would leave each two neighbouring pieces of it apart: of all ways to a place
+exactly one is, which is what replaying the merges by score gives, so that ids equal those of the sentencepiece
+library. For a model of scores (unigram) the best way has the highest total, ties to the longer last piece. A character that no
+piece reaches becomes its UTF-8 bytes. Pieces never hold another character before a word mark, so that the pieces
+of a text are those of its words, which are cached. Decoding gives the text back exactly.
+
+Defined results: a null text is encoded as an empty one, which has no pieces; a word mark that stands in the text itself is encoded as bytes
+(the library would read it as a space); equal texts and repeated rows get equal ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import struct
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,34 +31,38 @@ from tessera.llm.common import prepare, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words kept in a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: Bytes of words and ids in a worker's cache, the longest word that is kept, and pairs of pieces that are kept.
+CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 12 << 20, 48, 200_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 256 << 10
 #: Below the least score, for a character in bytes.
 PENALTY = 10.0
 
 
 class Codec:
-    """pieces: (text, score) by id, text None for controls; first_byte: id of byte 0 of the 256 byte pieces."""
+    """pieces: (text, score) by id, text None for controls; first_byte: id of byte 0 of the 256 byte pieces; merges: whether scores rank merges."""
 
-    def __init__(self, pieces: list[tuple[str | None, float]], first_byte: int):
-        self.pieces, self.first_byte = pieces, first_byte
+    def __init__(self, pieces: list[tuple[str | None, float]], first_byte: int, merges: bool = False):
+        self.pieces, self.first_byte, self.merges = pieces, first_byte, merges
 
     @classmethod
     def load(cls, path: str = MODEL) -> Codec:
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         m = SentencePieceProcessor(model_file=path)
+        kind = sentencepiece_model_pb2.ModelProto.FromString(m.serialized_model_proto()).trainer_spec.model_type
         n = m.get_piece_size()
         special = [m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i) for i in range(n)]
-        return cls([(None if s else m.id_to_piece(i), m.get_score(i)) for i, s in enumerate(special)], m.piece_to_id("<0x00>"))
+        return cls([(None if s else m.id_to_piece(i), m.get_score(i)) for i, s in enumerate(special)], m.piece_to_id("<0x00>"), kind == 2)
 
     def ready(self) -> Codec:
-        """Builds the automaton; workers call it once."""
+        """Builds the automaton; workers that encode call it once."""
         if hasattr(self, "automaton"):
             return self
+        self.rank = {p: s for p, s in self.pieces if p}
         self.automaton = ahocorasick.Automaton()
         for i, (p, s) in enumerate(self.pieces):
-            if p:
+            if p and (not self.merges or self.merged(p) == [p]):  # a piece that merges never make is never found
                 self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
         self.floor = min(s for p, s in self.pieces if p) - PENALTY
@@ -64,53 +71,104 @@ class Codec:
         self.word = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known = {p for p, _ in self.pieces if p and len(p) == 1}
         self.cache: dict[str, bytes] = {}
-        raw = [b"" if p is None else p.replace(MARK, " ").encode() for p, _ in self.pieces]
-        for b in range(256):
-            raw[self.first_byte + b] = bytes([b])
-        self.size = np.array([len(x) for x in raw])
-        self.at = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.cached, self.pairs = 0, {}
+        return self
+
+    def table(self) -> Codec:
+        """What decoding needs: the bytes of every piece."""
+        if not hasattr(self, "size"):
+            raw = [b"" if p is None else p.replace(MARK, " ").encode() for p, _ in self.pieces]
+            for b in range(256):
+                raw[self.first_byte + b] = bytes([b])
+            self.size = np.array([len(x) for x in raw])
+            self.at = np.cumsum(self.size) - self.size
+            self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         return self
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "first_byte": self.first_byte}
+        return {"pieces": self.pieces, "first_byte": self.first_byte, "merges": self.merges}
 
     def _bytes(self, text: str) -> list[int]:
         return [self.first_byte + b for b in text.encode()]
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces that replaying merges leaves: always the neighbours whose union scores highest, the leftmost of equals."""
+        rank, parts = self.rank, list(text)
+        after = list(range(1, len(parts) + 1))
+        before = list(range(-1, len(parts) - 1))
+        todo = [(-rank[x + y], i, x + y) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in rank]
+        heapq.heapify(todo)
+        while todo:
+            _, i, union = heapq.heappop(todo)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or len(parts[i]) + len(parts[j]) != len(union) or parts[i] + parts[j] != union:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j] = union, ""
+            k = after[i] = after[j]
+            if k < len(parts):
+                before[k] = i
+                if union + parts[k] in rank:
+                    heapq.heappush(todo, (-rank[union + parts[k]], i, union + parts[k]))
+            h = before[i]
+            if h >= 0 and parts[h] + union in rank:
+                heapq.heappush(todo, (-rank[parts[h] + union], h, parts[h] + union))
+        return [p for p in parts if p]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging leaves these two pieces as they are when they are neighbours."""
+        key = left << 32 | right
+        found = self.pairs.get(key)
+        if found is None:
+            x, y = self.pieces[left][0], self.pieces[right][0]
+            found = self.merged(x + y) == [x, y]
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = found
+        return found
+
     def viterbi(self, word: str) -> list[int]:
-        if not self.known.issuperset(word):
-            return self._with_bytes(word)
-        n = len(word)
-        best: list[float] = [0.0] + [-math.inf] * n
-        back: list[tuple] = [()] * (n + 1)
-        for end, piece in self.automaton.iter(word):  # at one end, the longest first
-            score = best[end + 1 - piece[0]] + piece[1]
-            if score > best[end + 1]:
-                best[end + 1], back[end + 1] = score, piece
-        out: list[int] = []
-        while n:
-            piece = back[n]
-            out.append(piece[2])
-            n -= piece[0]
-        out.reverse()
-        return out
+        return self._by_merges(word) if self.merges else self._by_score(word)
+
+    def _by_merges(self, word: str) -> list[int]:
+        """back[e]: the last piece of the one allowed way to e: (length, id), id -1 for a character in bytes."""
+        n, apart, known = len(word), self.apart, self.known
+        back: list[tuple[int, int] | None] = [None] * (n + 1)
+        done = 0
 
-    def _with_bytes(self, word: str) -> list[int]:
-        """As viterbi(), where a character may be no piece."""
+        def unknown(until: int) -> None:
+            nonlocal done
+            while done < until:
+                done += 1
+                if word[done - 1] not in known:
+                    back[done] = 1, -1
+
+        for end, (length, _, i) in self.automaton.iter(word):
+            unknown(end)
+            start = end + 1 - length
+            if back[end + 1] is None and (not start or (last := back[start]) is not None and (last[1] < 0 or apart(last[1], i))):
+                back[end + 1] = length, i
+        unknown(n)
+        return self._ids(word, back)
+
+    def _by_score(self, word: str) -> list[int]:
         n, floor = len(word), self.floor
-        best, back = [0.0] * (n + 1), [(1, 0.0, -1)] * (n + 1)
+        spelt = self.known.issuperset(word)
+        best = [0.0] + [-math.inf] * n
+        back: list[tuple[int, int]] = [(1, -1)] * (n + 1)
         done = 0
-        for end, piece in self.automaton.iter(word):
-            while done <= end:
+        for end, (length, score, i) in self.automaton.iter(word):  # at one end, the longest first
+            while not spelt and done <= end:
                 done += 1
                 best[done] = best[done - 1] + floor
-            score = best[end + 1 - piece[0]] + piece[1]
-            if score > best[end + 1]:
-                best[end + 1], back[end + 1] = score, piece
+            if best[end + 1 - length] + score > best[end + 1]:
+                best[end + 1], back[end + 1] = best[end + 1 - length] + score, (length, i)
+        return self._ids(word, back)
+
+    def _ids(self, word: str, back: list) -> list[int]:
         out: list[int] = []
+        n = len(word)
         while n:
-            length, _, i = back[n]
+            length, i = back[n]
             if i < 0:
                 out.extend(reversed(self._bytes(word[n - 1])))
             else:
@@ -134,8 +192,10 @@ class Codec:
                     found = self.viterbi(w)
                     ids = struct.pack(f"{len(found)}i", *found)
                     if len(w) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_WORDS:
+                        self.cached += 2 * len(w) + len(ids) + 200  # about what Python keeps for both
+                        if self.cached > CACHE_BYTES:
                             cache.clear()
+                            self.cached = 0
                         cache[w] = ids
                 out.append(ids)
         return b"".join(out)
@@ -145,6 +205,7 @@ class Codec:
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The texts, in UTF-8, of lists of ids that lie one after another."""
+        self.table()
         begin, size = self.at[ids], self.size[ids]
         ends = np.cumsum(size)
         data = self.bytes[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
@@ -158,35 +219,54 @@ class Codec:
 _READY: dict[str, Codec] = {}
 
 
-def _ready(sent) -> Codec:
-    """The codec of this worker, built once and kept between tasks; sent: its name and broadcast."""
+def _codec(sent, encodes: bool) -> Codec:
+    """The codec of this worker, kept between tasks; sent: its name and broadcast. Only encoding needs the automaton."""
     name, value = sent
     if name not in _READY:
         _READY.clear()
-        _READY[name] = value.value.ready()
-    return _READY[name]
+        _READY[name] = value.value
+    return _READY[name].ready() if encodes else _READY[name]
 
 
-def _encode(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _ready(sent)
-        for b in batches:
-            each = [codec.packed(t) for t in b.column("text").to_pylist()]
-            offsets = np.append(0, np.cumsum([len(x) // 4 for x in each])).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(each), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
+def _in_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about SLICE_BYTES of text."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
+    lo, n = 0, len(texts)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _encoded(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the offsets of each text's."""
+    each = [codec.packed(t.as_py()) for t in texts]
+    return np.frombuffer(b"".join(each), np.int32), np.append(0, np.cumsum([len(x) // 4 for x in each]))
 
-    return run
 
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
-def _decode(sent):
+
+def _texts(codec: Codec, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.array([t.decode(errors="replace") for t in codec.decode_all(ids, offsets)], pa.string())
+
+
+def _work(sent, encodes: bool, decodes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _ready(sent)
+        codec = _codec(sent, encodes)
         for b in batches:
-            ids = b.column("ids")
-            offsets = np.append(0, np.cumsum(np.asarray(ids.value_lengths().fill_null(0), np.int64)))
-            texts = codec.decode_all(ids.flatten().to_numpy(), offsets)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array([t.decode(errors="replace") for t in texts], pa.string())], names=["doc_id", "ids", "text"])
+            for lo, hi in _in_slices(b.column("text")) if encodes else [(0, len(b))]:
+                part = b.slice(lo, hi - lo)
+                if encodes:
+                    ids, offsets = _encoded(codec, part.column("text"))
+                    lists = _lists(ids, offsets)
+                else:
+                    lists = part.column("ids")
+                    offsets = np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64)))
+                    ids = lists.flatten().to_numpy()
+                out = {"doc_id": part.column("doc_id"), "ids": lists} | ({"text": _texts(codec, ids, offsets)} if decodes else {})
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -199,12 +279,17 @@ def send(spark: SparkSession, path: str = MODEL):
 
 def encode(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): the text's piece ids."""
-    return texts_of(docs, key, text).mapInArrow(_encode(sent), "doc_id long, ids array<int>")
+    return texts_of(docs, key, text).mapInArrow(_work(sent, True, False), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, sent) -> DataFrame:
     """(doc_id, ids, text): the text that the ids stand for."""
-    return ids.select("doc_id", "ids").mapInArrow(_decode(sent), "doc_id long, ids array<int>, text string")
+    return ids.select("doc_id", "ids").mapInArrow(_work(sent, False, True), "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode()) in one pass of one Python worker a task."""
+    return texts_of(docs, key, text).mapInArrow(_work(sent, True, True), "doc_id long, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

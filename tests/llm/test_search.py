@@ -114,6 +114,33 @@ def test_sentencepiece_is_viterbi_and_round_trips(spark, odd_docs, odd_rows, no_
     assert sentencepiece_codec.digest(sentencepiece_codec.encode(no_docs, sent).withColumn("text", F.lit(""))).count() == 0
 
 
+def test_sentencepiece_ids_are_the_librarys(spark, small):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec.load().ready().table()
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aeiou the  in\n\té日ab1ing., xyzTHE\u200b🙂") for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    texts += ["", " ", "  ", "a" * 300, "the" * 200, "\n\n", "x" * 70_000]
+    for text in texts:
+        assert codec.encode(text) == library.encode(text), text
+        assert codec.decode(codec.encode(text)) == text
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (list(r.ids), r.text) for r in sentencepiece_codec.round_trip(docs, sentencepiece_codec.send(spark)).collect()}
+    assert got == {r.doc_id: (library.encode(r.text or ""), r.text or "") for r in docs.collect()}
+
+
+def test_sentencepiece_merges_of_a_toy_model():
+    rng = random.Random(5)
+    for _ in range(30):
+        pieces = list(dict.fromkeys(["a", "b", "c"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(14)]))
+        codec = sentencepiece_codec.Codec([(p, -float(i)) for i, p in enumerate(rng.sample(pieces, len(pieces)))] + [(None, 0.0)] * 256, len(pieces), True).ready()
+        for _ in range(60):
+            word = "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 20)))
+            want = [i for p in codec.merged(word) for i in ([next(k for k, (x, _) in enumerate(codec.pieces) if x == p)] if p in codec.rank else codec._bytes(p))]
+            assert codec.viterbi(word) == want
+
+
 def test_pipeline_stages(spark, small, odd_docs, no_docs):
     columns = spark.read.parquet(f"{small}/documents.parquet").columns
     for docs in (odd_docs.select(*columns, "key", "row"), no_docs.select(*columns)):
