@@ -43,8 +43,7 @@ def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text that they decode to."""
-    sent = sentencepiece_codec.send(spark)
-    found = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, sent), sent)
+    found = sentencepiece_codec.round_trip(docs, sentencepiece_codec.send(spark))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
