@@ -31,8 +31,10 @@ from tessera.llm.common import prepare, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Letters; superscript digits are none.
+LETTER = re.compile(r"[^\W\d_¹²³]")
 #: Bytes of words and ids in a worker's cache, the longest word that is kept, and pairs of pieces that are kept.
-CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 12 << 20, 48, 200_000
+CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 96 << 20, 48, 400_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 256 << 10
 #: Below the least score, for a character in bytes.
@@ -66,9 +68,11 @@ class Codec:
                 self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
         self.floor = min(s for p, s in self.pieces if p) - PENALTY
-        # words can be encoded one by one if no piece spans the place before a mark
-        whole = any(MARK in p.lstrip(MARK) for p, _ in self.pieces if p)
-        self.word = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # parts of a text can be encoded one by one where no piece spans the place between them
+        pairs = {x for p, _ in self.pieces if p for x in zip(p, p[1:], strict=False)}
+        whole = any(b == MARK != a for a, b in pairs)
+        mixed = any(MARK not in (a, b) and bool(LETTER.match(a)) != bool(LETTER.match(b)) for a, b in pairs)
+        self.word = re.compile(r"(?s).+" if whole else "(?s) *[^ ]+| +" if mixed else r"(?s) *[^\W\d_¹²³]+| *(?:[\W\d_¹²³](?<! ))+| +")
         self.known = {p for p, _ in self.pieces if p and len(p) == 1}
         self.cache: dict[str, bytes] = {}
         self.cached, self.pairs = 0, {}
@@ -131,23 +135,23 @@ class Codec:
 
     def _by_merges(self, word: str) -> list[int]:
         """back[e]: the last piece of the one allowed way to e: (length, id), id -1 for a character in bytes."""
-        n, apart, known = len(word), self.apart, self.known
+        n, pairs = len(word), self.pairs
         back: list[tuple[int, int] | None] = [None] * (n + 1)
-        done = 0
-
-        def unknown(until: int) -> None:
-            nonlocal done
-            while done < until:
-                done += 1
-                if word[done - 1] not in known:
-                    back[done] = 1, -1
-
-        for end, (length, _, i) in self.automaton.iter(word):
-            unknown(end)
-            start = end + 1 - length
-            if back[end + 1] is None and (not start or (last := back[start]) is not None and (last[1] < 0 or apart(last[1], i))):
+        if not self.known.issuperset(word):
+            for i, c in enumerate(word):
+                if c not in self.known:
+                    back[i + 1] = 1, -1
+        for end, (length, _, i) in self.automaton.iter(word):  # at one end, the longest first
+            if back[end + 1] is None:
+                start = end + 1 - length
+                if start:
+                    if (last := back[start]) is None:
+                        continue
+                    if last[1] >= 0:
+                        ok = pairs.get(last[1] << 32 | i)
+                        if not (self.apart(last[1], i) if ok is None else ok):
+                            continue
                 back[end + 1] = length, i
-        unknown(n)
         return self._ids(word, back)
 
     def _by_score(self, word: str) -> list[int]:
@@ -182,24 +186,28 @@ class Codec:
         if not text:
             return b""
         out: list[bytes] = []
-        cache = self.cache
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
                 out.append(struct.pack("3i", *self._bytes(MARK)))
-            for w in self.word.findall(part.replace(" ", MARK)):
-                ids = cache.get(w)
-                if ids is None:
-                    found = self.viterbi(w)
-                    ids = struct.pack(f"{len(found)}i", *found)
-                    if len(w) <= CACHE_CHARS:
-                        self.cached += 2 * len(w) + len(ids) + 200  # about what Python keeps for both
-                        if self.cached > CACHE_BYTES:
-                            cache.clear()
-                            self.cached = 0
-                        cache[w] = ids
-                out.append(ids)
+            words = self.word.findall(part)
+            ids = list(map(self.cache.get, words))
+            if None in ids:
+                ids = [self._new(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+            out += ids
         return b"".join(out)
 
+    def _new(self, word: str) -> bytes:
+        """Ids of a word that was not in the cache."""
+        found = self.viterbi(word.replace(" ", MARK))
+        ids = struct.pack(f"{len(found)}i", *found)
+        if len(word) <= CACHE_CHARS:
+            self.cached += 2 * len(word) + len(ids) + 200  # about what Python keeps for both
+            if self.cached > CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 0
+            self.cache[word] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
@@ -265,7 +273,7 @@ def _work(sent, encodes: bool, decodes: bool):
                     lists = part.column("ids")
                     offsets = np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64)))
                     ids = lists.flatten().to_numpy()
-                out = {"doc_id": part.column("doc_id"), "ids": lists} | ({"text": _texts(codec, ids, offsets)} if decodes else {})
+                out = {c: part.column(c) for c in ("doc_id", "own") if c in part.schema.names} | {"ids": lists} | ({"text": _texts(codec, ids, offsets)} if decodes else {})
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
@@ -287,9 +295,12 @@ def decode(ids: DataFrame, sent) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(_work(sent, False, True), "doc_id long, ids array<int>, text string")
 
 
-def round_trip(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """decode(encode()) in one pass of one Python worker a task."""
-    return texts_of(docs, key, text).mapInArrow(_work(sent, True, True), "doc_id long, ids array<int>, text string")
+def round_trip(docs: DataFrame, sent, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """decode(encode()) in one pass of one Python worker a task; with carry, own: a struct of these columns."""
+    own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([own] if carry else []))
+    kind = f"own {rows.schema['own'].dataType.simpleString()}, " if carry else ""
+    return rows.mapInArrow(_work(sent, True, True), f"doc_id long, {kind}ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:
