@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
@@ -73,6 +73,29 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, df._tessera_path)
 
 
+_left: list[str] = []
+
+
+@contextmanager
+def discard_later(spark: SparkSession) -> Iterator[None]:
+    """A stage whose input is stored: deletes what the stage before it wrote on its way, and notes what this one writes."""
+    while _left:
+        _delete(spark, _left.pop())
+    before = len(_written)
+    yield
+    _left.extend(_written[before:])
+    del _written[before:]
+
+
+#: So many rows at most of a join's small side are broadcast; more are joined by a shuffle.
+SENT_ROWS = 1 << 20
+
+
+def sent_side(df: DataFrame) -> DataFrame:
+    """df, a written table of a few numbers a row, as a side of a join: broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -104,6 +127,11 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def row_of(key: Column, text: Column) -> Column:
+    """The row number of a key and a text (null: empty), which tells rows apart whether keys are null or repeat."""
+    return F.xxhash64(key.cast("long"), F.coalesce(text, F.lit("")))
+
+
 def rows_of(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(row, rest, text): row tells texts and keys apart, whether keys are null or repeat; rest: the key (doc_id) and what to carry.
 
@@ -111,7 +139,7 @@ def rows_of(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) ->
     """
     text_ = F.coalesce(F.col(text), F.lit(""))
     doc_id = F.col(key).cast("long")
-    return df.select(F.xxhash64(doc_id, text_).alias("row"), F.struct(doc_id.alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own") if carry else F.lit(None).cast("boolean").alias("own")).alias("rest"), text_.alias("text"))
+    return df.select(row_of(F.col(key), F.col(text)).alias("row"), F.struct(doc_id.alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own") if carry else F.lit(None).cast("boolean").alias("own")).alias("rest"), text_.alias("text"))
 
 
 # --- hashing of stretches of bytes or words -------------------------------------------------

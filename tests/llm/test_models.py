@@ -26,12 +26,13 @@ def test_lm_base_score_is_exact(odd_docs, odd_rows):
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    tokens = rng.integers(1, 1 << 62, 2000, dtype=np.uint64)
-    model = lm_scoring.Model(tokens, np.arange(2000, 0, -1).astype(float))
+    tokens, side = rng.integers(1, 1 << 62, 2000, dtype=np.uint64), 30
+    counts = np.arange(2000, 0, -1).astype(float)
+    model = lm_scoring.Model(tokens, counts, counts.sum(), side, 1 << 12)
     model.by_class = rng.normal(size=model.by_class.shape).astype(np.float32)
     model.by_word = rng.normal(size=model.by_word.shape).astype(np.float32)
     t = object.__new__(lm_scoring.Tokens)
-    places = np.append(np.arange(lm_scoring.CLASSES * lm_scoring.CLASS_SIZE), -1)
+    places = np.append(np.arange(side * side), -1)
     t.before, t.second = np.full(len(places), tokens[3]), np.full(len(places), tokens[9])
     assert np.exp(model.forward(model.features(t, 0, len(places)), places)[0]).sum() == pytest.approx(1, abs=1e-4)
 
@@ -39,7 +40,8 @@ def test_lm_probabilities_sum_to_one():
 def test_lm_learns_and_empty_tables(spark, small, no_docs):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = lm_scoring.score(docs, ~lm_scoring.held_out()).collect()
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    for held in (True, False):
+        assert sum(r.score for r in got if r.held_out == held) > sum(r.base_score for r in got if r.held_out == held)
     assert lm_scoring.score(no_docs, ~lm_scoring.held_out()).count() == 0
     none = lm_scoring.score(docs, F.lit(False)).collect()
     assert all(abs(r.base_score) < 1e-6 and abs(r.score) < 1e-6 for r in none)
@@ -49,12 +51,29 @@ def test_lm_learns_from_every_training_document(spark):
     import pyarrow as pa
 
     texts = [f"only{i} same words here" for i in range(40)]
-    model = lm_scoring.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    t = lm_scoring.Tokens(*raw(pa.array(texts)))
+    tokens, n = np.unique(t.token, return_counts=True)
+    counts = spark.createDataFrame(list(zip(tokens.view(np.int64).tolist(), n.tolist(), strict=True)), "token long, count long")
+    model = lm_scoring.train(docs, counts)
     for text in texts:
         t = lm_scoring.Tokens(*raw(pa.array([text])))
         assert all(model.by_class[model.slots(f[1:2])].any() for f in model.features(t, 0, len(t.token))[:1]), text
 
 
+def test_lm_vocabulary_is_of_all_training_documents():
+    small, large = lm_scoring.shape(10_000, 500), lm_scoring.shape(10**9, 10**6)
+    assert small[0] < large[0] <= lm_scoring.MOST_SIDE and small[1] < large[1] <= lm_scoring.MOST_SLOTS
+
+
+def test_lm_tells_structured_words_apart(spark):
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ k] for x in thue) for k in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {r.doc_id: r.n_known for r in lm_scoring.score(docs, F.col("doc_id") == 1).collect()}
+    assert got == {1: 2, 2: 1}
+
+
 def test_lm_tokens_are_cut_and_lowered():
     import pyarrow as pa
 
