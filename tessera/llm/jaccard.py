@@ -1,13 +1,15 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 4/5, exactly: a prefix-filtered self-join.
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 4/5: SimHash tries, and an exact join for what they miss.
 
-In any one order of all shingles, two sets x and y of that similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles
-of x and of y. Only these meet, and none is left out; candidates are confirmed on the whole sets. The order is that of the
+Fingerprints of the sets within a few bits meet in the tries of operator 7 (simhash). Each set is held against the first of its
+group on the whole sets. No budget of bits finds all pairs of that similarity, so the rest is found by a prefix filter: in
+any one order of all shingles, two sets x and y of that similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles
+of x and of y. Only sets of different groups meet there, and none is left out; candidates are confirmed on the whole sets. The order is that of the
 hashes, with common shingles last: which are common is estimated from a sample, and changes the work but not the result.
 Equal sets are one. First all sets that share a shingle are compared with two of them only; then those that
 are still in different groups with each other.
 
 Defined results: words are as in simhash; a null or empty text has no shingle, and all such texts are equal; fewer words than a shingle are one
-shingle; shingles are told apart by 64-bit hashes; rows without a doc_id count for links only; an empty table gives an empty result; other columns are ignored.
+shingle; shingles are told apart by 64-bit hashes; rows that are equal in key and text share a row number; rows without a doc_id are members like any other, and a group of such rows alone has no component_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, mixed, prepare, raw, signed, texts_of, words_in, written
+from tessera.llm import simhash
+from tessera.llm.common import chunks, discard, mixed, prepare, raw, row_of, sent_side, texts_of, word_hashes, words_in, written
 from tessera.llm.components import components
 
 #: Texts of the sample, and in how many of them a common shingle is.
 SAMPLE_ROWS, COMMON = 4000, 8
-#: So many row numbers at most are broadcast; more are joined by a shuffle.
-SENT_ROWS = 1 << 22
 #: Words of 64 bits in a sketch: bit i is the parity of the set's shingles that fall on i, so that as many bits as differ, shingles differ at least.
 #: Sets of over LONG shingles have a wide one too.
 SKETCH, WIDE, LONG = 16, 256, 800
@@ -39,7 +40,7 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
         part, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         low = np.where((part >= 65) & (part <= 90), part | 32, part)
         starts, ends, doc = words_in(low, cut)
-        words = Stretches(byte_values(low)).hash(starts, ends)
+        words = word_hashes(low, starts, ends)
         edge = np.searchsorted(doc, np.arange(hi - lo + 1))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             n = max(1, b - a - size + 1) if b > a else 0
@@ -67,7 +68,7 @@ def _prefixes(size: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            sets, sizes, parts, sketches, wide = [], [], [], [], []
+            sets, sizes, prints, parts, sketches, wide = [], [], [], [], [], []
             for tokens in shingle_sets(b.column("text"), size):
                 n = len(tokens)
                 if n and len(common):
@@ -77,11 +78,12 @@ def _prefixes(size: int, sent):
                     tokens_ = tokens
                 sets.append(_digest(tokens))
                 sizes.append(n)
+                prints.append(simhash.majority(tokens))
                 sketches.append(_sketch(tokens, SKETCH))
                 wide.append(_sketch(tokens, WIDE) if n > LONG else np.zeros(0, np.uint64))
                 parts.append(tokens_[: n - -(-4 * n // 5) + 1])
-            of_rows = [b.column("doc_id"), b.column("row"), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), *map(_lists, (parts, sketches, wide))]
-            yield pa.RecordBatch.from_arrays(of_rows, names=["doc_id", "row", "set", "n", "prefix", "sketch", "wide"])
+            of_rows = [b.column("doc_id"), b.column("row"), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), *map(_lists, (parts, sketches, wide))]
+            yield pa.RecordBatch.from_arrays(of_rows, names=["doc_id", "row", "set", "n", "print", "prefix", "sketch", "wide"])
 
     return run
 
@@ -95,11 +97,8 @@ def _tokens(size: int):
     return run
 
 
-def _candidates(entries: DataFrame, other: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
-    """Distinct pairs (u, v), u < v, that which allows, and whose sizes, places of a shared shingle and sketches allow the similarity."""
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
-    near = (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n")) & (9 * rest >= 4 * (F.col("n") + F.col("n_")))
-    pairs = entries.join(other, "token").where(F.expr(which) & near).select(F.least("set", "set_").alias("u"), F.greatest("set", "set_").alias("v")).distinct()
+def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches allow the similarity."""
     for c in ("sketch", "wide"):
         u, v = (sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col(c).alias(f"of_{k}")) for k in "uv")
         differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))  # 0 if either set has none
@@ -107,44 +106,65 @@ def _candidates(entries: DataFrame, other: DataFrame, sketches: DataFrame, which
     return pairs
 
 
+def _candidates(entries: DataFrame, other: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that which allows, and whose sizes, places of a shared shingle and sketches allow the similarity."""
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
+    near = (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n")) & (9 * rest >= 4 * (F.col("n") + F.col("n_")))
+    return _by_sketch(entries.join(other, "token").where(F.expr(which) & near).select(F.least("set", "set_").alias("u"), F.greatest("set", "set_").alias("v")).distinct(), sketches)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (u, v) of sets with a similarity of 4/5 or more, from the whole sets; texts: of all rows."""
     pairs = written(pairs, "pairs")
     used = written(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct().join(sets.select("set", "row"), "set").select("row"), "used")
-    few = used.count() <= SENT_ROWS
-    whole = written(texts.join(F.broadcast(used) if few else used, "row", "left_semi").dropDuplicates(["row"]).select("text").mapInArrow(_tokens(size), "set long, tokens array<long>"), "sets")
+    whole = written(texts.join(sent_side(used), "row", "left_semi").dropDuplicates(["row"]).select("text").mapInArrow(_tokens(size), "set long, tokens array<long>"), "sets")
     u, v = (whole.select(F.col("set").alias(k), F.col("tokens").alias(f"of_{k}")) for k in "uv")
     shared = F.size(F.array_intersect("of_u", "of_v"))
-    return written(pairs.join(u, "u").join(v, "v").where(9 * shared >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v"), "links")
+    links = written(pairs.join(u, "u").join(v, "v").where(9 * shared >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v"), "links")
+    discard(pairs, used, whole)
+    return links
 
 
-def near_groups(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id); component_id: the smallest doc_id reachable over pairs of similarity 4/5 or more."""
+def near_groups(docs: DataFrame, size: int = 5, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row, component, component_id); component: one long a group over pairs of similarity 4/5 or more; component_id: its smallest doc_id."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = texts_of(docs, key, text).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    texts = texts_of(docs, key, text).select("doc_id", row_of(F.col("doc_id"), F.col("text")).alias("row"), "text")
     share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
     some = texts.where(F.pmod("row", F.lit(1 << 20)) < int(share * (1 << 20))).select("text").mapInArrow(_tokens(size), "set long, tokens array<long>")
     often = some.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON).select("token").collect()  # at most shingles of SAMPLE_ROWS texts
     sent = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
-    rows = written(texts.mapInArrow(_prefixes(size, sent), "doc_id long, row long, set long, n long, prefix array<long>, sketch array<long>, wide array<long>"), "shingles")
-    sets = written(rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "distinct")
-    entries = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
-    of_token = Window.partitionBy("token")
-    met = entries.select("*", F.min("set").over(of_token).alias("lo"), F.max("set").over(of_token).alias("hi")).where("lo <> hi")
-    live = written(met.select("token", "set", F.expr("at div 4294967296").alias("n"), F.expr("at % 4294967296").alias("pos"), F.expr("set = lo or set = hi").alias("leads")), "candidates")
-    own = live.select("token", "set", "n", "pos")
+    rows = written(texts.mapInArrow(_prefixes(size, sent), "doc_id long, row long, set long, n long, print long, prefix array<long>, sketch array<long>, wide array<long>"), "shingles")
+    members = written(rows.select("doc_id", "row", "set"), "members")
+    sets = written(rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "prefix", "sketch", "wide"))), "distinct")
+    discard(rows)
     sketches = sets.select("set", "n", "sketch", "wide")
+
+    # what the tries of fingerprints link: each set with the first of its group
+    tries = simhash.near_groups(sets.select(F.col("set").alias("doc_id"), "print"), bits).where("doc_id <> component_id")
+    links = _confirmed(_by_sketch(tries.select(F.least("doc_id", "component_id").alias("u"), F.greatest("doc_id", "component_id").alias("v")), sketches), sets, texts, size)
+    groups = written(components(links).withColumnRenamed("node", "set"), "groups")
+
+    # the rest: sets of different groups that share a shingle of their prefixes
+    known = sets.select("set", "n", "prefix").join(sent_side(groups), "set", "left")
+    entries = known.select("set", F.coalesce("component", "set").alias("group"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "group", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
+    of_token, of_set = Window.partitionBy("token"), F.struct("group", "set")
+    met = entries.select("*", F.min(of_set).over(of_token).alias("lo"), F.max(of_set).over(of_token).alias("hi")).where("lo.group <> hi.group")
+    live = written(met.select("token", "set", "group", F.expr("at div 4294967296").alias("n"), F.expr("at % 4294967296").alias("pos"), F.expr("set = lo.set or set = hi.set").alias("leads")), "candidates")
     other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_") for c in df.columns if c not in ("token", "leads")))
-    links = _confirmed(_candidates(own, other(live.where("leads")), sketches, "set <> set_"), sets, texts, size)
-    named = own.join(components(links).withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("group"))
+    links = written(links.unionAll(_confirmed(_candidates(live, other(live.where("leads")), sketches, "group <> group_"), sets, texts, size)), "links")
+    groups = written(components(links).withColumnRenamed("node", "set"), "groups")
+    named = live.select("token", "set", "n", "pos").join(sent_side(groups), "set", "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("group"))
     several = named.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("token")
     apart = written(named.join(several, "token"), "apart")
+    discard(live)
     links = links.unionAll(_confirmed(_candidates(apart, other(apart), sketches, "set < set_ and group <> group_"), sets, texts, size))
+    discard(apart)
     groups = components(links).withColumnRenamed("node", "set")
-    joined = sets.select("set", "rep").join(groups, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component"))
+    joined = written(sets.select("set", "rep").join(groups, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")), "joined")
+    discard(sets)
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "set").join(joined.join(least, "component").select("set", "component_id"), "set").select("doc_id", "component_id")
+    return members.join(joined.join(least, "component").select("set", "component", "component_id"), "set").select("doc_id", "row", "component", "component_id")
 
 
 def brute(rows: list[tuple[int, str | None]], size: int = 5) -> dict[int, int]:

@@ -37,9 +37,14 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     if not words:
         return 0
     shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(size)), strict=False)] if len(words) >= size else [b" ".join(words)]
-    hashes, total = [xxhash.xxh64_intdigest(s, 42) for s in shingles], np.zeros(64, np.int64)
+    return majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), SHINGLES):
-        part = np.array(hashes[i : i + SHINGLES], "<u8")
+        part = hashes[i : i + SHINGLES].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
