@@ -2,7 +2,8 @@
 
 A word's features are its byte n-grams, those that hold the space before or after it being its affixes, and
 its entry in a lexicon of the training words. Transitions between the languages of neighbouring words are learned too, from
-chains that join stretches of differently labelled documents. A document's language is the one with the highest
+chains that join stretches of differently labelled documents. Forward-backward runs over all words of a text as one chain: in blocks of CHAIN words
+side by side, between which the products of each block's transfer matrices carry the messages. A document's language is the one with the highest
 mean marginal over its words with letters, which is its score.
 
 The model is fitted on the driver on a bounded sample of labelled rows: about SAMPLE_ROWS rows in all, as many of each
@@ -10,7 +11,8 @@ language as there are, each with one stretch of SAMPLE_CHARS characters from a p
 Prediction reads every whole text.
 
 Defined results: `und` with score 0 for a null text, one without letters, or if nothing is labelled; equal texts get equal
-answers; ties go to the language that sorts first; an empty table gives an empty result; other columns are ignored.
+answers; ties go to the language that sorts first; keys may be null or repeat; an empty table gives an empty result; other columns are ignored
+or, on demand, handed through whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from tessera.llm.common import SPACE, Stretches, byte_values, chunks, prepare, r
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 2000
 #: Hashed weights; words of the lexicon; lengths of byte n-grams.
 SLOTS, LEXICON, GRAMS = 1 << 18, 20_000, (1, 2, 3, 4)
-#: Words of one chain; chains and rounds of training; step size; penalty.
+#: Words of a training chain and of a block of a text; chains and rounds of training; step size; penalty.
 CHAIN, CHAINS, EPOCHS, BATCH, STEP, PENALTY = 64, 3000, 4, 200, 0.3, 1e-5
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -86,23 +88,29 @@ class Crf:
         out[~f.letters] = 0
         return out
 
-    def marginals(self, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of padded chains (chains x places x languages) of n words: word marginals, and summed ones of neighbours."""
+    def marginals(self, e: np.ndarray, n: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of padded chains (chains x places x languages) of n words: word marginals, and summed ones of neighbours.
+
+        start: the messages that reach the first words (default: those of a text's beginning); end: those that reach the last ones from behind.
+        """
         s, t, k = e.shape
         e = np.exp(e - e.max(axis=2, keepdims=True))
         move = np.exp(self.moves)
         alpha, beta, scale = np.zeros((s, t, k)), np.ones((s, t, k)), np.ones((s, t))
-        alpha[:, 0] = e[:, 0] * np.exp(self.first)
+        alpha[:, 0] = e[:, 0] * (np.exp(self.first) if start is None else start)
         for i in range(t):
             if i:
                 alpha[:, i] = (alpha[:, i - 1] @ move) * e[:, i]
             scale[:, i] = alpha[:, i].sum(axis=1)
             alpha[:, i] /= scale[:, i, None]
+        last = np.ones((s, k)) if end is None else end
+        beta[:, t - 1] = last
         for i in range(t - 2, -1, -1):
             beta[:, i] = ((beta[:, i + 1] * e[:, i + 1]) @ move.T) / scale[:, i + 1, None]
-            beta[i + 1 >= n, i] = 1
+            over = i + 1 >= n
+            beta[over, i] = last[over]
         pair = np.zeros((k, k))
-        for i in range(t - 1):
+        for i in range(t - 1) if start is None else ():
             live = i + 1 < n
             if live.any():
                 right = e[live, i + 1] * beta[live, i + 1] / scale[live, i + 1, None]
@@ -110,9 +118,43 @@ class Crf:
         both = alpha * beta
         return both / both.sum(axis=2, keepdims=True), pair
 
+    def transfers(self, e: np.ndarray, n: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Of each padded block: the matrix from the language of the word before it to that of its last word, up to a factor.
+
+        begins: blocks with which a text begins; what is before them does not matter.
+        """
+        s, t, k = e.shape
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        move = np.exp(self.moves)
+        out = np.where(begins[:, None, None], np.exp(self.first), move) * e[:, 0, None]
+        for i in range(1, t):
+            longer = (out @ move) * e[:, i, None]
+            longer /= longer.max(axis=(1, 2), keepdims=True)
+            out = np.where((i < n)[:, None, None], longer, out)
+        return out
+
+    def messages(self, transfers: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches the first and last word of each block from the blocks around it; text: of each block, in order."""
+        s, k = len(text), len(self.languages)
+        start, end, move = np.tile(np.exp(self.first), (s, 1)), np.ones((s, k)), np.exp(self.moves)
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        size = np.diff(np.append(first, s))
+        last = first + size - 1
+        ahead, back = np.full((len(first), k), 1 / k), np.ones((len(first), k))
+        for j in range(1, int(size.max())):
+            live = size > j
+            first, last, size, ahead, back = first[live], last[live], size[live], ahead[live], back[live]
+            ahead = np.einsum("bi,bij->bj", ahead, transfers[first + j - 1])
+            ahead /= ahead.sum(axis=1, keepdims=True)
+            start[first + j] = ahead @ move
+            back = np.einsum("bij,bj->bi", transfers[last - j + 1], back)
+            back /= back.sum(axis=1, keepdims=True)
+            end[last - j] = back
+        return start, end
+
 
 def chains_of(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and lengths of chains: up to CHAIN words of one document each."""
+    """First words and lengths of blocks: up to CHAIN words of one document each."""
     n = len(doc)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -198,35 +240,44 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     return model
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-    texts = batch.column("text").to_pylist()
+def _columns(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    texts = texts.to_pylist()
     low = pa.array([t.lower() + " " for t in texts], pa.large_string())
     data, offsets = raw(low)
     return data, offsets, [bool(LETTER.search(t)) for t in texts]
 
 
 def _marginals(model: Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[Features, np.ndarray]:
+    """Of every word: forward-backward over each whole text."""
     f = Features(data, offsets)
     if not len(f.words):
         return f, np.zeros((0, len(model.languages)))
     starts, n = chains_of(f.doc)
+    text = f.doc[starts]
     e = model.emissions(f)
+    begins = np.append(True, text[1:] != text[:-1])
+    parts = range(0, len(starts), 512)
+    transfers = np.concatenate([model.transfers(_padded(e, starts[i : i + 512], n[i : i + 512])[0], n[i : i + 512], begins[i : i + 512]) for i in parts])
+    before, behind = model.messages(transfers, text)
     out = np.zeros_like(e)
-    for lo in range(0, len(starts), 512):
+    for lo in parts:
         s, m = starts[lo : lo + 512], n[lo : lo + 512]
         cells, place = _padded(e, s, m)
-        p, _ = model.marginals(cells, m)
+        p, _ = model.marginals(cells, m, before[lo : lo + 512], behind[lo : lo + 512])
         live = np.arange(m.max()) < m[:, None]
         out[place[live]] = p[live]
     return f, out
 
 
-def _predict(sent):
+def _predict(sent, at: int | None):
+    """at: the place of the text in rest, or None for a column of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         k = len(model.languages)
         for b in batches:
-            data, offsets, lettered = _columns(b)
+            texts = b.column("text") if at is None else b.column("rest").field(at).fill_null("")
+            data, offsets, lettered = _columns(texts)
             answer, score = ["und"] * len(lettered), np.zeros(len(lettered))
             for lo, hi in chunks(offsets) if k else ():
                 f, p = _marginals(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -239,7 +290,8 @@ def _predict(sent):
                     if lettered[lo + i] and words[i]:
                         answer[lo + i] = model.languages[best[i]]
                         score[lo + i] = min(1.0, total[i, best[i]] / words[i])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(answer, pa.string()), pa.array(score)], names=["doc_id", "rest", "lang_pred", "score"])
+            out = {c: b.column(c) for c in ("doc_id", "rest") if c in b.schema.names} | {"lang_pred": pa.array(answer, pa.string()), "score": pa.array(score)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -248,7 +300,7 @@ def _label(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            data, offsets, _ = _columns(b)
+            data, offsets, _ = _columns(b.column("text"))
             ids = b.column("doc_id")
             for lo, hi in chunks(offsets) if model.languages else ():
                 f, p = _marginals(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -282,11 +334,14 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     return spark.sparkContext.broadcast(fit([(r.text, r.label) for r in sorted(sample.collect(), key=lambda r: r.key)]))
 
 
-def predict(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rest, lang_pred, score) of every text; rest: the whole row as a struct."""
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
-    kind = texts.schema["rest"].dataType.simpleString()
-    return texts.mapInArrow(_predict(sent), f"doc_id long, rest {kind}, lang_pred string, score double")
+def predict(docs: DataFrame, sent, key: str = "doc_id", text: str = "text", carry: bool = True) -> DataFrame:
+    """(doc_id, rest, lang_pred, score) of every text; rest: the whole row as a struct, unless carry is false."""
+    doc_id = F.col(key).cast("long").alias("doc_id")
+    if not carry:
+        return docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_predict(sent, None), "doc_id long, lang_pred string, score double")
+    rows = docs.select(doc_id, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(_predict(sent, docs.columns.index(text)), f"doc_id long, rest {kind}, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -51,7 +51,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs, model)
+    found = language_id.predict(docs, model, carry=False)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 

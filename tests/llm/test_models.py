@@ -1,5 +1,6 @@
 """Models: proper probabilities, held-out accuracy, brute force for what is counted."""
 
+import itertools
 import math
 import re
 import zlib
@@ -93,6 +94,42 @@ def test_language_id_held_out(spark, small):
     assert min(runs.get("de", 0), runs.get("fr", 0)) / sum(runs.values()) > 0.3
 
 
+def brute_marginals(first, moves, e):
+    """Word marginals from all label sequences."""
+    n, k = e.shape
+    out = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        p = math.exp(first[y[0]] + sum(e[i, y[i]] for i in range(n)) + sum(moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        out[np.arange(n), y] += p
+    return out / out.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("chain", [1, 2, 3, 64])
+def test_language_marginals_are_those_of_all_sequences(monkeypatch, chain):
+    monkeypatch.setattr(language_id, "CHAIN", chain)
+    rng = np.random.default_rng(chain)
+    texts = [" ".join(rng.choice(["ab", "cd", "xy", "q"]) for _ in range(n)) + " " for n in (1, 7, 3, 6, 2)]
+    model = language_id.Crf(["a", "b", "c"], np.zeros(0, np.uint64))
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    model.moves, model.first = rng.normal(size=(3, 3)), rng.normal(size=3)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    f, got = language_id._marginals(model, data, np.append(0, np.cumsum([len(t) for t in texts])))
+    e = model.emissions(f)
+    for d in range(len(texts)):
+        at = f.doc == d
+        assert got[at] == pytest.approx(brute_marginals(model.first, model.moves, e[at]), abs=1e-9)
+
+
+def test_html_viterbi_and_marginals_are_those_of_all_sequences():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 8):
+        field = html_extraction.Field()
+        field.moves, field.first, e = rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=(n, 2))
+        assert field.marginals(e)[0] == pytest.approx(brute_marginals(field.first, field.moves, e), abs=1e-9)
+        score = lambda y: field.first[y[0]] + sum(e[i, y[i]] for i in range(n)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        assert tuple(field.viterbi(e).tolist()) == max(itertools.product((0, 1), repeat=n), key=score)
+
+
 def test_language_id_odd_rows(spark, odd_docs, odd_rows, no_docs):
     model = language_id.train(odd_docs.where(~language_id.held_out()))
     rows = language_id.predict(odd_docs, model).collect()
