@@ -45,6 +45,7 @@ def test_decontamination_finds_every_shared_window(spark):
 def test_top_k(spark, monkeypatch, block, tile):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "TILE", tile)
+    monkeypatch.setattr(topk, "SHARD", 4 * tile)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(90)]
     rows += [(200 + i, rows[i % 3][1]) for i in range(20)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (None, [1.0] * 6), (310, []), (320, [2.0])]
@@ -60,7 +61,17 @@ def test_top_k(spark, monkeypatch, block, tile):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_top_k_refuses_inexact_scores(spark):
+def test_top_k_of_large_vectors_is_exact(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1e5 if i % 7 == 0 else 1)]) for i in range(60)] + [(100, [3e8, 1.0, 0.0, 0.0]), (101, [-2e4, 9e7, 0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).collect()
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in (i for i, _ in rows if i % 5 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_top_k_refuses_scores_that_are_no_longs(spark):
     with pytest.raises(Exception, match="too large"):
         topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
 
