@@ -4,9 +4,10 @@ A leaf block is the text between two block-level tags. Its features are its ance
 ids and roles, its length, links, punctuation, place in the page, and the words of short blocks. The field is trained
 on the driver on TRAINING generated pages whose blocks are labelled (html_pages), a fixed number.
 
-Defined results: null and empty html give an empty text; scripts, styles, templates, titles, form fields and comments are never text; markup that
+Defined results: null and empty html give an empty text; scripts, styles, templates, titles, frames, drawings (svg), what stands for missing scripts, form fields and comments are never text;
+formulas (math) and what stands for missing objects are text like any other; a raw tag that closes itself holds nothing; quotes open an attribute's value only right after its equals sign; markup that
 is cut off or not closed is read as far as it goes; white space (any, no-break space too) in a block becomes one space; a
-`br` is white space; equal pages and repeated rows get equal texts; an empty table gives an empty result; other columns are ignored.
+`br` is white space; equal pages and repeated rows get equal texts; keys and urls may be null or repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,18 @@ CUE_BLOCKS = 8
 SLOTS = 1 << 16
 #: Tags that part blocks, hold raw text or nothing, and are never closed.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style template title noscript iframe svg math textarea object".split())
+RAW = frozenset("script style template title noscript iframe svg textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An open tag of the first kind ends where one of the second begins.
+#: An open tag of the first kind ends where one of the second begins, unless one of BARS is open in between.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""")
-NAME = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+ENDED_BY = {tag: [i for i, k in enumerate(CLOSES) if tag in CLOSES[k]] for tag in BLOCKS}
+KIND = {k: i for i, k in enumerate(CLOSES)}
+BARS = frozenset("div article section table ul ol body".split())
+VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?"""
+TOKEN = re.compile(rf"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{VALUE})*+)(?:>|\Z)""")
+NAME = re.compile(r"""(?i)(?<![^\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+SELF = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
+END = {t: re.compile(f"(?i)</{t}(?![^\\s/>])[^>]*(?:>|\\Z)") for t in RAW}
 PART = re.compile(r"[a-z]+")
 
 
@@ -44,18 +52,91 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (SLOTS - 1)
 
 
-class Block:
-    __slots__ = ("path", "text", "linked")
+class Node:
+    """An open tag below its parents: the words of its names, the features of all, and the nearest block-level tag."""
+
+    __slots__ = ("parent", "tag", "names", "near", "features", "slots", "below")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.tag, self.names, self.below, self.slots = parent, tag, names, {}, None
+        before = parent.features if parent else frozenset()
+        own = {f"t:{tag}", *(f"n:{w}" for w in names)} if parent else set()
+        self.features = before if own <= before else before | own  # deep pages share one set
+        self.near = tag if tag in BLOCKS or not parent else parent.near
+
+    def open(self, tag: str, names: tuple[str, ...]) -> Node:
+        found = self.below.get((tag, names))
+        if found is None:
+            found = self.below[tag, names] = Node(self, tag, names)
+        return found
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+
+class Block:
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
+
+    @property
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        """The open tags with the words of their names, outermost first."""
+        out, node = [], self.node
+        while node.parent:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return out[::-1]
+
+
+class Stack:
+    """Open tags. Each step costs the same however deep they are."""
+
+    def __init__(self) -> None:
+        #: Of each open tag: its node, the last place below it of each kind of CLOSES that no bar hides, and of a block-level tag.
+        self.open: list[tuple[Node, tuple[int, ...], int]] = [(Node(None, "", ()), (-1,) * len(CLOSES), 0)]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def node(self) -> Node:
+        return self.open[-1][0]
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        node, reach, block = self.open[-1]
+        at = len(self.open)
+        if tag in BARS:
+            reach = (-1,) * len(CLOSES)
+        elif tag in KIND:
+            reach = tuple(at if i == KIND[tag] else x for i, x in enumerate(reach))
+        self.open.append((node.open(tag, names), reach, at if tag in BLOCKS else block))
+        self.places.setdefault(tag, []).append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the tag at a place and all above it."""
+        while len(self.open) > at:
+            self.places[self.open.pop()[0].tag].pop()
+
+    def begin(self, tag: str) -> None:
+        """Closes what ends where a block-level tag begins."""
+        _, reach, _ = self.open[-1]
+        at = max((reach[i] for i in ENDED_BY[tag]), default=-1)
+        if at > 0:
+            self.cut(at)
+
+    def close(self, tag: str) -> None:
+        """Closes the last such tag, but no block-level one for the sake of an inline one."""
+        places = self.places.get(tag)
+        if places and (tag in BLOCKS or places[-1] > self.open[-1][2]):
+            self.cut(places[-1])
+
+
+@lru_cache(20_000)
+def _names(attributes: str) -> tuple[str, ...]:
+    return tuple(sorted({w for x in NAME.findall(attributes) for w in PART.findall("".join(x).lower())}))
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; path: the open tags with the words of their names."""
+    """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
+    stack, parts, unclosed = Stack(), [], set()
     linked, inside, at, n = 0, 0, 0, len(page)
 
     def end() -> None:
@@ -63,7 +144,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack.node, text, linked))
             parts.clear()
         linked = 0
 
@@ -82,31 +163,28 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 end()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            stack.close(tag)
             if tag == "a":
                 inside = max(0, inside - 1)
             continue
+        itself = SELF.search(m[3]) is not None
         if tag in RAW:
-            close = re.compile(f"(?i)</{re.escape(tag)}[^>]*(?:>|\\Z)").search(page, at)
-            at = close.end() if close else n
+            close = None if itself or tag in unclosed else END[tag].search(page, at)
+            if close:
+                at = close.end()
+            elif not itself:
+                unclosed.add(tag)
+                at = n if tag in ("script", "style", "title", "textarea") else at
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             end()
             inside = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSES.get(stack[i][0], ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("div", "article", "section", "table", "ul", "ol", "body"):
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/"):
+            stack.begin(tag)
+        if tag in VOID or itself:
             continue
-        names = tuple(sorted({w for x in NAME.findall(m[3]) for w in PART.findall("".join(x).lower())})) if m[3] else ()
-        stack.append((tag, names))
+        stack.push(tag, _names(m[3]) if m[3] else ())
         inside += tag == "a"
     end()
     return out
@@ -116,26 +194,19 @@ def _size(n: int) -> int:
     return min(7, n.bit_length())
 
 
-_paths: dict[tuple, tuple[list[int], str]] = {}
-
-
-def _of_path(path: tuple) -> tuple[list[int], str]:
+def _of_path(node: Node) -> tuple[list[int], str]:
     """Features of the ancestors, and the nearest block-level tag."""
-    if path not in _paths:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        near = next((t for t, _ in reversed(path) if t in BLOCKS), "")
-        names = {f"t:{t}" for t, _ in path} | {f"n:{w}" for _, ws in path for w in ws}
-        names |= {f"p:{near}"} | {f"pn:{w}" for t, ws in path[-2:] for w in ws}
-        _paths[path] = [_slot(x) for x in sorted(names)], near
-    return _paths[path]
+    if node.slots is None:
+        last = [x for x in (node.parent, node) if x is not None]
+        node.slots = [_slot(x) for x in sorted(node.features | {f"p:{node.near}"} | {f"pn:{w}" for x in last for w in x.names})]
+    return node.slots, node.near
 
 
 def features(found: list[Block], cues: frozenset[str]) -> list[list[int]]:
     """Slots of each block; cues: the words of short blocks that count."""
     out, n = [], len(found)
     for i, b in enumerate(found):
-        slots, near = _of_path(b.path)
+        slots, near = _of_path(b.node)
         words = b.text.split(" ")
         size, links = _size(len(words)), min(3, 4 * b.linked // max(1, len(b.text)))
         more = ["bias", f"s:{size}", f"l:{links}", f"sl:{size}:{links}", f"e:{b.text[-1] in '.!?…:'}", f"ps:{near}:{size}", f"pl:{near}:{links}", f"at:{4 * i // n}", f"first:{i}" if i < 3 else "later", f"last:{n - i}" if n - i < 3 else "sooner"]

@@ -86,6 +86,8 @@ class Pages:
             return marks[-1] + " " + text
 
         def paragraph() -> str:
+            if self.chance(0.05):
+                return f"<p{self.pick([' data-x=it&#39;s', ' data-n=1', ' style=\"margin:0\"'])}>{main(self.prose(1, 3))} {self.pick(['<svg/>', '<svg><title>icon</title></svg>', '<math><mi>x</mi><mo>=</mo><mn>2</mn></math>', '<object>alt</object>'])} {self.prose(1, 2)}</p>"
             kind = self.pick(["p"] * 9 + ["b", "br", "h2", "ul", "blockquote", "pre", "table", "div", "link", "figure"])
             if kind == "b":
                 return f"<p><b>{main(self.prose(1, 2))}<br><p>{main(self.prose())}</p>"
@@ -103,17 +105,21 @@ class Pages:
                 return f"<figure><img src='a.png'><figcaption>{main(self.prose(1, 1))}</figcaption></figure>"
             return f"<{kind}>{main(self.words(1, 8) if kind == 'h2' else self.prose(1, self.pick([1, 2, 4, 12])))}</{kind}>"
 
-        title = self.words(2, 12)
-        parts = [f"<h1>{main(title)}</h1>"] if self.chance(0.9) else []
-        for _ in range(int(self.rng.integers(1, self.pick([2, 5, 14])))):
+        title, bare = self.words(2, 12), self.chance(0.12)
+        parts = [f"<h1>{main(title)}</h1>"] if self.chance(0.9) and not bare else []
+        if bare:  # an article of one short block
+            parts.append(self.pick(["<p>{}</p>", "<p>{}</p>", "{}", "<div>{}</div>"]).format(main(self.prose(1, 2))))
+        for _ in range(0 if bare else int(self.rng.integers(1, self.pick([2, 5, 14])))):
             parts.append(paragraph())
             if self.chance(0.1):
                 parts.append(self.other(self.pick(["ad", "notice", "share", "aside", "form"]), None))
-        if self.chance(0.25):
+        if not bare and self.chance(0.25):
             parts.append(self.other(self.pick(["share", "comments"]), None))
         tag = self.pick(["article", "article", "article", "main", "div", "section"])
         body = f"<{tag}{self.attribute('article')}>" + "".join(parts) + f"</{tag}>"
         before = [self.other(self.pick(["header", "header", "ad", "notice", "share", "form"]), None) for _ in range(int(self.rng.integers(0, 4)))]
         after = [self.other(self.pick(["aside", "comments", "ad", "share", "form", "footer", "notice"]), None) for _ in range(int(self.rng.integers(0, 4)))] + [self.other("footer", None)] * self.chance(0.8)
+        if self.chance(0.4 if bare else 0.03):  # a fragment
+            return body if self.chance(0.5) else f"<html><body>{body}</body></html>", marks
         html = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>' + "".join(before) + body + "".join(after) + "</body></html>"
         return html, marks

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,6 +148,34 @@ def test_html_blocks():
     assert html_extraction.blocks("") == [] and html_extraction.blocks("<p") == []
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>An icon <svg/> sits here</p><p>next</p>", ["An icon sits here", "next"]),
+    ("<p>a <iframe src='x'/> b</p><p>c<svg><text>no</text></svg></p>", ["a b", "c"]),
+    ("<p>if <math><mi>x</mi>=<mn>2</mn></math> then <object>no viewer</object></p>", ["if x=2 then no viewer"]),
+    ("<p data-x=it's>one</p><p title=\"a > b\" data-y=don't>two</p>", ["one", "two"]),
+    ("<p class=a/b>one<p id='x>two</p><p>three", ["one", "two", "three"]),
+    ("<noscript><p>one</p>", ["one"]),
+    ("<div><b>one</div><p>two</b></p>", ["one", "two"]),
+])
+def test_html_odd_markup(page, want):
+    assert [b.text for b in html_extraction.blocks(page)] == want
+
+
+def test_html_inline_tags_close_no_blocks():
+    found = html_extraction.blocks("<span><article><p>one</span> more</p><p>two</p></article></span>")
+    assert [(b.text, [t for t, _ in b.path]) for b in found] == [("one more", ["span", "article", "p"]), ("two", ["span", "article", "p"])]
+
+
+def test_html_depth_costs_no_more():
+    for part in ("<div>x", "<span>x", "<p><b>x", "</b></i>x<i>", "<li><a>x"):
+        took = []
+        for n in (4000, 16000):
+            began = time.perf_counter()
+            assert html_extraction.blocks(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.2, part
+
+
 @pytest.fixture(scope="module")
 def field():
     return html_extraction.fit()
@@ -162,6 +191,26 @@ def test_html_held_out_pages(field):
     assert wrong / n < 0.01
 
 
+def test_html_short_articles(field):
+    for text in ("One sentence is all there is.", "Rain fell on the town and the river rose by noon."):
+        page = f"<html><head><title>x</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><article><p>{text}</p></article><footer><p>All rights reserved</p></footer></body></html>"
+        assert html_extraction.extract(page, field) == text
+        assert html_extraction.extract(f"<article><p>{text}</p></article>", field) == text
+
+
+def test_html_layouts_that_are_not_generated(field):
+    """Hand-written layouts: what is kept and what goes."""
+    story = ["The council met on Tuesday to discuss the new bridge over the river.", "Several residents spoke against the plan, which would cost four million over three years.", "A vote is expected before the end of the month."]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    pages = [
+        f"<body><div id='top-nav'><a href=/>Home</a> <a href=/a>About</a></div><div class='layout'><div class='main-content'><h1>Bridge plan</h1>{body}</div><div class='sidebar'><h3>Popular</h3><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></div></div><div id='footer'>Copyright 2020</div></body>",
+        f"<body><header><h2><a href='/'>The Daily</a></h2></header><main><article><h1>Bridge plan</h1>{body}<section class='comments'><h3>Comments</h3><div class='comment'><b>Ann</b><p>I like it.</p></div></section></article></main><footer>Contact us</footer></body>",
+        f"<body><div class='cookie-notice'>We use cookies to improve your experience. <button>Accept</button></div><section class='post-body'><h1>Bridge plan</h1>{body}</section><aside><p>Subscribe to our newsletter</p></aside></body>",
+    ]
+    for page in pages:
+        assert html_extraction.extract(page, field).split("\n\n") == ["Bridge plan", *story]
+
+
 def test_html_of_tables(spark, small, field):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_extraction.digest(html_extraction.main_text(pages)).collect()
