@@ -78,7 +78,19 @@ WITH t AS (
   SELECT part_id, doc_id, license, count(*) AS c FROM pb JOIN tb USING (a, b) GROUP BY ALL
 ), d AS (
   SELECT doc_id, license, 2.0::DOUBLE * c / (np.n + nt.n) AS dice FROM both_ JOIN np USING (part_id) JOIN nt USING (license)
+), near AS (SELECT doc_id, license, max(dice) AS dice, count(*) AS n FROM d WHERE dice >= 0.8 GROUP BY ALL
+), docs AS (
+  SELECT doc_id, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS bs FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL)
+), tl AS (
+  SELECT license, len(ws) - 1 AS size, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ts FROM t
+), may AS (
+  SELECT doc_id, license, bs, size, ts FROM docs JOIN tl ON len(bs) >= size AND 3 * len(list_intersect(list_distinct(bs), ts)) >= 2 * len(ts)
+), win AS (
+  SELECT doc_id, license, list_distinct(bs[i:i + size - 1]) AS x, ts FROM (SELECT *, unnest(range(1, len(bs) - size + 2)) AS i FROM may)
+), slid AS (
+  SELECT doc_id, license, max(dice) AS dice, count(*) AS n FROM (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(x, ts)) / (len(x) + len(ts)) AS dice FROM win) WHERE dice >= 0.8 GROUP BY ALL
 )
-SELECT doc_id, license, max(dice) AS dice, count(*)::BIGINT AS n_candidates FROM d WHERE dice >= 0.8 GROUP BY ALL
+SELECT doc_id, license, greatest(near.dice, slid.dice) AS dice, coalesce(near.n, 0)::BIGINT AS n_candidates, coalesce(slid.n, 0)::BIGINT AS n_windows
+FROM near FULL JOIN slid USING (doc_id, license)
 """,
 }

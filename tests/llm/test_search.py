@@ -85,10 +85,31 @@ def test_licence_scan(spark, odd_docs, no_docs):
 
 
 def test_licence_bounds_prune_nothing_that_matches():
-    s = license_scan.Scanner({"a": "one two three four five six"}, 0.8)
-    for text in ("one two three four five six", "one two three four five six seven", "one two three four five", "one two three four five six seven eight nine"):
-        b, t = license_scan.bigrams(text), license_scan.bigrams("one two three four five six")
-        assert bool(s.scan(text)) == (2 * len(b & t) / (len(b) + len(t)) >= 0.8)
+    rng = random.Random(2)
+    words = "one two three four five six seven".split()
+    templates = {"a": "one two three four five six", "b": "two three two three one", "c": "six five four three two one one"}
+    s = license_scan.Scanner(templates, 0.8)
+    found = 0
+    for _ in range(600):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rng.randrange(1, 25)))
+        if rng.random() < 0.5:
+            body = rng.choice(list(templates.values())).split()
+            body[rng.randrange(len(body))] = rng.choice(words)
+            text += " ".join(body) + rng.choice(["", " three four", "\n"])
+        got = s.scan(text)
+        assert got == license_scan.brute(text, templates), text
+        found += bool(got)
+    assert found > 50
+
+
+def test_licence_in_paragraphs_and_in_long_lines(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    cut = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    assert cut.count("\n\n") == 2
+    rows = [(1, f"# tool\n\nsome code here\n\nCopyright (c) 2020\n\n{cut}\n\n" + " ".join(f"word{i}" for i in range(300))), (2, "This project is Released under the MIT License and see the file for details " + " ".join(f"word{i}" for i in range(90)))]
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "MIT"].dice > 0.99 and got[1, "MIT"].n_candidates == 0 and got[1, "MIT"].n_windows > 0
+    assert got[2, "notice:MIT"].dice == 1 and got[2, "notice:MIT"].n_candidates == 0
 
 
 def best_total(codec, text):
