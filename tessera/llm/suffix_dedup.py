@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, mixed, prepare, raw, rows_of, runs_of, signed, written
+from tessera.llm.common import Stretches, byte_values, chunks, discard, lists, minimisers, mixed, prepare, raw, rows_of, runs_of, signed, written
 from tessera.llm.spans import PACKED, Found, byte_windows, counted, covered, exact_bucket, salted, with_runs
 
 RUN, BUCKET_ROWS = 400, 6000
@@ -169,19 +169,22 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, piece: int
     texts = rows_of(docs, key, text)
     parts = [f"p{i}" for i in range(gram // piece)]
     rows = texts.select("row", "text").mapInArrow(_places(length, gram, piece), ", ".join(f"{p} long" for p in parts) + ", row long, start int, n int, weight long")
+    rows = written(rows, "places")
     while len(parts) > 1:  # ranks of pairs at growing offsets: each rank now covers twice as many bytes
         pairs = [F.xxhash64(parts[i], parts[i + 1]).alias(f"p{i // 2}") for i in range(0, len(parts), 2)]
         parts = parts[: len(parts) // 2]
-        rows = rows.select(*pairs, "row", "start", "n", "weight")
-        shared = rows.groupBy("p0").agg(F.sum("weight").alias("rows")).where("rows > 1")
-        rows = written(rows.join(shared, "p0"), "ranks")
-        if len(parts) > 1:
-            rows = rows.drop("rows")
+        ranked = rows.select(*pairs, "row", "start", "n", "weight")
+        shared = ranked.groupBy("p0").agg(F.sum("weight").alias("rows")).where("rows > 1")
+        kept = written(ranked.join(shared, "p0") if len(parts) == 1 else ranked.join(shared.select("p0"), "p0", "left_semi"), "ranks")
+        discard(rows)
+        rows = kept
     spans = salted(rows.select(F.col("p0").alias("key"), "row", "start", "n", "rows"), BUCKET_ROWS)
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
     dealt = texts.repartition("row")  # the one exchange of texts, used twice
     packed = dealt.join(spans, "row").mapInArrow(_pack(length), PACKED)
-    found = with_runs(dealt, counted(packed, doubling_bucket(length, gram), "strings"))
+    runs = counted(packed, doubling_bucket(length, gram), "strings")
+    discard(rows)
+    found = with_runs(dealt, runs)
     kind = dealt.schema["rest"].dataType.simpleString()
     return found.mapInArrow(_kept(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
