@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, lists, minimisers, prepare, raw, rows_of, runs_of, signed, words_in
+from tessera.llm.common import Stretches, byte_values, chunks, discard, lists, minimisers, prepare, raw, rows_of, runs_of, signed, words_in, written
 from tessera.llm.spans import PACKED, counted, covered, exact_bucket, salted, with_runs, word_windows
 
 #: The longest run of windows in one packed string.
@@ -117,13 +117,15 @@ def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "d
     """
     prepare(docs.sparkSession)
     texts = rows_of(docs, key, text, carry)
-    runs = texts.select("row", "text").mapInArrow(_super_kmers(length, k), "key long, row long, start int, n int, weight long")
+    runs = written(texts.select("row", "text").mapInArrow(_super_kmers(length, k), "key long, row long, start int, n int, weight long"), "super-k-mers")
     again = runs.groupBy("key").agg(F.sum("weight").alias("rows")).where("rows > 1")
     spans = salted(runs.drop("weight").join(again, "key"), BUCKET_ROWS)
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("key", "salt", "salts", "start", "n")).alias("spans"))
     dealt = texts.repartition("row")  # the one exchange of texts, used twice
     packed = dealt.join(spans, "row").mapInArrow(_pack(length), PACKED)
-    found = with_runs(dealt, counted(packed, exact_bucket(word_windows(length)), "windows"))
+    repeated = counted(packed, exact_bucket(word_windows(length)), "windows")
+    discard(runs)
+    found = with_runs(dealt, repeated)
     kind = dealt.schema["rest"].dataType.simpleString()
     return found.mapInArrow(_kept(length, whole), f"rest {kind}, n_words long, n_removed long, kept string").select("rest.*", "n_words", "n_removed", "kept")
 
