@@ -5,25 +5,47 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-# Thresholds, stop words, refusals, and words that count as one.
-LONG_ENOUGH, ALIKE, SHARED, CONTENT, CONTENT_ALIKE, COVERED = 3, 0.82, 0.72, 0.62, 0.45, 0.55
+# Thresholds, words that carry no content, refusals, and words that count as one (a leading * stands for any word that begins so, one on both sides for any that holds it).
+WHOLE_WORDS, ALIKE, WORDS_SHARED, CONTENT_SHARED, CONTENT_ALIKE, COVERED, KEY_WORDS = 3, 0.82, 0.72, 0.62, 0.45, 0.55, 3
 STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the to with".split())
-REFUSALS = ("can't answer", "cannot answer", "can not answer", "unable to answer", "not enough information", "insufficient information", "i don't know", "i do not know")
-REFUSAL = re.compile(r"\bno\s+[^.]{0,40}\b(video|frame|scene|mural|evidence|information)\b")
-STEMS = {"dark": "dark", "night": "night", "snow": "snow", "blur": "blur"}
-SAME = {w: k for k, ws in {
-    "light": "illuminated illumination lit", "vehicle": "car cars vehicle vehicles", "outdoor": "outdoor outdoors outside", "indoor": "indoor indoors inside",
-    "motion": "moving movement motion dynamic shaky shift shifts transition transitions change changes", "static": "static stationary", "cold": "cold cool winter wintery", "color": "colorful colourful vibrant",
-}.items() for w in ws.split()}
-SUFFIXES = ("ing", "ed", "es", "s", "ness", "ly")
+REFUSAL = re.compile("|".join((
+    "can't answer", "cannot answer", "can not answer", "unable to answer", "not enough information", "insufficient information", "i don't know", "i do not know",
+    r"\bno\s+[^.]{0,40}\b(?:video|frame|scene|mural|evidence|information)\b",
+)))
+SYNONYMS = """
+*light*: light
+dark*: dark
+night*: night
+snow*: snow
+blur*: blur
+light: illuminated illumination lit
+vehicle: car cars vehicle vehicles
+outdoor: outdoor outdoors outside
+indoor: indoor indoors inside
+motion: moving movement motion dynamic shaky shift shifts transition transitions change changes
+static: static stationary
+cold: cold cool winter wintery
+color: colorful colourful vibrant
+"""
+ENDINGS = ("ing", "ed", "es", "s", "ness", "ly")
+
+
+def _groups() -> list[tuple[re.Pattern, str]]:
+    """Patterns of whole words in order, with what they count as."""
+    lines = [line.partition(": ")[::2] for line in SYNONYMS.strip().splitlines()]
+    either = lambda words: "|".join(re.escape(w).replace(r"\*", ".*") for w in words.split())
+    return [(re.compile(either(left if "*" in left else right)), right if "*" in left else left) for left, right in lines]
+
+
+GROUPS = _groups()
 
 
 def normal(text: str | None) -> str:
@@ -32,16 +54,12 @@ def normal(text: str | None) -> str:
 
 
 def canonical(word: str) -> str:
-    w = re.sub(r"[^a-z0-9]+", "", word.lower())
-    if "light" in w:
-        return "light"
-    for stem, name in STEMS.items():
-        if w.startswith(stem):
+    """What a word counts as: its group, or the word without its first fitting ending if more than three letters are left."""
+    bare = re.sub(r"[^a-z0-9]+", "", word.lower())
+    for pattern, name in GROUPS:
+        if pattern.fullmatch(bare):
             return name
-    if w in SAME:
-        return SAME[w]
-    cut = next((s for s in SUFFIXES if w.endswith(s) and len(w) > len(s) + 3), "")
-    return w[: len(w) - len(cut)]
+    return next((bare[: -len(e)] for e in ENDINGS if bare.endswith(e) and len(bare) - len(e) > 3), bare)
 
 
 def overlap_f1(a: list[str], b: list[str]) -> float:
@@ -49,83 +67,59 @@ def overlap_f1(a: list[str], b: list[str]) -> float:
     return 2 * shared / (len(a) + len(b)) if shared else 0.0
 
 
-def refuses(text: str) -> bool:
-    return any(r in text for r in REFUSALS) or bool(REFUSAL.search(text))
+class Reading:
+    """An answer in the forms that the rules compare."""
+
+    def __init__(self, text: str | None):
+        self.text = normal(text)
+        self.words = re.findall(r"\w+", self.text)
+        self.content = [w for w in self.words if w not in STOP_WORDS]
+        self.keys = {k for k in map(canonical, self.content) if k}
+        self.refuses = REFUSAL.search(self.text) is not None
+
+
+#: Rules in order: what decides, whether the answers are the same if it holds. The last one decides what none did.
+RULES: list[tuple[str, Callable[[Reading, Reading], bool], bool]] = [
+    ("nothing said", lambda a, g: not a.text or not g.text, False),
+    ("a refusal", lambda a, g: a.refuses and not g.refuses, False),
+    ("equal", lambda a, g: a.text == g.text, True),
+    ("too short to compare", lambda a, g: min(len(a.words), len(g.words)) < WHOLE_WORDS, False),
+    ("one holds the other", lambda a, g: a.text in g.text or g.text in a.text, True),
+    ("alike in letters", lambda a, g: _alike(a, g) >= ALIKE, True),
+    ("alike in words", lambda a, g: overlap_f1(a.words, g.words) >= WORDS_SHARED, True),
+    ("alike in content", lambda a, g: overlap_f1(a.content, g.content) >= CONTENT_SHARED and _alike(a, g) >= CONTENT_ALIKE, True),
+    ("key words covered", lambda a, g: len(g.keys) >= KEY_WORDS and len(g.keys & a.keys) / len(g.keys) >= COVERED, True),
+]
+
+
+def _alike(a: Reading, g: Reading) -> float:
+    return SequenceMatcher(None, a.text, g.text).ratio()
 
 
 def same_answer(answer: str | None, gold: str | None) -> bool:
-    """Whether an open answer says what the gold answer says: from equal texts down to shared key words."""
-    a, g = normal(answer), normal(gold)
-    if not a or not g or refuses(a) and not refuses(g):
-        return False
-    if a == g:
-        return True
-    x, y = re.findall(r"\w+", a), re.findall(r"\w+", g)
-    if min(len(x), len(y)) <= 2:
-        return False
-    if min(len(x), len(y)) >= LONG_ENOUGH and (a in g or g in a):
-        return True
-    alike = SequenceMatcher(None, a, g).ratio()
-    if alike >= ALIKE or overlap_f1(x, y) >= SHARED:
-        return True
-    x, y = ([w for w in ws if w not in STOP_WORDS] for ws in (x, y))
-    if overlap_f1(x, y) >= CONTENT and alike >= CONTENT_ALIKE:
-        return True
-    have, want = ({canonical(w) for w in ws} - {""} for ws in (x, y))
-    return len(want) >= 3 and len(want & have) / len(want) >= COVERED
+    """Whether an open answer says what the gold answer says, by the first rule that holds."""
+    a, g = Reading(answer), Reading(gold)
+    return next((same for _, holds, same in RULES if holds(a, g)), False)
 
 
 def boxed(text: str | None) -> str | None:
-    """Content of the last \\boxed{...} (braces balanced) or \\boxed word."""
+    """Content of the last \\boxed{...} (braces balanced) or \\boxed word; of the last \\fbox if there is no \\boxed."""
     text = text or ""
-    at = max(text.rfind("\\boxed"), text.rfind("\\fbox"))
+    mark = "\\boxed" if "\\boxed" in text else "\\fbox"
+    at = text.rfind(mark)
     if at < 0:
         return None
-    brace = text.find("{", at)
-    if brace < 0 or text[at:brace].strip() not in ("\\boxed", "\\fbox"):
-        return text[at + 6 :].split("$")[0].strip() or None
-    depth = 0
-    for i in range(brace, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
+    rest = text[at + len(mark) :]
+    if not rest.lstrip().startswith("{"):
+        return rest.split("$")[0].strip() or None
+    depth, begin = 0, rest.find("{")
+    for i in range(begin, len(rest)):
+        depth += {"{": 1, "}": -1}.get(rest[i], 0)
         if not depth:
-            return text[brace + 1 : i]
+            return rest[begin + 1 : i]
     return None
 
 
-def plain_math(text: str | None) -> str:
-    """One spelling of simple LaTeX: spaces, units, degrees and dollars go, fractions and roots get braces."""
-    s = (text or "").replace("\n", "").replace("\\!", "").replace("\\\\", "\\")
-    s = s.replace("tfrac", "frac").replace("dfrac", "frac").replace("\\left", "").replace("\\right", "")
-    s = re.sub(r"\^\{?\\circ\}?|\\\$|\\%|%|\$", "", s)
-    s = re.sub(r"\\text\{\s*[^}]*\}\s*$", "", s)
-    s = re.sub(r"(?<![0-9])\.(\d)", r"0.\1", s)
-    s = re.sub(r"\\sqrt\s*([A-Za-z0-9])", r"\\sqrt{\1}", s)
-    s = re.sub(r"\\frac\s*([A-Za-z0-9])\s*([A-Za-z0-9])", r"\\frac{\1}{\2}", s)
-    s = re.sub(r"\\frac\s*([A-Za-z0-9])\s*\{", r"\\frac{\1}{", s)
-    s = re.sub(r"\s+", "", s)
-    left, eq, right = s.partition("=")
-    s = right if eq and len(left) <= 2 else s
-    return re.sub(r"^(-?\d+)/(-?\d+)$", r"\\frac{\1}{\2}", "\\frac{1}{2}" if s == "0.5" else s)
-
-
-def _number(s: str) -> Fraction | None:
-    s = s.replace(",", "")
-    if m := re.fullmatch(r"(-?)\\frac\{(-?\d+)\}\{(-?\d+)\}", s):
-        return Fraction(int(m[1] + "1") * int(m[2]), int(m[3])) if int(m[3]) else None
-    try:
-        return Fraction(s)
-    except (ValueError, ZeroDivisionError):
-        return None
-
-
-def same_math(answer: str | None, gold: str | None) -> bool:
-    a, g = plain_math(answer), plain_math(gold)
-    if a == g:
-        return bool(a)
-    x, y = _number(a), _number(g)
-    return x is not None and x == y
-
-
 def first_json(text: str | None) -> str | None:
     """The first JSON object or list in prose or a fence, as compact JSON."""
     text = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text or "", flags=re.IGNORECASE)
@@ -199,10 +193,6 @@ def open_answer(answer: Column, gold: Column) -> Column:
     return _udf(same_answer, t.BooleanType())(answer, gold)
 
 
-def math_answer(answer: Column, gold: Column) -> Column:
-    return _udf(same_math, t.BooleanType())(answer, gold)
-
-
 def boxed_answer(text: Column) -> Column:
     return _udf(boxed, t.StringType())(text)
 

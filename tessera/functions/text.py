@@ -36,6 +36,11 @@ def answer_text(x: Column) -> Column:
     return F.regexp_replace(low, r"^[ .。]+|[ .。]+$", "")
 
 
+def answer_plain(x: Column) -> Column:
+    """Lower case, white space collapsed, without points and spaces at the ends."""
+    return F.regexp_replace(simple(x), r"^[ .。]+|[ .。]+$", "")
+
+
 def exact_match_text(x: Column) -> Column:
     """Lower case without punctuation and English articles."""
     bare = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[!-/:-@\[-`{-~]", "")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import judging as J
+from tessera.functions import mathematics as X
 from tessera.operators import metrics as M
 from tessera.operators import timeline as L
 from tessera.registry import Tables, query, seconds
@@ -30,7 +31,7 @@ def boxed_math(t: Tables) -> DataFrame:
     ship(t.spark)
     text = F.concat(F.lit("so \\boxed{1} or rather $\\boxed{\\frac{"), F.col("p_size").cast("string"), F.lit("}{4}}$."))
     box = J.boxed_answer(text)
-    return t.part.select("p_partkey", box.alias("answer"), J.math_answer(box, F.concat(F.lit("x = "), (F.col("p_size") * 25 / 100).cast("string"))).alias("same"))
+    return t.part.select("p_partkey", box.alias("answer"), X.math_equal(box, F.concat(F.lit("x = "), (F.col("p_size") * 25 / 100).cast("string"))).alias("same"))
 
 
 @query("""
