@@ -66,7 +66,7 @@ def worked(df: DataFrame, place: str, workers: int, work, schema: str) -> DataFr
 def gathered(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
     """Lists of each column's values in order: rows of metrics as one row of lists."""
     rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *(F.transform("_r", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
 def micro_batches(lengths: list[int], budget: int, least: int = 1, multiple: int = 1) -> list[list[int]]:

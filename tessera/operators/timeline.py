@@ -81,3 +81,22 @@ def scores_written_back(rows: DataFrame, key: list[str], children: str, scores:
     joined = rows.join(lists, key, "left")
     new = F.transform(children, lambda c, i: F.struct(*(c[f].alias(f) for f in fields if f not in values), *(F.when(F.col("_s").isNotNull(), F.get(F.filter(F.map_entries("_s"), lambda e: e["key"] == i), F.lit(0))["value"][v]).alias(v) for v in values)))
     return joined.withColumn(children, new).drop("_s")
+
+
+def until_target(frames: DataFrame, video: str, frame: str, targets: DataFrame, target: str, fps: float, base: int) -> DataFrame:
+    """Frames up to the one that is on at the video's target time; times beyond the frames are clamped, videos without a target keep all."""
+    from tessera.functions.rounding import frame_of
+
+    ends = frames.groupBy(video).agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi")).join(targets.select(video, F.col(target).alias("_t")), video, "left")
+    last = ends.select(video, F.when(F.col("_t").isNull(), F.col("_hi")).otherwise(frame_of(F.col("_t"), fps, base, F.col("_lo"), F.col("_hi"))).alias("_last"))
+    return frames.join(last, video).where(F.col(frame) <= F.col("_last")).drop("_last")
+
+
+def from_start(frames: DataFrame, end: str, start: Column) -> DataFrame:
+    """Frames that end after the start; no start keeps all."""
+    return frames.where(start.isNull() | (F.col(end) > start))
+
+
+def with_frames(df: DataFrame, key: list[str], listing: DataFrame) -> DataFrame:
+    """Rows whose frames exist, by a listing of what there is."""
+    return df.join(listing.select(*key).distinct(), key, "left_semi")
