@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.shipping import ship
 from tessera.storage import shared_dir
 
-#: Rows and bytes in one Arrow batch.
-BATCH_ROWS, BATCH_BYTES = "1000", "4m"
+#: Rows in one Arrow batch; texts are long, so that batches stay at a few MB. (A limit of bytes costs time for each row of narrow tables.)
+BATCH_ROWS = "1000"
 #: Bytes of text that the vectorised helpers handle at once; a longer text is one chunk.
 CHUNK_BYTES = 1 << 17
 
@@ -25,11 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on the executors, the shared folder, and Arrow batches of a few MB unless the session has sizes of its own."""
+    """The package on the executors, the shared folder, and Arrow batches of a few MB unless the session has a size of its own."""
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     shared_dir(spark)
 
 
