@@ -5,8 +5,8 @@ group on the whole sets. No budget of bits finds all pairs of that similarity, s
 any one order of all shingles, two sets x and y of that similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles
 of x and of y. Only sets of different groups meet there, and none is left out; candidates are confirmed on the whole sets. The order is that of the
 hashes, with common shingles last: which are common is estimated from a sample, and changes the work but not the result.
-Equal sets are one. First all sets that share a shingle are compared with two of them only; then those that
-are still in different groups with each other.
+Equal sets are one. In each of ROUNDS, all sets that share a shingle are compared with LEADERS of them only; at the end those that
+are still in different groups are with each other.
 
 Defined results: words are as in simhash; a null or empty text has no shingle, and all such texts are equal; fewer words than a shingle are one
 shingle; shingles are told apart by 64-bit hashes; rows that are equal in key and text share a row number; rows without a doc_id are members like any other, and a group of such rows alone has no component_id; an empty table gives an empty result; other columns are ignored.
@@ -27,6 +27,8 @@ from tessera.llm.components import components
 
 #: Texts of the sample, and in how many of them a common shingle is.
 SAMPLE_ROWS, COMMON = 4000, 8
+#: Rounds with so many leading sets of each shingle before all pairs that are left.
+ROUNDS, LEADERS = 2, 4
 #: Words of 64 bits in a sketch: bit i is the parity of the set's shingles that fall on i, so that as many bits as differ, shingles differ at least.
 #: Sets of over LONG shingles have a wide one too.
 SKETCH, WIDE, LONG = 16, 256, 800
@@ -97,6 +99,13 @@ def _tokens(size: int):
     return run
 
 
+def _apart(entries: DataFrame, turn: int) -> DataFrame:
+    """Entries of shingles that sets of several groups hold, and whether each leads: LEADERS of a shingle do each turn, first those in which the fewest shingles come before it, which have the least of their own."""
+    w = Window.partitionBy("token")
+    ranked = entries.select("*", F.row_number().over(w.orderBy("pos", "set")).alias("_r"), F.min("group").over(w).alias("_a"), F.max("group").over(w).alias("_b")).where("_a <> _b")
+    return ranked.withColumn("leads", F.col("_r").between(turn * LEADERS + 1, (turn + 1) * LEADERS)).drop("_r", "_a", "_b")
+
+
 def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches allow the similarity."""
     for c in ("sketch", "wide"):
@@ -106,8 +115,10 @@ def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs
 
 
-def _candidates(entries: DataFrame, other: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
+def _candidates(entries: DataFrame, others: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
     """Distinct pairs (u, v), u < v, that which allows, and whose sizes, places of a shared shingle and sketches allow the similarity."""
+    entries = entries.drop("leads")
+    other = others.select("token", *(F.col(c).alias(f"{c}_") for c in entries.columns if c != "token"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
     near = (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n")) & (9 * rest >= 4 * (F.col("n") + F.col("n_")))
     return _by_sketch(entries.join(other, "token").where(F.expr(which) & near).select(F.least("set", "set_").alias("u"), F.greatest("set", "set_").alias("v")).distinct(), sketches)
@@ -145,21 +156,20 @@ def near_groups(docs: DataFrame, size: int = 5, bits: int = 3, key: str = "doc_i
     links = _confirmed(_by_sketch(tries.select(F.least("doc_id", "component_id").alias("u"), F.greatest("doc_id", "component_id").alias("v")), sketches), sets, texts, size)
     groups = written(components(links).withColumnRenamed("node", "set"), "groups")
 
-    # the rest: sets of different groups that share a shingle of their prefixes
+    # the rest: sets of different groups that share a shingle of their prefixes, first with a few sets of each shingle, other ones each round
     known = sets.select("set", "n", "prefix").join(sent_side(groups), "set", "left")
-    entries = known.select("set", F.coalesce("component", "set").alias("group"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "group", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
-    of_token, of_set = Window.partitionBy("token"), F.struct("group", "set")
-    met = entries.select("*", F.min(of_set).over(of_token).alias("lo"), F.max(of_set).over(of_token).alias("hi")).where("lo.group <> hi.group")
-    live = written(met.select("token", "set", "group", F.expr("at div 4294967296").alias("n"), F.expr("at % 4294967296").alias("pos"), F.expr("set = lo.set or set = hi.set").alias("leads")), "candidates")
-    other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_") for c in df.columns if c not in ("token", "leads")))
-    links = written(links.unionAll(_confirmed(_candidates(live, other(live.where("leads")), sketches, "group <> group_"), sets, texts, size)), "links")
-    groups = written(components(links).withColumnRenamed("node", "set"), "groups")
-    named = live.select("token", "set", "n", "pos").join(sent_side(groups), "set", "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("group"))
-    several = named.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("token")
-    apart = written(named.join(several, "token"), "apart")
+    entries = known.select("set", F.coalesce("component", "set").alias("group"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "group", F.col("n").cast("int").alias("n"), "pos")
+    live = written(_apart(entries, 0), "candidates")
+    for i in range(1, ROUNDS + 1):
+        found = _confirmed(_candidates(live, live.where("leads"), sketches, "group <> group_"), sets, texts, size)
+        links = written(links.unionAll(found), "links")
+        groups = written(components(links).withColumnRenamed("node", "set"), "groups")
+        named = live.drop("group", "leads").join(sent_side(groups), "set", "left").select("token", "set", F.coalesce("component", "set").alias("group"), "n", "pos")
+        left = written(_apart(named, i), "candidates")
+        discard(live)
+        live = left
+    links = links.unionAll(_confirmed(_candidates(live, live, sketches, "set < set_ and group <> group_"), sets, texts, size))
     discard(live)
-    links = links.unionAll(_confirmed(_candidates(apart, other(apart), sketches, "set < set_ and group <> group_"), sets, texts, size))
-    discard(apart)
     groups = components(links).withColumnRenamed("node", "set")
     joined = written(sets.select("set", "rep").join(groups, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("component")), "joined")
     discard(sets)

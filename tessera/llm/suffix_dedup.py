@@ -189,6 +189,47 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, piece: int
     return found.mapInArrow(_kept(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place of every text, ranked by the eight bytes that begin there."""
+    for b in batches:
+        data, offsets = raw(b.column("text"))
+        ids = b.column("row").to_numpy()
+        for lo, hi in chunks(offsets):
+            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            n = np.maximum(0, np.diff(at) - 7)
+            if not n.sum():
+                continue
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin = place + np.repeat(at[:-1], n)
+            rank = np.zeros(len(place), np.uint64)
+            for i in range(8):
+                rank = rank << np.uint64(8) | part[begin + i].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo:hi], n)), pa.array(place.astype(np.int32)), pa.array(signed(rank))], names=["row", "pos", "rank"])
+
+
+def prefix_doubling(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", sizes: list[int] | None = None) -> DataFrame:
+    """(row, pos) of every place where a repeated string of `length` bytes starts, by prefix doubling over all places.
+
+    Each round pairs the rank of a place with that at the growing offset, reranks the pairs, and drops places whose rank became unique; a
+    place whose partner was dropped is unique too. Its tables are many times the text (README), which suffix_dedup() avoids by doubling
+    minimiser places only; both find the same strings. sizes: gets the rows of each round.
+    """
+    prepare(docs.sparkSession)
+    ranks = written(rows_of(docs, key, text).select("row", "text").mapInArrow(_first_ranks, "row long, pos int, rank long"), "doubling")
+    size = 8
+    while size < length:
+        step = min(size, length - size)
+        ahead = ranks.select("row", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = ranks.join(ahead, ["row", "pos"])
+        shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select("rank", "next", F.xxhash64("rank", "next").alias("new"))
+        new = written(pairs.join(shared, ["rank", "next"]).select("row", "pos", F.col("new").alias("rank")), "doubling")
+        if sizes is not None:
+            sizes.append(ranks.count())
+        discard(ranks)
+        ranks, size = new, size + step
+    return ranks.select("row", "pos")
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -50,6 +50,17 @@ def test_suffix_dedup_of_short_strings(odd_docs, odd_rows):
     assert Counter(tuple(r) for r in got) == counted(suffix_dedup.brute(by_row(odd_rows), 30), odd_rows)
 
 
+def test_prefix_doubling_over_all_places_agrees(spark, odd_rows):
+    texts = sorted({t for _, t in odd_rows if t})[:25]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.row: r.doc_id for r in docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id").collect()}
+    gone = {i: set() for i in range(len(texts))}
+    for r in suffix_dedup.prefix_doubling(docs, length=50).collect():
+        gone[rows[r.row]].update(range(r.pos, r.pos + 50))
+    got = suffix_dedup.digest(suffix_dedup.suffix_dedup(docs, length=50, gram=16, piece=4)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: len(x) for i, x in gone.items()} and any(gone.values())
+
+
 def test_doubling_bucket_agrees_with_sorted_strings():
     rng = np.random.default_rng(3)
     rows = []
