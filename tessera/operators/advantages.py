@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,10 @@ def gpg(df: DataFrame, group: str = "group", score: str = "score") -> DataFrame:
 
 @estimator("passk")
 def passk(df: DataFrame, group: str = "group", score: str = "score", order: str = "traj") -> DataFrame:
-    """Only the best row counts: by how much it beats the second; ties go to the earlier one."""
+    """Only the best row counts: by how much it beats the second; ties go to the earlier one. A group of one row has no second and fails the job."""
     w = Window.partitionBy(group).orderBy(F.desc(score), order)
     second = F.nth_value(score, 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("advantage", F.when(F.row_number().over(w) == 1, F.col(score) - second).otherwise(0.0))
+    return df.withColumn("advantage", F.when(F.count("*").over(_group(group)) < 2, F.raise_error("a group of one row").cast("double")).when(F.row_number().over(w) == 1, F.col(score) - second).otherwise(0.0))
 
 
 @estimator("reinforce_baseline")
@@ -107,8 +108,8 @@ def component(df: DataFrame, group: str = "group", turn: str = "turn", score: st
 
 
 def group_filter(df: DataFrame, group: str, traj: str, metric: str, least_std: float) -> DataFrame:
-    """Rows of groups with two trajectories at least and a spread above least_std."""
-    first = df.groupBy(group, traj).agg(F.first(metric, ignorenulls=True).alias("_m"))
+    """Rows of groups with two trajectories at least and a spread above least_std; of a trajectory's values, the least that isn't null counts."""
+    first = df.groupBy(group, traj).agg(F.min(metric).alias("_m"))
     kept = first.groupBy(group).agg(F.count("_m").alias("_n"), F.stddev_samp("_m").alias("_s")).where((F.col("_n") > 1) & (F.col("_s") > least_std))
     return df.join(kept.select(group), group, "left_semi")
 
@@ -129,17 +130,45 @@ def silence_renormalised(df: DataFrame, traj: list[str], reward: str, silent: st
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages of an array in time order; masked steps pass the state on."""
-    state = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-    steps = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
-
-    def step(a: Column, x: Column) -> Column:
-        delta = x["r"] + gamma * a["next"] - x["v"]
-        last = delta + gamma * lam * a["last"]
-        on = x["m"] > 0
-        return F.struct(F.when(on, x["v"]).otherwise(a["next"]).alias("next"), F.when(on, last).otherwise(a["last"]).alias("last"), F.concat(F.array(F.when(on, last).otherwise(a["last"])), a["out"]).alias("out"))
-
-    return F.aggregate(steps, state, step, lambda a: a["out"])
+    """Generalised advantages of an array in time order; masked steps pass the state on. One pass from the end, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def scan(rs: pd.Series, vs: pd.Series, ms: pd.Series) -> pd.Series:
+        rows = []
+        for r, v, m in zip(rs, vs, ms, strict=True):
+            after, last, out = 0.0, 0.0, [0.0] * len(r)
+            for i in range(len(r) - 1, -1, -1):
+                if m[i] > 0:
+                    last = r[i] + gamma * after - v[i] + gamma * lam * last
+                    after = v[i]
+                out[i] = last
+            rows.append(out)
+        return pd.Series(rows, dtype=object)
+
+    return scan(rewards.cast("array<double>"), values.cast("array<double>"), mask.cast("array<double>"))
+
+
+def two_level_gae(df: DataFrame, traj: list[str], turn: str, rewards: str, values: str, mask: str, gamma: float, lam: float, turn_gamma: float | None = None) -> DataFrame:
+    """Adds advantages and returns of tokens: each turn's return over turns (its rewards, its last value) is the reward of its last token.
+
+    Turns without tokens have none and pass the state on. A trajectory's turns, whose number its length bounds, go through one fold.
+    """
+    high = gamma if turn_gamma is None else turn_gamma
+    live = F.filter(F.sequence(F.lit(0), F.size(mask) - 1), lambda i: F.get(F.col(mask), i) > 0)
+    last = F.element_at(live, -1)
+    add = lambda a, x: a + x
+    total = F.aggregate(F.zip_with(rewards, mask, lambda r, m: r * m), F.lit(0.0), add)
+    rows = df.withColumns({"_some": F.size(live) > 0, "_last": F.when(F.size(live) > 0, last), "_r": total})
+    item = F.struct(F.col(turn), F.when(F.col("_some"), F.get(F.col(values), F.col("_last"))).otherwise(0.0).alias("v"), F.col("_r").alias("r"), F.col("_some").cast("double").alias("m"))
+    turns = rows.groupBy(*traj).agg(F.array_sort(F.collect_list(item)).alias("_t"))
+    part = lambda n: F.transform("_t", lambda x: x[n])
+    turns = turns.withColumn("_a", gae(part("r"), part("v"), part("m"), high, lam))
+    each = turns.select(*traj, F.explode(F.arrays_zip("_t", "_a")).alias("x")).select(*traj, F.col(f"x._t.{turn}").alias(turn), (F.col("x._a") + F.col("x._t.v")).alias("_return"))
+    rows = rows.join(each, [*traj, turn])
+    final = F.transform(rewards, lambda r, i: F.when(i == F.col("_last"), F.col("_return")).otherwise(0.0))
+    rows = rows.withColumn("_g", gae(final, F.col(values), F.col(mask), gamma, lam))
+    on = lambda f: F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col(values).alias("v"), F.col(mask).alias("m")), lambda x: F.when(x["m"] > 0, f(x)).otherwise(0.0))
+    return rows.withColumns({"advantages": on(lambda x: x["g"]), "returns": on(lambda x: x["g"] + x["v"])}).drop("_some", "_last", "_r", "_return", "_g")
 
 
 def kl(new: Column, old: Column, kind: str = "k1") -> Column:

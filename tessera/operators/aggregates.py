@@ -92,8 +92,7 @@ def masked(values: str, mask: str, how: str) -> Column:
     mean = total / (n + 1e-8)
     if how == "mean":
         return mean
-    square = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["v"] * p["v"] * p["m"])
-    var = square / (n + 1e-8) - mean * mean
+    var = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["v"] - mean) * (p["v"] - mean) * p["m"]) / (n + 1e-8)
     return F.when(n > 1, var * n / (n - 1))
 
 

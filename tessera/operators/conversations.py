@@ -110,11 +110,12 @@ def masked_labels(source: Column, target: Column, most: int, ignore: int = -100)
     return F.concat(F.array_repeat(F.lit(ignore), s), F.slice(target, F.lit(1), t))
 
 
-def most_lengths(source: Column, target: Column, most: int) -> tuple[Column, Column]:
+def most_lengths(source: Column, target: Column, most: int | Column) -> tuple[Column, Column]:
     """Tokens that prompt and answer keep: the shorter one is whole if it fits into half, else both shrink in proportion."""
-    room = F.when(target * 2 < most, F.lit(most)).when(source * 2 < most, F.lit(most) - source).otherwise((F.lit(most) * (target / (source + target))).cast("int"))
+    most = F.lit(most) if isinstance(most, int) else most
+    room = F.when(target * 2 < most, most).when(source * 2 < most, most - source).otherwise((most * (target / (source + target))).cast("int"))
     t = F.least(room, target)
-    return F.least(F.greatest(F.lit(most) - t, F.lit(0)), source), t
+    return F.least(F.greatest(most - t, F.lit(0)), source), t
 
 
 def mismatched_answers(df: DataFrame, order: list[str], answer: str, batch: Column) -> DataFrame:

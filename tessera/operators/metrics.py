@@ -75,14 +75,39 @@ def whitened(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn(name, (F.col(column) - F.col("_m")) / F.sqrt(F.col("_v") + 1e-8)).drop("_m", "_v")  # one row
 
 
-def token_baseline(df: DataFrame, key: str, group: str, rewards: str, weights: str) -> DataFrame:
-    """Returns to go less the group's baseline at each place: sums of G W over sums of W, W running weights; a row alone: 0."""
-    tokens = df.select(key, group, F.posexplode(F.arrays_zip(F.col(rewards).alias("r"), F.col(weights).alias("w"))).alias("place", "x")).select(key, group, "place", F.col("x.r").alias("r"), F.col("x.w").alias("w"))
+def path_weights(logp: Column, sum_pi_squared: Column, importance: Column | None = None) -> Column:
+    """1 - 2 p + the sum of squared probabilities for each token, times the squared importance weight if given."""
+    plain = F.zip_with(logp, sum_pi_squared, lambda p, s: 1 - 2 * F.exp(p) + s)
+    return plain if importance is None else F.zip_with(plain, importance, lambda w, r: w * r * r)
+
+
+def token_baseline(df: DataFrame, key: str, group: str, rewards: str, weights: str, mask: str | None = None, zero_tail: bool = False) -> DataFrame:
+    """(key, place, advantage): returns to go less the group's baseline at each place, the sum of G W over the sum of W, W running weights.
+
+    Places count the tokens that the mask keeps, over all turns of a row; a row alone in its group has baseline 0, rows without tokens don't
+    count. zero_tail: places that only the longest row of a group has get baseline 0.
+    """
+    on = F.col(mask) if mask else F.transform(rewards, lambda r: F.lit(1.0))
+    tokens = df.select(key, group, F.posexplode(F.arrays_zip(F.col(rewards).alias("r"), F.col(weights).alias("w"), on.alias("m"))).alias("place", "x")).where("x.m > 0")
     w = Window.partitionBy(key).orderBy("place")
-    tokens = tokens.withColumn("running", F.sum("w").over(w)).withColumn("to_go", F.sum("r").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    g = Window.partitionBy(group, "place")
-    base = F.when(F.count("*").over(g) > 1, F.sum(F.col("to_go") * F.col("running")).over(g) / (F.sum("running").over(g) + 1e-8)).otherwise(0.0)
-    return tokens.withColumn("advantage", F.col("to_go") - base).select(key, "place", "advantage")
+    tokens = tokens.select(key, group, "place", (F.row_number().over(w) - 1).alias("_at"), F.sum("x.w").over(w).alias("_w"), F.sum("x.r").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_g"))
+    rows = tokens.groupBy(group).agg(F.count_distinct(key).alias("_rows"))
+    tokens = tokens.join(rows, group)
+    g = Window.partitionBy(group, "_at")
+    several = (F.col("_rows") > 1) & ((F.count("*").over(g) > 1) if zero_tail else F.lit(True))
+    base = F.when(several, F.sum(F.col("_g") * F.col("_w")).over(g) / (F.sum("_w").over(g) + 1e-8)).otherwise(0.0)
+    return tokens.withColumn("advantage", F.col("_g") - base).select(key, "place", "advantage")
+
+
+def softmax_statistics(logits: Column, chosen: Column) -> Column:
+    """struct(logp of the chosen id, entropy, sum_pi_squared) of an array of logits; for small vocabularies."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    logp = lambda x: x - top - F.log(total)
+    return F.struct(
+        logp(F.get(logits, chosen)).alias("logp"), (-F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(logp(x)) * logp(x))).alias("entropy"),
+        F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(2 * logp(x))).alias("sum_pi_squared"),
+    )
 
 
 def aggregated_loss(df: DataFrame, losses: str, mask: str, mode: str, scale: float = 1.0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,27 @@ def recent(df: DataFrame, key: list[str], order: list[str], value: Column, n: in
     return df.withColumn(name, F.collect_list(value).over(by(key, order).rowsBetween(1 - n, 0)))
 
 
+def scanned(values: Column, step: Callable[[list[float]], list[float]]) -> Column:
+    """step of each array, in Arrow batches: for recursions along a sequence, which built-in folds would copy at each step."""
+
+    @F.pandas_udf("array<double>")
+    def each(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else step([float(x) for x in a]) for a in arrays], dtype=object)
+
+    return each(values.cast("array<double>"))
+
+
 def discounted(rewards: Column, beta: float) -> Column:
-    """c[t] = r[t] + beta c[t+1] of an array in time order, as one fold from its end."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(F.reverse(rewards), start, lambda acc, r: F.concat(F.array(r + beta * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
+    """c[t] = r[t] + beta c[t+1] of an array in time order."""
+
+    def step(r: list[float]) -> list[float]:
+        total, out = 0.0, []
+        for x in reversed(r):
+            total = x + beta * total
+            out.append(total)
+        return out[::-1]
+
+    return scanned(rewards, step)
 
 
 def all_later(df: DataFrame, key: list[str], order: list[str], flag: str, name: str = "all_later") -> DataFrame:
@@ -43,8 +63,15 @@ def all_later(df: DataFrame, key: list[str], order: list[str], flag: str, name:
 
 def thinned(times: Column, gap: float) -> Column:
     """Of an ascending array, each time at least gap after the last one kept."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(times, start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept))
+
+    def step(ts: list[float]) -> list[float]:
+        out: list[float] = []
+        for t in ts:
+            if not out or t - out[-1] >= gap:
+                out.append(t)
+        return out
+
+    return scanned(times, step)
 
 
 def spread_best(items: Column, gap: float, most: int) -> Column:
@@ -90,8 +117,14 @@ def last_answer(df: DataFrame, key: list[str], order: str, answer: str) -> DataF
 
 def smoothed(values: Column, weight: float) -> Column:
     """Exponential moving averages of an array."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) == 0, v).otherwise(F.element_at(acc, -1) * weight + v * (1 - weight)))))
+
+    def step(vs: list[float]) -> list[float]:
+        out: list[float] = []
+        for v in vs:
+            out.append(out[-1] * weight + v * (1 - weight) if out else v)
+        return out
+
+    return scanned(values, step)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:

@@ -112,3 +112,76 @@ def padded_batch(ids: Column, most: int, pad: int, left: bool = False) -> Column
     cut = F.slice(ids, 1, most)
     fill = F.array_repeat(F.lit(pad), F.lit(most) - F.size(cut))
     return F.concat(fill, cut) if left else F.concat(cut, fill)
+
+
+def packed_examples(df: DataFrame, key: str, ids: str, labels: str, batch: Column, capacity: int, pad: int, ignore: int = -100, neat: bool = True) -> DataFrame:
+    """(batch, pack, n, input_ids, labels, position_ids, attention): the examples of each pack of packed(), one after another, padded to capacity.
+
+    attention numbers the examples of a pack from 1, or is 1 for all of them (neat: false); positions begin anew with each example; padding has 0, and ignored labels.
+    """
+    rows = df.select(key, F.col(ids).alias("_ids"), F.col(labels).alias("_labels"), F.size(ids).cast("long").alias("_n"), batch.cast("long").alias("_batch"))
+    places = packed(rows, key, "_n", F.col("_batch"), capacity).select("batch", "pack", "place", key)
+    item = F.struct(F.col("place"), F.col("_ids").alias("ids"), F.col("_labels").alias("labels"))
+    packs = places.join(rows, (F.col("batch") == F.col("_batch")) & (places[key] == rows[key])).groupBy("batch", "pack").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    joined = lambda f: F.flatten(F.transform("x", f))
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.lit(capacity) - F.size(c)))
+    number = lambda p: F.array_repeat(p["place"] + 1 if neat else F.lit(1), F.size(p["ids"]))
+    places_of = lambda p: F.when(F.size(p["ids"]) > 0, F.sequence(F.lit(0), F.size(p["ids"]) - 1)).otherwise(F.array().cast("array<int>"))
+    return packs.select("batch", "pack", F.size("x").alias("n"), fill(joined(lambda p: p["ids"]), pad).alias("input_ids"), fill(joined(lambda p: p["labels"]), ignore).alias("labels"), fill(joined(places_of), 0).alias("position_ids"), fill(joined(number), 0).alias("attention"))
+
+
+def block_mask(attention: Column) -> Column:
+    """For each place of a packed row, which places it may see: earlier ones and itself, of its own example."""
+    return F.transform(attention, lambda a, i: F.transform(attention, lambda b, j: F.when((a == b) & (a > 0) & (j <= i), 1).otherwise(0)))
+
+
+def turn_labels(pairs: Column, most: int, mask_history: bool = False, on_prompt: bool = False, ignore: int = -100) -> Column:
+    """struct(input_ids, labels) of turns (source, target: arrays of ids) within a budget of tokens.
+
+    Each turn is cut by most_lengths() to what is left of the budget, and turns after it is used up go; with mask_history the last turn comes
+    first in this and is the only one to be learnt.
+    """
+    from tessera.operators.conversations import most_lengths
+
+    kind = "array<int>"
+    none = lambda: F.array().cast(kind)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("turn"), none().alias("ids"), none().alias("labels"))
+
+    def step(acc: Column, p: Column) -> Column:
+        source, target = p["source"].cast(kind), p["target"].cast(kind)
+        left = F.lit(most) - acc["n"]
+        s, t = most_lengths(F.size(source), F.size(target), left)
+        a, b = F.slice(source, F.lit(1), F.greatest(s, F.lit(0))), F.slice(target, F.lit(1), F.greatest(t, F.lit(0)))
+        said = F.when(acc["turn"] > 0, F.array_repeat(F.lit(ignore), F.size(b))).otherwise(b) if mask_history else b
+        asked = a if on_prompt else F.array_repeat(F.lit(ignore), F.size(a))
+        both = (lambda old, new: F.concat(new, old)) if mask_history else F.concat
+        new = F.struct((acc["n"] + F.size(a) + F.size(b)).alias("n"), (acc["turn"] + 1).alias("turn"), both(acc["ids"], F.concat(a, b)).alias("ids"), both(acc["labels"], F.concat(asked, said)).alias("labels"))
+        return F.when(acc["n"] >= most, acc).otherwise(new)
+
+    return F.aggregate(F.reverse(pairs) if mask_history else pairs, start, step, lambda a: F.struct(a["ids"].alias("input_ids"), a["labels"].alias("labels")))
+
+
+def pairwise(prompt: Column, chosen: Column, rejected: Column, most: int, ignore: int = -100) -> Column:
+    """struct of ids and labels of a chosen and a rejected answer to one prompt, which is cut by the longer of the two."""
+    from tessera.operators.conversations import most_lengths
+
+    s, t = most_lengths(F.size(prompt), F.greatest(F.size(chosen), F.size(rejected)), most)
+    p = F.slice(prompt, F.lit(1), s)
+    part = lambda x: (F.concat(p, F.slice(x, F.lit(1), t)), F.concat(F.array_repeat(F.lit(ignore), F.size(p)), F.slice(x, F.lit(1), t)))
+    (ci, cl), (ri, rl) = part(chosen), part(rejected)
+    return F.struct(ci.alias("chosen_ids"), cl.alias("chosen_labels"), ri.alias("rejected_ids"), rl.alias("rejected_labels"))
+
+
+def unsupervised(prompt: Column, answer: Column, most: int) -> Column:
+    """struct(input_ids, labels): the prompt to answer and the answer it had, both cut."""
+    from tessera.operators.conversations import most_lengths
+
+    s, t = most_lengths(F.size(prompt), F.size(answer), most)
+    return F.struct(F.slice(prompt, F.lit(1), s).alias("input_ids"), F.slice(answer, F.lit(1), t).alias("labels"))
+
+
+def pretraining(df: DataFrame, ids: str, order: str, batch: Column, block: int, end: int) -> DataFrame:
+    """(batch, block, input_ids): the texts of each batch, each closed by the end token, as one stream cut into blocks of equal length; what is left over goes."""
+    texts = df.groupBy(batch.cast("long").alias("batch")).agg(F.array_sort(F.collect_list(F.struct(order, F.concat(ids, F.array(F.lit(end))).alias("x")))).alias("t"))
+    stream = texts.select("batch", F.flatten(F.transform("t", lambda s: s["x"])).alias("s")).withColumn("n", F.floor(F.size("s") / block).cast("int")).where("n > 0")
+    return stream.select("batch", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("s", i * block + 1, F.lit(block)))).alias("block", "input_ids"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import with_position
+
 LOSSES: dict[str, Callable[..., Column]] = {}
 
 
@@ -62,16 +64,16 @@ def clipped_by_covariance(rows: DataFrame, low: float, high: float, band: tuple[
     clipped = -F.col("adv") * F.least(F.greatest("ratio", F.lit(1 - low)), F.lit(1 + high))
     rows = _covariance(rows).withColumn("_c", (F.col("cov") > band[0]) & (F.col("cov") < band[1]) & ~(clipped > plain))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("place").cast("string")))
-    limit = max(1, int(share * (rows.agg(F.max("_n")).first()[0] or 0)))
-    out = rows.where("_c").orderBy(order).limit(limit).select(key, "place", F.lit(0.0).alias("_zero"))
+    ordered = with_position(rows.where("_c").withColumn("_o", order), ["_o", key, "place"], "_r")
+    out = ordered.where(F.col("_r") < F.greatest(F.lit(1), F.floor(share * F.col("_n")))).select(key, "place", F.lit(0.0).alias("_zero"))
     return rows.join(out, [key, "place"], "left").withColumn("loss", F.coalesce("_zero", F.greatest(plain, clipped))).drop("_c", "_zero", "_n")
 
 
 def held_by_covariance(rows: DataFrame, share: float, weight: float, key: str) -> DataFrame:
     """Adds loss: plain ratios, and a divergence penalty on the share of tokens of greatest covariance."""
     rows = _covariance(rows)
-    limit = max(1, int(share * (rows.agg(F.max("_n")).first()[0] or 0)))
-    top = rows.orderBy(F.desc("cov"), key, "place").limit(limit).select(key, "place", F.lit(1.0).alias("_top"))
+    ordered = with_position(rows.withColumn("_o", -F.col("cov")), ["_o", key, "place"], "_r")
+    top = ordered.where(F.col("_r") < F.greatest(F.lit(1), F.floor(share * F.col("_n")))).select(key, "place", F.lit(1.0).alias("_top"))
     penalty = F.coalesce("_top", F.lit(0.0)) * weight * F.abs(F.col("new") - F.col("old"))
     return rows.join(top, [key, "place"], "left").withColumn("loss", -F.col("adv") * F.col("ratio") + penalty).drop("_top", "_n")
 

@@ -83,11 +83,12 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
 
     The partitions are settled first, since range bounds come from samples that may differ between two runs.
     """
-    parts = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parts.groupBy("_p").agg(F.max("_n").alias("_s"))
-    before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_p", "_n", "_before")  # a row for each partition
+    part, at, first = "__part", "__at", "__first"
+    parts = settled(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    parts = parts.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    sizes = parts.groupBy(part).agg(F.max(at).alias("size"))
+    before = sizes.select(part, F.coalesce(F.sum("size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(first))
+    return parts.join(F.broadcast(before), part).withColumn(name, F.col(first) + F.col(at) - 1).drop(part, at, first)  # a row for each partition
 
 
 def repeated(df: DataFrame, times: Column, name: str = "copy") -> DataFrame:

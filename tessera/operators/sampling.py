@@ -7,6 +7,15 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in a global order, however large n is: range partitions are numbered side by side."""
+    from tessera.operators.relational import with_position
+
+    return with_position(df, order, "_first").where(F.col("_first") < n).drop("_first")
+
 
 def draw(seed: str, *key: str) -> Column:
     """Seeded order of rows: the MD5 of seed and key."""
@@ -71,8 +80,8 @@ def joint_ratios(df: DataFrame, first: str, second: str, a: dict[str, float], b:
     grid = spark.createDataFrame([(x, y, p / ta * q / tb) for x, p in a.items() for y, q in b.items()], f"{first} string, {second} string, _share double")
     want = F.bround(F.lit(float(most)) * F.coalesce("_share", F.lit(0.0))).cast("int")
     rows = ranked(df, [first, second], seed, key).join(F.broadcast(grid), [first, second], "left").withColumn("_in", F.col("rank") <= want)  # the grid is an argument
-    order = F.struct((~F.col("_in")).alias("o"), draw(seed, *key).alias("d"), *key)
-    return rows.orderBy(order).limit(most).select(*df.columns)
+    rows = rows.withColumns({"_o": ~F.col("_in"), "_d": draw(seed, *key)})
+    return first_rows(rows, ["_o", "_d", *key], most).select(*df.columns)
 
 
 def ratio_units(df: DataFrame, stratum: str, ratios: dict[str, int], seed: str, key: list[str], most_units: int | None = None) -> DataFrame:
@@ -108,8 +117,8 @@ def middle_and_sides(df: DataFrame, rate: str, share: float, seed: str, key: lis
 
 def weighted_best(df: DataFrame, weight: str, n: int, seed: str, key: list[str]) -> DataFrame:
     """n rows without replacement, chances by weight: the greatest u ** (1 / weight)."""
-    rows = df.where(F.col(weight) > 0).withColumn("_k", F.log(uniform(seed, *key)) / F.col(weight))
-    return rows.orderBy(F.desc("_k"), *key).limit(n).drop("_k")
+    rows = df.where(F.col(weight) > 0).withColumn("_k", -F.log(uniform(seed, *key)) / F.col(weight))
+    return first_rows(rows, ["_k", *key], n).drop("_k")
 
 
 def resampled(df: DataFrame, n: int, seed: str, key: list[str]) -> DataFrame:
@@ -126,14 +135,27 @@ def resampled(df: DataFrame, n: int, seed: str, key: list[str]) -> DataFrame:
 def whole_groups(df: DataFrame, group: str, n: int, seed: str) -> DataFrame:
     """Groups in the seeded order of SHA-256, taken greedily while they fit into n rows (column chosen).
 
-    The greedy choice runs over one row a group, as a fold.
+    Each round takes, by prefix sums over buckets of the order, all groups up to the first that doesn't fit; groups
+    larger than what is left then count no more, so that rounds are few.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group).cast("string")), 256))
-    items = sizes.agg(F.array_sort(F.collect_list(F.struct("_h", F.col(group).alias("g"), "_n"))).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(items.schema["x"].dataType).alias("kept"))
-    picked = items.select(F.aggregate("x", start, lambda a, x: F.when(a["total"] + x["_n"] <= n, F.struct((a["total"] + x["_n"]).alias("total"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)).alias("a"))
-    chosen = picked.select(F.explode("a.kept").alias("k")).select(F.col("k.g").alias(group), F.lit(True).alias("chosen"))
-    return df.join(chosen, group, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group).cast("string")), 256)).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = settled(sizes)
+    room, after, taken = n, "", None
+    while room > 0:
+        left = sizes.where((F.col("_n") <= room) & (F.col("_h") > after))
+        before = _offsets(left, [], F.sum("_n"))
+        w = Window.partitionBy("_b").orderBy("_h")
+        summed = left.join(before, F.col("_b") == F.col("_kb")).select(group, "_h", "_n", (F.col("_before") + F.sum("_n").over(w)).alias("_up_to"))
+        found = summed.agg(F.max(F.when(F.col("_up_to") <= room, F.struct("_h", "_up_to"))).alias("last"), F.min(F.when(F.col("_up_to") > room, F.col("_h"))).alias("stop")).first()
+        if found.last is None:
+            break
+        part = (F.col("_n") <= room) & (F.col("_h") > after) & (F.col("_h") <= found.last._h)
+        taken = part if taken is None else taken | part
+        if found.stop is None:
+            break
+        room, after = room - found.last._up_to, found.stop
+    chosen = sizes.select(group, (F.lit(False) if taken is None else taken).alias("chosen"))
+    return df.join(chosen, group)
 
 
 def importance_resampled(df: DataFrame, weight: str, n: int, seed: str, key: list[str]) -> DataFrame:

@@ -63,7 +63,13 @@ def truncation_lengths(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", s.alias("kept_source"), a.alias("kept_target"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id // 1000 AS b, list({'n': n_chars, 'k': doc_id} ORDER BY n_chars, doc_id) FILTER (n_chars <= 8192) AS free FROM documents GROUP BY 1),
+r AS (SELECT b, free, 8192::BIGINT AS room, 0 AS pack, 0 AS next_place, 0::BIGINT AS next_at, NULL::BIGINT AS k, NULL::BIGINT AS n, NULL::INTEGER AS place, NULL::BIGINT AS began FROM d UNION ALL
+  SELECT b, CASE WHEN c > 0 THEN free[1:c - 1] || free[c + 1:] ELSE free END, CASE WHEN c > 0 THEN room - free[c].n ELSE 8192 END, pack + (c = 0)::INTEGER, CASE WHEN c > 0 THEN next_place + 1 ELSE 0 END, CASE WHEN c > 0 THEN next_at + free[c].n ELSE 0 END,
+    CASE WHEN c > 0 THEN free[c].k END, CASE WHEN c > 0 THEN free[c].n END, next_place, next_at FROM (SELECT *, len(list_filter(free, lambda x: x.n <= room)) AS c FROM r) WHERE len(free) > 0)
+SELECT b AS batch, pack, place, k AS doc_id, n AS n_chars, began AS "offset" FROM r WHERE k IS NOT NULL
+""")
 def pack_sequences(t: Tables) -> DataFrame:
     ship(t.spark)
     return P.packed(t.documents, "doc_id", "n_chars", F.floor(F.col("doc_id") / 1000), 8192)

@@ -237,10 +237,10 @@ def last_frames_of_videos(t: Tables) -> DataFrame:
     return latest(t.events, ["user_id"], ["ts", "event_id"], 4).select("user_id", "event_id")
 
 
-@query("SELECT vec_id, (499 - vec_id)::BIGINT AS place, vec_id AS back FROM embeddings WHERE vec_id < 500")
+@query("SELECT vec_id, ((SELECT count(*) FROM embeddings) - 1 - vec_id)::BIGINT AS place, vec_id AS back FROM embeddings")
 def reordered_and_restored(t: Tables) -> DataFrame:
-    rows = t.embeddings.where("vec_id < 500").select("vec_id", F.col("vec_id").alias("place"))
-    order = rows.select(F.col("vec_id").alias("old"), (499 - F.col("vec_id")).alias("at"))
+    rows = t.embeddings.select("vec_id", F.col("vec_id").alias("place"))
+    order = rows.select(F.col("vec_id").alias("old"), (rows.count() - 1 - F.col("vec_id")).alias("at"))
     moved = B.reordered(rows, "place", order, "old")
     back = B.reordered(moved.withColumnRenamed("place", "p"), "p", B.inverse(order, "old", "at"), "old").select("vec_id", F.col("p").alias("back"))
     return moved.join(back, "vec_id")

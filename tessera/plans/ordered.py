@@ -76,7 +76,11 @@ def greedy_least_gap(t: Tables) -> DataFrame:
     return kept.select("user_id", F.size("k").cast("long").alias("n_kept"), F.aggregate("k", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(None)
+@query(E.replace("WITH", "WITH RECURSIVE", 1) + """
+, o AS (SELECT user_id, floor(s / 3600)::DOUBLE AS h, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, floor(s / 3600)) AS i FROM e), r AS (SELECT user_id, 0::BIGINT AS i, []::DOUBLE[] AS kept FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT r.user_id, o.i, CASE WHEN len(kept) < 8 AND len(list_filter(kept, lambda k: abs(k - h) < 24)) = 0 THEN list_append(kept, h) ELSE kept END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, array_to_string(list_transform(list_sort(max_by(kept, i)), lambda k: printf('%.1f', k)), ',') AS chosen FROM r GROUP BY user_id
+""")
 def greedy_best_spread(t: Tables) -> DataFrame:
     steps = events(t).groupBy("user_id").agg(F.collect_list(F.struct(F.col("value").alias("score"), F.floor(F.col("s") / 3600).cast("double").alias("at"))).alias("x"))
     return steps.select("user_id", F.array_join(O.spread_best(F.col("x"), 24.0, 8).cast("array<string>"), ",").alias("chosen"))

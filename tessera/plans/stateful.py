@@ -11,8 +11,8 @@ from tessera.streaming import memory, tagged, windows
 
 
 def raw_steps(t: Tables) -> DataFrame:
-    """Tagged output of 5-second steps of 50 events a user, with faults by event id."""
-    e = t.events.select("user_id", "event_id", "value", F.row_number().over(_by_time()).alias("i")).where("i <= 50")
+    """Tagged output of a 5-second step for each event of a user, with faults by event id."""
+    e = t.events.select("user_id", "event_id", "value", F.row_number().over(_by_time()).alias("i"))
     i = (F.col("i") - 1).cast("long")
     a, b = (i * 5).cast("double"), (i * 5 + 5).cast("double")
     k = F.col("event_id") % 9
@@ -31,7 +31,7 @@ def _by_time():
 
 @query("""
 WITH e AS (SELECT event_id % 9 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), c AS (
-  SELECT unnest(CASE k WHEN 1 THEN ['text_outside_tags'] WHEN 2 THEN ['state_count', 'answer_count', 'tag_order'] WHEN 5 THEN ['text_outside_tags', 'no_tags'] WHEN 6 THEN ['tag_parse_error'] ELSE [] END) AS code FROM e WHERE i <= 50)
+  SELECT unnest(CASE k WHEN 1 THEN ['text_outside_tags'] WHEN 2 THEN ['state_count', 'answer_count', 'tag_order'] WHEN 5 THEN ['text_outside_tags', 'no_tags'] WHEN 6 THEN ['tag_parse_error'] ELSE [] END) AS code FROM e)
 SELECT code, count(*)::BIGINT AS n FROM c GROUP BY code
 """)
 def tagged_output_issues(t: Tables) -> DataFrame:
@@ -40,7 +40,7 @@ def tagged_output_issues(t: Tables) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT event_id % 9 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
-SELECT count(*)::BIGINT AS n, sum((k IN (0, 4, 7, 8))::INTEGER)::BIGINT AS valid, sum((k IN (0, 4, 7, 8))::INTEGER)::BIGINT AS well_formed FROM e WHERE i <= 50
+SELECT count(*)::BIGINT AS n, sum((k IN (0, 4, 7, 8))::INTEGER)::BIGINT AS valid, sum((k IN (0, 4, 7, 8))::INTEGER)::BIGINT AS well_formed FROM e
 """)
 def tagged_output_quality(t: Tables) -> DataFrame:
     ship(t.spark)
@@ -51,8 +51,8 @@ def tagged_output_quality(t: Tables) -> DataFrame:
 @query(None)
 def memory_replay(t: Tables) -> DataFrame:
     ship(t.spark)
-    steps = tagged.parsed(raw_steps(t)).select("video_id", "step_index", "step_start", "step_end", "events", "question", "answer")
-    return memory.replay(steps).select("video_id", "step_index", "n_notes", "n_bridges", "n_seen", "tail_start", "n_repairs")
+    steps = tagged.recovered(tagged.parsed(raw_steps(t))).select("video_id", "step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered")
+    return memory.replay(steps, shown=False).select("video_id", "step_index", "n_notes", "n_bridges", "n_seen", "tail_start", "n_repairs")
 
 
 @query("""

@@ -71,8 +71,8 @@ class Memory:
 STEPS = "video_id long, step_index long, n_notes int, n_bridges int, n_seen int, tail_start double, n_repairs int, memory string"
 
 
-def advance(memory: Memory, step_start: float, step_end: float, events: list, question: str | None, answer: str, policy: str) -> dict:
-    """One step: question in, old images out, events repaired and committed."""
+def advance(memory: Memory, step_start: float, step_end: float, events: list, question: str | None, answer: str, policy: str, recovered: int = 0, shown: bool = True) -> dict:
+    """One step: question in, old images out, events repaired and committed; recovered: how many of them come from malformed tags."""
     if question:
         memory.questions.append((step_start, "q", question))
     memory.evict(step_end)
@@ -81,26 +81,27 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.records))
     memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
     tail, notes = memory.tail(), [r for r in memory.records if r[0] == "note"]
-    return {"n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None, "n_repairs": len(done), "memory": memory.shown(policy)}
+    return {"n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None, "n_repairs": len(done) + (recovered > 0), "memory": memory.shown(policy) if shown else None}
 
 
-def _rows(memory: Memory, pdf: pd.DataFrame, policy: str) -> list[dict]:
+def _rows(memory: Memory, pdf: pd.DataFrame, policy: str, shown: bool = True) -> list[dict]:
     out = []
     for r in pdf.sort_values("step_index").itertuples(index=False):
         found = [(e["kind"], e["start"], e["end"], e["text"]) for e in r.events]
-        out.append({"video_id": r.video_id, "step_index": r.step_index, **advance(memory, r.step_start, r.step_end, found, r.question, r.answer, policy)})
+        out.append({"video_id": r.video_id, "step_index": r.step_index, **advance(memory, r.step_start, r.step_end, found, r.question, r.answer, policy, getattr(r, "n_recovered", 0), shown)})
     return out
 
 
-def replay(steps: DataFrame, policy: str = "full") -> DataFrame:
-    """Memory after each step; steps: video_id, step_index, step_start, step_end, events, question, answer.
+def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFrame:
+    """Memory after each step; steps: video_id, step_index, step_start, step_end, events, question, answer, and n_recovered if malformed tags were read.
 
+    The text of the memory is made only if shown.
     A group is one video's steps, whose number the video's length bounds.
     """
     names = [c.split(" ")[0] for c in STEPS.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(Memory(), pdf, policy), columns=names)
+        return pd.DataFrame(_rows(Memory(), pdf, policy, shown), columns=names)
 
     return steps.groupBy("video_id").applyInPandas(one, STEPS)
 

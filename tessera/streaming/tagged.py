@@ -56,11 +56,26 @@ def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
         "state_contains_xml": some & F.col("state").rlike(r"</?\w"),
         "answer_count": some & (n("A") != 1),
         "missing_observation": some & (F.size("events") == 0),
-        "tag_order": some & ~F.coalesce((F.get("_k", F.lit(0)) == "S") & (F.get("_k", F.lit(1)) == "A") & F.forall(F.slice("_k", 3, 1000000), lambda k: k == "E"), F.lit(False)),
+        "tag_order": some & ~F.coalesce((F.get("_k", F.lit(0)) == "S") & (F.get("_k", F.lit(1)) == "A") & F.forall(F.slice("_k", F.lit(3), F.size("_k")), lambda k: k == "E"), F.lit(False)),
     }
     return df.withColumn("issues", F.array_compact(F.array(*(F.when(c, k) for k, c in checks.items())))).drop("_e", "_k")
 
 
+def recovered(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Rows of parsed() with notes from malformed tags (closed in themselves, with other attributes, or not closed) at the end of events, and their number n_recovered.
+
+    A tag with a frame or an id, or with a time that some note has already (to a thousandth), gives none.
+    """
+    tags = F.regexp_extract_all(F.coalesce(F.col(raw), F.lit("")), F.lit(r"<anchor\b([^>]*)>"), F.lit(1))
+    timed = F.filter(tags, lambda a: ~a.rlike(r"\b(?:frame|id)\s*="))
+    found = F.filter(F.transform(timed, lambda a: T.interval(F.regexp_extract(a, r'\bt\s*=\s*["\']([^"\']*)["\']', 1))), lambda i: i.isNotNull())
+    mark = lambda e: F.struct(F.round(e["start"], 3).alias("a"), F.round(e["end"], 3).alias("b"))
+    known = F.transform(F.filter("events", lambda e: e["kind"] == "note"), mark)
+    new = F.filter(F.transform(found, lambda i, k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first"))), lambda i: i["first"] & ~F.array_contains(known, mark(i)))
+    notes = F.transform(new, lambda i: F.struct(F.lit("note").alias("kind"), i["start"].alias("start"), i["end"].alias("end"), F.lit("").alias("text")))
+    return df.withColumn("_new", notes).withColumns({"events": F.concat("events", "_new"), "n_recovered": F.size("_new")}).drop("_new")
+
+
 @dataclass
 class Step:
     """What a step is held against: its frames (start, end), its bounds, and the open tail (start, end, text) before it."""
