@@ -150,6 +150,38 @@ DIALECTS["python_list"] = Dialect(
 )
 
 
+def _marked(calls: Column) -> Column:
+    text = lambda e: F.when(_value(e["value"]) == e["value"], e["value"]).otherwise(F.concat(F.lit('<|"|>'), e["value"], F.lit('<|"|>')))
+    return F.array_join(F.transform(calls, lambda c: F.concat(F.lit("<|tool_call>call:"), c["name"], F.lit("{"), F.array_join(F.transform(_pairs(c["arguments"]), lambda e: F.concat(e["key"], F.lit(":"), text(e))), ","), F.lit("}<tool_call|>"))), "")
+
+
+def _from_marked(text: Column) -> Column:
+    """Texts between marks become JSON strings, bare keys get quotes."""
+    def json(inside: Column) -> Column:
+        strings = F.regexp_replace(inside, r'(?s)<\|"\|>(.*?)<\|"\|>', '"$1"')
+        return F.concat(F.lit("{"), F.regexp_replace(strings, r'((?:^|,)\s*)([A-Za-z_]\w*)\s*:', '$1"$2": '), F.lit("}"))
+
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(<\|tool_call>call:[^{\s]+\{.*?\}<tool_call\|>)"), F.lit(1))
+    return _sound(F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"call:([^{\s]+)\{", 1).alias("name"), json(F.regexp_extract(x, r"(?s)call:[^{\s]+\{(.*)\}<tool_call\|>$", 1)).alias("arguments"))))
+
+
+DIALECTS["marked"] = Dialect(_marked, _from_marked)
+
+#: Which dialect a family of models writes.
+FAMILIES = {
+    "default": "action", "gemma4": "marked", "glm4": "two_lines", "llama3": "parameters", "lfm2": "python_list", "minimax1": "listed", "minimax2": "invoke_tags", "mistral": "array", "qwen": "tagged", "qwen3_5": "function_tags", "glm4_moe": "key_value_tags",
+    "seed_oss": "seed_tags", "ling": "tagged",
+}
+
+
+def register(family: str, dialect: Dialect) -> None:
+    """A dialect of one's own for a family of models."""
+    if family in FAMILIES or family in DIALECTS:
+        raise ValueError(f"there is a dialect of {family}")
+    DIALECTS[family] = dialect
+    FAMILIES[family] = family
+
+
 def written(calls: Column, dialect: str = "action") -> Column:
     return DIALECTS[dialect].written(calls)
 

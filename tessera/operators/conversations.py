@@ -61,6 +61,27 @@ def pairs(df: DataFrame, messages: str = "messages", chosen: str = "chosen", rej
     return df.withColumns({"_prompt": F.col(messages), "_response": F.array(message("assistant", F.col(chosen)), message("assistant", F.col(rejected))), "_system": F.lit("")})
 
 
+def _weighted(role: Column | str, content: Column, weight: float | Column) -> Column:
+    return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"), (F.lit(weight) if isinstance(weight, float) else weight).alias("loss_weight"))
+
+
+@converter("weighted_alpaca")
+def weighted_alpaca(df: DataFrame, instruction: str = "instruction", input_: str = "input", output: str = "output", system: str | None = None) -> DataFrame:
+    """Messages with loss weights, of which only answers have some: instruction and input without anything between, the output; null parts are left out."""
+    asked = F.when(F.col(instruction).isNotNull() | F.col(input_).isNotNull(), _weighted("user", F.concat(F.coalesce(instruction, F.lit("")), F.coalesce(input_, F.lit(""))), 0.0))
+    said = F.when(F.col(output).isNotNull(), _weighted("assistant", F.col(output), 1.0))
+    first = [F.when(F.col(system).isNotNull(), _weighted("system", F.col(system), 0.0))] if system else []
+    return df.withColumn("messages", F.array_compact(F.array(*first, asked, said)))
+
+
+@converter("weighted_sharegpt")
+def weighted_sharegpt(df: DataFrame, turns: str = "conversations") -> DataFrame:
+    """Turns (from, value) as messages with loss weights: answers and calls have some, unknown speakers are left out."""
+    roles = {"system": "system", "human": "user", "gpt": "assistant", "observation": "tool", "function_call": "assistant"}
+    role = lambda m: F.coalesce(*(F.when(m["from"] == k, v) for k, v in roles.items()))
+    return df.withColumn("messages", F.filter(F.transform(turns, lambda m: _weighted(role(m), m["value"], F.when(role(m) == "assistant", 1.0).otherwise(0.0))), lambda m: m["role"].isNotNull()))
+
+
 @converter("openai")
 def openai(df: DataFrame, messages: str = "messages", system: str = "", between: str = "\n</tool_response>\n<tool_response>\n") -> DataFrame:
     """Messages (role, content, tool_calls) with calls as function turns and neighbouring tool answers joined.
