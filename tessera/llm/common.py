@@ -54,6 +54,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     with _cleaned(spark):
         df.write.parquet(path)
     _written.append(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # what nothing deletes goes with the driver
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -7,7 +7,7 @@ side by side, between which the products of each block's transfer matrices carry
 mean marginal over its words with letters, which is its score.
 
 The model is fitted on the driver on a bounded sample of labelled rows: about SAMPLE_ROWS rows in all, as many of each
-language as there are, each with one stretch of SAMPLE_CHARS characters from a place given by the key's hash.
+language as there are, each with one stretch of SAMPLE_CHARS characters from a place given by the hash of key and text.
 Prediction reads every whole text.
 
 Defined results: `und` with score 0 for a null text, one without letters, or if nothing is labelled; equal texts get equal
@@ -329,9 +329,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     share = F.lit(0)
     for y, n in counts.items():
         share = F.when(F.col("label") == y, int(min(1.0, each / n) * (1 << 20))).otherwise(share)
-    at = F.pmod(F.xxhash64("key", F.lit("place")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share).select("key", "label", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text"))
-    return spark.sparkContext.broadcast(fit([(r.text, r.label) for r in sorted(sample.collect(), key=lambda r: r.key)]))
+    at = F.pmod(F.col("hash"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
+    rows = rows.withColumn("hash", F.xxhash64("key", "text")).where(F.pmod("hash", F.lit(1 << 20)) < share)
+    sample = rows.groupBy("label", "hash").agg(F.min(F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS))).alias("text"))  # rows that repeat count once
+    return spark.sparkContext.broadcast(fit([(r.text, r.label) for r in sorted(sample.collect())]))
 
 
 def predict(docs: DataFrame, sent, key: str = "doc_id", text: str = "text", carry: bool = True) -> DataFrame:

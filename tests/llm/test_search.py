@@ -184,6 +184,37 @@ def test_pipeline_stages(spark, small, odd_docs, no_docs):
                 assert out.columns == docs.columns, name
 
 
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, small, odd_docs):
+    columns = ("doc_id", "text", "lang", "source", "n_chars", "_no_text", "own", "row")
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(300)}" for _ in range(80)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3] + " end"), (4, None), (5, ""), (6, texts[4]), (6, texts[4])]
+    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), 1, "o", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _no_text int, own string, row int").repartition(4)
+    kept = STAGES["simhash_near_dedup"](spark, docs, small)
+    assert kept.columns == list(columns)
+    # different texts of one id stay, copies go whatever their ids, of a group the smallest id stays and null comes last
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3] + " end"), (4, None), (6, texts[4])])
+    out = STAGES["substring_dedup"](spark, docs, small).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars, r.own, r.row) for r in out) == Counter([(1, texts[1], len(texts[1]), "o", 1), (3, "end", 3, "o", 6), (4, None, None, "o", 7), (5, "", 0, "o", 8)])
+
+
+def test_pipeline_drops_contaminated_rows_without_ids(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("text is not null").first().text
+    rows = [(None, f"intro words {item} more"), (None, "clean words only here"), (7, f"x {item}"), (7, "another clean text with the id of a contaminated one"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = STAGES["benchmark_decontamination"](spark, docs, small)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([rows[1], rows[3], rows[4]])
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, small):
+    docs = spark.createDataFrame([(1, "some words of a text", 3, "en", "a.b", "x")], "doc_id long, text string, n_chars long, lang string, `a.b` string, ids string")
+    out = STAGES["sentencepiece"](spark, docs, small)
+    assert set(out.columns) == {"doc_id", "text", "n_chars", "lang", "a.b", "ids", "n_tokens"} and out.first().text == "some words of a text"
+
+
 def test_pipeline_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
