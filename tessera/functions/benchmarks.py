@@ -54,7 +54,9 @@ def task_score(task: Column, answer: Column, gold: Column) -> Column:
     """1 or 0 by the rule of the task's kind: a letter of five, all digits as one number, or yes (1) and no (0)."""
     value = T.stripped(gold.cast("string"))
     polarity = F.when(T.yes_no(answer) == "YES", 1).when(T.yes_no(answer) == "NO", 0)
-    hit = F.when(category(task).isin("backward", "realtime"), choice_of(answer, F.lit(5)) == F.upper(value)).when(task == "REC", (T.digits(answer) != "") & (T.digits(answer) == value)).when(task.isin("SSR", "CRR"), polarity == value.try_cast("int"))
+    hit = F.when(
+        category(task).isin("backward", "realtime"), choice_of(answer, F.lit(5)) == F.upper(value),
+    ).when(task == "REC", (T.digits(answer) != "") & (T.digits(answer) == value)).when(task.isin("SSR", "CRR"), polarity == value.try_cast("int"))
     return F.when(category(task).isNotNull(), F.coalesce(hit, F.lit(False)).cast("int"))
 
 

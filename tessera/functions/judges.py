@@ -15,10 +15,16 @@ SCORE_NAMES, FLAG_NAMES = ("score", "value", "rating"), ("pass", "passed", "scor
 YES, NO = frozenset("1 true yes y pass passed".split()), frozenset("0 false no n fail failed".split())
 STEP_SCORES = ("keyframe_selection", "bridge_quality", "semantic_alignment", "state_factuality")
 PROCESS_CHECKS = {
-    "delta_groundedness": ("delta_captures_action_progress", "delta_captures_state_or_location_changes", "delta_preserves_query_relevant_details", "delta_no_visual_hallucination", "delta_not_polluted_by_qa"),
+    "delta_groundedness": (
+        "delta_captures_action_progress", "delta_captures_state_or_location_changes", "delta_preserves_query_relevant_details", "delta_no_visual_hallucination",
+        "delta_not_polluted_by_qa",
+    ),
     "anchor_keyframe": ("anchor_count_valid", "anchor_time_and_body_valid", "anchor_representative_if_present", "first_window_rule_followed"),
     "semantic_alignment": ("semantic_output_coherent", "semantic_text_anchor_express_current_frames", "semantic_no_cross_step_contradiction"),
-    "state_groundedness": ("state_uses_available_evidence", "state_identifies_question_scope", "state_decision_is_grounded", "state_no_visual_hallucination", "state_consistent_with_answer", "state_no_unreasonable_hallucination"),
+    "state_groundedness": (
+        "state_uses_available_evidence", "state_identifies_question_scope", "state_decision_is_grounded", "state_no_visual_hallucination",
+        "state_consistent_with_answer", "state_no_unreasonable_hallucination",
+    ),
 }
 
 

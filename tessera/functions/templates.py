@@ -23,18 +23,38 @@ class Template:
 
 # Formats that models were trained on.
 TEMPLATES: dict[str, Template] = {
-    "alpaca": Template("### Instruction:\n{content}\n\n### Response:\n", "{content}\n\n", "{content}\n\n", default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request."),
+    "alpaca": Template(
+        "### Instruction:\n{content}\n\n### Response:\n", "{content}\n\n", "{content}\n\n",
+        default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request.",
+    ),
     "baichuan2": Template("<reserved_106>{content}<reserved_107>", "{content}"),
-    "chatml": Template("<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n", "<|im_start|>tool\n{content}<|im_end|>\n<|im_start|>assistant\n"),
+    "chatml": Template(
+        "<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n",
+        "<|im_start|>tool\n{content}<|im_end|>\n<|im_start|>assistant\n",
+    ),
     "deepseek": Template("User: {content}\n\nAssistant:", "{content}<｜end▁of▁sentence｜>", "{content}\n\n", start="<｜begin▁of▁sentence｜>"),
-    "gemma": Template("<start_of_turn>user\n{content}<end_of_turn>\n<start_of_turn>model\n", "{content}<end_of_turn>\n", "{content}\n\n", "<start_of_turn>tool\n{content}<end_of_turn>\n<start_of_turn>model\n", "<bos>", system_in_user=True),
+    "gemma": Template(
+        "<start_of_turn>user\n{content}<end_of_turn>\n<start_of_turn>model\n", "{content}<end_of_turn>\n", "{content}\n\n",
+        "<start_of_turn>tool\n{content}<end_of_turn>\n<start_of_turn>model\n", "<bos>", system_in_user=True,
+    ),
     "glm4": Template("<|user|>\n{content}<|assistant|>", "\n{content}", "<|system|>\n{content}", "<|observation|>\n{content}<|assistant|>", "[gMASK]<sop>"),
     "llama2": Template("<s>[INST] {content} [/INST]", " {content} </s>", "<<SYS>>\n{content}\n<</SYS>>\n\n", system_in_user=True),
-    "llama3": Template("<|start_header_id|>user<|end_header_id|>\n\n{content}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{content}<|eot_id|>", "<|start_header_id|>system<|end_header_id|>\n\n{content}<|eot_id|>", "<|start_header_id|>ipython<|end_header_id|>\n\n{content}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "<|begin_of_text|>"),
+    "llama3": Template(
+        "<|start_header_id|>user<|end_header_id|>\n\n{content}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{content}<|eot_id|>",
+        "<|start_header_id|>system<|end_header_id|>\n\n{content}<|eot_id|>",
+        "<|start_header_id|>ipython<|end_header_id|>\n\n{content}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "<|begin_of_text|>",
+    ),
     "mistral": Template("[INST] {content}[/INST]", " {content}</s>", "{content}\n\n", '[TOOL_RESULTS] {"content": {content}}[/TOOL_RESULTS]', "<s>", system_in_user=True),
     "phi3": Template("<|user|>\n{content}<|end|>\n<|assistant|>\n", "{content}<|end|>\n", "<|system|>\n{content}<|end|>\n"),
-    "qwen": Template("<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n", "<|im_start|>user\n<tool_response>\n{content}\n</tool_response><|im_end|>\n<|im_start|>assistant\n", default_system="You are Qwen, created by Alibaba Cloud. You are a helpful assistant."),
-    "vicuna": Template("USER: {content} ASSISTANT:", "{content}</s>", "{content} ", default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."),
+    "qwen": Template(
+        "<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n",
+        "<|im_start|>user\n<tool_response>\n{content}\n</tool_response><|im_end|>\n<|im_start|>assistant\n",
+        default_system="You are Qwen, created by Alibaba Cloud. You are a helpful assistant.",
+    ),
+    "vicuna": Template(
+        "USER: {content} ASSISTANT:", "{content}</s>", "{content} ",
+        default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions.",
+    ),
     "yi": Template("<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n"),
     "zephyr": Template("<|user|>\n{content}</s>\n<|assistant|>\n", "{content}</s>\n", "<|system|>\n{content}</s>\n"),
 }

@@ -80,7 +80,9 @@ def _pairs(arguments: Column) -> Column:
 
 def _value(text: Column) -> Column:
     """A value as JSON: what is a number, list, object, true, false or null stays; other text gets quotes."""
-    plain = text.rlike(r"^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)$") | (text.rlike(r"(?s)^[\[{].*[\]}]$") & F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v").isNotNull(), F.lit(False)))
+    plain = text.rlike(r"^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)$") | (
+        text.rlike(r"(?s)^[\[{].*[\]}]$") & F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v").isNotNull(), F.lit(False))
+    )
     return F.when(plain, text).otherwise(F.substring(F.to_json(F.struct(text.alias("v"))), 6, 1 << 30))
 
 
@@ -142,17 +144,49 @@ DIALECTS["seed_tags"] = _in_tags(
     r"(?s)<seed:tool_call>\s*<function=(.*?)</function>\s*</seed:tool_call>", r"^([^>]+)>", r"(?s)<parameter=([^>]+)>", r"(?s)<parameter=[^>]+>(.*?)</parameter>",
 )
 DIALECTS["python_list"] = Dialect(
-    lambda c: F.concat(F.lit("<|tool_call_start|>["), F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("("), F.array_join(F.transform(_pairs(x["arguments"]), lambda e: F.concat(e["key"], F.lit("="), _quoted(e["value"]))), ", "), F.lit(")"))), ", "), F.lit("]<|tool_call_end|>")),
+    lambda c: F.concat(
+        F.lit("<|tool_call_start|>["),
+        F.array_join(
+            F.transform(
+                c,
+                lambda x: F.concat(
+                    x["name"], F.lit("("),
+                    F.array_join(F.transform(_pairs(x["arguments"]), lambda e: F.concat(e["key"], F.lit("="), _quoted(e["value"]))), ", "), F.lit(")"),
+                ),
+            ),
+            ", ",
+        ),
+        F.lit("]<|tool_call_end|>"),
+    ),
     lambda t: _sound(F.transform(F.regexp_extract_all(F.regexp_extract(t, r"(?s)<\|tool_call_start\|>\s*(\[.*?\])\s*<\|tool_call_end\|>", 1), F.lit(r"""(\w+\((?:[^()"]|"(?:[^"\\]|\\.)*")*\))"""), F.lit(1)), lambda x: F.struct(
         F.regexp_extract(x, r"^(\w+)\(", 1).alias("name"),
-        F.concat(F.lit("{"), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"""((?<=[(,\s])\w+=(?:"(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^,)]+))"""), F.lit(1)), lambda p: F.concat(F.lit('"'), F.substring_index(p, "=", 1), F.lit('": '), F.substring(p, F.locate("=", p) + 1, F.length(p)))), ", "), F.lit("}")).alias("arguments"),
+        F.concat(
+            F.lit("{"),
+            F.array_join(
+                F.transform(
+                    F.regexp_extract_all(x, F.lit(r"""((?<=[(,\s])\w+=(?:"(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^,)]+))"""), F.lit(1)),
+                    lambda p: F.concat(F.lit('"'), F.substring_index(p, "=", 1), F.lit('": '), F.substring(p, F.locate("=", p) + 1, F.length(p))),
+                ),
+                ", ",
+            ),
+            F.lit("}"),
+        ).alias("arguments"),
     ))),
 )
 
 
 def _marked(calls: Column) -> Column:
     text = lambda e: F.when(_value(e["value"]) == e["value"], e["value"]).otherwise(F.concat(F.lit('<|"|>'), e["value"], F.lit('<|"|>')))
-    return F.array_join(F.transform(calls, lambda c: F.concat(F.lit("<|tool_call>call:"), c["name"], F.lit("{"), F.array_join(F.transform(_pairs(c["arguments"]), lambda e: F.concat(e["key"], F.lit(":"), text(e))), ","), F.lit("}<tool_call|>"))), "")
+    return F.array_join(
+        F.transform(
+            calls,
+            lambda c: F.concat(
+                F.lit("<|tool_call>call:"), c["name"], F.lit("{"),
+                F.array_join(F.transform(_pairs(c["arguments"]), lambda e: F.concat(e["key"], F.lit(":"), text(e))), ","), F.lit("}<tool_call|>"),
+            ),
+        ),
+        "",
+    )
 
 
 def _from_marked(text: Column) -> Column:
@@ -162,7 +196,15 @@ def _from_marked(text: Column) -> Column:
         return F.concat(F.lit("{"), F.regexp_replace(strings, r'((?:^|,)\s*)([A-Za-z_]\w*)\s*:', '$1"$2": '), F.lit("}"))
 
     found = F.regexp_extract_all(text, F.lit(r"(?s)(<\|tool_call>call:[^{\s]+\{.*?\}<tool_call\|>)"), F.lit(1))
-    return _sound(F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"call:([^{\s]+)\{", 1).alias("name"), json(F.regexp_extract(x, r"(?s)call:[^{\s]+\{(.*)\}<tool_call\|>$", 1)).alias("arguments"))))
+    return _sound(
+        F.transform(
+            found,
+            lambda x: F.struct(
+                F.regexp_extract(x, r"call:([^{\s]+)\{", 1).alias("name"),
+                json(F.regexp_extract(x, r"(?s)call:[^{\s]+\{(.*)\}<tool_call\|>$", 1)).alias("arguments"),
+            ),
+        )
+    )
 
 
 DIALECTS["marked"] = Dialect(_marked, _from_marked)

@@ -42,7 +42,9 @@ def leaked_by_history(audit: Column, gt: Column) -> Column:
 def accepted_question(kind: Column, gt: Column, options: Column, text: Column, visual: Column, history: Column, in_time: Column) -> Column:
     """Whether a question passes the audits of its kind: realtime, forward or backward."""
     return F.when(~gt.isin("A", "B", "C", "D") | gt.isNull(), False).otherwise(
-        sound_options(options) & F.coalesce(in_time, F.lit(False)) & F.when(kind == "realtime", ~leaked_by_text(text, gt) & supported(visual, gt)).when(kind == "forward", ~leaked_by_history(history, gt) & supported(visual, gt)).when(kind == "backward", supported(history, gt)).otherwise(False)
+        sound_options(options) & F.coalesce(in_time, F.lit(False)) & F.when(kind == "realtime", ~leaked_by_text(text, gt) & supported(visual, gt)).when(
+            kind == "forward", ~leaked_by_history(history, gt) & supported(visual, gt),
+        ).when(kind == "backward", supported(history, gt)).otherwise(False)
     )
 
 
@@ -56,7 +58,10 @@ def kept_per_video(df: DataFrame, video: str, order: list, k: int) -> DataFrame:
 def trajectories(steps: DataFrame, key: list[str], order: str, valid: str, reason: str, correct: str) -> DataFrame:
     """usable if all steps are valid and the answer is right; reason: the first failing step's, else answer_incorrect."""
     bad = ~F.coalesce(F.col(valid), F.lit(False))
-    found = steps.groupBy(*key).agg(F.bool_and(F.coalesce(F.col(valid), F.lit(False))).alias("all_valid"), F.min_by(F.when(bad, F.col(reason)), F.when(bad, F.col(order))).alias("_why"), F.bool_or(F.coalesce(F.col(correct), F.lit(False))).alias("correct"), F.min(F.when(bad, F.col(order))).alias("failed_at"))
+    found = steps.groupBy(*key).agg(
+        F.bool_and(F.coalesce(F.col(valid), F.lit(False))).alias("all_valid"), F.min_by(F.when(bad, F.col(reason)), F.when(bad, F.col(order))).alias("_why"),
+        F.bool_or(F.coalesce(F.col(correct), F.lit(False))).alias("correct"), F.min(F.when(bad, F.col(order))).alias("failed_at"),
+    )
     why = F.when(~F.col("all_valid"), F.coalesce("_why", F.lit("step_invalid"))).when(~F.col("correct"), "answer_incorrect")
     return found.select(*key, (F.col("all_valid") & F.col("correct")).alias("usable"), why.alias("reason"), "failed_at")
 

@@ -76,7 +76,12 @@ def passk(df: DataFrame, group: str = "group", score: str = "score", order: str
     """Only the best row counts: by how much it beats the second; ties go to the earlier one. A group of one row has no second and fails the job."""
     w = Window.partitionBy(group).orderBy(F.desc(score), order)
     second = F.nth_value(score, 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("advantage", F.when(F.count("*").over(_group(group)) < 2, F.raise_error("a group of one row").cast("double")).when(F.row_number().over(w) == 1, F.col(score) - second).otherwise(0.0))
+    return df.withColumn(
+        "advantage",
+        F.when(
+            F.count("*").over(_group(group)) < 2, F.raise_error("a group of one row").cast("double"),
+        ).when(F.row_number().over(w) == 1, F.col(score) - second).otherwise(0.0),
+    )
 
 
 @estimator("reinforce_baseline")

@@ -39,7 +39,15 @@ def duplicate_options(events: Column) -> Column:
 
 def least_gap(events: Column) -> Column:
     """Least gap between neighbouring answers of one query; null if no query has two."""
-    gaps = F.transform(events, lambda q: F.array_min(F.transform(F.slice(q["answer_events"], 2, F.greatest(F.lit(0), F.size(q["answer_events"]) - 1)), lambda a, i: a["time"] - F.get(q["answer_events"], i)["time"])))
+    gaps = F.transform(
+        events,
+        lambda q: F.array_min(
+            F.transform(
+                F.slice(q["answer_events"], 2, F.greatest(F.lit(0), F.size(q["answer_events"]) - 1)), lambda a,
+                i: a["time"] - F.get(q["answer_events"], i)["time"],
+            )
+        ),
+    )
     return F.array_min(gaps)
 
 
@@ -57,7 +65,10 @@ def first_failing_reason(rows: DataFrame, limits: Limits = Limits()) -> DataFram
     L = limits
     kept = [c for c in rows.columns if c != "query_events"]
     df = rows.select(*kept, on_grid(F.col("query_events"), F.col("fps")).alias("query_events"))
-    df = df.select("*", answer_times(F.col("query_events")).alias("_times"), F.array_min(F.transform("query_events", lambda q: q["time"])).alias("_asked"), (F.col("video_seconds") > L.most_video).alias("_long"))
+    df = df.select(
+        "*", answer_times(F.col("query_events")).alias("_times"), F.array_min(F.transform("query_events", lambda q: q["time"])).alias("_asked"),
+        (F.col("video_seconds") > L.most_video).alias("_long"),
+    )
     cutoff = F.when(F.col("_long"), L.most_video).otherwise(float("inf"))
     df = df.select("*", before_cutoff(F.col("query_events"), cutoff).alias("_left"))
     df = df.select("*", least_gap(F.col("_left")).alias("_gap"), F.array_max(answer_times(F.col("_left"))).alias("_last"))

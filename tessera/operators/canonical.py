@@ -60,8 +60,12 @@ def canonical(df: DataFrame) -> DataFrame:
     video_id = _needed(first_given(df, ["video_id", "sample_id"]), "video_id")
     video = F.coalesce(first_given(df, ["video", "frames_dir"]), F.concat(F.lit("video/"), video_id))
     return df.select(
-        _needed(first_given(df, ["dataset"]), "dataset").alias("dataset"), video_id.alias("video_id"), video.alias("video"), F.coalesce(first_given(df, ["frames_dir", "video"]), video).alias("frames_dir"),
-        F.coalesce(first_given(df, ["sample_fps", "fps"], "double"), F.lit(1.0)).alias("sample_fps"), whole_seconds(first_given(df, ["frame_count", "realtime", "duration"], "double"), "frame_count").cast("long").alias("frame_count"),
+        _needed(first_given(df, ["dataset"]), "dataset").alias("dataset"), video_id.alias("video_id"), video.alias("video"), F.coalesce(
+            first_given(df, ["frames_dir", "video"]), video,
+        ).alias("frames_dir"),
+        F.coalesce(first_given(df, ["sample_fps", "fps"], "double"), F.lit(1.0)).alias("sample_fps"), whole_seconds(
+            first_given(df, ["frame_count", "realtime", "duration"], "double"), "frame_count",
+        ).cast("long").alias("frame_count"),
         F.coalesce(first_given(df, ["frame_id_base"], "long"), F.lit(0)).alias("frame_id_base"), events(F.col("query_events")).alias("query_events"),
     )
 
@@ -91,7 +95,10 @@ def answers(found: Column, lettered: Column) -> Column:
     def one(a: Column) -> Column:
         gt = F.upper(T.stripped(F.coalesce(a["gt"].cast("string"), F.lit(""))))
         letter = F.when(lettered, F.when(gt.rlike(r"(?U)^\p{L}$"), gt).otherwise(F.raise_error(F.concat(F.lit("no gold letter: "), gt))))
-        return F.struct(whole_seconds(F.coalesce(a["time"].cast("double"), F.lit(0.0))).alias("time"), letter.alias("gt"), filled(a["answer"]).alias("answer"), F.coalesce(filled(a["content"]), filled(a["answer"])).alias("content"))
+        return F.struct(
+            whole_seconds(F.coalesce(a["time"].cast("double"), F.lit(0.0))).alias("time"), letter.alias("gt"), filled(a["answer"]).alias("answer"),
+            F.coalesce(filled(a["content"]), filled(a["answer"])).alias("content"),
+        )
 
     return F.transform(found, one)
 
@@ -102,7 +109,10 @@ def from_flat(df: DataFrame, question: str, options: str, gold: str, frames: str
     answer = F.get(F.col(options), F.ascii(letter) - 65)
     at = F.col(frames).cast("double")
     said = F.struct(at.alias("time"), letter.alias("gt"), answer.alias("answer"), F.concat(letter, F.lit(". "), answer).alias("content"))
-    asked = F.struct(F.lit("q0").alias("qid"), at.alias("time"), T.question_with_options(F.col(question), F.col(options)).alias("content"), F.lit("mcq").alias("answer_type"), F.lit(ONCE).alias("answer_policy"), F.col(options).alias("options"), F.array(said).alias("answer_events"))
+    asked = F.struct(
+        F.lit("q0").alias("qid"), at.alias("time"), T.question_with_options(F.col(question), F.col(options)).alias("content"),
+        F.lit("mcq").alias("answer_type"), F.lit(ONCE).alias("answer_policy"), F.col(options).alias("options"), F.array(said).alias("answer_events"),
+    )
     return df.where(F.col(frames) > 0).withColumn("query_events", F.array(asked))
 
 

@@ -91,9 +91,17 @@ def openai(df: DataFrame, messages: str = "messages", system: str = "", between:
     all_ = F.col(messages)
     led = F.coalesce(F.get(all_, F.lit(0))["role"] == "system", F.lit(False))
     turns = F.when(led, F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0)))).otherwise(all_)
-    plain = F.transform(turns, lambda m: F.when((m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0), message("function", F.to_json(m["tool_calls"]))).otherwise(message(m["role"], F.coalesce(m["content"], F.lit("")))))
+    plain = F.transform(
+        turns,
+        lambda m: F.when(
+            (m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0), message("function", F.to_json(m["tool_calls"])),
+        ).otherwise(message(m["role"], F.coalesce(m["content"], F.lit("")))),
+    )
     joined = F.transform(merged_tools(plain, between), lambda m: message(F.when(m["role"] == "tool", "observation").otherwise(m["role"]), m["content"]))
-    ok = (F.size(joined) > 0) & (F.size(joined) % 2 == 0) & F.forall(F.transform(joined, lambda m, i: F.when(i % 2 == 0, m["role"].isin("user", "observation")).otherwise(m["role"].isin("assistant", "function"))), lambda x: x)
+    ok = (F.size(joined) > 0) & (F.size(joined) % 2 == 0) & F.forall(
+        F.transform(joined, lambda m, i: F.when(i % 2 == 0, m["role"].isin("user", "observation")).otherwise(m["role"].isin("assistant", "function"))),
+        lambda x: x,
+    )
     prompt, response = F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0))), F.slice(joined, F.greatest(F.size(joined), F.lit(1)), 1)
     return df.withColumns({"_prompt": _or_none(prompt, ok), "_response": _or_none(response, ok), "_system": F.when(led, F.get(all_, F.lit(0))["content"]).otherwise(system)})
 

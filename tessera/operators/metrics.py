@@ -90,7 +90,10 @@ def token_baseline(df: DataFrame, key: str, group: str, rewards: str, weights: s
     on = F.col(mask) if mask else F.transform(rewards, lambda r: F.lit(1.0))
     tokens = df.select(key, group, F.posexplode(F.arrays_zip(F.col(rewards).alias("r"), F.col(weights).alias("w"), on.alias("m"))).alias("place", "x")).where("x.m > 0")
     w = Window.partitionBy(key).orderBy("place")
-    tokens = tokens.select(key, group, "place", (F.row_number().over(w) - 1).alias("_at"), F.sum("x.w").over(w).alias("_w"), F.sum("x.r").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_g"))
+    tokens = tokens.select(
+        key, group, "place", (F.row_number().over(w) - 1).alias("_at"), F.sum("x.w").over(w).alias("_w"),
+        F.sum("x.r").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_g"),
+    )
     rows = tokens.groupBy(group).agg(F.count_distinct(key).alias("_rows"))
     tokens = tokens.join(rows, group)
     g = Window.partitionBy(group, "_at")
@@ -116,7 +119,10 @@ def aggregated_loss(df: DataFrame, losses: str, mask: str, mode: str, scale: flo
     total, n = F.aggregate(F.zip_with(losses, mask, lambda x, m: x * m), F.lit(0.0), add), F.aggregate(F.transform(mask, lambda m: m.cast("double")), F.lit(0.0), add)
     rows = df.select(total.alias("s"), n.alias("n"), (n > 0).cast("double").alias("on"))
     s, on = F.col("s"), F.col("on")
-    out = {"token-mean": F.sum("s") / F.sum("n"), "seq-mean-token-sum": F.sum(s * on) / F.sum(on), "seq-mean-token-sum-norm": F.sum("s") / F.lit(scale), "seq-mean-token-mean": F.sum(s / (F.col("n") + 1e-8) * on) / F.sum(on)}[mode]
+    out = {
+        "token-mean": F.sum("s") / F.sum("n"), "seq-mean-token-sum": F.sum(s * on) / F.sum(on), "seq-mean-token-sum-norm": F.sum("s") / F.lit(scale),
+        "seq-mean-token-mean": F.sum(s / (F.col("n") + 1e-8) * on) / F.sum(on),
+    }[mode]
     return rows.agg(out.alias("loss"))
 
 

@@ -78,7 +78,10 @@ def spread_best(items: Column, gap: float, most: int) -> Column:
     """Of structs (score, at), the best scores first (ties: earlier), each at least gap from all chosen; at most `most`, by place."""
     ordered = F.array_sort(items, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
     start = F.array().cast("array<double>")
-    chosen = F.aggregate(F.transform(ordered, lambda x: x["at"].cast("double")), start, lambda kept, t: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - t) >= gap), F.concat(kept, F.array(t))).otherwise(kept))
+    chosen = F.aggregate(
+        F.transform(ordered, lambda x: x["at"].cast("double")), start, lambda kept,
+        t: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - t) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
+    )
     return F.array_sort(chosen)
 
 
@@ -96,7 +99,17 @@ def filled_gaps(df: DataFrame, key: list[str], start: str, end: str, first: Colu
     w = by(key, ["s"])
     rows = df.select(*key, F.col(start).alias("s"), F.col(end).alias("e"), first.alias("lo"), last.alias("hi"))
     rows = rows.withColumn("from", F.coalesce(F.lag("e").over(w) + 1, F.col("lo"))).withColumn("tail", F.lead("s").over(w).isNull())
-    gaps = rows.select(*key, F.inline(F.array_compact(F.array(F.when(F.col("from") < F.col("s"), F.struct(F.col("from").alias("a"), (F.col("s") - 1).alias("b"))), F.when(F.col("tail") & (F.col("e") < F.col("hi")), F.struct((F.col("e") + 1).alias("a"), F.col("hi").alias("b")))))))
+    gaps = rows.select(
+        *key,
+        F.inline(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("from") < F.col("s"), F.struct(F.col("from").alias("a"), (F.col("s") - 1).alias("b"))),
+                    F.when(F.col("tail") & (F.col("e") < F.col("hi")), F.struct((F.col("e") + 1).alias("a"), F.col("hi").alias("b"))),
+                )
+            )
+        ),
+    )
     chunks = gaps.select(*key, "b", F.explode(F.sequence("a", "b", F.lit(size).cast("long"))).alias("start"))
     return chunks.select(*key, "start", F.least(F.col("start") + size - 1, F.col("b")).alias("end"))
 
@@ -135,8 +148,14 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], left_time: str, rig
     row = F.struct(F.col(right_time).alias("at"), *values)
     kind = right.select(row.alias("r")).schema["r"].dataType
     names = left.columns
-    a = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*names).alias("_left"), F.lit(None).cast(kind).alias("_right"))
-    b = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.select(F.struct(*names).alias("l")).schema["l"].dataType).alias("_left"), row.alias("_right"))
+    a = left.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
+        F.struct(*names).alias("_left"), F.lit(None).cast(kind).alias("_right"),
+    )
+    b = right.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"),
+        F.lit(None).cast(left.select(F.struct(*names).alias("l")).schema["l"].dataType).alias("_left"), row.alias("_right"),
+    )
     w = Window.partitionBy(*(f"_k{i}" for i in range(len(key)))).orderBy("_t", "_side", *(F.col(f"_right.{v}") for v in values)).rowsBetween(Window.unboundedPreceding, 0)
     found = a.unionAll(b).withColumn("_found", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
     return found.select("_left.*", F.col("_found.at").alias("found_time"), *(F.col(f"_found.{v}").alias(v) for v in values))

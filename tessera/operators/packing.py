@@ -127,7 +127,11 @@ def packed_examples(df: DataFrame, key: str, ids: str, labels: str, batch: Colum
     fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.lit(capacity) - F.size(c)))
     number = lambda p: F.array_repeat(p["place"] + 1 if neat else F.lit(1), F.size(p["ids"]))
     places_of = lambda p: F.when(F.size(p["ids"]) > 0, F.sequence(F.lit(0), F.size(p["ids"]) - 1)).otherwise(F.array().cast("array<int>"))
-    return packs.select("batch", "pack", F.size("x").alias("n"), fill(joined(lambda p: p["ids"]), pad).alias("input_ids"), fill(joined(lambda p: p["labels"]), ignore).alias("labels"), fill(joined(places_of), 0).alias("position_ids"), fill(joined(number), 0).alias("attention"))
+    return packs.select(
+        "batch", "pack", F.size("x").alias("n"), fill(joined(lambda p: p["ids"]), pad).alias("input_ids"),
+        fill(joined(lambda p: p["labels"]), ignore).alias("labels"), fill(joined(places_of), 0).alias("position_ids"),
+        fill(joined(number), 0).alias("attention"),
+    )
 
 
 def block_mask(attention: Column) -> Column:
@@ -155,7 +159,10 @@ def turn_labels(pairs: Column, most: int, mask_history: bool = False, on_prompt:
         said = F.when(acc["turn"] > 0, F.array_repeat(F.lit(ignore), F.size(b))).otherwise(b) if mask_history else b
         asked = a if on_prompt else F.array_repeat(F.lit(ignore), F.size(a))
         both = (lambda old, new: F.concat(new, old)) if mask_history else F.concat
-        new = F.struct((acc["n"] + F.size(a) + F.size(b)).alias("n"), (acc["turn"] + 1).alias("turn"), both(acc["ids"], F.concat(a, b)).alias("ids"), both(acc["labels"], F.concat(asked, said)).alias("labels"))
+        new = F.struct(
+            (acc["n"] + F.size(a) + F.size(b)).alias("n"), (acc["turn"] + 1).alias("turn"), both(acc["ids"], F.concat(a, b)).alias("ids"),
+            both(acc["labels"], F.concat(asked, said)).alias("labels"),
+        )
         return F.when(acc["n"] >= most, acc).otherwise(new)
 
     return F.aggregate(F.reverse(pairs) if mask_history else pairs, start, step, lambda a: F.struct(a["ids"].alias("input_ids"), a["labels"].alias("labels")))

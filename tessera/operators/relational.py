@@ -56,7 +56,10 @@ def compared(a: DataFrame, b: DataFrame, key: list[str], score: str) -> DataFram
     """Wins, losses and ties of two models on the rows that both have."""
     rows = a.select(*key, F.col(score).alias("x")).join(b.select(*key, F.col(score).alias("y")), key)
     x, y = F.col("x"), F.col("y")
-    return rows.agg(F.count("*").alias("n"), F.count_if(x > y).alias("wins"), F.count_if(x < y).alias("losses"), F.count_if((x == y) & (x > 0)).alias("both_right"), F.count_if((x == y) & (x <= 0)).alias("both_wrong"))
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(x > y).alias("wins"), F.count_if(x < y).alias("losses"), F.count_if((x == y) & (x > 0)).alias("both_right"),
+        F.count_if((x == y) & (x <= 0)).alias("both_wrong"),
+    )
 
 
 def completed_with_errors(expected: DataFrame, actual: DataFrame, key: list[str], status: str, error: str) -> DataFrame:

@@ -172,7 +172,9 @@ def curriculum(df: DataFrame, rate: str, rescued: str, sft_share: float, seed: s
     pool = (F.col(rate) > 0) & (F.col(rate) < 1)
     rows = ranked(df.withColumn("_pool", F.coalesce(pool, F.lit(False))), ["_pool"], seed, key, "_r", "_n")
     sft = F.col("_pool") & (F.col("_r") <= F.bround(F.col("_n") * sft_share))
-    target = F.when(F.col(rate).isNull(), F.array(F.lit("unscored"))).when(F.col(rate) >= 1, F.array(F.lit("drop"))).when(F.col("_pool"), F.array(F.when(sft, "sft").otherwise("rl"))).when(F.col(rescued), F.array(F.lit("sft"), F.lit("rl"))).otherwise(F.array(F.lit("unsolved")))
+    target = F.when(F.col(rate).isNull(), F.array(F.lit("unscored"))).when(F.col(rate) >= 1, F.array(F.lit("drop"))).when(
+        F.col("_pool"), F.array(F.when(sft, "sft").otherwise("rl")),
+    ).when(F.col(rescued), F.array(F.lit("sft"), F.lit("rl"))).otherwise(F.array(F.lit("unsolved")))
     return rows.select(*df.columns, F.explode(target).alias("target"))
 
 

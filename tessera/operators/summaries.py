@@ -20,7 +20,10 @@ def of_sources(df: DataFrame, file: str, queries: str) -> tuple[DataFrame, DataF
     """Per file rows, query and answer events and scored ones; and counts of runs and of pass rates (four digits) over all answers."""
     found = F.flatten(F.transform(queries, lambda q: F.coalesce(q["answer_events"], F.expr("cast(array() as array<struct<eval_runs:int,eval_pass_rate:double>>)"))))
     rows = df.select(file, F.coalesce(F.size(queries), F.lit(0)).alias("_q"), F.coalesce(found, F.expr("cast(array() as array<struct<eval_runs:int,eval_pass_rate:double>>)")).alias("_a"))
-    files = rows.groupBy(file).agg(F.count("*").alias("rows"), F.sum("_q").alias("query_events"), F.sum(F.size("_a")).alias("answer_events"), F.sum(F.size(F.filter("_a", lambda a: a["eval_runs"].isNotNull()))).alias("scored_answer_events"))
+    files = rows.groupBy(file).agg(
+        F.count("*").alias("rows"), F.sum("_q").alias("query_events"), F.sum(F.size("_a")).alias("answer_events"),
+        F.sum(F.size(F.filter("_a", lambda a: a["eval_runs"].isNotNull()))).alias("scored_answer_events"),
+    )
     answers = rows.select(F.explode("_a").alias("a"))
     return files, _counts(answers, {"runs": F.col("a.eval_runs"), "pass_rate": rate_key(F.col("a.eval_pass_rate"))})
 
@@ -53,15 +56,27 @@ def of_videos(df: DataFrame, names: list[str], errors: str) -> DataFrame:
 def of_grouped_rows(df: DataFrame, dataset: str, queries: str) -> tuple[DataFrame, DataFrame]:
     """Rows, events, rows with several; and counts of datasets, answer types of queries and of answers, and pass rates."""
     answers = F.aggregate(queries, F.lit(0), lambda a, q: a + F.greatest(F.size(q["answer_events"]), F.lit(0)))
-    total = df.agg(F.count("*").alias("rows"), F.sum(F.size(queries)).alias("query_events"), F.sum(answers).alias("answer_events"), F.count_if(F.size(queries) > 1).alias("rows_with_multiple_queries"), F.count_if(answers > 1).alias("rows_with_multiple_answers"))
+    total = df.agg(
+        F.count("*").alias("rows"), F.sum(F.size(queries)).alias("query_events"), F.sum(answers).alias("answer_events"),
+        F.count_if(F.size(queries) > 1).alias("rows_with_multiple_queries"), F.count_if(answers > 1).alias("rows_with_multiple_answers"),
+    )
     asked = df.select(F.explode(queries).alias("q"))
     said = asked.select(F.col("q.answer_type").alias("kind"), F.explode("q.answer_events").alias("a"))
-    return total, reduce(DataFrame.unionAll, [_counts(df, {"dataset": F.col(dataset)}), _counts(asked, {"query_answer_type": F.col("q.answer_type")}), _counts(said, {"answer_type": F.col("kind"), "pass_rate": rate_key(F.col("a.eval_pass_rate"))})])
+    return total, reduce(
+        DataFrame.unionAll,
+        [
+            _counts(df, {"dataset": F.col(dataset)}), _counts(asked, {"query_answer_type": F.col("q.answer_type")}),
+            _counts(said, {"answer_type": F.col("kind"), "pass_rate": rate_key(F.col("a.eval_pass_rate"))}),
+        ],
+    )
 
 
 def of_pairs(df: DataFrame, pair: str, answer: str, frames: str, excluded: int, candidates: int) -> DataFrame:
     """Pairs of a No and a Yes row: rows, answers, least and greatest frames, and gaps between the two of a pair."""
-    gaps = df.groupBy(pair).agg((F.max(frames) - F.min(frames)).alias("gap"), F.count("*").alias("n"), F.count_if(F.col(answer) == "Yes").alias("yes"), F.count_if(F.col(answer) == "No").alias("no"), F.min(frames).alias("lo"), F.max(frames).alias("hi"))
+    gaps = df.groupBy(pair).agg(
+        (F.max(frames) - F.min(frames)).alias("gap"), F.count("*").alias("n"), F.count_if(F.col(answer) == "Yes").alias("yes"),
+        F.count_if(F.col(answer) == "No").alias("no"), F.min(frames).alias("lo"), F.max(frames).alias("hi"),
+    )
     return gaps.agg(
         F.count("*").alias("pairs"), F.sum("n").alias("rows"), F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.min("lo").alias("frame_count_min"), F.max("hi").alias("frame_count_max"), F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"),
     ).withColumns({"excluded": F.lit(excluded), "available_candidates": F.lit(candidates)})
@@ -71,7 +86,9 @@ def of_jobs(jobs: DataFrame, status: str, usable: str, attempted: str, exported:
     """Finished jobs: accepted, failed and broken samples, steps tried and exported, and rows that variants rescued. Jobs without a record (usable null) count as samples only."""
     done, ok = F.col(usable).isNotNull(), F.col(usable)
     return jobs.agg(
-        F.count("*").alias("samples"), F.count_if(done & ok).alias("accepted"), F.count_if(done & ~ok & (F.col(status) == "error")).alias("errors"), F.count_if(done & ~ok & F.coalesce(F.col(status) != "error", F.lit(True))).alias("failed"),
+        F.count("*").alias("samples"), F.count_if(done & ok).alias("accepted"), F.count_if(done & ~ok & (F.col(status) == "error")).alias("errors"), F.count_if(
+            done & ~ok & F.coalesce(F.col(status) != "error", F.lit(True))
+        ).alias("failed"),
         F.coalesce(F.sum(F.when(done, F.col(attempted))), F.lit(0)).alias("attempted_steps"), F.coalesce(F.sum(F.when(done, F.col(exported))), F.lit(0)).alias("exported_steps"), F.count_if(done & (F.col(variants) > 0)).alias("rescued"),
     )
 
@@ -83,7 +100,10 @@ def by_status(jobs: DataFrame, status: str) -> DataFrame:
 
 def of_keyframes(df: DataFrame, frames: str, kept: str) -> DataFrame:
     """Before and after thinning: rows, rows changed, keyframes, rows with adjacent ones."""
-    adjacent = lambda c: F.exists(F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: b - a), lambda d: d <= 1)
+    adjacent = lambda c: F.exists(
+        F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: b - a),
+        lambda d: d <= 1,
+    )
     return df.agg(
         F.count("*").alias("rows"), F.count_if(F.size(frames) != F.size(kept)).alias("rows_changed"), F.sum(F.size(frames)).alias("keyframes_before"), F.sum(F.size(kept)).alias("keyframes_after"),
         F.count_if(adjacent(frames)).alias("adjacent_before"), F.count_if(adjacent(kept)).alias("adjacent_after"),
@@ -123,6 +143,9 @@ def cleaned_facts(df: DataFrame, facts: str, keyframes: str, frames: str) -> Col
         near = F.array_sort(F.transform(keyframes, lambda k: F.struct(F.abs(k - middle).alias("d"), k.alias("k"))))
         source = F.when(F.array_contains(keyframes, f["source_keyframe_id"]), f["source_keyframe_id"]).otherwise(F.get(near, F.lit(0))["k"])
         text = lambda c, other="": F.coalesce(F.when(F.trim(c) != "", F.trim(c)), F.lit(other))
-        return F.struct(i.alias("place"), source.alias("source_keyframe_id"), text(f["fact"]).alias("fact"), text(f["answer"]).alias("answer"), text(f["category"], "other").alias("category"), evidence.alias("evidence_frame_ids"))
+        return F.struct(
+            i.alias("place"), source.alias("source_keyframe_id"), text(f["fact"]).alias("fact"), text(f["answer"]).alias("answer"),
+            text(f["category"], "other").alias("category"), evidence.alias("evidence_frame_ids"),
+        )
 
     return F.filter(F.transform(facts, one), lambda f: (f["fact"] != "") & (F.size(f["evidence_frame_ids"]) > 0) & f["source_keyframe_id"].isNotNull())

@@ -53,7 +53,9 @@ def complement(intervals: Column, start: Column, end: Column, slack: float = 1e-
     begin = F.struct(start.cast("double").alias("at"), F.array().cast("array<struct<start:double,end:double>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > acc["at"] + slack, F.array(F.struct(acc["at"].alias("start"), x["start"].cast("double").alias("end")))).otherwise(F.array().cast("array<struct<start:double,end:double>>"))
+        gap = F.when(
+            x["start"] > acc["at"] + slack, F.array(F.struct(acc["at"].alias("start"), x["start"].cast("double").alias("end"))),
+        ).otherwise(F.array().cast("array<struct<start:double,end:double>>"))
         return F.struct(x["end"].cast("double").alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     closed = F.concat(intervals, F.array(F.struct(end.cast("double").alias("start"), end.cast("double").alias("end"))))
@@ -79,7 +81,13 @@ def scores_written_back(rows: DataFrame, key: list[str], children: str, scores:
     fields = [f.name for f in rows.schema[children].dataType.elementType.fields]
     lists = scores.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.struct(*values)))).alias("_s"))
     joined = rows.join(lists, key, "left")
-    new = F.transform(children, lambda c, i: F.struct(*(c[f].alias(f) for f in fields if f not in values), *(F.when(F.col("_s").isNotNull(), F.get(F.filter(F.map_entries("_s"), lambda e: e["key"] == i), F.lit(0))["value"][v]).alias(v) for v in values)))
+    new = F.transform(
+        children, lambda c,
+        i: F.struct(
+            *(c[f].alias(f) for f in fields if f not in values),
+            *(F.when(F.col("_s").isNotNull(), F.get(F.filter(F.map_entries("_s"), lambda e: e["key"] == i), F.lit(0))["value"][v]).alias(v) for v in values),
+        ),
+    )
     return joined.withColumn(children, new).drop("_s")
 
 

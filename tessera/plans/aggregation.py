@@ -15,7 +15,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sum((role = 'assistant')::INTEGER):
 FROM conversations GROUP BY conv_id
 """)
 def agg_session_answer_stats(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n_answers"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.max("turn").alias("last_turn"))
+    return t.conversations.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n_answers"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+        F.max("turn").alias("last_turn"),
+    )
 
 
 @query("""
@@ -47,7 +50,12 @@ RUNS = """WITH r AS (SELECT l_orderkey AS k, (l_linenumber * 1000000 + l_partkey
 
 def runs(t: Tables) -> DataFrame:
     f = F.col("l_returnflag")
-    return t.lineitem.select(F.col("l_orderkey").alias("k"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100 + F.round(F.col("l_discount") * 100).cast("long")).alias("run"), F.when(f == "A", 1).when(f == "N", 0).alias("score"), F.when(F.col("l_tax") > 0.07, "late").otherwise("").alias("error"), F.col("l_discount").alias("rate"), F.col("l_linestatus").alias("answer"))
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("k"),
+        ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100 + F.round(F.col("l_discount") * 100).cast("long")).alias("run"),
+        F.when(f == "A", 1).when(f == "N", 0).alias("score"), F.when(F.col("l_tax") > 0.07, "late").otherwise("").alias("error"),
+        F.col("l_discount").alias("rate"), F.col("l_linestatus").alias("answer"),
+    )
 
 
 @query(RUNS + """
@@ -140,14 +148,20 @@ FROM (SELECT quality AS q, (n_chars > 1500)::INTEGER AS p FROM documents LEFT JO
 def answer_silence_confusion(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id", "left").select(F.col("quality").alias("q"), (F.col("n_chars") > 1500).alias("p"))
     q, p = F.col("q"), F.col("p")
-    return rows.agg(F.count_if((q == 1) & p).alias("tp"), F.count_if((q == 1) & ~p).alias("fn"), F.count_if((q == 0) & p).alias("fp"), F.count_if((q == 0) & ~p).alias("tn"), F.count_if(q.isNull()).alias("unlabelled"))
+    return rows.agg(
+        F.count_if((q == 1) & p).alias("tp"), F.count_if((q == 1) & ~p).alias("fn"), F.count_if((q == 0) & p).alias("fp"),
+        F.count_if((q == 0) & ~p).alias("tn"), F.count_if(q.isNull()).alias("unlabelled"),
+    )
 
 
 @query("""
 SELECT user_id, count(*)::BIGINT AS n, min(floor(epoch(ts)))::BIGINT AS first, count(DISTINCT event_type)::BIGINT AS kinds, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS names FROM events GROUP BY user_id
 """)
 def trace_metrics(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.floor(seconds("ts"))).alias("first"), F.count_distinct("event_type").alias("kinds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"))
+    return t.events.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.min(F.floor(seconds("ts"))).alias("first"), F.count_distinct("event_type").alias("kinds"),
+        F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"),
+    )
 
 
 @query("""

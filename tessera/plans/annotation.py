@@ -26,7 +26,10 @@ def videos(t: Tables) -> DataFrame:
     answer = F.struct(F.col("time"), F.col("l_linestatus").alias("gt"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
     lines = lines.repartition("l_orderkey")  # one exchange serves both groupings and the join
     queries = lines.groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(answer).alias("answer_events"), F.min("time").alias("time"))
-    event = F.struct(F.col("l_returnflag").alias("qid"), F.greatest(F.lit(0.0), F.col("time") - 10.0).alias("time"), F.array(F.col("l_returnflag"), F.lit("B. none")).alias("options"), F.array_sort("answer_events").alias("answer_events"))
+    event = F.struct(
+        F.col("l_returnflag").alias("qid"), F.greatest(F.lit(0.0), F.col("time") - 10.0).alias("time"),
+        F.array(F.col("l_returnflag"), F.lit("B. none")).alias("options"), F.array_sort("answer_events").alias("answer_events"),
+    )
     events = queries.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(event)).alias("query_events"))
     rows = t.orders.join(events, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.select(F.col("o_orderkey").alias("video_id"), F.floor(F.col("o_totalprice") / 4000.0).cast("double").alias("video_seconds"), F.lit(2.0).alias("fps"), "query_events")
@@ -77,7 +80,10 @@ SELECT video_id, qid, count(*)::BIGINT AS n_answers, min(time) AS first_time, ma
 def nest_and_flatten_events(t: Tables) -> DataFrame:
     rows = videos(t).where("query_events is not null").withColumn("query_events", A.on_grid(F.col("query_events"), F.col("fps")))
     flat = A.flattened(rows, "query_events", [])
-    return flat.select("video_id", "qid", F.size("answer_events").cast("long").alias("n_answers"), F.get("answer_events", F.lit(0))["time"].alias("first_time"), F.element_at("answer_events", -1)["time"].alias("last_time"), F.array_join(F.transform("answer_events", lambda a: a["gt"]), ",").alias("truths"))
+    return flat.select(
+        "video_id", "qid", F.size("answer_events").cast("long").alias("n_answers"), F.get("answer_events", F.lit(0))["time"].alias("first_time"),
+        F.element_at("answer_events", -1)["time"].alias("last_time"), F.array_join(F.transform("answer_events", lambda a: a["gt"]), ",").alias("truths"),
+    )
 
 
 @query(ANSWERS + """
@@ -86,7 +92,10 @@ SELECT video_id, time, gt, part FROM d WHERE r = 1
 """)
 def dedupe_events_keep_first(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.orders.select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = lines.select(F.col("l_orderkey").alias("video_id"), R.to_fps(F.col("l_quantity") * F.col("l_linenumber") * 0.8, F.lit(2.0)).alias("time"), F.col("l_linestatus").alias("gt"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    rows = lines.select(
+        F.col("l_orderkey").alias("video_id"), R.to_fps(F.col("l_quantity") * F.col("l_linenumber") * 0.8, F.lit(2.0)).alias("time"),
+        F.col("l_linestatus").alias("gt"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+    )
     return A.first_of(rows, ["video_id", F.round("time", 3), "gt"], ["line", "part"]).select("video_id", "time", "gt", "part")
 
 

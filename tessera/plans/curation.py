@@ -23,9 +23,16 @@ def accepted_questions(t: Tables) -> DataFrame:
     size = F.col("p_size")
     kind = F.when(size % 3 == 0, "realtime").when(size % 3 == 1, "forward").otherwise("backward")
     options = F.struct(F.lit(True).alias("is_valid_mcq"), F.lit(True).alias("has_single_correct_answer"), (size % 7 == 0).alias("has_option_bias"), F.lit(True).alias("is_visual_question"))
-    audit = lambda choice, sure, support: F.struct(choice.alias("choice"), sure.cast("double").alias("confidence"), F.lit(support).alias("support"), F.lit(False).alias("is_answer_available_before_ask_time"))
+    audit = lambda choice, sure, support: F.struct(
+        choice.alias("choice"), sure.cast("double").alias("confidence"), F.lit(support).alias("support"),
+        F.lit(False).alias("is_answer_available_before_ask_time"),
+    )
     guess = F.when(size % 2 == 0, "A").otherwise("B")
-    rows = t.part.select("p_partkey", kind.alias("kind"), options.alias("o"), audit(guess, size / 50, "unsure").alias("text"), audit(F.lit("A"), (F.col("p_retailprice") % 10) / 10, "fully_supported").alias("visual"), audit(guess, size / 50, "partially_supported").alias("history"))
+    rows = t.part.select(
+        "p_partkey", kind.alias("kind"), options.alias("o"), audit(guess, size / 50, "unsure").alias("text"),
+        audit(F.lit("A"), (F.col("p_retailprice") % 10) / 10, "fully_supported").alias("visual"),
+        audit(guess, size / 50, "partially_supported").alias("history"),
+    )
     return rows.select("p_partkey", "kind", Q.accepted_question(F.col("kind"), F.lit("A"), F.col("o"), F.col("text"), F.col("visual"), F.col("history"), F.lit(True)).alias("accepted"))
 
 
@@ -47,7 +54,10 @@ SELECT user_id, count(*)::BIGINT AS n, count(CASE WHEN kind = 'purchase' THEN 1
 def group_events_of_a_source(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", F.floor(seconds("ts") / 7200).cast("double").alias("t"), F.col("event_type").alias("kind"), "value")
     out = G.grouped(rows, ["user_id"], "t", [G.priority(F.col("kind"), ["purchase", "click"]), F.col("event_id")], ["kind"], 1.0, 2, ["value"])
-    return out.select("user_id", F.size("events").cast("long").alias("n"), F.size(F.filter("events", lambda e: e["kind"] == "purchase")).cast("long").alias("purchases"), F.col("value").alias("widest"))
+    return out.select(
+        "user_id", F.size("events").cast("long").alias("n"), F.size(F.filter("events", lambda e: e["kind"] == "purchase")).cast("long").alias("purchases"),
+        F.col("value").alias("widest"),
+    )
 
 
 @query("""
@@ -84,7 +94,10 @@ WITH r AS (SELECT event_id, value, value > 100 AS said, bool_or(event_type = 'cl
 SELECT event_id, NOT q AND NOT t AND any_said AS forced, CASE WHEN NOT q AND NOT t AND any_said THEN CASE WHEN said THEN 0.0 ELSE 1.0 END ELSE value END::DOUBLE AS reward FROM r
 """)
 def forced_answer_rewards(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", "user_id", (F.col("event_id") % 40).alias("turn"), (F.col("event_type") == "click").alias("q"), (F.col("event_type") == "purchase").alias("t"), (F.col("value") > 100).alias("said"), F.col("value").alias("reward"))
+    rows = t.events.select(
+        "event_id", "user_id", (F.col("event_id") % 40).alias("turn"), (F.col("event_type") == "click").alias("q"),
+        (F.col("event_type") == "purchase").alias("t"), (F.col("value") > 100).alias("said"), F.col("value").alias("reward"),
+    )
     return A.forced_answers(rows, "user_id", "turn", "q", "t", "said", "reward").select("event_id", "forced", "reward")
 
 
@@ -123,7 +136,10 @@ def further_policy_losses(t: Tables) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = t.embeddings.select("vec_id", F.slice(v, 1, 16).alias("a"), F.slice(v, 17, 16).alias("b"), F.slice(v, 33, 16).alias("d"), F.array_repeat(F.lit(1.0), 16).alias("m"))
     x = [F.col(c) for c in "abdm"]
-    return rows.select("vec_id", F.round(A.sequence_ratio_loss(*x, 0.2, 0.28), 6).alias("by_sequence"), F.round(A.weighted_likelihood_loss(*x, 0.2, 0.28), 6).alias("by_token"), F.round(A.weighted_likelihood_loss(*x), 6).alias("plain"))
+    return rows.select(
+        "vec_id", F.round(A.sequence_ratio_loss(*x, 0.2, 0.28), 6).alias("by_sequence"),
+        F.round(A.weighted_likelihood_loss(*x, 0.2, 0.28), 6).alias("by_token"), F.round(A.weighted_likelihood_loss(*x), 6).alias("plain"),
+    )
 
 
 @query("""

@@ -93,6 +93,9 @@ WITH x AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0 ELSE 1 END AS ok, va
 SELECT count(CASE WHEN value > 20 THEN 1 END)::BIGINT AS long_delta, count(CASE WHEN ok = 1 THEN 1 END)::BIGINT AS first_anchor FROM x
 """)
 def training_filter_reasons(t: Tables) -> DataFrame:
-    text = F.concat(F.when(F.col("event_id") % 3 == 0, '<anchor t="0.0-1.0"></anchor>').otherwise('<anchor t="2.0-3.0"></anchor>'), F.format_string('<delta t="1.00-%.2f">x</delta>', F.col("value") + 1))
+    text = F.concat(
+        F.when(F.col("event_id") % 3 == 0, '<anchor t="0.0-1.0"></anchor>').otherwise('<anchor t="2.0-3.0"></anchor>'),
+        F.format_string('<delta t="1.00-%.2f">x</delta>', F.col("value") + 1),
+    )
     reasons = t.events.select(F.explode(C.hard_reasons(text)).alias("r"))
     return reasons.agg(F.count_if(F.col("r") == "long_delta").alias("long_delta"), F.count_if(F.col("r") == "first_anchor").alias("first_anchor"))

@@ -101,7 +101,10 @@ def interleave_with_restarts(t: Tables) -> DataFrame:
 SELECT p_partkey, 'basic' AS branch, p_name AS question, p_size AS gt FROM part UNION ALL SELECT p_partkey, 'changed', p_brand, p_size + 1 FROM part WHERE p_size > 10
 """)
 def two_branch_questions(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", F.struct(F.col("p_name").alias("question"), F.col("p_size").alias("gt")).alias("a"), F.when(F.col("p_size") > 10, F.struct(F.col("p_brand").alias("question"), (F.col("p_size") + 1).alias("gt"))).alias("b"))
+    rows = t.part.select(
+        "p_partkey", F.struct(F.col("p_name").alias("question"), F.col("p_size").alias("gt")).alias("a"),
+        F.when(F.col("p_size") > 10, F.struct(F.col("p_brand").alias("question"), (F.col("p_size") + 1).alias("gt"))).alias("b"),
+    )
     return G.two_branches(rows, "p_partkey", [("basic", "a"), ("changed", "b")])
 
 
@@ -126,7 +129,10 @@ TOKENS = "WITH p AS (SELECT vec_id, i - 1 AS place, -abs(embedding[i]::DOUBLE) A
 def token_rows(t: Tables) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     mask = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (i <= 8 + F.col("vec_id") % 9).cast("int"))
-    rows = t.embeddings.select("vec_id", F.transform(F.slice(v, 1, 16), lambda x: -F.abs(x)).alias("a"), F.transform(F.slice(v, 17, 16), lambda x: -F.abs(x)).alias("b"), F.slice(v, 33, 16).alias("d"), mask.alias("m"))
+    rows = t.embeddings.select(
+        "vec_id", F.transform(F.slice(v, 1, 16), lambda x: -F.abs(x)).alias("a"), F.transform(F.slice(v, 17, 16), lambda x: -F.abs(x)).alias("b"),
+        F.slice(v, 33, 16).alias("d"), mask.alias("m"),
+    )
     return L.tokens(rows, "vec_id", "a", "b", "d", "m")
 
 

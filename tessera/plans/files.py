@@ -65,7 +65,9 @@ def wrapped_json(t: Tables) -> DataFrame:
     return readers.wrapped(t.spark, listed, _schema(t)).unionAll(readers.wrapped(t.spark, held, _schema(t)))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS price FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part")
+@query(
+    "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS price FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part"
+)
 def loaded_by_suffix(t: Tables) -> DataFrame:
     """Parquet with NaN, JSON lines and CSV in one list of paths."""
     rows, paths = _parts(t), [_path(t, "load") + s for s in (".parquet", ".jsonl", ".csv")]
@@ -146,7 +148,9 @@ def batches_written_twice(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("event_id", F.col("batch").cast("int").alias("batch"))
 
 
-@query("SELECT '| lang | n |' AS line, 0::INTEGER AS at UNION ALL SELECT '|---|---|', 1 UNION ALL SELECT '| ' || lang || ' | ' || n || ' |', (1 + row_number() OVER (ORDER BY lang))::INTEGER FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+@query(
+    "SELECT '| lang | n |' AS line, 0::INTEGER AS at UNION ALL SELECT '|---|---|', 1 UNION ALL SELECT '| ' || lang || ' | ' || n || ' |', (1 + row_number() OVER (ORDER BY lang))::INTEGER FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)"
+)
 def summary_as_table(t: Tables) -> DataFrame:
     text = writers.markdown(t.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang"))
     return t.spark.createDataFrame([(x, i) for i, x in enumerate(text.split("\n"))], "line string, at int")
@@ -193,7 +197,10 @@ def rows_for_trainers(t: Tables) -> DataFrame:
     path = _path(t, "training")
     writers.training_rows(t.part, "p_name", "p_type", "math", "parts", "p_partkey", "train").write.parquet(path)
     r = t.spark.read.parquet(path)
-    return r.select(F.col("extra_info.index").alias("p_partkey"), "data_source", F.col("prompt")[0]["role"].alias("role"), F.col("prompt")[0]["content"].alias("content"), "ability", "reward_model.style", "reward_model.ground_truth", "extra_info.split")
+    return r.select(
+        F.col("extra_info.index").alias("p_partkey"), "data_source", F.col("prompt")[0]["role"].alias("role"), F.col("prompt")[0]["content"].alias("content"),
+        "ability", "reward_model.style", "reward_model.ground_truth", "extra_info.split",
+    )
 
 
 @query("SELECT p_partkey, '<image> ' || p_name AS asked, p_type AS said, p_brand AS image FROM part")

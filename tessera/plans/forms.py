@@ -40,10 +40,20 @@ def canonical_rows(t: Tables) -> DataFrame:
     a = F.struct("turn", F.struct((F.col("turn") + 0.4).alias("time"), F.lit(" a").alias("gt"), F.col("text").alias("answer"), F.lit(" ").alias("content")).alias("x"))
     rows = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("q"), F.transform(F.array_sort(F.collect_list(a)), lambda s: s["x"]).alias("a"))
     options = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(" x "), F.lit(" "))).otherwise(F.array().cast("array<string>"))
-    asked = F.struct(F.lit(None).cast("string").alias("qid"), (F.col("conv_id") / 4).alias("time"), F.col("q").alias("content"), F.lit("").alias("answer_policy"), options.alias("options"), F.col("a").alias("answer_events"))
-    flat = rows.select(F.concat(F.lit("d"), "conv_id").alias("dataset"), F.lit(" ").alias("video_id"), F.concat(F.lit("v"), "conv_id").alias("sample_id"), F.lit(2.0).alias("fps"), (F.col("n") * 1.5).alias("duration"), F.array(asked).alias("query_events"))
+    asked = F.struct(
+        F.lit(None).cast("string").alias("qid"), (F.col("conv_id") / 4).alias("time"), F.col("q").alias("content"), F.lit("").alias("answer_policy"),
+        options.alias("options"), F.col("a").alias("answer_events"),
+    )
+    flat = rows.select(
+        F.concat(F.lit("d"), "conv_id").alias("dataset"), F.lit(" ").alias("video_id"), F.concat(F.lit("v"), "conv_id").alias("sample_id"),
+        F.lit(2.0).alias("fps"), (F.col("n") * 1.5).alias("duration"), F.array(asked).alias("query_events"),
+    )
     q = F.col("query_events")[0]
-    return N.canonical(flat).select("dataset", "video_id", "video", "frames_dir", "sample_fps", "frame_count", "frame_id_base", q["qid"].alias("qid"), q["time"].alias("time"), q["content"].alias("content"), q["answer_type"].alias("answer_type"), q["answer_policy"].alias("policy"), F.element_at(q["answer_events"], -1)["gt"].alias("gt"), F.element_at(q["answer_events"], -1)["content"].alias("last_content"))
+    return N.canonical(flat).select(
+        "dataset", "video_id", "video", "frames_dir", "sample_fps", "frame_count", "frame_id_base", q["qid"].alias("qid"), q["time"].alias("time"),
+        q["content"].alias("content"), q["answer_type"].alias("answer_type"), q["answer_policy"].alias("policy"),
+        F.element_at(q["answer_events"], -1)["gt"].alias("gt"), F.element_at(q["answer_events"], -1)["content"].alias("last_content"),
+    )
 
 
 @query("""
@@ -52,7 +62,10 @@ SELECT p_partkey, p_size::DOUBLE AS time, p_name || chr(10) || 'Options:' || chr
 def rows_from_flat_questions(t: Tables) -> DataFrame:
     rows = t.part.withColumns({"options": F.array("p_brand", "p_type"), "frames": F.when(F.col("p_size") > 10, F.col("p_size"))})
     q = F.col("query_events")[0]
-    return N.from_flat(rows, "p_name", "options", "p_type", "frames").select("p_partkey", q["time"].alias("time"), q["content"].alias("content"), q["answer_events"][0]["gt"].alias("gt"), q["answer_events"][0]["content"].alias("said"))
+    return N.from_flat(rows, "p_name", "options", "p_type", "frames").select(
+        "p_partkey", q["time"].alias("time"), q["content"].alias("content"), q["answer_events"][0]["gt"].alias("gt"),
+        q["answer_events"][0]["content"].alias("said"),
+    )
 
 
 @query(f"""
@@ -60,7 +73,9 @@ SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'unknown' WHEN n_chars <= 500 THEN
 """)
 def rows_with_buckets_and_manifest(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id", "left")
-    return N.with_manifest(N.with_buckets(rows, "n_chars", [500.0, 2000.0], "quality"), "made_by", run="run7", version=3).select("doc_id", "duration_bucket", "difficulty", "made_by.run", "made_by.version")
+    return N.with_manifest(
+        N.with_buckets(rows, "n_chars", [500.0, 2000.0], "quality"), "made_by", run="run7", version=3,
+    ).select("doc_id", "duration_bucket", "difficulty", "made_by.run", "made_by.version")
 
 
 @query("""
@@ -77,18 +92,31 @@ SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS targe
 """)
 def rows_rescued_by_variants(t: Tables) -> DataFrame:
     v = lambda c, ok: F.struct(F.col(c).alias("target"), ok.alias("correct"))
-    rows = t.part.select("p_partkey", F.col("p_name").alias("target"), F.array(v("p_brand", F.col("p_size") % 2 == 0), v("p_type", F.col("p_size") % 3 == 0)).alias("variants"), F.lit(True).alias("valid"), F.when(F.col("p_size") % 5 == 0, "step_invalid").otherwise("answer_incorrect").alias("reason"))
+    rows = t.part.select(
+        "p_partkey", F.col("p_name").alias("target"), F.array(v("p_brand", F.col("p_size") % 2 == 0), v("p_type", F.col("p_size") % 3 == 0)).alias("variants"),
+        F.lit(True).alias("valid"), F.when(F.col("p_size") % 5 == 0, "step_invalid").otherwise("answer_incorrect").alias("reason"),
+    )
     return N.rescued(rows, "target", "variants", "valid", "reason").select("p_partkey", "target", F.size("variants").alias("more"))
 
 
 @query("SELECT n_nationkey AS id, n_name AS name, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
 def united_tables(t: Tables) -> DataFrame:
-    return N.united([t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))])
+    return N.united(
+        [
+            t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
+            t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")),
+        ]
+    )
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, 7::INTEGER AS step FROM supplier UNION ALL SELECT c_custkey, c_name, 7 FROM customer")
 def concatenated_batches(t: Tables) -> DataFrame:
-    rows, notes = N.concatenated([(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), {"step": 7}), (t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")), {"step": 7, "more": 1})])
+    rows, notes = N.concatenated(
+        [
+            (t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), {"step": 7}),
+            (t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")), {"step": 7, "more": 1}),
+        ]
+    )
     return rows.withColumn("step", F.lit(notes["step"]))
 
 
@@ -118,7 +146,9 @@ SELECT split, 'rows' AS part, '' AS name, count(*)::BIGINT AS n, round(avg(rate)
 def summary_of_splits(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id", "left").select(F.col("lang").alias("split"), F.col("quality").cast("double").alias("rate"), "source", difficulty(F.col("quality")).alias("difficulty"))
     total, counts = S.of_splits(rows, "split", "rate", ["difficulty", "source"])
-    return total.select("split", F.lit("rows").alias("part"), F.lit("").alias("name"), "n", F.round("avg_pass_rate", 6).alias("rate")).unionAll(counts.select("split", "part", "name", "n", F.lit(None).cast("double")))
+    return total.select(
+        "split", F.lit("rows").alias("part"), F.lit("").alias("name"), "n", F.round("avg_pass_rate", 6).alias("rate"),
+    ).unionAll(counts.select("split", "part", "name", "n", F.lit(None).cast("double")))
 
 
 @query(f"""
@@ -127,9 +157,14 @@ SELECT target, 'rows' AS part, '' AS name, count(*)::BIGINT AS n, round(avg(rate
 UNION ALL SELECT target, 'source', source, count(*), NULL FROM d GROUP BY ALL UNION ALL SELECT target, 'reason', coalesce(reason, 'None'), count(*), NULL FROM d GROUP BY 1, 3
 """)
 def summary_of_targets(t: Tables) -> DataFrame:
-    rows = t.events.select(F.when(F.col("user_id") % 3 == 0, "rl").otherwise("sft").alias("target"), (F.col("value") / 100).alias("rate"), F.col("event_type").alias("source"), F.when(F.col("value") > 50, "high").alias("reason"))
+    rows = t.events.select(
+        F.when(F.col("user_id") % 3 == 0, "rl").otherwise("sft").alias("target"), (F.col("value") / 100).alias("rate"), F.col("event_type").alias("source"),
+        F.when(F.col("value") > 50, "high").alias("reason"),
+    )
     total, counts = S.of_targets(rows, "target", "rate", difficulty(F.col("rate")), "source", "reason")
-    return total.select("target", F.lit("rows").alias("part"), F.lit("").alias("name"), "n", F.round("avg_pass_rate", 6).alias("rate")).unionAll(counts.select("target", "part", "name", "n", F.lit(None).cast("double")))
+    return total.select(
+        "target", F.lit("rows").alias("part"), F.lit("").alias("name"), "n", F.round("avg_pass_rate", 6).alias("rate"),
+    ).unionAll(counts.select("target", "part", "name", "n", F.lit(None).cast("double")))
 
 
 @query("""
@@ -137,10 +172,14 @@ SELECT 'rows' AS part, '' AS name, count(DISTINCT l_orderkey)::BIGINT AS n FROM
 UNION ALL SELECT 'dataset', 'd' || l_orderkey % 4, count(*) FROM lineitem GROUP BY l_orderkey % 4 UNION ALL SELECT 'flat', '', count(*) FROM lineitem
 """)
 def summary_of_stage(t: Tables) -> DataFrame:
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"))).alias("qa_list")).withColumns({"dataset": F.concat(F.lit("d"), (F.col("l_orderkey") % 4).cast("string")), "flag": F.lit("of the row")})
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"))).alias("qa_list")).withColumns(
+        {"dataset": F.concat(F.lit("d"), (F.col("l_orderkey") % 4).cast("string")), "flag": F.lit("of the row")}
+    )
     total, counts = S.of_stage(rows, ["flag", "dataset"], "qa_list")
     flat, _ = S.of_stage(t.lineitem, ["l_returnflag"])
-    return total.select(F.lit("rows").alias("part"), F.lit("").alias("name"), F.col("rows").alias("n")).unionAll(total.select(F.lit("questions"), F.lit(""), "questions")).unionAll(counts).unionAll(flat.select(F.lit("flat"), F.lit(""), "questions"))
+    return total.select(
+        F.lit("rows").alias("part"), F.lit("").alias("name"), F.col("rows").alias("n"),
+    ).unionAll(total.select(F.lit("questions"), F.lit(""), "questions")).unionAll(counts).unionAll(flat.select(F.lit("flat"), F.lit(""), "questions"))
 
 
 @query("""
@@ -149,7 +188,10 @@ SELECT count(*)::BIGINT AS videos, count(*) FILTER (candidates > 0)::BIGINT AS v
 """)
 def summary_of_videos(t: Tables) -> DataFrame:
     e, v = F.col("event_type"), F.col("value")
-    rows = t.events.groupBy("user_id").agg(F.count_if(e == "view").alias("candidates"), F.count_if((e == "purchase") & (v > 50)).alias("accepted"), F.count_if((e == "error") & (v > 90)).alias("errors"))
+    rows = t.events.groupBy("user_id").agg(
+        F.count_if(e == "view").alias("candidates"), F.count_if((e == "purchase") & (v > 50)).alias("accepted"),
+        F.count_if((e == "error") & (v > 90)).alias("errors"),
+    )
     return S.of_videos(rows, ["candidates", "accepted"], "errors")
 
 
@@ -169,7 +211,12 @@ SELECT count(*)::BIGINT AS pairs, (2 * count(*))::BIGINT AS rows, count(*)::BIGI
 """)
 def summary_of_pairs(t: Tables) -> DataFrame:
     s = F.col("p_size").cast("long")
-    rows = t.part.select("p_partkey", F.explode(F.array(F.struct(F.lit("No").alias("answer"), s.alias("frames")), F.struct(F.lit("Yes").alias("answer"), (s + 15 + s % 7).alias("frames")))).alias("r")).select("p_partkey", "r.*")
+    rows = t.part.select(
+        "p_partkey",
+        F.explode(
+            F.array(F.struct(F.lit("No").alias("answer"), s.alias("frames")), F.struct(F.lit("Yes").alias("answer"), (s + 15 + s % 7).alias("frames")))
+        ).alias("r"),
+    ).select("p_partkey", "r.*")
     return S.of_pairs(rows, "p_partkey", "answer", "frames", 3, 9)
 
 
@@ -179,7 +226,10 @@ SELECT count(*)::BIGINT AS samples, count(*) FILTER (o_orderstatus = 'F')::BIGIN
 """)
 def summary_of_jobs(t: Tables) -> DataFrame:
     s, k = F.col("o_orderstatus"), F.col("o_orderkey")
-    rows = t.orders.select(F.when(k % 2 == 0, "error").alias("status"), F.when(s == "F", True).when(s == "O", False).alias("usable"), F.lit(5).alias("tried"), F.when(s == "F", 2).otherwise(0).alias("out"), F.when(s == "F", k % 3).otherwise(0).alias("variants"))
+    rows = t.orders.select(
+        F.when(k % 2 == 0, "error").alias("status"), F.when(s == "F", True).when(s == "O", False).alias("usable"), F.lit(5).alias("tried"),
+        F.when(s == "F", 2).otherwise(0).alias("out"), F.when(s == "F", k % 3).otherwise(0).alias("variants"),
+    )
     return S.of_jobs(rows, "status", "usable", "tried", "out", "variants")
 
 
@@ -213,7 +263,9 @@ def rows_with_questions(t: Tables) -> DataFrame:
     return S.with_questions(t.part.withColumn("question", q), "question").select("p_partkey")
 
 
-@query("SELECT event_id, rank::INTEGER AS rank, (row_number() OVER (ORDER BY rank, value, event_id) - 1)::BIGINT AS position FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 99 END AS rank FROM events)")
+@query(
+    "SELECT event_id, rank::INTEGER AS rank, (row_number() OVER (ORDER BY rank, value, event_id) - 1)::BIGINT AS position FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 99 END AS rank FROM events)"
+)
 def sorted_by_priority(t: Tables) -> DataFrame:
     rows = S.by_priority(t.events, "event_type", {"purchase": 0, "click": 1}, ["value", "event_id"])
     return L.with_position(rows, ["rank", "value", "event_id"]).select("event_id", "rank", F.col("position").cast("long").alias("position"))
@@ -271,14 +323,20 @@ def caption_facts(t: Tables) -> DataFrame:
     """Facts of an order: the first lies on its first frame, the second's keyframe is not allowed and is found by its evidence, the others have no text or evidence."""
     rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("frames"))
     ends = F.array_distinct(F.array(F.element_at("frames", 1), F.element_at("frames", -1)))
-    fact = lambda text, category, key, evidence: F.struct(F.lit(text).alias("fact"), F.lit(None).cast("string").alias("answer"), F.lit(category).cast("string").alias("category"), key.cast("int").alias("source_keyframe_id"), evidence.cast("array<int>").alias("evidence_frame_ids"))
+    fact = lambda text, category, key, evidence: F.struct(
+        F.lit(text).alias("fact"), F.lit(None).cast("string").alias("answer"), F.lit(category).cast("string").alias("category"),
+        key.cast("int").alias("source_keyframe_id"), evidence.cast("array<int>").alias("evidence_frame_ids"),
+    )
     facts = F.array(
         fact("a", None, F.element_at("frames", 1), F.array(F.lit(2), F.lit(1), F.lit(9))), fact(" b ", "c", F.lit(-5), F.array(F.element_at("frames", -1), F.element_at("frames", -1))),
         fact(" ", "c", F.lit(1), F.col("frames")), fact("d", "c", F.lit(1), F.array(F.lit(77))), fact("e", "c", F.lit(1), F.lit(None).cast("array<int>")),
     )
     rows = rows.select("l_orderkey", "frames", ends.alias("keyframes"), facts.alias("facts"))
     cleaned = rows.select("l_orderkey", F.explode(S.cleaned_facts(rows, "facts", "keyframes", "frames")).alias("f"))
-    return cleaned.select("l_orderkey", F.col("f.place").cast("int").alias("place"), F.col("f.source_keyframe_id").alias("keyframe"), F.array_join(F.col("f.evidence_frame_ids").cast("array<string>"), ",").alias("evidence"), "f.category")
+    return cleaned.select(
+        "l_orderkey", F.col("f.place").cast("int").alias("place"), F.col("f.source_keyframe_id").alias("keyframe"),
+        F.array_join(F.col("f.evidence_frame_ids").cast("array<string>"), ",").alias("evidence"), "f.category",
+    )
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars % 7 <> 0 AND n_chars <= 1500 AND n_chars <= 1000")
@@ -294,7 +352,10 @@ def valid_training_examples(t: Tables) -> DataFrame:
     from tessera.operators import conversations as C
 
     m = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: C.message("user", i.cast("string")))
-    rows = t.embeddings.select("vec_id", m(F.lit(1) + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(2 * (F.col("vec_id") % 2))).alias("_prompt"), m(F.lit(1) + (F.col("vec_id") % 2)).alias("_response"))
+    rows = t.embeddings.select(
+        "vec_id", m(F.lit(1) + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(2 * (F.col("vec_id") % 2))).alias("_prompt"),
+        m(F.lit(1) + (F.col("vec_id") % 2)).alias("_response"),
+    )
     return C.valid_examples(rows).select("vec_id")
 
 
@@ -352,7 +413,12 @@ def windows_before_and_around(t: Tables) -> DataFrame:
     windows = F.transform("ks", lambda k: F.struct(k.alias("k"), (k * 10 + 5).alias("end"), F.array(k).alias("frames")))
     history = K.history_frames(F.array(F.lit(3)), F.filter("ks", lambda k: k >= 3), 3)
     three = F.array_contains("ks", F.lit(3))
-    return rows.select("l_orderkey", F.size(K.before(windows, F.lit(35))).alias("before"), K.holding(windows, F.lit(3))["k"].alias("holding"), F.when(three, F.concat(F.lit("3"), F.concat_ws("", F.transform(F.filter(history, lambda k: k > 3), lambda k: F.concat(F.lit(","), k.cast("string")))))).alias("history"))
+    return rows.select(
+        "l_orderkey", F.size(K.before(windows, F.lit(35))).alias("before"), K.holding(windows, F.lit(3))["k"].alias("holding"),
+        F.when(
+            three, F.concat(F.lit("3"), F.concat_ws("", F.transform(F.filter(history, lambda k: k > 3), lambda k: F.concat(F.lit(","), k.cast("string"))))),
+        ).alias("history"),
+    )
 
 
 @query("""
@@ -362,7 +428,9 @@ SELECT l_orderkey, s::DOUBLE AS gap_start, e::DOUBLE AS gap_end FROM g WHERE e >
 def gaps_between_notes(t: Tables) -> DataFrame:
     notes = F.array_sort(F.collect_set(F.struct((F.col("l_linenumber") * 2.0).alias("start"), (F.col("l_linenumber") * 2.0 + 1).alias("end"))))
     rows = t.lineitem.groupBy("l_orderkey").agg(notes.alias("notes"))
-    return rows.select("l_orderkey", F.explode(K.complement(F.col("notes"), F.lit(0.0), F.lit(20.0))).alias("g")).select("l_orderkey", F.col("g.start").alias("gap_start"), F.col("g.end").alias("gap_end"))
+    return rows.select(
+        "l_orderkey", F.explode(K.complement(F.col("notes"), F.lit(0.0), F.lit(20.0))).alias("g"),
+    ).select("l_orderkey", F.col("g.start").alias("gap_start"), F.col("g.end").alias("gap_end"))
 
 
 @query("SELECT user_id, event_id, round(epoch(ts) % 1000, 3) AS second FROM events WHERE value > 30 AND event_type IN ('view', 'click')")
@@ -379,10 +447,16 @@ def clamped_and_declared(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", R.clamp(F.col("p_size") - 10, 0, 20).cast("int").alias("clamped"), declared.cast("double").alias("declared"))
 
 
-@query("SELECT p_partkey, 'say ' || p_name || ' and ' || p_brand || ' {{name}}' AS filled, left(p_name || ' ' || p_name, 12) || CASE WHEN length(p_name || ' ' || p_name) > 12 THEN '...' ELSE '' END AS preview, CASE p_size % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'timeout' ELSE 'other' END AS error FROM part")
+@query(
+    "SELECT p_partkey, 'say ' || p_name || ' and ' || p_brand || ' {{name}}' AS filled, left(p_name || ' ' || p_name, 12) || CASE WHEN length(p_name || ' ' || p_name) > 12 THEN '...' ELSE '' END AS preview, CASE p_size % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'timeout' ELSE 'other' END AS error FROM part"
+)
 def templates_previews_errors(t: Tables) -> DataFrame:
     text = F.when(F.col("p_size") % 3 == 1, "Request TIMED OUT after 5 s").when(F.col("p_size") % 3 == 2, "strange")
-    return t.part.select("p_partkey", T.filled("say {{name}} and {{brand}} {{name}}", name=F.col("p_name"), brand=F.col("p_brand")).alias("filled"), T.preview(F.concat("p_name", F.lit("\n  "), "p_name"), 12).alias("preview"), T.error_class(text, [("timed out", "timeout"), ("refused", "connection")]).alias("error"))
+    return t.part.select(
+        "p_partkey", T.filled("say {{name}} and {{brand}} {{name}}", name=F.col("p_name"), brand=F.col("p_brand")).alias("filled"),
+        T.preview(F.concat("p_name", F.lit("\n  "), "p_name"), 12).alias("preview"),
+        T.error_class(text, [("timed out", "timeout"), ("refused", "connection")]).alias("error"),
+    )
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 3 = 1 THEN 0.0 ELSE (event_id % 2)::DOUBLE END AS score FROM events")

@@ -19,7 +19,9 @@ SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN
 def open_answers(t: Tables) -> DataFrame:
     ship(t.spark)
     k = F.col("p_size") % 4
-    answer = F.when(k == 0, F.concat(F.lit("A) The "), "p_name", F.lit(" is on a table."))).when(k == 1, "I cannot answer that question").when(k == 2, F.concat(F.lit("on a table there is the "), "p_name", F.lit(" shown"))).otherwise("blue")
+    answer = F.when(k == 0, F.concat(F.lit("A) The "), "p_name", F.lit(" is on a table."))).when(k == 1, "I cannot answer that question").when(
+        k == 2, F.concat(F.lit("on a table there is the "), "p_name", F.lit(" shown")),
+    ).otherwise("blue")
     gold = F.concat(F.lit("the "), "p_name", F.lit(" is on a table"))
     return t.part.select("p_partkey", J.open_answer(answer, gold).alias("same"))
 
@@ -88,7 +90,9 @@ WITH q AS (SELECT o_orderkey, list(struct_pack(k := l_linenumber, s := l_partkey
 SELECT o_orderkey, string_agg(coalesce(CASE WHEN i % 2 = 1 THEN round(i * 0.5, 1)::VARCHAR END, '-'), ',' ORDER BY i) AS scores FROM (SELECT o_orderkey, unnest(range(0, len(qs))) AS i FROM q) GROUP BY o_orderkey
 """)
 def scores_into_nested_rows(t: Tables) -> DataFrame:
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("s")))).alias("qs")).join(t.orders.select("o_orderkey"), "o_orderkey")
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("s")))).alias("qs")
+    ).join(t.orders.select("o_orderkey"), "o_orderkey")
     n = rows.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.size("qs") - 1)).alias("i")).where("i % 2 = 1")
     out = L.scores_written_back(rows, ["o_orderkey"], "qs", n.withColumn("score", F.round(F.col("i") * 0.5, 1)), "i", ["score"])
     return out.select("o_orderkey", F.array_join(F.transform("qs", lambda q: F.coalesce(q["score"].cast("string"), F.lit("-"))), ",").alias("scores"))
@@ -147,5 +151,8 @@ WITH f AS (SELECT user_id, min_by(value, (ts, event_id)) AS v FROM events WHERE
 SELECT user_id, printf('%.2f', v) AS answer, (10 + 2 >= v AND 10 - 2 <= v + 5) AS in_time FROM f
 """)
 def first_answer_in_time(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type = 'purchase'").select("user_id", F.struct(seconds("ts"), F.col("event_id")).alias("o"), F.format_string("%.2f", "value").alias("answer"), F.col("value").alias("a"), (F.col("value") + 5).alias("b"), F.lit(10.0).alias("due"))
+    rows = t.events.where("event_type = 'purchase'").select(
+        "user_id", F.struct(seconds("ts"), F.col("event_id")).alias("o"), F.format_string("%.2f", "value").alias("answer"), F.col("value").alias("a"),
+        (F.col("value") + 5).alias("b"), F.lit(10.0).alias("due"),
+    )
     return L.first_answer_in_time(rows, ["user_id"], "o", "answer", "a", "b", "due")

@@ -53,11 +53,18 @@ SELECT p_partkey, {_quoted(P.CHOICE.split('{question}')[0])} || p_name || {_quot
 """)
 def benchmark_prompts(t: Tables) -> DataFrame:
     task = _cases(F.col("p_size"), ["REC", "SSR", "CRR", "OCR"])
-    return t.part.select("p_partkey", P.choice_prompt(F.col("p_name"), F.array("p_brand", "p_type", F.lit("{x}"))).alias("choice"), P.forward_prompt(task, F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("forward"))
+    return t.part.select(
+        "p_partkey", P.choice_prompt(F.col("p_name"), F.array("p_brand", "p_type", F.lit("{x}"))).alias("choice"),
+        P.forward_prompt(task, F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("forward"),
+    )
 
 
 #: (gold, answer, source letter, index that is expected of the options red car, Blue car., green).
-GOLD = [("A", "", None, 0), ("c", "", None, 2), ("D", "", None, None), ("1", "", None, 1), ("1", " RED car", None, 0), ("3", "", None, 2), ("0", "green", None, 0), ("9", "", None, None), ("blue  CAR", "", None, 1), ("none", "", None, None), ("2", "", "b", 1), ("2", "", "Z", 2), (None, "", None, None), ("-1", "", None, None)]
+GOLD = [
+    ("A", "", None, 0), ("c", "", None, 2), ("D", "", None, None), ("1", "", None, 1), ("1", " RED car", None, 0), ("3", "", None, 2), ("0", "green", None, 0),
+    ("9", "", None, None), ("blue  CAR", "", None, 1), ("none", "", None, None), ("2", "", "b", 1), ("2", "", "Z", 2), (None, "", None, None),
+    ("-1", "", None, None),
+]
 
 
 @query(f"""
@@ -70,7 +77,11 @@ def expected_options(t: Tables) -> DataFrame:
 
 
 #: (task, answer, gold, score).
-TASKS = [("EPM", "The answer is B.", "B", 1), ("OCR", "2", "b", 1), ("OJR", "about 7 or 3", "C", 1), ("HLD", "F", "F", 0), ("REC", "1 then 2", "12", 1), ("REC", "none", "", 0), ("REC", "3 times", "3", 1), ("SSR", "Yes, yes.", "1", 1), ("CRR", "no", "0", 1), ("CRR", "yes or no", "1", 0), ("SSR", "", "0", 0), ("XYZ", "A", "A", None), ("ATR", None, "A", 0)]
+TASKS = [
+    ("EPM", "The answer is B.", "B", 1), ("OCR", "2", "b", 1), ("OJR", "about 7 or 3", "C", 1), ("HLD", "F", "F", 0), ("REC", "1 then 2", "12", 1),
+    ("REC", "none", "", 0), ("REC", "3 times", "3", 1), ("SSR", "Yes, yes.", "1", 1), ("CRR", "no", "0", 1), ("CRR", "yes or no", "1", 0), ("SSR", "", "0", 0),
+    ("XYZ", "A", "A", None), ("ATR", None, "A", 0),
+]
 
 
 @query(f"""
@@ -83,7 +94,10 @@ def scores_by_task(t: Tables) -> DataFrame:
 
 
 #: (response, raw output, gold, opens with it, mentions it, first one said).
-YES_NO = [("Yes.", "", "yes", 1, 1, "yes"), (" yes", "", "Yes", 0, 1, "yes"), ("No, but yes", "", "yes", 0, 1, "no"), ("Nothing", "", "no", 1, 0, ""), ("", "no way", "no", 1, 1, "no"), ("maybe", "yes", "yes", 0, 0, ""), (None, None, "no", 0, 0, ""), ("yes", "", "maybe", 0, 0, "yes")]
+YES_NO = [
+    ("Yes.", "", "yes", 1, 1, "yes"), (" yes", "", "Yes", 0, 1, "yes"), ("No, but yes", "", "yes", 0, 1, "no"), ("Nothing", "", "no", 1, 0, ""),
+    ("", "no way", "no", 1, 1, "no"), ("maybe", "yes", "yes", 0, 0, ""), (None, None, "no", 0, 0, ""), ("yes", "", "maybe", 0, 0, "yes"),
+]
 
 
 @query(f"""
@@ -102,7 +116,10 @@ SELECT p_partkey, 'B' AS truth, (p_size % 3 = 1)::INTEGER AS score, (p_size % 3
 def scored_choices(t: Tables) -> DataFrame:
     options = F.array("p_brand", "p_type")
     response = _cases(F.col("p_size"), ["I say A", "it is 2, or A?x B", "C D"])
-    rows = t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 1, "number 2").otherwise(response).alias("response"), F.col("p_type").alias("gold"), options.alias("options"), F.lit("").alias("answer"), F.lit(None).cast("string").alias("source_letter"))
+    rows = t.part.select(
+        "p_partkey", F.when(F.col("p_size") % 3 == 1, "number 2").otherwise(response).alias("response"), F.col("p_type").alias("gold"),
+        options.alias("options"), F.lit("").alias("answer"), F.lit(None).cast("string").alias("source_letter"),
+    )
     found = B.scored_runs(rows, "options").select("p_partkey", F.col("ground_truth").alias("truth"), "score", "prediction")
     letters = B.scored_runs(rows.withColumn("gold", F.lit("B. this")), "letters").select("p_partkey", F.col("score").alias("by_letter"))
     return found.join(letters, "p_partkey")
@@ -113,7 +130,9 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE (event_id % 7)::VARCHAR
 """)
 def answer_elements(t: Tables) -> DataFrame:
     k = (F.col("event_id") % 7).cast("string")
-    text = F.when(F.col("event_id") % 3 == 0, "no element").when(F.col("event_id") % 3 == 1, F.concat(F.lit("x<answer> "), k, F.lit("\n</answer>"))).otherwise(F.concat(F.lit("<answer>"), k, F.lit("</answer> and <answer>last</answer>")))
+    text = F.when(F.col("event_id") % 3 == 0, "no element").when(
+        F.col("event_id") % 3 == 1, F.concat(F.lit("x<answer> "), k, F.lit("\n</answer>")),
+    ).otherwise(F.concat(F.lit("<answer>"), k, F.lit("</answer> and <answer>last</answer>")))
     return t.events.select("event_id", B.first_answer_tag(text).alias("first"), T.last_answer_tag(text).alias("last"))
 
 
@@ -136,8 +155,14 @@ JUDGED = [
     ("no object", "step", None, None, None),
     ('{"answer_reward": {"value": 0.5, "reason": "half"}, "issues": "x"}', "answer", 0.5, 0.5, "x"),
     ('{"delta_groundedness": 1, "note_keyframe": {"score": 1}, "semantic_alignment": 0.5, "state_groundedness": true}', "process", 1.75, 1.0, ""),
-    ('{"semantic_alignment": {"checks": {"semantic_output_coherent": "yes", "semantic_text_anchor_express_current_frames": {"pass": true}, "semantic_no_cross_step_contradiction": 0.4}}, "delta_groundedness": 1}', "process", 0.4, 0.0, ""),
-    ('{"semantic_alignment": {"checks": {"semantic_output_coherent": true, "semantic_text_anchor_express_current_frames": "fail", "semantic_no_cross_step_contradiction": 1}}}', "process", 0.0, 0.0, ""),
+    (
+        '{"semantic_alignment": {"checks": {"semantic_output_coherent": "yes", "semantic_text_anchor_express_current_frames": {"pass": true}, "semantic_no_cross_step_contradiction": 0.4}}, "delta_groundedness": 1}',
+        "process", 0.4, 0.0, "",
+    ),
+    (
+        '{"semantic_alignment": {"checks": {"semantic_output_coherent": true, "semantic_text_anchor_express_current_frames": "fail", "semantic_no_cross_step_contradiction": 1}}}',
+        "process", 0.0, 0.0, "",
+    ),
 ]
 
 
@@ -150,7 +175,10 @@ def judge_scores(t: Tables) -> DataFrame:
     out = None
     for form, rules in J.FORMS.items():
         part = rows.where(F.col("form") == form).select("event_id", J.judged_scores(F.col("raw"), form).alias("j"))
-        part = part.select("event_id", F.round("j.score", 6).alias("score"), F.round(F.element_at("j.scores", F.lit(rules.scores[0])), 6).alias("first"), F.when(F.col("j.score").isNotNull(), F.array_join("j.issues", "|")).alias("issues"))
+        part = part.select(
+            "event_id", F.round("j.score", 6).alias("score"), F.round(F.element_at("j.scores", F.lit(rules.scores[0])), 6).alias("first"),
+            F.when(F.col("j.score").isNotNull(), F.array_join("j.issues", "|")).alias("issues"),
+        )
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -192,7 +220,11 @@ def equal_mathematics(t: Tables) -> DataFrame:
 
 
 #: (solution, gold, right, final form of the gold).
-STATED = [("so\nAnswer: 42", "42", True, "42"), ("Answer: 1\nAnswer: $x = 1,000$ dollars", "1000", True, "1000"), ("the answer is 3", "3", False, "3"), (r"Answer: \boxed{7}", "7 units", True, "7"), (r"answer: \frac12", r"\frac{1}{2}", True, r"\frac{1}{2}"), ("Answer: an apple", r"\text{apple}", True, "apple"), ("Answer: 5", "6", False, "6")]
+STATED = [
+    ("so\nAnswer: 42", "42", True, "42"), ("Answer: 1\nAnswer: $x = 1,000$ dollars", "1000", True, "1000"), ("the answer is 3", "3", False, "3"),
+    (r"Answer: \boxed{7}", "7 units", True, "7"), (r"answer: \frac12", r"\frac{1}{2}", True, r"\frac{1}{2}"),
+    ("Answer: an apple", r"\text{apple}", True, "apple"), ("Answer: 5", "6", False, "6"),
+]
 
 
 @query(f"""
@@ -205,7 +237,10 @@ def stated_answers(t: Tables) -> DataFrame:
 
 
 #: (solution, content of the box, gold, right).
-BOXES = [(r"so \boxed{\frac{1}{2}}.", r"\frac{1}{2}", "0.5", True), (r"\boxed{3} then \fbox{4}", "3", "3", True), (r"only \fbox{4}", "4", "5", False), ("none", None, "1", False), (r"\boxed 7$ end", "7", "7", True), (r"\boxed{1} and \boxed{2}", "2", "2", True), (r"\boxed{open", None, "open", False)]
+BOXES = [
+    (r"so \boxed{\frac{1}{2}}.", r"\frac{1}{2}", "0.5", True), (r"\boxed{3} then \fbox{4}", "3", "3", True), (r"only \fbox{4}", "4", "5", False),
+    ("none", None, "1", False), (r"\boxed 7$ end", "7", "7", True), (r"\boxed{1} and \boxed{2}", "2", "2", True), (r"\boxed{open", None, "open", False),
+]
 
 
 @query(f"""
@@ -219,7 +254,9 @@ def boxed_answers(t: Tables) -> DataFrame:
 
 #: (answer, gold, same): one for each rule.
 OPEN = [
-    ("A) The red car.", "the red car", True), ("I cannot answer that", "a red car", False), ("", "x", False), ("red car", "blue car", False), ("there is a red car on the road today", "a red car on the road", True),
+    ("A) The red car.", "the red car", True), ("I cannot answer that", "a red car", False), ("", "x", False), ("red car", "blue car", False), (
+        "there is a red car on the road today", "a red car on the road", True,
+    ),
     ("the man opens the big door", "the man opened the big door", True), ("two people sit at the table near a window", "two people sit near a window at the table", True),
     ("A vehicle is moving outside in the snow", "cars in motion outdoors, snowing", True), ("a dog runs over the green field", "the chef cuts onions in a kitchen", False), ("there is no clear evidence", "a red car stops", False), ("no clear evidence", "not enough information", False),
 ]

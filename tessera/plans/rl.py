@@ -13,7 +13,10 @@ S = "WITH s AS (SELECT event_id AS traj, user_id AS grp, value AS score, (event_
 
 def scores(t: Tables) -> DataFrame:
     e = F.col("event_id")
-    return t.events.select(e.alias("traj"), F.col("user_id").alias("group"), F.col("value").alias("score"), (e % 50 + 1).cast("double").alias("length"), (F.floor(e / 3) % 4).alias("turn"), (e % 7 != 0).alias("valid"), F.col("event_type").alias("kind"))
+    return t.events.select(
+        e.alias("traj"), F.col("user_id").alias("group"), F.col("value").alias("score"), (e % 50 + 1).cast("double").alias("length"),
+        (F.floor(e / 3) % 4).alias("turn"), (e % 7 != 0).alias("valid"), F.col("event_type").alias("kind"),
+    )
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -129,7 +132,10 @@ def token_divergences(t: Tables) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = t.embeddings.select("vec_id", F.slice(v, 1, 32).alias("a"), F.slice(v, 33, 32).alias("b"), F.array_repeat(F.lit(1.0), 32).alias("m"))
     total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, y: s + y), 5)
-    return rows.select("vec_id", *(total(A.kl(F.col("a"), F.col("b"), k)).alias(k) for k in ("k1", "k2", "k3")), total(A.importance_weights(F.col("a"), F.col("b"), F.col("m"), "token", 1.1)).alias("weights"))
+    return rows.select(
+        "vec_id", *(total(A.kl(F.col("a"), F.col("b"), k)).alias(k) for k in ("k1", "k2", "k3")),
+        total(A.importance_weights(F.col("a"), F.col("b"), F.col("m"), "token", 1.1)).alias("weights"),
+    )
 
 
 @query("""

@@ -44,7 +44,11 @@ def _literal(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(item, r)) + ")" for r in rows) + f") AS v({names})"
 
 
-@query("SELECT n_nationkey::BIGINT AS video_id, step_index::BIGINT AS step_index, n_notes, n_bridges, n_seen, tail_start::DOUBLE AS tail_start, n_repairs, memory FROM nation, " + _literal([(i, *a, s) for i, (a, s) in enumerate(zip(AFTER, SHOWN, strict=True))], "step_index, n_notes, n_bridges, n_seen, tail_start, n_repairs, memory"))
+@query(
+    "SELECT n_nationkey::BIGINT AS video_id, step_index::BIGINT AS step_index, n_notes, n_bridges, n_seen, tail_start::DOUBLE AS tail_start, n_repairs, memory FROM nation, " + _literal(
+        [(i, *a, s) for i, (a, s) in enumerate(zip(AFTER, SHOWN, strict=True))], "step_index, n_notes, n_bridges, n_seen, tail_start, n_repairs, memory",
+    )
+)
 def memory_of_scripted_videos(t: Tables) -> DataFrame:
     ship(t.spark)
     return memory.replay(scripted(t))
@@ -58,7 +62,10 @@ def memory_by_policy(t: Tables) -> DataFrame:
     ship(t.spark)
     out = None
     for p in ("anchor_only", "delta_only", "none"):
-        part = memory.replay(scripted(t), p).where("step_index = 3").select("video_id", F.lit(p).alias("policy"), F.when(F.lit(p == "anchor_only"), F.regexp_replace("memory", r"\n?<delta.*?</delta>", "")).otherwise(F.col("memory")).alias("memory"))
+        part = memory.replay(scripted(t), p).where("step_index = 3").select(
+            "video_id", F.lit(p).alias("policy"),
+            F.when(F.lit(p == "anchor_only"), F.regexp_replace("memory", r"\n?<delta.*?</delta>", "")).otherwise(F.col("memory")).alias("memory"),
+        )
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -84,7 +91,9 @@ def _outputs(t: Tables) -> DataFrame:
     return tagged.parsed(t.nation.select("n_nationkey", _cases(k, [o[0] for o in OUTPUTS]).alias("raw"), F.lit(0.0).alias("step_start"), F.lit(5.0).alias("step_end")))
 
 
-@query(f"SELECT n_nationkey, {_sql_cases('n_nationkey', [o[1] for o in OUTPUTS])} AS issues, {_sql_cases('n_nationkey', [','.join(x for x in (o[1], o[2]) if x) for o in OUTPUTS])} AS text_only FROM nation")
+@query(
+    f"SELECT n_nationkey, {_sql_cases('n_nationkey', [o[1] for o in OUTPUTS])} AS issues, {_sql_cases('n_nationkey', [','.join(x for x in (o[1], o[2]) if x) for o in OUTPUTS])} AS text_only FROM nation"
+)
 def issues_of_outputs(t: Tables) -> DataFrame:
     ship(t.spark)
     plain = _outputs(t)
@@ -92,7 +101,9 @@ def issues_of_outputs(t: Tables) -> DataFrame:
     return text.select("n_nationkey", F.array_join("issues", ",").alias("issues"), F.array_join("quality.issues", ",").alias("text_only"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '- Answer with the tags only.' || chr(10) || '- Write exactly one <state>.' WHEN 1 THEN '' ELSE '- Mind: new_code' END AS feedback FROM nation")
+@query(
+    "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '- Answer with the tags only.' || chr(10) || '- Write exactly one <state>.' WHEN 1 THEN '' ELSE '- Mind: new_code' END AS feedback FROM nation"
+)
 def feedback_on_issues(t: Tables) -> DataFrame:
     k, codes = F.col("n_nationkey") % 3, lambda *c: F.array(*map(F.lit, c)).cast("array<string>")
     issues = F.when(k == 0, codes("no_tags", "state_count", "no_tags")).when(k == 1, codes()).otherwise(codes("new_code"))
@@ -101,7 +112,9 @@ def feedback_on_issues(t: Tables) -> DataFrame:
 
 #: (output, events with those from malformed tags, how many of them).
 MALFORMED = [
-    ('<anchor t="0-1"/>', "note 0.0-1.0", 1), ('<anchor t="0-1"></anchor><anchor t="0-1"/>', "note 0.0-1.0", 0), ('<anchor kind="x" t="1 - 2">z</anchor><delta t="2-5">b</delta>', "bridge 2.0-5.0,note 1.0-2.0", 1), ('<anchor frame="3" t="0-1"/>', "", 0),
+    ('<anchor t="0-1"/>', "note 0.0-1.0", 1), ('<anchor t="0-1"></anchor><anchor t="0-1"/>', "note 0.0-1.0", 0), (
+        '<anchor kind="x" t="1 - 2">z</anchor><delta t="2-5">b</delta>', "bridge 2.0-5.0,note 1.0-2.0", 1,
+    ), ('<anchor frame="3" t="0-1"/>', "", 0),
     ('<anchor t="3-1"/><anchor/>', "", 0), ('<anchor t="1-2"/><anchor t="1-2"/>', "note 1.0-2.0", 1),
 ]
 
@@ -116,7 +129,12 @@ def malformed_notes(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_returnflag) AS children FROM lineitem GROUP BY l_orderkey")
 def children_nested(t: Tables) -> DataFrame:
     rows = A.nested(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_returnflag", "l_partkey"], "c")
-    return rows.select("l_orderkey", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_returnflag"])), ",").alias("children"))
+    return rows.select(
+        "l_orderkey",
+        F.array_join(
+            F.transform("c", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_returnflag"])), ",",
+        ).alias("children"),
+    )
 
 
 GOLD_CALL = '[{"name": "f", "parameters": {"a": 1, "b": 2}}]'
@@ -134,7 +152,9 @@ def tool_call_rewards(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(J.tool_calls(made, F.lit(GOLD_CALL)), 6).alias("likeness"), tools.format_reward(text, F.lit(True), F.lit(False)).alias("shape"))
 
 
-@query("SELECT p_partkey, 'user:' || p_name || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, '') || ':0.0,assistant:' || p_type || ':1.0' AS alpaca, 'system:a:0.0,user:' || p_name || ':0.0,assistant:' || p_type || ':1.0,tool:t:0.0' AS sharegpt FROM part")
+@query(
+    "SELECT p_partkey, 'user:' || p_name || coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, '') || ':0.0,assistant:' || p_type || ':1.0' AS alpaca, 'system:a:0.0,user:' || p_name || ':0.0,assistant:' || p_type || ':1.0,tool:t:0.0' AS sharegpt FROM part"
+)
 def weighted_messages(t: Tables) -> DataFrame:
     text = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"], m["loss_weight"].cast("string"))), ",")
     a = C.weighted_alpaca(t.part.withColumn("input", F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))), "p_name", "input", "p_type").select("p_partkey", text.alias("alpaca"))
@@ -148,6 +168,8 @@ def balance_of_sums(t: Tables) -> DataFrame:
     """Parts of nearly equal sums hold each row once; no part is further from the mean than the longest row."""
     ship(t.spark)
     rows = t.documents.select("doc_id", "n_chars")
-    parts = K.balanced(rows, "doc_id", "n_chars", F.floor(F.col("doc_id") / 500), 8).join(rows, "doc_id").groupBy("batch", "part").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.max("n_chars").alias("most"))
+    parts = K.balanced(rows, "doc_id", "n_chars", F.floor(F.col("doc_id") / 500), 8).join(rows, "doc_id").groupBy("batch", "part").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.max("n_chars").alias("most"),
+    )
     out = parts.groupBy("batch").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), F.max("s").alias("hi"), F.min("s").alias("lo"), F.max("most").alias("most"))
     return out.select("batch", "n", "total", (F.col("hi") - F.col("lo") <= F.col("most")).alias("even"))

@@ -19,8 +19,13 @@ def raw_steps(t: Tables) -> DataFrame:
     note = F.format_string('<anchor t="%.1f-%.1f"></anchor>', a, a + 1)
     gap = lambda s, text: F.format_string(f'<delta t="%.1f-%.1f">{text}</delta>', s, b)
     head = F.concat(F.lit("<state>s "), F.col("event_id").cast("string"), F.lit("</state><answer>"), F.when(k == 4, "yes").otherwise(""), F.lit("</answer>"))
-    body = F.when(k == 0, F.concat(head, gap(a, "all"))).when(k == 1, F.concat(head, note, gap(a + 1, "rest"), F.lit(" tail"))).when(k == 2, gap(a, "no head")).when(k == 3, F.concat(head, note, gap(a + 2, "late"))).when(k == 5, F.lit("nothing")).when(k == 6, F.concat(head, F.lit('<anchor t="9-3"></anchor>'), gap(a, "x")))
-    return e.select(F.col("user_id").alias("video_id"), i.alias("step_index"), a.alias("step_start"), b.alias("step_end"), F.when(k == 7, "what?").alias("question"), body.otherwise(F.concat(head, note, gap(a + 1, "rest"))).alias("raw"))
+    body = F.when(k == 0, F.concat(head, gap(a, "all"))).when(k == 1, F.concat(head, note, gap(a + 1, "rest"), F.lit(" tail"))).when(k == 2, gap(a, "no head")).when(k == 3, F.concat(head, note, gap(a + 2, "late"))).when(k == 5, F.lit("nothing")).when(
+        k == 6, F.concat(head, F.lit('<anchor t="9-3"></anchor>'), gap(a, "x")),
+    )
+    return e.select(
+        F.col("user_id").alias("video_id"), i.alias("step_index"), a.alias("step_start"), b.alias("step_end"), F.when(k == 7, "what?").alias("question"),
+        body.otherwise(F.concat(head, note, gap(a + 1, "rest"))).alias("raw"),
+    )
 
 
 def _by_time():

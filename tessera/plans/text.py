@@ -17,7 +17,10 @@ SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS simple
 FROM documents
 """)
 def text_normalised(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(T.simple(F.col("text"))).alias("simple"), T.stable_hash(F.col("source"), F.col("lang")).alias("short_hash"), T.safe_name(F.concat("source", F.lit(" / "), "lang")).alias("name"))
+    return t.documents.select(
+        "doc_id", F.md5(T.simple(F.col("text"))).alias("simple"), T.stable_hash(F.col("source"), F.col("lang")).alias("short_hash"),
+        T.safe_name(F.concat("source", F.lit(" / "), "lang")).alias("name"),
+    )
 
 
 @query(r"""
@@ -65,7 +68,10 @@ FROM events
 """)
 def rounding_rules(t: Tables) -> DataFrame:
     v = F.col("value")
-    return t.events.select("event_id", R.to_fps(v, F.lit(3.0)).alias("fps_time"), R.half_up(v).cast("long").alias("half_up"), R.half_even(v).alias("half_even"), R.truncated(v).alias("cut"), R.declared_end(v).cast("long").alias("declared"), R.rate_key(v).alias("rate"))
+    return t.events.select(
+        "event_id", R.to_fps(v, F.lit(3.0)).alias("fps_time"), R.half_up(v).cast("long").alias("half_up"), R.half_even(v).alias("half_even"),
+        R.truncated(v).alias("cut"), R.declared_end(v).cast("long").alias("declared"), R.rate_key(v).alias("rate"),
+    )
 
 
 @query("""
@@ -109,14 +115,20 @@ def score_by_source(t: Tables) -> DataFrame:
 SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_open, len(regexp_extract_all(html, '</p>'))::BIGINT AS n_close, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages
 """)
 def tag_structure_counts(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_open"), F.regexp_count("html", F.lit("</p>")).cast("long").alias("n_close"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+    return t.pages.select(
+        "page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_open"), F.regexp_count("html", F.lit("</p>")).cast("long").alias("n_close"),
+        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
+    )
 
 
 @query("""
 SELECT event_id, CASE WHEN value < v2 THEN value END AS a, CASE WHEN value < v2 THEN v2 END AS b FROM (SELECT event_id, value, round(100 - value, 2) AS v2 FROM events WHERE value <= 100)
 """)
 def interval_text_parsed(t: Tables) -> DataFrame:
-    text = F.concat(F.col("value").cast("decimal(10,2)").cast("string"), F.when(F.col("event_id") % 2 == 0, " - ").otherwise("–"), F.round(100 - F.col("value"), 2).cast("decimal(10,2)").cast("string"))
+    text = F.concat(
+        F.col("value").cast("decimal(10,2)").cast("string"), F.when(F.col("event_id") % 2 == 0, " - ").otherwise("–"),
+        F.round(100 - F.col("value"), 2).cast("decimal(10,2)").cast("string"),
+    )
     return t.events.where("value <= 100").select("event_id", T.interval(text)["start"].alias("a"), T.interval(text)["end"].alias("b"))
 
 

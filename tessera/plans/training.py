@@ -19,7 +19,11 @@ from tessera.shipping import ship
 DIALECTS = sorted(tools.DIALECTS)
 
 
-@query("SELECT p_partkey, dialect, n::INTEGER AS n, p_name AS name, p_size::VARCHAR AS size, p_type AS kind, '[\"a\",1]' AS tags, 'true' AS flag FROM part, (VALUES " + ", ".join(f"('{d}', {1 if d == 'two_lines' else 2})" for d in DIALECTS) + ") AS v(dialect, n)")
+@query(
+    "SELECT p_partkey, dialect, n::INTEGER AS n, p_name AS name, p_size::VARCHAR AS size, p_type AS kind, '[\"a\",1]' AS tags, 'true' AS flag FROM part, (VALUES " + ", ".join(
+        f"('{d}', {1 if d == 'two_lines' else 2})" for d in DIALECTS
+    ) + ") AS v(dialect, n)"
+)
 def tool_dialects(t: Tables) -> DataFrame:
     """Two calls through every dialect and back (one that holds one call only: the first)."""
     arguments = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "size": '), F.col("p_size").cast("string"), F.lit(', "kind": "'), "p_type", F.lit('", "tags": ["a",1], "flag": true}'))
@@ -29,7 +33,10 @@ def tool_dialects(t: Tables) -> DataFrame:
         calls = F.array(call("get_part")) if d == "two_lines" else F.array(call("get_part"), call("other"))
         rows = t.part.select("p_partkey", tools.read(tools.written(calls, d), d).alias("c"))
         get = lambda k: F.get_json_object(F.col("c")[0]["arguments"], f"$.{k}")
-        part = rows.select("p_partkey", F.lit(d).alias("dialect"), F.when(F.col("c")[0]["name"] == "get_part", F.size("c")).alias("n"), get("name").alias("name"), get("size").alias("size"), get("kind").alias("kind"), get("tags").alias("tags"), get("flag").alias("flag"))
+        part = rows.select(
+            "p_partkey", F.lit(d).alias("dialect"), F.when(F.col("c")[0]["name"] == "get_part", F.size("c")).alias("n"), get("name").alias("name"),
+            get("size").alias("size"), get("kind").alias("kind"), get("tags").alias("tags"), get("flag").alias("flag"),
+        )
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -85,11 +92,19 @@ def masked_label_rows(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.size(labels).alias("n"), F.size(F.filter(labels, lambda x: x == -100)).alias("ignored"), F.element_at(kept, -1).alias("last"))
 
 
-@query("SELECT p_partkey, 10 + least(p_size % 7 + 3, 10)::INTEGER AS n, (10 - 5 + least(p_size % 7 + 3, 10) - least(p_size % 7 + 3, 5))::INTEGER AS learnt, 10::INTEGER AS n_last, 6::INTEGER AS learnt_last FROM part")
+@query(
+    "SELECT p_partkey, 10 + least(p_size % 7 + 3, 10)::INTEGER AS n, (10 - 5 + least(p_size % 7 + 3, 10) - least(p_size % 7 + 3, 5))::INTEGER AS learnt, 10::INTEGER AS n_last, 6::INTEGER AS learnt_last FROM part"
+)
 def labels_over_turns(t: Tables) -> DataFrame:
     """Two turns within a budget of 20 tokens; then the last turn first, within one of 10, of which it takes all."""
     k = F.col("p_size") % 7 + 3
-    pairs = F.array(F.struct(_ids(F.lit(5), F.lit(1)).alias("source"), _ids(F.lit(5), F.lit(11)).alias("target")), F.struct(_ids(F.least(k, F.lit(5)), F.lit(21)).alias("source"), F.when(k > 5, _ids(F.greatest(k - 5, F.lit(1)), F.lit(31))).otherwise(F.array().cast("array<int>")).alias("target")))
+    pairs = F.array(
+        F.struct(_ids(F.lit(5), F.lit(1)).alias("source"), _ids(F.lit(5), F.lit(11)).alias("target")),
+        F.struct(
+            _ids(F.least(k, F.lit(5)), F.lit(21)).alias("source"),
+            F.when(k > 5, _ids(F.greatest(k - 5, F.lit(1)), F.lit(31))).otherwise(F.array().cast("array<int>")).alias("target"),
+        ),
+    )
     whole = K.turn_labels(pairs, 20)
     last = F.array(pairs[0], F.struct(_ids(F.lit(4), F.lit(1)).alias("source"), _ids(F.lit(6), F.lit(11)).alias("target")))
     masked = K.turn_labels(last, 10, mask_history=True)
@@ -97,12 +112,17 @@ def labels_over_turns(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.size(whole["input_ids"]).alias("n"), learnt(whole).alias("learnt"), F.size(masked["input_ids"]).alias("n_last"), learnt(masked).alias("learnt_last"))
 
 
-@query("SELECT p_partkey, 4 + 3::INTEGER AS chosen, 4 + (1 + p_size % 3)::INTEGER AS rejected, 3::INTEGER AS learnt, (p_size % 3 + 1)::INTEGER AS learnt_rejected, 4::INTEGER AS prompt, 3::INTEGER AS answer FROM part")
+@query(
+    "SELECT p_partkey, 4 + 3::INTEGER AS chosen, 4 + (1 + p_size % 3)::INTEGER AS rejected, 3::INTEGER AS learnt, (p_size % 3 + 1)::INTEGER AS learnt_rejected, 4::INTEGER AS prompt, 3::INTEGER AS answer FROM part"
+)
 def preference_pairs(t: Tables) -> DataFrame:
     p = K.pairwise(_ids(F.lit(4), F.lit(1)), _ids(F.lit(3), F.lit(11)), _ids(1 + F.col("p_size") % 3, F.lit(21)), 50)
     u = K.unsupervised(_ids(F.lit(4), F.lit(1)), _ids(F.lit(3), F.lit(11)), 50)
     learnt = lambda x: F.size(F.filter(x, lambda v: v != -100))
-    return t.part.select("p_partkey", F.size(p["chosen_ids"]).alias("chosen"), F.size(p["rejected_ids"]).alias("rejected"), learnt(p["chosen_labels"]).alias("learnt"), learnt(p["rejected_labels"]).alias("learnt_rejected"), F.size(u["input_ids"]).alias("prompt"), F.size(u["labels"]).alias("answer"))
+    return t.part.select(
+        "p_partkey", F.size(p["chosen_ids"]).alias("chosen"), F.size(p["rejected_ids"]).alias("rejected"), learnt(p["chosen_labels"]).alias("learnt"),
+        learnt(p["rejected_labels"]).alias("learnt_rejected"), F.size(u["input_ids"]).alias("prompt"), F.size(u["labels"]).alias("answer"),
+    )
 
 
 @query("""
@@ -130,8 +150,15 @@ def packed_training_rows(t: Tables) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     on = F.size(F.filter("attention", lambda a: a > 0))
     labels = total(F.filter("labels", lambda v: v != -100))
-    out = out.select("batch", "n", on.alias("tokens"), total("input_ids").alias("ids"), total("position_ids").alias("positions"), ((F.array_max("attention") == F.col("n")) & (F.size("input_ids") == 64) & (labels == total("input_ids"))).alias("ok"), F.size("attention").alias("size"))
-    return out.groupBy("batch").agg(F.sum("n").alias("examples"), F.sum("tokens").alias("tokens"), F.sum("ids").alias("ids"), F.sum("positions").alias("positions"), F.bool_and("ok").alias("in_order"), F.bool_and(F.col("size") == 64).alias("full"))
+    out = out.select(
+        "batch", "n", on.alias("tokens"), total("input_ids").alias("ids"), total("position_ids").alias("positions"),
+        ((F.array_max("attention") == F.col("n")) & (F.size("input_ids") == 64) & (labels == total("input_ids"))).alias("ok"),
+        F.size("attention").alias("size"),
+    )
+    return out.groupBy("batch").agg(
+        F.sum("n").alias("examples"), F.sum("tokens").alias("tokens"), F.sum("ids").alias("ids"), F.sum("positions").alias("positions"),
+        F.bool_and("ok").alias("in_order"), F.bool_and(F.col("size") == 64).alias("full"),
+    )
 
 
 @query("SELECT p_partkey, ((1 + p_size % 4) * (2 + p_size % 4) / 2 + 6)::BIGINT AS seen FROM part")
@@ -154,7 +181,10 @@ def token_budgets(t: Tables) -> DataFrame:
     ship(t.spark)
     rows = t.documents.select("doc_id", F.least("n_chars", F.lit(5000)).alias("n"))
     out = B.with_micro_batches(rows, F.floor(F.col("doc_id") / 100), "doc_id", "n", 40_000).join(rows, "doc_id")
-    back = out.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("back", "doc_id"))).alias("b"), F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.count_distinct("place").alias("places"))
+    back = out.groupBy("batch").agg(
+        F.array_sort(F.collect_list(F.struct("back", "doc_id"))).alias("b"), F.count("*").alias("rows"), F.sum("n").alias("tokens"),
+        F.count_distinct("place").alias("places"),
+    )
     ordered = F.transform("b", lambda x: x["doc_id"])
     return back.select("batch", "rows", "tokens", ((F.array_sort(ordered) == ordered) & (F.col("places") == F.col("rows"))).alias("whole"))
 
@@ -174,7 +204,9 @@ def imbalance_of_parts(t: Tables) -> DataFrame:
     return K.imbalance(t.documents.withColumn("part", F.col("doc_id") % 7), "part", "n_chars").select("least", "most", "spread", F.round("mean", 6).alias("mean"))
 
 
-@query("WITH n AS (SELECT count(*) // 7 AS size, count(*) % 7 AS more FROM embeddings) SELECT vec_id, (CASE WHEN vec_id < more * (size + 1) THEN vec_id // (size + 1) ELSE more + (vec_id - more * (size + 1)) // size END)::INTEGER AS chunk FROM embeddings, n")
+@query(
+    "WITH n AS (SELECT count(*) // 7 AS size, count(*) % 7 AS more FROM embeddings) SELECT vec_id, (CASE WHEN vec_id < more * (size + 1) THEN vec_id // (size + 1) ELSE more + (vec_id - more * (size + 1)) // size END)::INTEGER AS chunk FROM embeddings, n"
+)
 def chunked_rows(t: Tables) -> DataFrame:
     return B.chunked(t.embeddings.select("vec_id"), "vec_id", t.embeddings.count(), 7).select("vec_id", "chunk")
 
@@ -184,7 +216,9 @@ def selected_rows(t: Tables) -> DataFrame:
     return B.selected(t.embeddings.select("vec_id"), "vec_id", [5, 5, -1, 0]).select("at", "vec_id")
 
 
-@query("SELECT vec_id, false AS padding FROM embeddings UNION ALL SELECT (SELECT count(*) FROM embeddings) + vec_id, true FROM embeddings WHERE vec_id < (64 - (SELECT count(*) FROM embeddings) % 64) % 64")
+@query(
+    "SELECT vec_id, false AS padding FROM embeddings UNION ALL SELECT (SELECT count(*) FROM embeddings) + vec_id, true FROM embeddings WHERE vec_id < (64 - (SELECT count(*) FROM embeddings) % 64) % 64"
+)
 def padded_to_divisor(t: Tables) -> DataFrame:
     rows = B.padded(t.embeddings.select("vec_id"), "vec_id", t.embeddings.count(), 64)
     assert B.unpadded(rows).columns == ["vec_id"]
@@ -258,14 +292,26 @@ def two_level_advantages(t: Tables) -> DataFrame:
     """Two tokens a turn: the last one's reward is the turn's return over turns."""
     ship(t.spark)
     r = F.col("value") / 100
-    rows = t.events.select("user_id", "event_id", F.array(r, r, F.lit(9.0)).alias("r"), F.array((F.col("event_id") % 7).cast("double"), (F.col("event_id") % 5).cast("double"), F.lit(3.0)).alias("v"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("m"))
+    rows = t.events.select(
+        "user_id", "event_id", F.array(r, r, F.lit(9.0)).alias("r"),
+        F.array((F.col("event_id") % 7).cast("double"), (F.col("event_id") % 5).cast("double"), F.lit(3.0)).alias("v"),
+        F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("m"),
+    )
     out = A.two_level_gae(rows, ["user_id"], "event_id", "r", "v", "m", 0.8, 0.53, 0.87)
-    return out.select("event_id", F.round(F.col("advantages")[1], 8).alias("last_advantage"), F.round(F.col("advantages")[0], 8).alias("first_advantage"), F.round(F.col("returns")[1], 8).alias("last_return"))
+    return out.select(
+        "event_id", F.round(F.col("advantages")[1], 8).alias("last_advantage"), F.round(F.col("advantages")[0], 8).alias("first_advantage"),
+        F.round(F.col("returns")[1], 8).alias("last_return"),
+    )
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS naive, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 THEN 1.0 WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN 1.0 WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS by_source, round(CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END + least(-(p_size * 20 - 800) / 200.0, 0), 6) AS overlong FROM part")
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS naive, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 THEN 1.0 WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN 1.0 WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS by_source, round(CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END + least(-(p_size * 20 - 800) / 200.0, 0), 6) AS overlong FROM part"
+)
 def reward_managers(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("not "), "p_name")).alias("a"), F.col("p_name").alias("g"), F.when(F.col("p_size") % 3 == 0, "loose").otherwise("strict").alias("s"), (F.col("p_size") * 20).alias("length"))
+    rows = t.part.select(
+        "p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("not "), "p_name")).alias("a"), F.col("p_name").alias("g"),
+        F.when(F.col("p_size") % 3 == 0, "loose").otherwise("strict").alias("s"), (F.col("p_size") * 20).alias("length"),
+    )
     make = lambda name, **more: plugins.MANAGERS.find(name)(rows, "a", "g", "s", **more).select("p_partkey", F.round("reward", 6).alias(name))
     return make("naive").join(make("by_source", rules={"loose": "subem", "strict": "em"}), "p_partkey").join(make("overlong"), "p_partkey")
 
@@ -276,7 +322,9 @@ def scorers_by_path(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", f(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("x"), F.col("p_name"), None).alias("score"))
 
 
-@query("WITH e AS (SELECT event_id, user_id, epoch(ts)::DOUBLE % 5000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::DOUBLE % 5000, event_id) AS i FROM events) SELECT event_id, round(max(s - i / 0.01) OVER (PARTITION BY user_id ORDER BY s, event_id) + i / 0.01, 3) AS admitted FROM e")
+@query(
+    "WITH e AS (SELECT event_id, user_id, epoch(ts)::DOUBLE % 5000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::DOUBLE % 5000, event_id) AS i FROM events) SELECT event_id, round(max(s - i / 0.01) OVER (PARTITION BY user_id ORDER BY s, event_id) + i / 0.01, 3) AS admitted FROM e"
+)
 def rate_limited_calls(t: Tables) -> DataFrame:
     from tessera.registry import seconds
 
@@ -298,7 +346,9 @@ def curriculum_weights(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(sorted(weights.items()), "source string, weight double").select("source", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT conv_id, CASE WHEN n % 2 = 0 THEN n - 1 ELSE 0 END::INTEGER AS prompt, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS response, 2::INTEGER AS answers FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)")
+@query(
+    "SELECT conv_id, CASE WHEN n % 2 = 0 THEN n - 1 ELSE 0 END::INTEGER AS prompt, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS response, 2::INTEGER AS answers FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)"
+)
 def openai_and_pairs(t: Tables) -> DataFrame:
     calls = "array<struct<name:string,arguments:string>>"
     m = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.lit(None).cast(calls).alias("tool_calls")))

@@ -63,7 +63,10 @@ def load(spark: SparkSession, paths: str, schema: StructType | None = None) -> D
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
-def select_samples(df: DataFrame, order: list[str], tasks: list[str] | None = None, ids: list[str] | None = None, task: str = "task", key: str = "sample_id", offset: int = 0, limit: int | None = None) -> DataFrame:
+def select_samples(
+    df: DataFrame, order: list[str], tasks: list[str] | None = None, ids: list[str] | None = None, task: str = "task", key: str = "sample_id", offset: int = 0,
+    limit: int | None = None,
+) -> DataFrame:
     """Rows of some tasks and ids (any case), then a slice of them in order."""
     if tasks:
         df = df.where(F.lower(F.trim(task)).isin([x.strip().lower() for x in tasks]))

@@ -81,7 +81,10 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.records))
     memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
     tail, notes = memory.tail(), [r for r in memory.records if r[0] == "note"]
-    return {"n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None, "n_repairs": len(done) + (recovered > 0), "memory": memory.shown(policy) if shown else None}
+    return {
+        "n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None,
+        "n_repairs": len(done) + (recovered > 0), "memory": memory.shown(policy) if shown else None,
+    }
 
 
 def _rows(memory: Memory, pdf: pd.DataFrame, policy: str, shown: bool = True) -> list[dict]:

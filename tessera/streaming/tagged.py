@@ -33,7 +33,13 @@ def _inner(e: Column, tag: str) -> Column:
 def events(found: Column) -> Column:
     """Notes and bridges with proper intervals, in order."""
     timed = F.filter(found, lambda e: e.startswith("<anchor") | e.startswith("<delta"))
-    each = F.transform(timed, lambda e: F.struct(F.when(e.startswith("<anchor"), "note").otherwise("bridge").alias("kind"), T.interval(F.regexp_extract(e, r'^<\w+\s+t="([^"]+)"', 1)).alias("i"), F.when(e.startswith("<delta"), _inner(e, "delta")).otherwise("").alias("text")))
+    each = F.transform(
+        timed,
+        lambda e: F.struct(
+            F.when(e.startswith("<anchor"), "note").otherwise("bridge").alias("kind"), T.interval(F.regexp_extract(e, r'^<\w+\s+t="([^"]+)"', 1)).alias("i"),
+            F.when(e.startswith("<delta"), _inner(e, "delta")).otherwise("").alias("text"),
+        ),
+    )
     return F.transform(F.filter(each, lambda e: e["i"].isNotNull()), lambda e: F.struct(e["kind"].alias("kind"), e["i"]["start"].alias("start"), e["i"]["end"].alias("end"), e["text"].alias("text")))
 
 
@@ -71,7 +77,13 @@ def recovered(df: DataFrame, raw: str = "raw") -> DataFrame:
     found = F.filter(F.transform(timed, lambda a: T.interval(F.regexp_extract(a, r'\bt\s*=\s*["\']([^"\']*)["\']', 1))), lambda i: i.isNotNull())
     mark = lambda e: F.struct(F.round(e["start"], 3).alias("a"), F.round(e["end"], 3).alias("b"))
     known = F.transform(F.filter("events", lambda e: e["kind"] == "note"), mark)
-    new = F.filter(F.transform(found, lambda i, k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first"))), lambda i: i["first"] & ~F.array_contains(known, mark(i)))
+    new = F.filter(
+        F.transform(
+            found, lambda i,
+            k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first")),
+        ),
+        lambda i: i["first"] & ~F.array_contains(known, mark(i)),
+    )
     notes = F.transform(new, lambda i: F.struct(F.lit("note").alias("kind"), i["start"].alias("start"), i["end"].alias("end"), F.lit("").alias("text")))
     return df.withColumn("_new", notes).withColumns({"events": F.concat("events", "_new"), "n_recovered": F.size("_new")}).drop("_new")
 
@@ -150,7 +162,10 @@ def scored(found: list[tuple[str, float, float, str]], issues: list[str], step:
     for i in range(len(bridges)):
         if taken.get(i) != "used":
             fault("duplicate_bridge_gap" if i in taken else "invalid_bridge_gap", "format")
-    return {"format_reward": int(not bad["format"]), "timing_reward": int(not bad["timing"]), "order_reward": int(not bad["order"]), "tail_reward": int(not bad["tail"]), "valid": not any(bad.values()), "issues": codes}
+    return {
+        "format_reward": int(not bad["format"]), "timing_reward": int(not bad["timing"]), "order_reward": int(not bad["order"]),
+        "tail_reward": int(not bad["tail"]), "valid": not any(bad.values()), "issues": codes,
+    }
 
 
 def text_only_scored(found: list[tuple[str, float, float, str]], issues: list[str], step: Step) -> dict:
@@ -275,4 +290,12 @@ HINTS = {
 def feedback(issues: Column) -> Column:
     """One line for each distinct issue, in order; empty without issues."""
     hints = F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv))
-    return F.array_join(F.transform(F.array_distinct(issues), lambda c: F.concat(F.lit("- "), F.coalesce(F.get(F.filter(F.map_entries(hints), lambda e: e["key"] == c), F.lit(0))["value"], F.concat(F.lit("Mind: "), c)))), "\n")
+    return F.array_join(
+        F.transform(
+            F.array_distinct(issues),
+            lambda c: F.concat(
+                F.lit("- "), F.coalesce(F.get(F.filter(F.map_entries(hints), lambda e: e["key"] == c), F.lit(0))["value"], F.concat(F.lit("Mind: "), c)),
+            ),
+        ),
+        "\n",
+    )

@@ -25,7 +25,9 @@ def test_first_failing_reason_of_each_kind(spark):
     rows = {
         "kept": video(60.0, [25.0, 40.0]), "duplicate_options": video(60.0, [25.0], options=("A. x", " X ")), "missing_answer_events": video(60.0, []),
         "original_video_too_short": video(19.9, [15.0]), "query_after_max_cutoff": video(200.0, [150.0], 120.0), "first_answer_after_max_cutoff": video(200.0, [150.0], 10.0),
-        "answer_gap_too_small": video(60.0, [25.0, 31.0]), "final_video_too_short": video(60.0, [5.0]), "missing_query_time": (60.0, 1.0, [("q", None, ["a"], [(30.0, "x")])]), "missing_query_events": (60.0, 1.0, []),
+        "answer_gap_too_small": video(60.0, [25.0, 31.0]), "final_video_too_short": video(60.0, [5.0]), "missing_query_time": (
+            60.0, 1.0, [("q", None, ["a"], [(30.0, "x")])],
+        ), "missing_query_events": (60.0, 1.0, []),
     }
     schema = "want string, video_seconds double, fps double, query_events array<struct<qid:string,time:double,options:array<string>,answer_events:array<struct<time:double,gt:string>>>>"
     got = A.first_failing_reason(spark.createDataFrame([(k, *v) for k, v in rows.items()], schema)).collect()
@@ -188,7 +190,13 @@ def test_step_reward_values(spark):
 
 def test_openai_messages(spark):
     kind = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
-    rows = [(1, [("system", "s", None), ("user", "q", None), ("assistant", None, [("f", "{}")]), ("tool", "1", None), ("tool", "2", None), ("assistant", "a", None)]), (2, [("assistant", "a", None), ("user", "q", None)]), (3, [])]
+    rows = [
+        (
+            1,
+            [("system", "s", None), ("user", "q", None), ("assistant", None, [("f", "{}")]), ("tool", "1", None), ("tool", "2", None), ("assistant", "a", None)],
+        ),
+        (2, [("assistant", "a", None), ("user", "q", None)]), (3, []),
+    ]
     got = {r.id: r for r in C.openai(spark.createDataFrame(rows, f"id int, messages {kind}")).collect()}
     assert [m.role for m in got[1]._prompt] == ["user", "function", "observation"] and got[1]._prompt[2].content == "1\n</tool_response>\n<tool_response>\n2" and got[1]._system == "s"
     assert not got[2]._prompt and not got[3]._response

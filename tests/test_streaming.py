@@ -73,7 +73,12 @@ def test_memory_by_hand():
 def test_live_memory_is_replayed_memory(spark, tmp_path):
     ship(spark)
     schema = "video_id long, step_index long, step_start double, step_end double, events " + tagged.EVENT + ", question string, answer string"
-    rows = [(v, i, 5.0 * i, 5.0 * i + 5, [("note", 5.0 * i, 5.0 * i + 1, ""), ("bridge", 5.0 * i + 1, 5.0 * i + 5, f"{v}{i}")], "q" if i == 1 else None, "a" if i == 3 else "") for v in (1, 2) for i in range(6)]
+    rows = [
+        (
+            v, i, 5.0 * i, 5.0 * i + 5, [("note", 5.0 * i, 5.0 * i + 1, ""), ("bridge", 5.0 * i + 1, 5.0 * i + 5, f"{v}{i}")], "q" if i == 1 else None,
+            "a" if i == 3 else "",
+        ) for v in (1, 2) for i in range(6)
+    ]
     for part in (0, 1):
         spark.createDataFrame([r for r in rows if r[1] // 3 == part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     batch = memory.replay(spark.createDataFrame(rows, schema)).collect()
