@@ -141,7 +141,13 @@ def rows_of(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) ->
     """
     text_ = F.coalesce(F.col(text), F.lit(""))
     doc_id = F.col(key).cast("long")
-    return df.select(row_of(F.col(key), F.col(text)).alias("row"), F.struct(doc_id.alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own") if carry else F.lit(None).cast("boolean").alias("own")).alias("rest"), text_.alias("text"))
+    return df.select(
+        row_of(F.col(key), F.col(text)).alias("row"),
+        F.struct(
+            doc_id.alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own") if carry else F.lit(None).cast("boolean").alias("own"),
+        ).alias("rest"),
+        text_.alias("text"),
+    )
 
 
 # --- hashing of stretches of bytes or words -------------------------------------------------

@@ -56,7 +56,10 @@ def _with_fingerprints(df: DataFrame, length: int, k: int, short: list[int]) ->
     return df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+    item_text: str = "text",
+) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_words, n_hit) of every document, and (row, item_id) of the items found in each; row stands for key and text."""
     spark = docs.sparkSession
     prepare(spark)
@@ -64,7 +67,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(f"n < {length}").distinct().collect())  # fewer than `length` rows
     sizes = [length, *short]
     named = _with_fingerprints(items, length, k, short)
-    parts = [named.where(F.size("words") >= length if n == length else F.size("words") == n).select("item_id", F.posexplode_outer(f"f{n}").alias("at", "print"), "words").where("print is not null").select("item_id", "print", F.lit(n).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("window")) for n in sizes]
+    parts = [
+        named.where(F.size("words") >= length if n == length else F.size("words") == n).select("item_id", F.posexplode_outer(f"f{n}").alias("at", "print"), "words").where("print is not null").select(
+            "item_id", "print", F.lit(n).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("window"),
+        ) for n in sizes
+    ]
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionAll(p)
@@ -86,16 +93,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     near = _with_fingerprints(cut, length, k, short)
     starts = F.concat(*(F.filter(F.transform(f"f{n}", _start(n)), lambda s: s.isNotNull()) for n in sizes))
     spans = near.select("row", "words", starts.alias("starts"))
-    spans = spans.select("row", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))).alias("s")).where("s is not null").select("row", "s.*")
+    spans = spans.select(
+        "row",
+        F.explode_outer(
+            F.transform(
+                "starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")),
+            )
+        ).alias("s"),
+    ).where("s is not null").select("row", "s.*")
     whole = written(spans.join(windows.select("window", "n").distinct(), ["window", "n"]), "hits")
 
     # words covered: for sorted spans, those before the next span's start
     ordered = F.array_sort(F.collect_set(F.struct("at", "n")))
     ends = F.transform("spans", lambda s: s["at"] + s["n"])
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
-    total = F.aggregate(F.arrays_zip(F.col("spans.at").alias("at"), ends.alias("end")), state, lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], acc["end"]))).alias("total")), lambda acc: acc["total"])
+    total = F.aggregate(
+        F.arrays_zip(F.col("spans.at").alias("at"), ends.alias("end")), state, lambda acc,
+        s: F.struct(
+            F.greatest(acc["end"], s["end"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], acc["end"]))).alias("total"),
+        ),
+        lambda acc: acc["total"],
+    )
     counts = whole.groupBy("row").agg(ordered.alias("spans")).select("row", total.cast("long").alias("n_hit"))
-    per_doc = found.where("whole").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(counts, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
+    per_doc = found.where("whole").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(counts, "row", "left").select(
+        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    )
     pairs = whole.select("row", "window", "n").distinct().join(windows.select("window", "n", "item_id").distinct(), ["window", "n"]).select("row", "item_id").distinct()
     return per_doc, pairs
 
@@ -104,7 +126,10 @@ def digest(per_doc: DataFrame, pairs: DataFrame) -> DataFrame:
     items = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     none = F.array().cast("array<string>")
     out = per_doc.join(items, "row", "left").withColumn("items", F.coalesce("items", none))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], length: int = 10) -> dict[int, tuple[int, int, int, str, bool]]:

@@ -32,7 +32,9 @@ TRAINING, EPOCHS, BATCH, STEP = 1500, 6, 25, 0.3
 CUE_BLOCKS = 8
 SLOTS = 1 << 16
 #: Tags that part blocks, hold raw text or nothing, and are never closed.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+)
 RAW = frozenset("script style template title noscript iframe svg textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag of the first kind ends where one of the second begins, unless one of BARS is open in between.
@@ -209,7 +211,10 @@ def features(found: list[Block], cues: frozenset[str]) -> list[list[int]]:
         slots, near = _of_path(b.node)
         words = b.text.split(" ")
         size, links = _size(len(words)), min(3, 4 * b.linked // max(1, len(b.text)))
-        more = ["bias", f"s:{size}", f"l:{links}", f"sl:{size}:{links}", f"e:{b.text[-1] in '.!?…:'}", f"ps:{near}:{size}", f"pl:{near}:{links}", f"at:{4 * i // n}", f"first:{i}" if i < 3 else "later", f"last:{n - i}" if n - i < 3 else "sooner"]
+        more = [
+            "bias", f"s:{size}", f"l:{links}", f"sl:{size}:{links}", f"e:{b.text[-1] in '.!?…:'}", f"ps:{near}:{size}", f"pl:{near}:{links}",
+            f"at:{4 * i // n}", f"first:{i}" if i < 3 else "later", f"last:{n - i}" if n - i < 3 else "sooner",
+        ]
         if len(words) <= 12:
             more += [f"w:{w}" for w in cues.intersection(b.text.lower().split(" "))]
         out.append(slots + [_slot(x) for x in more])

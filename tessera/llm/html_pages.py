@@ -118,7 +118,9 @@ class Pages:
         tag = self.pick(["article", "article", "article", "main", "div", "section"])
         body = f"<{tag}{self.attribute('article')}>" + "".join(parts) + f"</{tag}>"
         before = [self.other(self.pick(["header", "header", "ad", "notice", "share", "form"]), None) for _ in range(int(self.rng.integers(0, 4)))]
-        after = [self.other(self.pick(["aside", "comments", "ad", "share", "form", "footer", "notice"]), None) for _ in range(int(self.rng.integers(0, 4)))] + [self.other("footer", None)] * self.chance(0.8)
+        after = [
+            self.other(self.pick(["aside", "comments", "ad", "share", "form", "footer", "notice"]), None) for _ in range(int(self.rng.integers(0, 4)))
+        ] + [self.other("footer", None)] * self.chance(0.8)
         if self.chance(0.4 if bare else 0.03):  # a fragment
             return body if self.chance(0.5) else f"<html><body>{body}</body></html>", marks
         html = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>' + "".join(before) + body + "".join(after) + "</body></html>"

@@ -84,7 +84,10 @@ def _prefixes(size: int, sent):
                 sketches.append(_sketch(tokens, SKETCH))
                 wide.append(_sketch(tokens, WIDE) if n > LONG else np.zeros(0, np.uint64))
                 parts.append(tokens_[: n - -(-4 * n // 5) + 1])
-            of_rows = [b.column("doc_id"), b.column("row"), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), *map(_lists, (parts, sketches, wide))]
+            of_rows = [
+                b.column("doc_id"), b.column("row"), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(np.array(prints, np.uint64).view(np.int64)), *map(_lists, (parts, sketches, wide)),
+            ]
             yield pa.RecordBatch.from_arrays(of_rows, names=["doc_id", "row", "set", "n", "print", "prefix", "sketch", "wide"])
 
     return run
@@ -158,7 +161,9 @@ def near_groups(docs: DataFrame, size: int = 5, bits: int = 3, key: str = "doc_i
 
     # the rest: sets of different groups that share a shingle of their prefixes, first with a few sets of each shingle, other ones each round
     known = sets.select("set", "n", "prefix").join(sent_side(groups), "set", "left")
-    entries = known.select("set", F.coalesce("component", "set").alias("group"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", "group", F.col("n").cast("int").alias("n"), "pos")
+    entries = known.select(
+        "set", F.coalesce("component", "set").alias("group"), "n", F.posexplode("prefix").alias("pos", "token"),
+    ).select("token", "set", "group", F.col("n").cast("int").alias("n"), "pos")
     live = written(_apart(entries, 0), "candidates")
     for i in range(1, ROUNDS + 1):
         found = _confirmed(_candidates(live, live.where("leads"), sketches, "group <> group_"), sets, texts, size)

@@ -310,7 +310,10 @@ def _label(sent):
                 begin = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (f.doc[1:] != f.doc[:-1])))
                 base = np.searchsorted(f.doc, f.doc[begin])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(lo + f.doc[begin])), pa.array((begin - base).astype(np.int32)), pa.array(np.diff(np.append(begin, len(y))).astype(np.int32)), pa.array([model.languages[i] for i in y[begin]], pa.string())],
+                    [
+                        ids.take(pa.array(lo + f.doc[begin])), pa.array((begin - base).astype(np.int32)),
+                        pa.array(np.diff(np.append(begin, len(y))).astype(np.int32)), pa.array([model.languages[i] for i in y[begin]], pa.string()),
+                    ],
                     names=["doc_id", "start", "n", "lang"],
                 )
 

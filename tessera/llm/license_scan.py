@@ -121,7 +121,10 @@ def _scan(scanner: Scanner):
         for b in batches:
             rows = [(i, *found) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for found in scanner.scan(t)]
             ids, names, dice, n, w = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(dice, pa.float64()), pa.array(n, pa.int64()), pa.array(w, pa.int64())], names=["doc_id", "license", "dice", "n_candidates", "n_windows"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(dice, pa.float64()), pa.array(n, pa.int64()), pa.array(w, pa.int64())],
+                names=["doc_id", "license", "dice", "n_candidates", "n_windows"],
+            )
 
     return run
 

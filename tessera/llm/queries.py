@@ -56,6 +56,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_html_extraction, op4_lm_scoring, op5_exact_top_k, op6_license_scan, op7_simhash, op8_decontamination, op9_substring_dedup, op10_language_id)
+    f.__name__: f for f in (
+        op1_suffix_dedup, op2_sentencepiece, op3_html_extraction, op4_lm_scoring, op5_exact_top_k, op6_license_scan, op7_simhash, op8_decontamination,
+        op9_substring_dedup, op10_language_id,
+    )
 }
 ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

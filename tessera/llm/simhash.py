@@ -162,8 +162,17 @@ def _split(rows: DataFrame, bits: int, width: int) -> DataFrame:
     part = left // (bits + 1)
     mask = (1 << left) - 1
     low = F.col("value").bitwiseAND(F.lit(mask))
-    turned = lambda j: F.call_function("shiftleft", low, j * part).bitwiseOR(F.when(j == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", low, left - j * part))).bitwiseAND(F.lit(mask))
-    each = F.explode(F.transform(F.array(*map(F.lit, range(bits + 1))), lambda j: F.struct((F.col("block") * (bits + 1) + j).alias("block"), F.call_function("shiftleft", F.col("top"), F.lit(left)).bitwiseOR(turned(j)).alias("value"))))
+    turned = lambda j: F.call_function("shiftleft", low, j * part).bitwiseOR(
+        F.when(j == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", low, left - j * part))
+    ).bitwiseAND(F.lit(mask))
+    each = F.explode(
+        F.transform(
+            F.array(*map(F.lit, range(bits + 1))),
+            lambda j: F.struct(
+                (F.col("block") * (bits + 1) + j).alias("block"), F.call_function("shiftleft", F.col("top"), F.lit(left)).bitwiseOR(turned(j)).alias("value"),
+            ),
+        )
+    )
     return rows.select("print", each.alias("x")).select("print", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width - part)))
 
 
@@ -177,7 +186,9 @@ def near_groups(prints: DataFrame, bits: int = 3) -> DataFrame:
             F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("print"), 64 - i * width))).alias("value"))))
     rotated = distinct.select("print", blocks.alias("x")).select("print", "x.block", "x.value").withColumn("top", F.call_function("shiftrightunsigned", F.col("value"), F.lit(64 - width)))
     crowded = rotated.groupBy("block", "top").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("block", "top")
-    links = _joined(rotated.join(crowded, ["block", "top"], "left_anti"), bits, width).unionAll(_joined(_split(rotated.join(crowded, ["block", "top"]), bits, width), bits, width + (64 - width) // (bits + 1)))
+    links = _joined(rotated.join(crowded, ["block", "top"], "left_anti"), bits, width).unionAll(
+        _joined(_split(rotated.join(crowded, ["block", "top"]), bits, width), bits, width + (64 - width) // (bits + 1))
+    )
     groups = components(links).withColumnRenamed("node", "print")
     joined = distinct.join(groups, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -61,7 +61,10 @@ def _super_kmers(length: int, k: int):
                     twice = twice[begin]
                 base = np.searchsorted(doc, np.arange(hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h[begin])), pa.array(ids[lo + d[begin]]), pa.array((at0[begin] - base[d[begin]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1)],
+                    [
+                        pa.array(signed(h[begin])), pa.array(ids[lo + d[begin]]), pa.array((at0[begin] - base[d[begin]]).astype(np.int32)),
+                        pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1),
+                    ],
                     names=["key", "row", "start", "n", "weight"],
                 )
 
@@ -81,7 +84,11 @@ def _pack(length: int):
                     s = cols["start"][j]
                     packed.append(b" ".join(words[s : s + cols["n"][j] + length - 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()), pa.array(np.repeat(np.asarray(ids, np.int64), np.diff(offsets))), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()), pa.array(packed, pa.binary())],
+                [
+                    pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()),
+                    pa.array(np.repeat(np.asarray(ids, np.int64), np.diff(offsets))), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()),
+                    pa.array(packed, pa.binary()),
+                ],
                 names=["key", "salt", "salts", "row", "start", "n", "packed"],
             )
 
@@ -105,7 +112,10 @@ def _kept(length: int, whole: bool):
                 gone = covered(len(words), starts[lo:hi], ns[lo:hi], length)
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["rest", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["rest", "n_words", "n_removed", "kept"],
+            )
 
     return run
 

@@ -62,7 +62,10 @@ def _places(length: int, gram: int, piece: int):
                     begin, n = runs_of(~cut)
                     twice = twice[begin]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(h[begin]) for h in pieces), pa.array(ids[lo + doc[begin]]), pa.array((at0[begin] - at[doc[begin]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1)],
+                    [
+                        *(pa.array(h[begin]) for h in pieces), pa.array(ids[lo + doc[begin]]), pa.array((at0[begin] - at[doc[begin]]).astype(np.int32)),
+                        pa.array(n.astype(np.int32)), pa.array(twice.astype(np.int64) + 1),
+                    ],
                     names=[*(f"p{i}" for i in range(len(pieces))), "row", "start", "n", "weight"],
                 )
 
@@ -80,7 +83,11 @@ def _pack(length: int):
             hi, whole = lo + cols["n"] + length - 1, data.tobytes()
             packed = [whole[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()), pa.array(np.repeat(b.column("row").to_numpy(), each)), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()), pa.array(packed, pa.binary())],
+                [
+                    pa.array(cols["key"], pa.int64()), pa.array(cols["salt"], pa.int32()), pa.array(cols["salts"], pa.int32()),
+                    pa.array(np.repeat(b.column("row").to_numpy(), each)), pa.array(cols["start"], pa.int32()), pa.array(cols["n"], pa.int32()),
+                    pa.array(packed, pa.binary()),
+                ],
                 names=["key", "salt", "salts", "row", "start", "n", "packed"],
             )
 
@@ -158,7 +165,10 @@ def _kept(length: int):
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["rest", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rest"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                names=["rest", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
 
     return run
 

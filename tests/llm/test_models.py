@@ -200,7 +200,10 @@ def test_html_short_articles(field):
 
 def test_html_layouts_that_are_not_generated(field):
     """Hand-written layouts: what is kept and what goes."""
-    story = ["The council met on Tuesday to discuss the new bridge over the river.", "Several residents spoke against the plan, which would cost four million over three years.", "A vote is expected before the end of the month."]
+    story = [
+        "The council met on Tuesday to discuss the new bridge over the river.",
+        "Several residents spoke against the plan, which would cost four million over three years.", "A vote is expected before the end of the month.",
+    ]
     body = "".join(f"<p>{x}</p>" for x in story)
     pages = [
         f"<body><div id='top-nav'><a href=/>Home</a> <a href=/a>About</a></div><div class='layout'><div class='main-content'><h1>Bridge plan</h1>{body}</div><div class='sidebar'><h3>Popular</h3><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></div></div><div id='footer'>Copyright 2020</div></body>",
@@ -216,6 +219,9 @@ def test_html_of_tables(spark, small, field):
     got = html_extraction.digest(html_extraction.main_text(pages)).collect()
     want = {r.page_id: "\n\n".join(b.text for b in html_extraction.blocks(r.html) if any(t == "article" for t, _ in b.path)) for r in pages.collect()}
     assert sum(r.text == want[r.page_id] for r in got) / len(got) > 0.98
-    odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "<html><body><article><p>" + "word " * 50_000 + "end.</p></article>", 3)], "page_id long, url string, html string, text int")
+    odd = spark.createDataFrame(
+        [(None, None, None, 1), (1, "u", "", 2), (1, "u", "<html><body><article><p>" + "word " * 50_000 + "end.</p></article>", 3)],
+        "page_id long, url string, html string, text int",
+    )
     assert sorted(r.n_chars for r in html_extraction.digest(html_extraction.main_text(odd)).collect()) == [0, 0, 250_004]
     assert html_extraction.digest(html_extraction.main_text(pages.limit(0))).count() == 0

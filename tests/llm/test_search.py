@@ -15,7 +15,10 @@ from tessera.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def items(spark, odd_rows):
     passage = odd_rows[12][1].split()[25:70]
-    rows = [(1, " ".join(passage)), (2, " ".join(passage[:10])), (3, "Two words"), (4, ""), (5, None), (6, "nothing of this is anywhere in the texts of any row here"), (7, "ONE"), (None, "two WORDS"), (1, " ".join(passage))]
+    rows = [
+        (1, " ".join(passage)), (2, " ".join(passage[:10])), (3, "Two words"), (4, ""), (5, None),
+        (6, "nothing of this is anywhere in the texts of any row here"), (7, "ONE"), (None, "two WORDS"), (1, " ".join(passage)),
+    ]
     return spark.createDataFrame([(i, t, "x") for i, t in rows], "item_id long, text string, words string")
 
 
@@ -78,7 +81,10 @@ def test_top_k_refuses_scores_that_are_no_longs(spark):
 
 def test_licence_scan(spark, odd_docs, no_docs):
     mit = license_scan.TEMPLATES["MIT"]
-    rows = [(1, f"intro\n{mit}\nend"), (2, mit.upper().replace(",", " ,")), (3, "Released under the MIT License."), (4, "nothing"), (5, None), (6, " ".join(mit.split()[:60])), (7, "x\n\nReleased under\nthe MIT License.\n\ny")]
+    rows = [
+        (1, f"intro\n{mit}\nend"), (2, mit.upper().replace(",", " ,")), (3, "Released under the MIT License."), (4, "nothing"), (5, None),
+        (6, " ".join(mit.split()[:60])), (7, "x\n\nReleased under\nthe MIT License.\n\ny"),
+    ]
     got = {(r.doc_id, r.license): round(r.dice, 3) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1, "MIT"] == got[2, "MIT"] == got[3, "notice:MIT"] == got[7, "notice:MIT"] == 1 and not any(d in (4, 5, 6) for d, _ in got)
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(no_docs).count() == 0
@@ -106,7 +112,10 @@ def test_licence_in_paragraphs_and_in_long_lines(spark):
     mit = license_scan.TEMPLATES["MIT"]
     cut = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
     assert cut.count("\n\n") == 2
-    rows = [(1, f"# tool\n\nsome code here\n\nCopyright (c) 2020\n\n{cut}\n\n" + " ".join(f"word{i}" for i in range(300))), (2, "This project is Released under the MIT License and see the file for details " + " ".join(f"word{i}" for i in range(90)))]
+    rows = [
+        (1, f"# tool\n\nsome code here\n\nCopyright (c) 2020\n\n{cut}\n\n" + " ".join(f"word{i}" for i in range(300))),
+        (2, "This project is Released under the MIT License and see the file for details " + " ".join(f"word{i}" for i in range(90))),
+    ]
     got = {(r.doc_id, r.license): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1, "MIT"].dice > 0.99 and got[1, "MIT"].n_candidates == 0 and got[1, "MIT"].n_windows > 0
     assert got[2, "notice:MIT"].dice == 1 and got[2, "notice:MIT"].n_candidates == 0
@@ -192,7 +201,10 @@ def test_pipeline_tells_rows_apart_by_id_and_text(spark, small, odd_docs):
     rng = random.Random(6)
     texts = [" ".join(f"v{rng.randrange(300)}" for _ in range(80)) for _ in range(6)]
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3] + " end"), (4, None), (5, ""), (6, texts[4]), (6, texts[4])]
-    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), 1, "o", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _no_text int, own string, row int").repartition(4)
+    docs = spark.createDataFrame(
+        [(i, t, None, None, None if t is None else len(t), 1, "o", k) for k, (i, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, _no_text int, own string, row int",
+    ).repartition(4)
     kept = STAGES["simhash_near_dedup"](spark, docs, small)
     assert kept.columns == list(columns)
     # different texts of one id stay, copies go whatever their ids, of a group the smallest id stays and null comes last
