@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 FORMATS = {".jsonl": "json", ".json": "json", ".parquet": "parquet", ".csv": "csv", ".orc": "orc", ".txt": "text"}
 
@@ -40,9 +40,9 @@ def lines_or_nothing(spark: SparkSession, path: str, schema: StructType) -> Data
 def wrapped(spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] = ("data", "annotations", "samples")) -> DataFrame:
     """A JSON file that is a list of rows, or an object that holds one under one of the names."""
     rows = spark.read.option("wholetext", True).text(path)
-    kind = schema.simpleString()
-    listed = F.from_json("value", f"array<{kind}>")
-    held = [F.from_json(F.get_json_object("value", f"$.{n}"), f"array<{kind}>") for n in names]
+    kind = ArrayType(schema)
+    listed = F.from_json("value", kind)
+    held = [F.from_json(F.get_json_object("value", f"$.{n}"), kind) for n in names]
     return rows.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(F.coalesce(*held))).alias("r")).select("r.*")
 
 
