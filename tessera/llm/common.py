@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tessera.shipping import ship
 from tessera.storage import shared_dir
@@ -129,6 +130,14 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def columns_of(**kinds: str | DataType) -> StructType:
+    """A schema from kinds by name; types of other columns come as they are, whatever their fields are called."""
+    out = StructType()
+    for name, kind in kinds.items():
+        out.add(name, kind if isinstance(kind, DataType) else StructType.fromDDL(f"x {kind}")["x"].dataType)
+    return out
+
+
 def row_of(key: Column, text: Column) -> Column:
     """The row number of a key and a text (null: empty), which tells rows apart whether keys are null or repeat."""
     return F.xxhash64(key.cast("long"), F.coalesce(text, F.lit("")))

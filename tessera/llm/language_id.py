@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, Stretches, byte_values, chunks, prepare, raw, words_in
+from tessera.llm.common import SPACE, Stretches, byte_values, chunks, columns_of, prepare, raw, words_in
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 2000
 #: Hashed weights; words of the lexicon; lengths of byte n-grams.
@@ -344,8 +344,8 @@ def predict(docs: DataFrame, sent, key: str = "doc_id", text: str = "text", carr
     if not carry:
         return docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_predict(sent, None), "doc_id long, lang_pred string, score double")
     rows = docs.select(doc_id, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
-    kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(_predict(sent, docs.columns.index(text)), f"doc_id long, rest {kind}, lang_pred string, score double")
+    schema = columns_of(doc_id="long", rest=rows.schema["rest"].dataType, lang_pred="string", score="double")
+    return rows.mapInArrow(_predict(sent, docs.columns.index(text)), schema)
 
 
 def label_words(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, texts_of
+from tessera.llm.common import columns_of, prepare, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -299,8 +299,8 @@ def round_trip(docs: DataFrame, sent, key: str = "doc_id", text: str = "text", c
     """decode(encode()) in one pass of one Python worker a task; with carry, own: a struct of these columns."""
     own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([own] if carry else []))
-    kind = f"own {rows.schema['own'].dataType.simpleString()}, " if carry else ""
-    return rows.mapInArrow(_work(sent, True, True), f"doc_id long, {kind}ids array<int>, text string")
+    kept = {"own": rows.schema["own"].dataType} if carry else {}
+    return rows.mapInArrow(_work(sent, True, True), columns_of(doc_id="long", **kept, ids="array<int>", text="string"))
 
 
 def digest(decoded: DataFrame) -> DataFrame:

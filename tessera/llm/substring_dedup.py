@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, discard, lists, minimisers, prepare, raw, rows_of, runs_of, signed, words_in, written
+from tessera.llm.common import Stretches, byte_values, chunks, columns_of, discard, lists, minimisers, prepare, raw, rows_of, runs_of, signed, words_in, written
 from tessera.llm.spans import PACKED, counted, covered, exact_bucket, salted, with_runs, word_windows
 
 #: The longest run of windows in one packed string.
@@ -136,8 +136,8 @@ def substring_dedup(docs: DataFrame, length: int = 35, k: int = 8, key: str = "d
     repeated = counted(packed, exact_bucket(word_windows(length)), "windows")
     discard(runs)
     found = with_runs(dealt, repeated)
-    kind = dealt.schema["rest"].dataType.simpleString()
-    return found.mapInArrow(_kept(length, whole), f"rest {kind}, n_words long, n_removed long, kept string").select("rest.*", "n_words", "n_removed", "kept")
+    schema = columns_of(rest=dealt.schema["rest"].dataType, n_words="long", n_removed="long", kept="string")
+    return found.mapInArrow(_kept(length, whole), schema).select("rest.*", "n_words", "n_removed", "kept")
 
 
 def digest(result: DataFrame) -> DataFrame:

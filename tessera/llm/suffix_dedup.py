@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stretches, byte_values, chunks, discard, lists, minimisers, mixed, prepare, raw, rows_of, runs_of, signed, written
+from tessera.llm.common import Stretches, byte_values, chunks, columns_of, discard, lists, minimisers, mixed, prepare, raw, rows_of, runs_of, signed, written
 from tessera.llm.spans import PACKED, Found, byte_windows, counted, covered, exact_bucket, salted, with_runs
 
 RUN, BUCKET_ROWS = 400, 6000
@@ -195,8 +195,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, piece: int
     runs = counted(packed, doubling_bucket(length, gram), "strings")
     discard(rows)
     found = with_runs(dealt, runs)
-    kind = dealt.schema["rest"].dataType.simpleString()
-    return found.mapInArrow(_kept(length), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    schema = columns_of(rest=dealt.schema["rest"].dataType, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
+    return found.mapInArrow(_kept(length), schema).select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

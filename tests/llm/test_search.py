@@ -223,6 +223,8 @@ def test_pipeline_drops_contaminated_rows_without_ids(spark, small):
 
 def test_pipeline_keeps_columns_of_any_name(spark, small):
     docs = spark.createDataFrame([(1, "some words of a text", 3, "en", "a.b", "x")], "doc_id long, text string, n_chars long, lang string, `a.b` string, ids string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, small).select("`a.b`").collect()[0][0] == "a.b", name
     out = STAGES["sentencepiece"](spark, docs, small)
     assert set(out.columns) == {"doc_id", "text", "n_chars", "lang", "a.b", "ids", "n_tokens"} and out.first().text == "some words of a text"
 
