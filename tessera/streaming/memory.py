@@ -29,33 +29,58 @@ POLICIES = {"full": Policy(), "anchor_only": Policy(bridges=False, tail=False),
 WINDOW = 120.0
 
 
+def _rank(record: list) -> tuple[float, bool]:
+    return record[2], record[0] == "note"
+
+
 @dataclass
 class Memory:
-    """Records are lists [kind, start, end, text, seen]; seen: the note's image is still there."""
+    """Records are lists [kind, start, end, text, seen]; seen: the note's image is still there.
+
+    What each step asks for is kept up to date: the latest record, the notes still seen, and the number of notes.
+    """
 
     records: list[list] = field(default_factory=list)
     questions: list[tuple[float, str, str]] = field(default_factory=list)
     window: float = WINDOW
 
+    def __post_init__(self) -> None:
+        notes = [r for r in self.records if r[0] == "note"]
+        self.n_notes, self.seen = len(notes), [r for r in notes if r[4]]
+        self.latest: list | None = max(self.records, key=_rank, default=None)
+
     def evict(self, now: float) -> None:
-        for r in self.records:
-            if r[0] == "note" and r[2] < now - self.window:
+        for r in self.seen:
+            if r[2] < now - self.window:
                 r[4] = False
+        self.seen = [r for r in self.seen if r[4]]
 
     def tail(self) -> tuple[float, float, str] | None:
         """The latest record if it is a bridge; at one end, notes come last."""
-        last = max(self.records, key=lambda r: (r[2], r[0] == "note"), default=None)
+        last = self.latest
         return (last[1], last[2], last[3]) if last and last[0] == "bridge" else None
 
+    def _add(self, event: tuple[str, float, float, str]) -> None:
+        record = [*event, True]
+        self.records.append(record)
+        if record[0] == "note":
+            self.n_notes += 1
+            self.seen.append(record)
+        if self.latest is None or _rank(record) > _rank(self.latest):
+            self.latest = record
+
     def commit(self, events: list[tuple[str, float, float, str]], answer: str, now: float, goes_on: bool = True) -> None:
         """Adds a step's events; where bridges go on, the first one takes the open tail's place."""
         old = self.tail() if goes_on else None
         bridges = [e for e in events if e[0] == "bridge"]
         if old and bridges and abs(bridges[0][1] - old[0]) <= 0.11:
-            last = max((r for r in self.records if r[0] == "bridge"), key=lambda r: r[2])
-            last[1:4] = bridges[0][1:4]
+            before = _rank(self.latest)
+            self.latest[1:4] = bridges[0][1:4]  # a tail is the latest of all records, so of all bridges
+            if _rank(self.latest) < before:
+                self.latest = max(self.records, key=_rank)
             bridges = bridges[1:]
-        self.records += [[*b, True] for b in bridges] + [[*e, True] for e in events if e[0] == "note"]
+        for e in (*bridges, *(e for e in events if e[0] == "note")):
+            self._add(e)
         if answer.strip() and any(role == "q" for _, role, _ in self.questions):
             self.questions.append((now, "a", answer.strip()))
 
@@ -80,9 +105,9 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     p = POLICIES[policy]
     fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.records))
     memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
-    tail, notes = memory.tail(), [r for r in memory.records if r[0] == "note"]
+    tail = memory.tail()
     return {
-        "n_notes": len(notes), "n_bridges": len(memory.records) - len(notes), "n_seen": sum(r[4] for r in notes), "tail_start": tail[0] if tail else None,
+        "n_notes": memory.n_notes, "n_bridges": len(memory.records) - memory.n_notes, "n_seen": len(memory.seen), "tail_start": tail[0] if tail else None,
         "n_repairs": len(done) + (recovered > 0), "memory": memory.shown(policy) if shown else None,
     }
 
@@ -116,9 +141,8 @@ def live(steps: DataFrame, policy: str = "full") -> DataFrame:
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
-        memory = Memory()
-        if state.exists:
-            memory.records, memory.questions = (lambda r, q: (r, [tuple(x) for x in q]))(*json.loads(state.get[0]))
+        records, questions = json.loads(state.get[0]) if state.exists else ([], [])
+        memory = Memory(records, [tuple(q) for q in questions])
         pdf = pd.concat(list(batches))
         rows = _rows(memory, pdf, policy)
         state.update((json.dumps([memory.records, memory.questions]),))
