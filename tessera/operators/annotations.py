@@ -43,8 +43,8 @@ def least_gap(events: Column) -> Column:
         events,
         lambda q: F.array_min(
             F.transform(
-                F.slice(q["answer_events"], 2, F.greatest(F.lit(0), F.size(q["answer_events"]) - 1)), lambda a,
-                i: a["time"] - F.get(q["answer_events"], i)["time"],
+                F.slice(q["answer_events"], 2, F.greatest(F.lit(0), F.size(q["answer_events"]) - 1)),
+                lambda a, i: a["time"] - F.get(q["answer_events"], i)["time"],
             )
         ),
     )

@@ -79,8 +79,8 @@ def spread_best(items: Column, gap: float, most: int) -> Column:
     ordered = F.array_sort(items, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
     start = F.array().cast("array<double>")
     chosen = F.aggregate(
-        F.transform(ordered, lambda x: x["at"].cast("double")), start, lambda kept,
-        t: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - t) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
+        F.transform(ordered, lambda x: x["at"].cast("double")), start,
+        lambda kept, t: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - t) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
     )
     return F.array_sort(chosen)
 

@@ -82,8 +82,8 @@ def scores_written_back(rows: DataFrame, key: list[str], children: str, scores:
     lists = scores.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.struct(*values)))).alias("_s"))
     joined = rows.join(lists, key, "left")
     new = F.transform(
-        children, lambda c,
-        i: F.struct(
+        children,
+        lambda c, i: F.struct(
             *(c[f].alias(f) for f in fields if f not in values),
             *(F.when(F.col("_s").isNotNull(), F.get(F.filter(F.map_entries("_s"), lambda e: e["key"] == i), F.lit(0))["value"][v]).alias(v) for v in values),
         ),

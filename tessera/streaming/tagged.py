@@ -79,8 +79,8 @@ def recovered(df: DataFrame, raw: str = "raw") -> DataFrame:
     known = F.transform(F.filter("events", lambda e: e["kind"] == "note"), mark)
     new = F.filter(
         F.transform(
-            found, lambda i,
-            k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first")),
+            found,
+            lambda i, k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first")),
         ),
         lambda i: i["first"] & ~F.array_contains(known, mark(i)),
     )
