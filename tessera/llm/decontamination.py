@@ -108,8 +108,8 @@ def decontaminate(
     ends = F.transform("spans", lambda s: s["at"] + s["n"])
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     total = F.aggregate(
-        F.arrays_zip(F.col("spans.at").alias("at"), ends.alias("end")), state, lambda acc,
-        s: F.struct(
+        F.arrays_zip(F.col("spans.at").alias("at"), ends.alias("end")), state,
+        lambda acc, s: F.struct(
             F.greatest(acc["end"], s["end"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], acc["end"]))).alias("total"),
         ),
         lambda acc: acc["total"],
