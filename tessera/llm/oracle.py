@@ -1,8 +1,22 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tessera.llm import url_filter
 from tessera.llm.license_scan import TEMPLATES
 
 _TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+_RULES = ", ".join(f"('{r}', '{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for r, v in url_filter.RULES)
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+
+
+def _level(children: str, parent: str, key: str, mean: str, keep: str) -> str:
+    """Posterior means of children around their parents'."""
+    m = f"p.{mean}"
+    return f"""(
+  WITH c AS (SELECT {keep}, c.n, c.y, {m} AS m FROM {children} AS c JOIN {parent} AS p {key}),
+  k AS (SELECT 1 / least({url_filter.MOST_RHO}::DOUBLE, greatest({url_filter.LEAST_RHO}::DOUBLE, round(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0
+        THEN sum((y - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) ELSE 0 END, 6))) - 1 AS k FROM c)
+  SELECT c.*, (k * m + y) / (k + n) AS rate, k + n AS weight FROM c, k)"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op9_substring_dedup": r"""
@@ -92,5 +106,46 @@ WITH t AS (
 )
 SELECT doc_id, license, greatest(near.dice, slid.dice) AS dice, coalesce(near.n, 0)::BIGINT AS n_candidates, coalesce(slid.n, 0)::BIGINT AS n_windows
 FROM near FULL JOIN slid USING (doc_id, license)
+""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL
+), s AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0
+), p AS (SELECT doc_id, w, n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) GROUP BY ALL
+), q AS (
+  SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL
+), df AS (SELECT w, count(*) AS df FROM p WHERE w IN (SELECT w FROM q) GROUP BY w
+), weights AS (SELECT w, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM df, s
+), scored AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (w) JOIN weights USING (w), s GROUP BY item_id, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_url_filter": rf"""
+WITH pages_ AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), labels_ AS (
+  SELECT doc_id AS page_id, max(((toxic = 1) OR (quality = 0))::BIGINT) AS bad FROM labels GROUP BY doc_id
+), named AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS y, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS ls FROM pages_ LEFT JOIN labels_ USING (page_id) GROUP BY host
+), hosts AS (
+  SELECT host, n, y, CASE WHEN array_to_string(ls, '.') SIMILAR TO '[0-9.]+|\[.*' THEN 0 WHEN array_to_string(ls[-2:], '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END AS size, ls FROM named
+), h AS (
+  SELECT host, n, y, CASE WHEN size = 0 THEN array_to_string(ls, '.') ELSE array_to_string(ls[-size - 1:], '.') END AS domain, CASE WHEN size = 0 THEN '' ELSE array_to_string(ls[-size:], '.') END AS suffix FROM hosts
+), d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(y)::BIGINT AS y FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(y)::BIGINT AS y FROM d GROUP BY ALL
+), t AS (SELECT CASE WHEN sum(n) > 0 THEN sum(y)::DOUBLE / sum(n) ELSE 0 END AS rate FROM s
+), of_suffix AS {_level("s", "t", "ON TRUE", "rate", "c.suffix")}
+, of_domain AS {_level("d", "of_suffix", "USING (suffix)", "rate", "c.domain, c.suffix")}
+, of_host AS {_level("h", "of_domain", "USING (domain, suffix)", "rate", "c.host")}
+, rules AS (SELECT * FROM (VALUES {_RULES}) AS r(rule, verdict, site, start)
+), fits AS (
+  SELECT page_id, host, path, rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC) AS r
+  FROM (SELECT DISTINCT * FROM pages_) JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN rate - {url_filter.Z}::DOUBLE * sqrt(rate * (1 - rate) / (weight + 1)) > {url_filter.LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       n AS n_labels, y AS n_bad, round(rate - {url_filter.Z}::DOUBLE * sqrt(rate * (1 - rate) / (weight + 1)), 6) AS bound
+FROM pages_ AS p JOIN of_host USING (host) LEFT JOIN (SELECT * FROM fits WHERE r = 1) AS f ON p.page_id = f.page_id AND p.host = f.host AND p.path = f.path
 """,
 }
