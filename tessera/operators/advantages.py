@@ -1,4 +1,4 @@
-"""Group-relative advantages and rewards over rollouts, as windows; estimators are registered by name."""
+"""Group-relative advantages and rewards over rollouts, as windows; estimators are registered by name. Those over turns of trajectories are in turns.py."""
 
 from __future__ import annotations
 
@@ -93,32 +93,6 @@ def reinforce_baseline(df: DataFrame, group: str = "group", score: str = "score"
     return rows.crossJoin(F.broadcast(total)).withColumn("advantage", (F.col("_c") - F.col("_m")) / F.sqrt(F.col("_v") + 1e-8)).drop("_c", "_m", "_v")  # one row
 
 
-@estimator("trajectory")
-def trajectory(df: DataFrame, group: str = "group", traj: str = "traj", score: str = "score") -> DataFrame:
-    """Over distinct trajectories, copied to all their turns; one alone: 0."""
-    first = df.groupBy(group, traj).agg(F.min(score).alias("_s"))
-    w = _group(group)
-    n = F.count("_s").over(w)
-    value = F.when(n > 1, (F.col("_s") - F.avg("_s").over(w)) / (F.stddev_samp("_s").over(w) + EPS)).otherwise(0.0)
-    return df.join(first.withColumn("advantage", value).drop("_s"), [group, traj])
-
-
-@estimator("component")
-def component(df: DataFrame, group: str = "group", turn: str = "turn", score: str = "score", valid: str = "valid", least_std: float = 0.03) -> DataFrame:
-    """Within (group, turn) over valid rows; 0 for others, for one alone and for a spread below least_std."""
-    w = Window.partitionBy(group, turn)
-    x = F.when(F.col(valid), F.col(score))
-    n, std = F.count(x).over(w), F.stddev_samp(x).over(w)
-    return df.withColumn("advantage", F.when(F.col(valid) & (n > 1) & (std >= least_std), (F.col(score) - F.avg(x).over(w)) / (std + EPS)).otherwise(0.0))
-
-
-def group_filter(df: DataFrame, group: str, traj: str, metric: str, least_std: float) -> DataFrame:
-    """Rows of groups with two trajectories at least and a spread above least_std; of a trajectory's values, the least that isn't null counts."""
-    first = df.groupBy(group, traj).agg(F.min(metric).alias("_m"))
-    kept = first.groupBy(group).agg(F.count("_m").alias("_n"), F.stddev_samp("_m").alias("_s")).where((F.col("_n") > 1) & (F.col("_s") > least_std))
-    return df.join(kept.select(group), group, "left_semi")
-
-
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float) -> Column:
     return F.least(-(length - (most - buffer)) / buffer * factor, F.lit(0.0))
 
@@ -220,24 +194,6 @@ def gdpo(df: DataFrame, group: str = "group", scores: dict[str, float] | None =
     return rows.crossJoin(F.broadcast(all_)).withColumn("advantage", (F.col("_s") - F.col("_m")) / F.sqrt(F.col("_v") + 1e-8)).drop("_s", "_m", "_v")  # one row
 
 
-@estimator("trajectory_sum")
-def trajectory_sum(df: DataFrame, group: str = "group", traj: str = "traj", score: str = "score", valid: str = "valid") -> DataFrame:
-    """Trajectories' summed scores against their group; trajectories with an invalid turn count for nothing and get 0."""
-    sums = df.groupBy(group, traj).agg(F.sum(score).alias("_s"), F.bool_and(valid).alias("_ok"))
-    w = _group(group)
-    x = F.when(F.col("_ok"), F.col("_s"))
-    value = F.when(F.col("_ok") & (F.count(x).over(w) > 1), (F.col("_s") - F.avg(x).over(w)) / (F.stddev_samp(x).over(w) + EPS)).otherwise(0.0)
-    return df.join(sums.withColumn("advantage", value).drop("_s", "_ok"), [group, traj])
-
-
-@estimator("mixed")
-def mixed(df: DataFrame, group: str = "group", turn: str = "turn", outcome: str = "outcome", state: str = "state", alpha: float = 0.5) -> DataFrame:
-    """alpha times the outcome's value in the group plus the rest of the state's value in (group, turn)."""
-    rows = grpo(df, group, outcome).withColumnRenamed("advantage", "_o")
-    rows = component(rows.withColumn("_all", F.lit(True)), group, turn, state, "_all", 0.0).withColumnRenamed("advantage", "_s")
-    return rows.withColumn("advantage", alpha * F.col("_o") + (1 - alpha) * F.col("_s")).drop("_o", "_s", "_all")
-
-
 def answer_supervision(target: Column, wants_answer: Column, asked: Column, query_wants_answer: Column, said: Column) -> Column:
     """struct(kind, status): answer, silence or none, as a step's target, question and answer ask for."""
     pair = lambda kind, status: F.struct(F.lit(kind).alias("kind"), F.lit(status).alias("status"))

@@ -10,7 +10,7 @@ from tessera.operators import acceptance as Q
 from tessera.operators import advantages as A
 from tessera.operators import grouping as G
 from tessera.operators import relational as J
-from tessera.plans.rl import S, scores
+from tessera.plans.rl import S, scores, turns_of
 from tessera.registry import Tables, query, seconds
 
 
@@ -110,21 +110,20 @@ def advantage_gdpo(t: Tables) -> DataFrame:
 
 
 @query(S + """
-, f AS (SELECT grp, kind, sum(score) AS m, bool_and(valid) AS ok FROM s GROUP BY ALL), x AS (SELECT *, CASE WHEN ok THEN m END AS y FROM f), z AS (
+, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY grp, kind, turn ORDER BY traj) = 1), f AS (SELECT grp, kind, sum(score) AS m, bool_and(valid) AS ok FROM u GROUP BY ALL), x AS (SELECT *, CASE WHEN ok THEN m END AS y FROM f), z AS (
   SELECT grp, kind, CASE WHEN ok AND count(y) OVER w > 1 THEN (m - avg(y) OVER w) / (stddev_samp(y) OVER w + 1e-6) ELSE 0 END AS a FROM x WINDOW w AS (PARTITION BY grp))
 SELECT traj, round(a, 5) AS advantage FROM s JOIN z USING (grp, kind)
 """)
 def advantage_trajectory_sum(t: Tables) -> DataFrame:
-    rows = scores(t).withColumnRenamed("traj", "id").withColumnRenamed("kind", "traj")
-    return A.advantage("trajectory_sum", rows).select(F.col("id").alias("traj"), F.round("advantage", 5).alias("advantage"))
+    return A.advantage("trajectory_sum", turns_of(t), step="score", valid="valid").select(F.col("id").alias("traj"), F.round("advantage", 5).alias("advantage"))
 
 
 @query(S + """
 SELECT traj, round(0.5 * (score - avg(score) OVER g) / (stddev_samp(score) OVER g + 1e-6) + 0.5 * CASE WHEN count(*) OVER k > 1 THEN (length - avg(length) OVER k) / (stddev_samp(length) OVER k + 1e-6) ELSE 0 END, 5) AS advantage FROM s WINDOW g AS (PARTITION BY grp), k AS (PARTITION BY grp, turn)
 """)
 def advantage_mixed(t: Tables) -> DataFrame:
-    rows = scores(t).withColumn("outcome", F.col("score")).withColumn("state", F.col("length"))
-    return A.advantage("mixed", rows).select("traj", F.round("advantage", 5).alias("advantage"))
+    rows = turns_of(t, traj="traj").withColumn("outcome", F.col("score")).withColumn("state", F.col("length"))
+    return A.advantage("mixed", rows, alpha=0.5, by_std=True).select("traj", F.round("advantage", 5).alias("advantage"))
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import advantages as A
+from tessera.operators import turns as U
 from tessera.registry import Tables, query
 
 S = "WITH s AS (SELECT event_id AS traj, user_id AS grp, value AS score, (event_id % 50 + 1)::DOUBLE AS length, (event_id // 3 % 4) AS turn, event_id % 7 <> 0 AS valid, event_type AS kind FROM events)"
@@ -19,6 +20,12 @@ def scores(t: Tables) -> DataFrame:
     )
 
 
+def turns_of(t: Tables, traj: str = "kind") -> DataFrame:
+    """scores with a position; trajectories are kinds of events, so that turns repeat, or single events."""
+    rows = scores(t).withColumn("position", F.col("traj")).withColumn("id", F.col("traj"))
+    return rows if traj == "traj" else rows.drop("traj").withColumnRenamed(traj, "traj")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("traj", F.round(F.col("advantage") + 0.00000031, 5).alias("advantage"))
 
@@ -78,17 +85,16 @@ def advantage_reinforce_baseline(t: Tables) -> DataFrame:
 SELECT traj, round(CASE WHEN valid AND count(x) OVER w > 1 AND stddev_samp(x) OVER w >= 0.03 THEN (score - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-6) ELSE 0 END + 0.00000031, 5) AS advantage FROM v WINDOW w AS (PARTITION BY grp, turn)
 """)
 def advantage_component(t: Tables) -> DataFrame:
-    return _rounded(A.advantage("component", scores(t)))
+    return _rounded(A.advantage("component", turns_of(t, traj="traj"), step="score", valid="valid", by_std=True))
 
 
 @query(S + """
-, f AS (SELECT grp, kind, min(score) AS m FROM s GROUP BY ALL), z AS (
+, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY grp, kind, turn ORDER BY traj) = 1), f AS (SELECT grp, kind, max_by(score, turn) AS m FROM u GROUP BY ALL), z AS (
   SELECT grp, kind, CASE WHEN count(*) OVER w > 1 THEN (m - avg(m) OVER w) / (stddev_samp(m) OVER w + 1e-6) ELSE 0 END AS a FROM f WINDOW w AS (PARTITION BY grp))
 SELECT traj, round(a + 0.00000031, 5) AS advantage FROM s JOIN z USING (grp, kind)
 """)
 def advantage_trajectory(t: Tables) -> DataFrame:
-    rows = scores(t).withColumnRenamed("traj", "id").withColumnRenamed("kind", "traj")
-    return A.advantage("trajectory", rows).select(F.col("id").alias("traj"), F.round(F.col("advantage") + 0.00000031, 5).alias("advantage"))
+    return A.advantage("trajectory", turns_of(t)).select(F.col("id").alias("traj"), F.round(F.col("advantage") + 0.00000031, 5).alias("advantage"))
 
 
 @query("""
@@ -97,7 +103,7 @@ SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM k)
 """)
 def filter_low_spread_groups(t: Tables) -> DataFrame:
     best = t.events.groupBy("user_id", "event_type").agg(F.max("value").alias("m"))
-    return A.group_filter(t.events.join(best, ["user_id", "event_type"]), "user_id", "event_type", "m", 40.0).select("event_id")
+    return U.group_filter(t.events.join(best, ["user_id", "event_type"]), "m", U.Keys("user_id", "event_type", position="event_id"), 40.0).select("event_id")
 
 
 @query("""
