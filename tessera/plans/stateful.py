@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.registry import Tables, query, seconds
 from tessera.shipping import ship
+from tessera.storage import shared_dir
 from tessera.streaming import memory, tagged, windows
 
 
@@ -53,11 +56,34 @@ def tagged_output_quality(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if("quality.valid").alias("valid"), F.count_if(F.col("quality.format_reward") == 1).alias("well_formed"))
 
 
+def _steps(t: Tables) -> DataFrame:
+    ship(t.spark)
+    return tagged.recovered(tagged.parsed(raw_steps(t))).select("video_id", "step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered")
+
+
+COUNTS = ["n_notes", "n_bridges", "n_seen", "tail_start", "n_repairs"]
+
+
 @query(None)
 def memory_replay(t: Tables) -> DataFrame:
-    ship(t.spark)
-    steps = tagged.recovered(tagged.parsed(raw_steps(t))).select("video_id", "step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered")
-    return memory.replay(steps, shown=False).select("video_id", "step_index", "n_notes", "n_bridges", "n_seen", "tail_start", "n_repairs")
+    return memory.replay(_steps(t), shown=False).select("video_id", "step_index", *COUNTS)
+
+
+@query("SELECT user_id AS video_id, count(*)::BIGINT AS n_steps, count(*)::BIGINT AS n_equal FROM events GROUP BY user_id")
+def live_memory(t: Tables) -> DataFrame:
+    """The same steps as a stream of several micro-batches, against their replay."""
+    steps, top = _steps(t), f"{shared_dir(t.spark)}/tessera-live-{uuid.uuid4().hex}"
+    part = F.least(F.floor(F.col("step_index") / 16), F.lit(4))
+    for k in range(5):  # files of later steps are written later, and read later
+        steps.where(part == k).write.parquet(f"{top}/in/part={k}")
+    stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=8)
+    windows.drained(memory.live(stream.drop("part"), shown=False), f"{top}/out", f"{top}/state")
+    got, want = t.spark.read.schema(memory.STEPS).parquet(f"{top}/out"), memory.replay(steps, shown=False)
+    same = F.lit(True)
+    for c in COUNTS:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    both = want.alias("r").join(got.alias("l"), ["video_id", "step_index"], "left")
+    return both.groupBy("video_id").agg(F.count("*").alias("n_steps"), F.count_if(same).alias("n_equal"))
 
 
 @query("""

@@ -5,12 +5,12 @@ replay() works on a batch table, grouped by video; live() keeps the same state b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tessera.streaming.tagged import Step, repaired
 
@@ -33,60 +33,73 @@ def _rank(record: list) -> tuple[float, bool]:
     return record[2], record[0] == "note"
 
 
-@dataclass
 class Memory:
-    """Records are lists [kind, start, end, text, seen]; seen: the note's image is still there.
+    """Records are lists [kind, start, end, text, seen] by number; seen: the note's image is still there.
 
-    What each step asks for is kept up to date: the latest record, the notes still seen, and the number of notes.
+    What each step asks for is kept up to date: the latest record's number, the notes still seen, and counts. A memory between micro-batches holds only these and the
+    records of its own batch; `older` gives those of before when all are asked for, `changed` says which to write back.
     """
 
-    records: list[list] = field(default_factory=list)
-    questions: list[tuple[float, str, str]] = field(default_factory=list)
-    window: float = WINDOW
+    def __init__(self, window: float = WINDOW, older: Callable[[], dict[int, list]] | None = None, count: int = 0, n_notes: int = 0, latest: int | None = None, asked: bool = False):
+        self.records: dict[int, list] = {}
+        self.questions: list[tuple[float, str, str]] = []
+        self.window, self._older, self.count, self.n_notes, self.latest, self.asked = window, older, count, n_notes, latest, asked
+        self.seen: set[int] = set()
+        self.changed: set[int] = set()
 
-    def __post_init__(self) -> None:
-        notes = [r for r in self.records if r[0] == "note"]
-        self.n_notes, self.seen = len(notes), [r for r in notes if r[4]]
-        self.latest: list | None = max(self.records, key=_rank, default=None)
+    def whole(self) -> dict[int, list]:
+        """All records, those of earlier batches too."""
+        if self._older:
+            self.records, self._older = self._older() | self.records, None
+        return self.records
 
     def evict(self, now: float) -> None:
-        for r in self.seen:
-            if r[2] < now - self.window:
-                r[4] = False
-        self.seen = [r for r in self.seen if r[4]]
+        gone = {i for i in self.seen if self.records[i][2] < now - self.window}
+        for i in gone:
+            self.records[i][4] = False
+        self.seen -= gone
+        self.changed |= gone
 
     def tail(self) -> tuple[float, float, str] | None:
         """The latest record if it is a bridge; at one end, notes come last."""
-        last = self.latest
+        last = self.records[self.latest] if self.latest is not None else None
         return (last[1], last[2], last[3]) if last and last[0] == "bridge" else None
 
     def _add(self, event: tuple[str, float, float, str]) -> None:
-        record = [*event, True]
-        self.records.append(record)
+        record, i = [*event, True], self.count
+        self.records[i] = record
+        self.changed.add(i)
+        self.count += 1
         if record[0] == "note":
             self.n_notes += 1
-            self.seen.append(record)
-        if self.latest is None or _rank(record) > _rank(self.latest):
-            self.latest = record
+            self.seen.add(i)
+        if self.latest is None or _rank(record) > _rank(self.records[self.latest]):
+            self.latest = i
 
     def commit(self, events: list[tuple[str, float, float, str]], answer: str, now: float, goes_on: bool = True) -> None:
         """Adds a step's events; where bridges go on, the first one takes the open tail's place."""
         old = self.tail() if goes_on else None
         bridges = [e for e in events if e[0] == "bridge"]
         if old and bridges and abs(bridges[0][1] - old[0]) <= 0.11:
-            before = _rank(self.latest)
-            self.latest[1:4] = bridges[0][1:4]  # a tail is the latest of all records, so of all bridges
-            if _rank(self.latest) < before:
-                self.latest = max(self.records, key=_rank)
+            last = self.records[self.latest]
+            before = _rank(last)
+            last[1:4] = bridges[0][1:4]  # a tail is the latest of all records, so of all bridges
+            self.changed.add(self.latest)
+            if _rank(last) < before:  # it ends earlier than it did: another one may be the latest
+                self.latest = max(self.whole(), key=lambda i: (_rank(self.records[i]), -i))
             bridges = bridges[1:]
         for e in (*bridges, *(e for e in events if e[0] == "note")):
             self._add(e)
-        if answer.strip() and any(role == "q" for _, role, _ in self.questions):
+        if answer.strip() and self.asked:
             self.questions.append((now, "a", answer.strip()))
 
+    def ask(self, at: float, question: str) -> None:
+        self.questions.append((at, "q", question))
+        self.asked = True
+
     def shown(self, policy: str = "full") -> str:
-        p = POLICIES[policy]
-        found = sorted((r for r in self.records if (p.notes if r[0] == "note" else p.bridges)), key=lambda r: (r[1], r[0] == "note"))
+        p, records = POLICIES[policy], self.whole()
+        found = sorted((records[i] for i in sorted(records) if (p.notes if records[i][0] == "note" else p.bridges)), key=lambda r: (r[1], r[0] == "note"))
         return "\n".join(f'<delta t="{a:.1f}-{b:.1f}">{text}</delta>' if kind == "bridge" else f'<anchor t="{a:.1f}-{b:.1f}">{"" if not seen else "[image]"}</anchor>' for kind, a, b, text, seen in found)
 
     def dialogue(self) -> str:
@@ -99,22 +112,22 @@ STEPS = "video_id long, step_index long, n_notes int, n_bridges int, n_seen int,
 def advance(memory: Memory, step_start: float, step_end: float, events: list, question: str | None, answer: str, policy: str, recovered: int = 0, shown: bool = True) -> dict:
     """One step: question in, old images out, events repaired and committed; recovered: how many of them come from malformed tags."""
     if question:
-        memory.questions.append((step_start, "q", question))
+        memory.ask(step_start, question)
     memory.evict(step_end)
     frames = [(float(x), float(x) + 1) for x in range(int(step_start), int(step_end))]
     p = POLICIES[policy]
-    fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.records))
+    fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.count))
     memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
     tail = memory.tail()
     return {
-        "n_notes": memory.n_notes, "n_bridges": len(memory.records) - memory.n_notes, "n_seen": len(memory.seen), "tail_start": tail[0] if tail else None,
+        "n_notes": memory.n_notes, "n_bridges": memory.count - memory.n_notes, "n_seen": len(memory.seen), "tail_start": tail[0] if tail else None,
         "n_repairs": len(done) + (recovered > 0), "memory": memory.shown(policy) if shown else None,
     }
 
 
-def _rows(memory: Memory, pdf: pd.DataFrame, policy: str, shown: bool = True) -> list[dict]:
+def _rows(memory: Memory, steps: Iterable, policy: str, shown: bool = True) -> list[dict]:
     out = []
-    for r in pdf.sort_values("step_index").itertuples(index=False):
+    for r in sorted(steps, key=lambda r: r.step_index):
         found = [(e["kind"], e["start"], e["end"], e["text"]) for e in r.events]
         out.append({"video_id": r.video_id, "step_index": r.step_index, **advance(memory, r.step_start, r.step_end, found, r.question, r.answer, policy, getattr(r, "n_recovered", 0), shown)})
     return out
@@ -129,26 +142,85 @@ def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFr
     names = [c.split(" ")[0] for c in STEPS.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(Memory(), pdf, policy, shown), columns=names)
+        return pd.DataFrame(_rows(Memory(), pdf.itertuples(index=False), policy, shown), columns=names)
 
     return steps.groupBy("video_id").applyInPandas(one, STEPS)
 
 
-def live(steps: DataFrame, policy: str = "full") -> DataFrame:
-    """The same on a stream: state survives between micro-batches."""
-    names = [c.split(" ")[0] for c in STEPS.split(", ")]
+RECORD = "kind string, start double, end double, text string, seen boolean"
+HEAD = "count int, n_notes int, latest int, asked boolean"
 
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
 
-        records, questions = json.loads(state.get[0]) if state.exists else ([], [])
-        memory = Memory(records, [tuple(q) for q in questions])
-        pdf = pd.concat(list(batches))
-        rows = _rows(memory, pdf, policy)
-        state.update((json.dumps([memory.records, memory.questions]),))
-        yield pd.DataFrame(rows, columns=names)
+class Keeper(StatefulProcessor):
+    """State of one video: counts and the latest record's number (a value), records by number (a map), numbers of notes still seen (a list, as long as the window) and the dialogue (a list that grows at its end).
 
-    return steps.groupBy("video_id").applyInPandasWithState(one, STEPS, "memory string", "append", GroupStateTimeout.NoTimeout)
+    A micro-batch reads the value, the seen notes and the latest record, and writes what its own steps added or changed, however long the video is; only a shown memory reads all records.
+    After `idle` milliseconds without a step (of the clock, or of event time) a timer drops the video's state; `ttl` milliseconds after a record was last written, it goes by itself.
+    """
+
+    def __init__(self, policy: str, shown: bool, window: float, idle: int | None, ttl: int | None, time: str | None):
+        self.policy, self.shown, self.window, self.idle, self.ttl, self.time = policy, shown, window, idle, ttl, time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD, self.ttl)
+        self.records = handle.getMapState("records", "number int", RECORD, self.ttl)
+        self.seen = handle.getListState("seen", "number int", self.ttl)
+        self.dialogue = handle.getListState("dialogue", "at double, role string, text string", self.ttl)
+
+    def _older(self) -> dict[int, list]:
+        return {k[0]: list(v) for k, v in self.records.iterator()}
+
+    def _memory(self) -> Memory:
+        if not self.head.exists():
+            return Memory(self.window)
+        m = Memory(self.window, self._older, *self.head.get())
+        seen = {r[0] for r in self.seen.get()}
+        for i in seen | ({m.latest} if m.latest is not None else set()):
+            found = self.records.getValue((i,))
+            if found is not None:
+                m.records[i] = list(found)
+        m.seen = {i for i in seen if i in m.records}
+        m.latest = m.latest if m.latest in m.records else None
+        return m
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
+        steps = list(rows)
+        memory = self._memory()
+        before = set(memory.seen)
+        out = _rows(memory, steps, self.policy, self.shown)
+        for i in sorted(memory.changed):
+            self.records.updateValue((i,), tuple(memory.records[i]))
+        self.head.update((memory.count, memory.n_notes, memory.latest, memory.asked))
+        if memory.seen != before:
+            self.seen.put([(i,) for i in sorted(memory.seen)]) if memory.seen else self.seen.clear()
+        if memory.questions:
+            self.dialogue.appendList(memory.questions)
+        if self.idle:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            now = max(int(r[self.time].timestamp() * 1000) for r in steps) if self.time else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(now + self.idle)
+        names = [c.split(" ")[0] for c in STEPS.split(", ")]
+        for r in out:
+            yield Row(**{n: r[n] for n in names})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        for state in (self.head, self.records, self.seen, self.dialogue):
+            state.clear()
+        return iter([])
+
+
+def live(steps: DataFrame, policy: str = "full", shown: bool = True, window: float = WINDOW, idle: int | None = None, ttl: int | None = None, time: str | None = None) -> DataFrame:
+    """The same on a stream: state survives between micro-batches. Steps of a video come in order, or within one micro-batch in any.
+
+    idle: milliseconds after which a video without steps is forgotten, by the clock, or by event time if `time` names the watermarked column.
+    ttl: milliseconds that state lives after it was written (by the clock).
+    """
+    spark = steps.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "EventTime" if time else "ProcessingTime" if idle or ttl else "None"
+    return steps.groupBy("video_id").transformWithState(Keeper(policy, shown, window, idle, ttl, time), STEPS, "append", mode)
 
 
 def snapshots(steps: DataFrame, queries: DataFrame, policy: str = "full") -> DataFrame:

@@ -88,6 +88,80 @@ def test_live_memory_is_replayed_memory(spark, tmp_path):
     assert sorted(map(tuple, live)) == sorted(map(tuple, batch)) and len(live) == 12
 
 
+RECORDED = (1000, 19655, 19655, 11212, 1440, 164220.0)
+STEP = "video_id long, step_index long, step_start double, step_end double, events " + tagged.EVENT + ", question string, answer string"
+
+
+def _script(videos, steps):
+    """Notes now and then, bridges that go on, one that takes its end back, and answers."""
+    def events(v, i):
+        a, b = 5.0 * i, 5.0 * i + 5
+        if i % 7 == 3:
+            return [("bridge", max(0.0, a - 5), b, f"{v}:{i}")]
+        return [("note", a, a + 1, ""), ("bridge", a + 1, b, f"{v}:{i}")] if (v + i) % 3 else [("bridge", a, a + 3, "x")]
+
+    return [(v, i, 5.0 * i, 5.0 * i + 5, events(v, i), "q" if i % 5 == 1 else None, "a" if i % 5 == 3 else "") for v in range(videos) for i in range(steps)]
+
+
+def _live(spark, top, parts, watch=None, **options):
+    ship(spark)
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, STEP).coalesce(1).write.parquet(str(top / "in" / f"part={k}"))
+    stream = windows.stream_of(spark, str(top / "in"), spark.createDataFrame([], STEP).schema).drop("part")
+    q = memory.live(stream, **options).writeStream.outputMode("append").format("parquet").option("path", str(top / "out")).option("checkpointLocation", str(top / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if watch is not None:
+        watch += [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    return sorted(map(tuple, spark.read.schema(memory.STEPS).parquet(str(top / "out")).collect()))
+
+
+def test_live_memory_in_many_batches(spark, tmp_path):
+    rows, written = _script(3, 60), []
+    parts = [[r for r in rows if r[1] // 6 == k] for k in range(10)]
+    live = _live(spark, tmp_path, [p[::-1] for p in parts], written)
+    assert live == sorted(map(tuple, memory.replay(spark.createDataFrame(rows, STEP)).collect())) and len(live) == 180
+    # what a batch writes goes with its own steps and with the window, not with what came before
+    assert len(written) == 10 and max(written[5:]) <= 1.5 * max(written[:5])
+
+
+def test_live_memory_by_policy_without_text(spark, tmp_path):
+    rows = _script(2, 12)
+    live = _live(spark, tmp_path, [rows[::2], [r for r in rows[1::2] if r[1] > 10]], policy="anchor_only", shown=False, window=9.0)
+    assert len(live) == 14 and all(r[-1] is None for r in live)
+
+
+def test_live_memory_forgets_idle_videos(spark, tmp_path):
+    """After the idle time a video starts anew; a timer has dropped its state."""
+    rows = _script(1, 4)
+    import time
+
+    ship(spark)
+    schema = spark.createDataFrame([], STEP).schema
+
+    def run(part, k):
+        spark.createDataFrame(part, STEP).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+        stream = windows.stream_of(spark, str(tmp_path / "in"), schema).drop("part")
+        windows.drained(memory.live(stream, idle=500), str(tmp_path / "out"), str(tmp_path / "check"))
+
+    run(rows[:2], 0)
+    time.sleep(1)
+    run([(9, *rows[0][1:])], 1)  # another video: the first one's timer expires
+    time.sleep(1)
+    run(rows[2:], 2)
+    got = {(r.video_id, r.step_index): r.n_notes + r.n_bridges for r in spark.read.schema(memory.STEPS).parquet(str(tmp_path / "out")).collect()}
+    anew = {r.step_index: r.n_notes + r.n_bridges for r in memory.replay(spark.createDataFrame(rows[2:], STEP)).collect()}
+    assert got[0, 2] == anew[2] and got[0, 3] == anew[3] and len(got) == 5
+
+
+def test_replayed_memory_of_the_events(spark, small):
+    """A recorded result, checked by hand on its first steps."""
+    from tessera.catalog import QUERIES
+
+    got = QUERIES["memory_replay"](spark, small)
+    total = got.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("n_notes", "n_bridges", "n_seen", "n_repairs")), F.round(F.sum("tail_start"), 3).alias("tail_start")).first()
+    assert tuple(total) == RECORDED
+
+
 def test_snapshots_see_the_prefix_only(spark):
     ship(spark)
     schema = "video_id long, step_index long, step_start double, step_end double, events " + tagged.EVENT + ", question string, answer string"
