@@ -8,7 +8,7 @@ and both end a token at each cut, so that groups and links never cross one.
 
 Documents are dealt to blocks by key and text; a block asks for each of its distinct segments once, with how often it holds it. Segments are summed over
 the corpus (map-side first), tokenised and aligned, each once, and their links counted by pairs of ids. What a block needs of its segments comes back
-to it by an equi-join, and its documents are composed there. A segment that does not give back its own bytes empties every document
+to it by an equi-join, packed, by the place of each among the block's segments in order, and its documents are composed there. A segment that does not give back its own bytes empties every document
 that holds it: the blocks with such segments are read once more, and their documents' segments taken from the counts.
 
 Defined results: null and empty texts, and texts whose tokens' bytes differ, have no tokens (zeros, an empty digest); a doc_id may be null or repeat; rows that repeat count each;
@@ -29,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, prepare, raw, sent_side, written
+from tessera.llm.common import chunks, discard, prepare, raw, sent_side, written
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Answers that are packed at once.
+PACKED_ROWS = 1 << 19
 #: Bytes of texts that a worker handles at once (a longer text alone).
 SLICE_BYTES = 1 << 20
 MARK, DUMMY = "▁", " "
@@ -164,15 +166,28 @@ class Aligner:
         return len(groups), len(links_a), ";".join(groups), links_a, links_b
 
 
+def _cut(aligner: Aligner, texts: pa.ChunkedArray) -> tuple[pa.Array, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The distinct segments of a block's texts in order of their bytes, and by slices of texts (from, to, each segment's place in that order, its text)."""
+    data, offsets = raw(texts)
+    found, parts = [pa.array([], pa.large_string())], []
+    for lo, hi in chunks(offsets, SLICE_BYTES):
+        segments, text = aligner.segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        d = segments.dictionary_encode()
+        found.append(d.dictionary)
+        parts.append((lo, hi, d, text))
+    all_ = pa.concat_arrays(found).unique()
+    all_ = all_.take(pc.array_sort_indices(all_))
+    place = lambda d: pc.index_in(d.dictionary, value_set=all_).to_numpy(zero_copy_only=False)[d.indices.to_numpy(zero_copy_only=False)]
+    return all_, [(lo, hi, place(d), text) for lo, hi, d, text in parts]
+
+
 def _asked(sent):
     def run(table: pa.Table) -> pa.Table:
-        """A block's distinct segments and how often it holds each."""
-        aligner, parts = sent.value.ready(), [_counted(pa.array([], pa.large_string()))]
-        data, offsets = raw(table.column("text"))
-        for lo, hi in chunks(offsets, SLICE_BYTES):
-            parts.append(_counted(aligner.segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]))
-        found = pa.concat_tables(parts).group_by("segment").aggregate([("n", "sum")])
-        return pa.table({"block": np.full(len(found), table.column("block")[0].as_py()), "segment": found.column("segment").cast(pa.string()), "n": found.column("n_sum")})
+        """A block's distinct segments in order, and how often it holds each."""
+        segments, parts = _cut(sent.value.ready(), table.column("text"))
+        n = sum((np.bincount(at, minlength=len(segments)) for *_, at, _ in parts), np.zeros(len(segments), np.int64))
+        block = np.full(len(segments), table.column("block")[0].as_py())
+        return pa.table({"block": block, "place": np.arange(len(segments), dtype=np.int32), "segment": segments.cast(pa.string()), "n": n})
 
     return run
 
@@ -218,28 +233,55 @@ STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMPOSED = "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", groups_sha256 string"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (block, place, ...) as compressed tables, one row a block: rows of their own would be three times as large."""
+    held: list[pa.RecordBatch] = []
+
+    def settle() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("place", "ascending")]).combine_chunks()
+        block = t.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        parts = []
+        for lo, hi in zip(starts, [*starts[1:], len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t.slice(lo, hi - lo))
+            parts.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_pydict({"block": block[starts], "part": pa.array(parts, pa.binary())})
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= PACKED_ROWS:
+            yield settle()
+            held.clear()
+    if sum(x.num_rows for x in held):
+        yield settle()
+
+
 def _composed(sent):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        aligner = sent.value.ready()
-        known = answers.column("segment").combine_chunks().cast(pa.large_string())
-        stats = np.array([answers.column(s).to_numpy() for s in STATS], np.int64).reshape(len(STATS), len(answers))
-        groups = answers.column("groups").to_pylist()
-        fits = answers.column("fits").to_numpy(zero_copy_only=False).astype(bool)
-        sums, digests = [], []
-        data, offsets = raw(docs.column("text"))
-        for lo, hi in chunks(offsets, SLICE_BYTES):
-            segments, text = aligner.segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            at = pc.index_in(segments, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(docs):
+            return pa.table({"doc_id": pa.array([], pa.int64()), **{s: pa.array([], pa.int64()) for s in STATS}, "groups_sha256": pa.array([], pa.string())})
+        segments, parts = _cut(sent.value.ready(), docs.column("text"))
+        told = [pa.ipc.open_stream(x.as_py()).read_all() for x in answers.column("part")]
+        stats, fits, groups = np.zeros((len(STATS), len(segments)), np.int64), np.zeros(len(segments), bool), [""] * len(segments)
+        for t in told:
+            at = t.column("place").to_numpy()
+            stats[:, at] = [t.column(s).to_numpy() for s in STATS]
+            fits[at] = t.column("fits").to_numpy()
+            for i, g in zip(at.tolist(), t.column("groups").to_pylist(), strict=True):
+                groups[i] = g
+        sums, digests = [np.zeros((len(STATS), 0), np.int64)], []
+        for lo, hi, at, text in parts:
             cuts = np.searchsorted(text, np.arange(hi - lo + 1))
             starts, ends = cuts[:-1], cuts[1:]
             bad = np.append(0, np.cumsum(~fits[at]))
             ok = (bad[ends] == bad[starts]) & (ends > starts)
             total = np.concatenate([np.zeros((len(STATS), 1), np.int64), np.cumsum(stats[:, at], axis=1)], axis=1)
             sums.append(np.where(ok, total[:, ends] - total[:, starts], 0))
-            told = [groups[i] for i in at.tolist()]
-            digests += [hashlib.sha256(";".join(told[i:j]).encode()).hexdigest() if o else "" for i, j, o in zip(starts.tolist(), ends.tolist(), ok.tolist(), strict=True)]
-        sums = np.concatenate(sums, axis=1) if sums else np.zeros((len(STATS), 0), np.int64)
-        return pa.table({"doc_id": docs.column("doc_id"), **dict(zip(STATS, map(pa.array, sums), strict=True)), "groups_sha256": pa.array(digests, pa.string())})
+            of_text = [groups[i] for i in at.tolist()]
+            digests += [hashlib.sha256(";".join(of_text[i:j]).encode()).hexdigest() if o else "" for i, j, o in zip(starts.tolist(), ends.tolist(), ok.tolist(), strict=True)]
+        return pa.table({"doc_id": docs.column("doc_id"), **dict(zip(STATS, map(pa.array, np.concatenate(sums, axis=1)), strict=True)), "groups_sha256": pa.array(digests, pa.string())})
 
     return run
 
@@ -251,7 +293,7 @@ def alignments(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    asked = written(blocked.groupBy("block").applyInArrow(_asked(sent), "block long, segment string, n long"), "asked")
+    asked = written(blocked.groupBy("block").applyInArrow(_asked(sent), "block long, place int, segment string, n long"), "asked")
     summed = asked.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = written(summed.mapInArrow(_alignments(sent), ALIGNED), "aligned")
     bad = aligned.where("not fits").select("segment")
@@ -259,7 +301,9 @@ def alignments(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -
         wrong = asked.join(bad, "segment").select("block", "segment")
         lost = blocked.join(wrong.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(wrong.groupBy("block")).applyInArrow(_emptied(sent), "segment string, n long")
         lost = written(lost.groupBy("segment").agg(F.sum("n").alias("lost")), "lost")
-        aligned = aligned.join(lost, "segment", "left").withColumn("n", F.col("n") + F.coalesce("lost", F.lit(0))).drop("lost")
+        whole = written(aligned.join(lost, "segment", "left").withColumn("n", F.col("n") + F.coalesce("lost", F.lit(0))).drop("lost"), "aligned")
+        discard(aligned, lost)
+        aligned = whole
     links = aligned.where("fits and n > 0").select("n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("n", "l.*")
     pairs = written(links.groupBy("link_a", "link_b").agg(F.sum("n").alias("count")), "pairs")
     return blocked, asked, aligned, pairs
@@ -271,11 +315,14 @@ def align(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") -> Dat
     prepare(spark)
     blocked, asked, aligned, pairs = alignments(docs, sent, key, text)
     best = pairs.groupBy("link_b").agg(F.max("count").alias("best"))
-    pairs = written(pairs.join(F.broadcast(best), "link_b").select("link_a", "link_b", "count", (F.col("count") == F.col("best")).cast("long").alias("is_best")), "ranked-pairs")  # best: a row for each id of the vocabulary
+    ranked = written(pairs.join(F.broadcast(best), "link_b").select("link_a", "link_b", "count", (F.col("count") == F.col("best")).cast("long").alias("is_best")), "ranked-pairs")  # best: a row for each id of the vocabulary
     links = aligned.where("fits").select("segment", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("segment", "l.*")
-    sums = links.join(sent_side(pairs), ["link_a", "link_b"], "left").groupBy("segment").agg(F.coalesce(F.sum("is_best"), F.lit(0)).alias("n_best"), F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"))
+    sums = links.join(sent_side(ranked), ["link_a", "link_b"], "left").groupBy("segment").agg(F.coalesce(F.sum("is_best"), F.lit(0)).alias("n_best"), F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"))
     told = written(aligned.drop("n", "link_a", "link_b").join(sums, "segment", "left").na.fill(0, ["n_best", "count_sum"]), "told")
-    answers = asked.select("block", "segment").join(told, "segment")
+    discard(aligned, ranked, pairs)
+    rows = asked.select("block", "place", "segment").join(told, "segment").drop("segment")
+    answers = written(rows.mapInArrow(_packed, "block long, part binary"), "answers")
+    discard(asked, told)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_composed(sent), COMPOSED)
 
 
