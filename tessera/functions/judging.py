@@ -5,47 +5,36 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Callable
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-# Thresholds, words that carry no content, refusals, and words that count as one (a leading * stands for any word that begins so, one on both sides for any that holds it).
-WHOLE_WORDS, ALIKE, WORDS_SHARED, CONTENT_SHARED, CONTENT_ALIKE, COVERED, KEY_WORDS = 3, 0.82, 0.72, 0.62, 0.45, 0.55, 3
+# How alike two open answers must be (letters; words; words of content, with letters; the gold answer's key words), and least numbers of words.
+ALIKE_LETTERS, ALIKE_WORDS, ALIKE_CONTENT, ALIKE_CONTENT_LETTERS, COVERED = 0.82, 0.72, 0.62, 0.45, 0.55
+LEAST_WORDS, LEAST_KEY_WORDS = 3, 3
+# Words without content, phrases that refuse, and words that count as one.
 STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the to with".split())
-REFUSAL = re.compile("|".join((
-    "can't answer", "cannot answer", "can not answer", "unable to answer", "not enough information", "insufficient information", "i don't know", "i do not know",
-    r"\bno\s+[^.]{0,40}\b(?:video|frame|scene|mural|evidence|information)\b",
-)))
-SYNONYMS = """
-*light*: light
-dark*: dark
-night*: night
-snow*: snow
-blur*: blur
-light: illuminated illumination lit
-vehicle: car cars vehicle vehicles
-outdoor: outdoor outdoors outside
-indoor: indoor indoors inside
-motion: moving movement motion dynamic shaky shift shifts transition transitions change changes
-static: static stationary
-cold: cold cool winter wintery
-color: colorful colourful vibrant
-"""
+REFUSALS = ("can't answer", "cannot answer", "can not answer", "unable to answer", "not enough information", "insufficient information", "i don't know", "i do not know")
+NOTHING_SEEN = re.compile(r"\bno\s+[^.]{0,40}\b(?:video|frame|scene|mural|evidence|information)\b")
+SAME_WORD = {
+    "cold": ("cold", "cool", "winter", "wintery"),
+    "color": ("colorful", "colourful", "vibrant"),
+    "indoor": ("indoor", "indoors", "inside"),
+    "light": ("illuminated", "illumination", "lit"),
+    "motion": ("change", "changes", "dynamic", "motion", "movement", "moving", "shaky", "shift", "shifts", "transition", "transitions"),
+    "outdoor": ("outdoor", "outdoors", "outside"),
+    "static": ("static", "stationary"),
+    "vehicle": ("car", "cars", "vehicle", "vehicles"),
+}
+SAME_STEM = ("blur", "dark", "night", "snow")
+SAME_PART = ("light",)
 ENDINGS = ("ing", "ed", "es", "s", "ness", "ly")
 
-
-def _groups() -> list[tuple[re.Pattern, str]]:
-    """Patterns of whole words in order, with what they count as."""
-    lines = [line.partition(": ")[::2] for line in SYNONYMS.strip().splitlines()]
-    either = lambda words: "|".join(re.escape(w).replace(r"\*", ".*") for w in words.split())
-    return [(re.compile(either(left if "*" in left else right)), right if "*" in left else left) for left, right in lines]
-
-
-GROUPS = _groups()
+_GROUP_OF = {word: group for group, words in SAME_WORD.items() for word in words}
 
 
 def normal(text: str | None) -> str:
@@ -53,53 +42,62 @@ def normal(text: str | None) -> str:
     return re.sub(r"\s+", " ", low).strip(" .。")
 
 
-def canonical(word: str) -> str:
-    """What a word counts as: its group, or the word without its first fitting ending if more than three letters are left."""
-    bare = re.sub(r"[^a-z0-9]+", "", word.lower())
-    for pattern, name in GROUPS:
-        if pattern.fullmatch(bare):
-            return name
-    return next((bare[: -len(e)] for e in ENDINGS if bare.endswith(e) and len(bare) - len(e) > 3), bare)
+def key_word(word: str) -> str:
+    """What a word counts as: its group, or its stem of more than three letters; '' if it has no Latin letter or digit."""
+    bare = re.sub(r"[^a-z0-9]+", "", word)
+    named = {_GROUP_OF.get(bare), *(g for g in SAME_STEM if bare.startswith(g)), *(g for g in SAME_PART if g in bare)} - {None}
+    if named:
+        return "light" if "light" in named else min(named)
+    ending = next((e for e in ENDINGS if bare.endswith(e) and len(bare) > len(e) + 3), "")
+    return bare.removesuffix(ending)
+
+
+def overlap_f1(a: Counter, b: Counter) -> float:
+    return 2 * (a & b).total() / (a.total() + b.total()) if a and b else 0.0
 
 
-def overlap_f1(a: list[str], b: list[str]) -> float:
-    shared = sum((Counter(a) & Counter(b)).values())
-    return 2 * shared / (len(a) + len(b)) if shared else 0.0
+class Likeness(NamedTuple):
+    """What two open answers have in common; fields are values, or columns of the same names."""
 
+    answers: bool | Column  # both say something, and the first is no refusal unless the second is
+    equal: bool | Column
+    comparable: bool | Column  # neither is shorter than LEAST_WORDS
+    contained: bool | Column
+    letters: float | Column
+    words: float | Column
+    content: float | Column
+    covered: float | Column
 
-class Reading:
-    """An answer in the forms that the rules compare."""
+    def same(self) -> bool | Column:
+        near = self.contained | (self.letters >= ALIKE_LETTERS) | (self.words >= ALIKE_WORDS) | (self.covered >= COVERED) | ((self.content >= ALIKE_CONTENT) & (self.letters >= ALIKE_CONTENT_LETTERS))
+        return self.answers & (self.equal | (self.comparable & near))
 
-    def __init__(self, text: str | None):
-        self.text = normal(text)
-        self.words = re.findall(r"\w+", self.text)
-        self.content = [w for w in self.words if w not in STOP_WORDS]
-        self.keys = {k for k in map(canonical, self.content) if k}
-        self.refuses = REFUSAL.search(self.text) is not None
 
+LIKENESS = "answers boolean, equal boolean, comparable boolean, contained boolean, letters double, words double, content double, covered double"
 
-#: Rules in order: what decides, whether the answers are the same if it holds. The last one decides what none did.
-RULES: list[tuple[str, Callable[[Reading, Reading], bool], bool]] = [
-    ("nothing said", lambda a, g: not a.text or not g.text, False),
-    ("a refusal", lambda a, g: a.refuses and not g.refuses, False),
-    ("equal", lambda a, g: a.text == g.text, True),
-    ("too short to compare", lambda a, g: min(len(a.words), len(g.words)) < WHOLE_WORDS, False),
-    ("one holds the other", lambda a, g: a.text in g.text or g.text in a.text, True),
-    ("alike in letters", lambda a, g: _alike(a, g) >= ALIKE, True),
-    ("alike in words", lambda a, g: overlap_f1(a.words, g.words) >= WORDS_SHARED, True),
-    ("alike in content", lambda a, g: overlap_f1(a.content, g.content) >= CONTENT_SHARED and _alike(a, g) >= CONTENT_ALIKE, True),
-    ("key words covered", lambda a, g: len(g.keys) >= KEY_WORDS and len(g.keys & a.keys) / len(g.keys) >= COVERED, True),
-]
 
+def _refuses(text: str) -> bool:
+    return any(phrase in text for phrase in REFUSALS) or NOTHING_SEEN.search(text) is not None
 
-def _alike(a: Reading, g: Reading) -> float:
-    return SequenceMatcher(None, a.text, g.text).ratio()
+
+def likeness(answer: str | None, gold: str | None) -> Likeness:
+    """Letters are compared only where nothing simpler settles it."""
+    texts = normal(answer), normal(gold)
+    a, g = (re.findall(r"\w+", x) for x in texts)
+    content_a, content_g = (Counter(w for w in x if w not in STOP_WORDS) for x in (a, g))
+    keys_a, keys_g = ({key_word(w) for w in c} - {""} for c in (content_a, content_g))
+    answers = all(texts) and (_refuses(texts[1]) or not _refuses(texts[0]))
+    equal, comparable = texts[0] == texts[1], min(len(a), len(g)) >= LEAST_WORDS
+    contained, words = texts[0] in texts[1] or texts[1] in texts[0], overlap_f1(Counter(a), Counter(g))
+    covered = len(keys_a & keys_g) / len(keys_g) if len(keys_g) >= LEAST_KEY_WORDS else 0.0
+    open_ = answers and comparable and not (equal or contained or words >= ALIKE_WORDS or covered >= COVERED)
+    letters = SequenceMatcher(None, *texts).ratio() if open_ else 0.0
+    return Likeness(answers, equal, comparable, contained, letters, words, overlap_f1(content_a, content_g), covered)
 
 
 def same_answer(answer: str | None, gold: str | None) -> bool:
-    """Whether an open answer says what the gold answer says, by the first rule that holds."""
-    a, g = Reading(answer), Reading(gold)
-    return next((same for _, holds, same in RULES if holds(a, g)), False)
+    """Whether an open answer says what the gold answer says."""
+    return likeness(answer, gold).same()
 
 
 def boxed(text: str | None) -> str | None:
@@ -189,8 +187,20 @@ def _udf(f, kind):
     return one if f.__code__.co_argcount == 1 else two
 
 
+def likeness_of(answer: Column, gold: Column) -> Column:
+    """struct of LIKENESS."""
+
+    @F.pandas_udf(LIKENESS)
+    def features(a: pd.Series, g: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([likeness(x, y) for x, y in zip(a, g, strict=True)], columns=Likeness._fields)
+
+    return features(answer, gold)
+
+
 def open_answer(answer: Column, gold: Column) -> Column:
-    return _udf(same_answer, t.BooleanType())(answer, gold)
+    """The features as columns, and one expression that decides."""
+    found = likeness_of(answer, gold)
+    return Likeness(*(found[f] for f in Likeness._fields)).same()
 
 
 def boxed_answer(text: Column) -> Column:
