@@ -6,7 +6,7 @@ documents and benchmark finds every document that may hold one. In those documen
 fingerprint are compared as strings, which extends each hit to all the words it covers.
 
 Defined results: a null, empty or wordless text has no words and no hits; an item without words is never found; an item of
-fewer than `length` words is one window of its own length; equal items are all named, items without an id are not; a doc_id may be null or repeat; an empty benchmark leaves every document clean;
+fewer than `length` words is one window of its own length; item_ids are of any type and sorted as strings; equal items are all named, items without an id are not; a doc_id may be null or repeat; an empty benchmark leaves every document clean;
 other columns are ignored.
 """
 
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, rows_of, texts_of, written
+from tessera.llm.common import prepare, rows_of, sent_side, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, as a pattern.
@@ -36,8 +36,12 @@ def _gram(n: int):
     return lambda x, i: F.xxhash64(F.lit(n), x, *(F.get("hashes", i + j) for j in range(1, n)))
 
 
-def _start(n: int):
-    return lambda p, i: F.when(F.array_contains("hits", p), F.struct(i.alias("at"), F.lit(n).alias("n")))
+def _window(n: int):
+    return lambda p, i: F.struct(p.alias("print"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("window"))
+
+
+def _place(n: int):
+    return lambda p, i: F.struct(i.alias("at"), F.lit(n).alias("n"), p.alias("print"))
 
 
 def _with_fingerprints(df: DataFrame, length: int, k: int, short: list[int]) -> DataFrame:
@@ -63,15 +67,14 @@ def decontaminate(
     """(row, doc_id, n_words, n_hit) of every document, and (row, item_id) of the items found in each; row stands for key and text."""
     spark = docs.sparkSession
     prepare(spark)
-    items = texts_of(items, item_key, item_text).select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0")
+    items = items.select(F.col(item_key).alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("words")).where("size(words) > 0")
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(f"n < {length}").distinct().collect())  # fewer than `length` rows
     sizes = [length, *short]
     named = _with_fingerprints(items, length, k, short)
-    parts = [
-        named.where(F.size("words") >= length if n == length else F.size("words") == n).select("item_id", F.posexplode_outer(f"f{n}").alias("at", "print"), "words").where("print is not null").select(
-            "item_id", "print", F.lit(n).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("window"),
-        ) for n in sizes
-    ]
+    parts = []
+    for n in sizes:
+        own = named.where(F.size("words") >= length if n == length else F.size("words") == n)
+        parts.append(own.select("item_id", F.explode_outer(F.transform(f"f{n}", _window(n))).alias("w")).where("w is not null").select("item_id", "w.*"))
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionAll(p)
@@ -88,11 +91,12 @@ def decontaminate(
     known = written(windows.select("print").distinct(), "prints").withColumn("known", F.lit(True))
     found = written(each.join(known, "print", "left").where("whole or known"), "found")
 
-    hits = found.where("known").groupBy("row").agg(F.collect_set("print").alias("hits"))
-    cut = texts.join(hits, "row").select("row", "hits", words(F.col("text")).alias("words"))
+    suspects = written(found.where("known").select("row").distinct(), "suspects")
+    cut = texts.join(sent_side(suspects), "row").select("row", words(F.col("text")).alias("words"))
     near = _with_fingerprints(cut, length, k, short)
-    starts = F.concat(*(F.filter(F.transform(f"f{n}", _start(n)), lambda s: s.isNotNull()) for n in sizes))
-    spans = near.select("row", "words", starts.alias("starts"))
+    places = near.select("row", F.explode_outer(F.concat(*(F.transform(f"f{n}", _place(n)) for n in sizes))).alias("p")).select("row", "p.*")
+    starts = places.join(sent_side(known), "print").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
+    spans = texts.join(written(starts, "starts"), "row").select("row", "starts", words(F.col("text")).alias("words"))
     spans = spans.select(
         "row",
         F.explode_outer(
