@@ -1,15 +1,17 @@
-"""LM scoring: a hashed maximum-entropy model with a class-factored softmax, and a unigram base.
-
-P(token | context) = P(class | context) P(token | class, context). Both factors are softmaxes over sums of weight rows that
-hashed features select: the word before, the two before (n-grams), and the one before the last (a skip). Frequent tokens have
-classes of as many words as there are classes; all others share a rare class, within which a token has its smoothed
-unigram share, so that probabilities of all texts sum to one. Vocabulary, classes and slots follow the exact token counts of
-all training documents (shape()), up to a size that is sent to every executor. Training runs in ROUNDS slices; in each, one slice of the training
+"""LM scoring: a hashed maximum-entropy model with a class-factored softmax, sharpened by exact n-gram counts, and a unigram base.
+
+The model's P(token | context) has two parts. A maximum-entropy model gives P_me: a token's classes are the digits of its frequency rank, so that
+P_me(token | context) is a product of softmaxes, one for each digit given those before it, each over sums of weight rows that hashed features select: the word before, the two before (n-grams), and
+the one before the last (a skip). Tokens beyond the vocabulary share a rare class, within which each has its smoothed unigram share. Exact counts sharpen it where the corpus
+has seen the context:
+P = (c(context, token) + mu P') / (c(context) + mu), mu = a c(context) ** b, first for one token of context with P' = P_me, then for two with P' = the first; each sums to one for each context. Vocabulary, depth and slots follow the exact token counts of
+all training documents (shape()). Training runs in ROUNDS slices; in each, one slice of the training
 documents takes gradient steps in parallel, so that every training document is learnt from once; the tasks' updates are averaged in a tree.
 Scoring works on sparse rows gathered into numpy batches.
 
-Token counts are gathered by blocks of documents (BLOCK_BYTES of text each, dealt by key and text): a block asks for its
-distinct tokens once, and gets their corpus counts back. Tokens are told apart by 64-bit hashes of their bytes and places.
+Counts are gathered by blocks of documents (BLOCK_BYTES of text each, dealt by key and text): a block asks for its
+distinct tokens once, and gets their corpus counts back; and for its distinct bigrams and trigrams, whose hashes go, sorted and packed, to shards by hash range, which answer each block with the counts in its order. No
+task or broadcast holds all n-grams: shards grow in number with the corpus. Tokens are told apart by 64-bit hashes of their bytes and places, n-grams by as many bits as leave one false match in some 2 ** 12.
 
 Defined results: a null or empty text is one end token; without training documents every token has probability one in the base and in
 the model; equal texts score alike; a doc_id may be null or repeat; an empty table gives an empty result; other columns are ignored.
@@ -21,23 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, discard, prepare, raw, signed, word_hashes, words_in, written
+from tessera.llm.common import chunks, discard, mixed, prepare, raw, signed, word_hashes, words_in, written
 
 BLOCK_BYTES = 8 << 20
-#: The most classes (and words of a class) and slots of a model, which bound what is sent to every executor: 3.2 MB.
-MOST_SIDE, MOST_SLOTS = 24, 1 << 14
+#: Children of a class, and the most slots and levels of a model, which bound what is sent to every executor (21 MB of weights, 12 MB of words).
+SIDE, MOST_SLOTS, MOST_DEPTH = 16, 1 << 16, 5
+#: By the size of n-grams, how much shorter contexts weigh against counts (a, b); n-grams of a shard.
+PRIORS, SHARD = {2: (1.0, 0.8), 3: (0.5, 0.8)}, 1 << 22
 ROUNDS, STEP, FAN = 8, 0.3, 16
 TOKENS = 1 << 13
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def shape(tokens: int, types: int) -> tuple[int, int]:
-    """Classes and slots for so many training tokens of so many kinds: their cube root, and a square root."""
-    side = min(MOST_SIDE, max(8, round(types ** (1 / 3))))
-    return side, min(MOST_SLOTS, 1 << max(10, tokens.bit_length() // 2 + 1))
+    """Words of the vocabulary and slots for so many training tokens of so many kinds."""
+    return min(types, max(SIDE, round(types ** (2 / 3))), SIDE**MOST_DEPTH), min(MOST_SLOTS, 1 << max(10, tokens.bit_length() // 2 + 4))
 
 
 class Tokens:
@@ -59,33 +63,37 @@ class Tokens:
 
 
 class Model:
-    """by_class: slot x class; by_word: slot x word of a class; with their biases. vocabulary: sorted hashes; place: of each.
+    """weights[l]: slot x child of the l-th digit's classes; bias[l]: class x child. vocabulary: sorted hashes; rank: of each.
 
+    A token's l-th class is rank % SIDE ** l, its child there the next digit; at the top, child SIDE stands for all rare tokens.
     tokens, counts: the most frequent tokens; total: occurrences of all training tokens.
     """
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: float, side: int, slots: int):
-        order = np.lexsort((tokens, -counts))[: side * side]
-        self.side, self.shift = side, np.uint64(64 - (slots.bit_length() - 1))
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: float, words: int, slots: int):
+        order = np.lexsort((tokens, -counts))[:words]
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
         rank = np.arange(len(order))
         by_hash = np.argsort(tokens[order])
-        self.vocabulary, self.place = tokens[order][by_hash], rank[by_hash]
-        share = np.zeros((side, side))
-        share[rank // side, rank % side] = counts[order] / max(total, 1.0)
-        of_class = share.sum(axis=1)
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.log(np.append(of_class, max(1e-6, 1 - of_class.sum()))).astype(np.float32)
-            self.word_bias = np.log(share).astype(np.float32)
-        self.word_bias[of_class == 0] = 0  # of a class without words
-        self.by_class = np.zeros((slots, side + 1), np.float32)
-        self.by_word = np.zeros((slots, side), np.float32)
-
-    def placed(self, token: np.ndarray) -> np.ndarray:
-        """Place in the vocabulary, or -1."""
+        self.vocabulary, self.rank = tokens[order][by_hash], rank[by_hash]
+        share = counts[order] / max(total, 1.0)
+        self.bias, self.weights = [], []
+        while not self.bias or SIDE ** len(self.bias) < len(order):
+            step = SIDE ** len(self.bias)
+            mass = np.zeros((step, SIDE + (step == 1)))
+            np.add.at(mass, (rank % step, rank // step % SIDE), share)
+            if step == 1:
+                mass[0, SIDE] = max(1e-6, 1 - share.sum())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bias = np.log(mass / mass.sum(axis=1, keepdims=True))
+            self.bias.append(np.where(np.isnan(bias), 0, bias).astype(np.float32))  # a class without words
+            self.weights.append(np.zeros((slots, mass.shape[1]), np.float32))
+
+    def ranked(self, token: np.ndarray) -> np.ndarray:
+        """Rank in the vocabulary, or -1."""
         if not len(self.vocabulary):
             return np.full(len(token), -1)
         at = np.minimum(np.searchsorted(self.vocabulary, token), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == token, self.place[at], -1)
+        return np.where(self.vocabulary[at] == token, self.rank[at], -1)
 
     @staticmethod
     def features(t: Tokens, lo: int, hi: int) -> list[np.ndarray]:
@@ -96,65 +104,63 @@ class Model:
         x = feature + np.asarray(salt, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return (((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.uint16)
 
-    @staticmethod
-    def _softmax(weights: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-weights less their greatest, and what they sum to."""
-        z = np.take(weights, slots[0], axis=0)
-        for s in slots[1:]:
-            z += np.take(weights, s, axis=0)
-        z += bias
-        z -= z.max(axis=1, keepdims=True, initial=-1e30)
-        return z, np.exp(z)
-
-    def forward(self, features: list[np.ndarray], place: np.ndarray):
-        """Log-probabilities (natural; of the class only for rare tokens), and what a gradient step needs."""
-        cls = np.where(place < 0, self.side, place // self.side)
-        one = [self.slots(f) for f in features]
-        z, p = self._softmax(self.by_class, self.class_bias, one)
-        total = p.sum(axis=1)
-        out = z[np.arange(len(z)), cls] - np.log(total)
-        known = np.flatnonzero(place >= 0)
-        two = [self.slots(f[known], cls[known] + 1) for f in features]
-        y, q = self._softmax(self.by_word, self.word_bias[cls[known]], two)
-        sub = q.sum(axis=1)
-        word = place[known] % self.side
-        out[known] += y[np.arange(len(y)), word] - np.log(sub)
-        return out, (one, cls, p, total), (two, word, q, sub)
-
-    def step(self, features: list[np.ndarray], place: np.ndarray, sums: list[np.ndarray]) -> None:
-        """One gradient step on a batch of tokens."""
-        _, *parts = self.forward(features, place)
-        for weights, total, (slots, want, p, norm) in zip((self.by_class, self.by_word), sums, parts, strict=True):
+    def forward(self, features: list[np.ndarray], rank: np.ndarray):
+        """Log-probabilities (natural; of the rare class only for rare tokens), and for each level: slots of its rows, the child that each took, and probabilities of all."""
+        out, levels = np.zeros(len(rank)), []
+        for level, (weights, bias) in enumerate(zip(self.weights, self.bias, strict=True)):
+            step = SIDE**level
+            live = np.flatnonzero(rank >= 0) if level else np.arange(len(rank))
+            of = rank[live] % step
+            child = np.where(rank[live] < 0, SIDE, rank[live] // step % SIDE)
+            slots = [self.slots(f[live], of + step) for f in features]
+            z = np.take(weights, slots[0], axis=0)
+            for s in slots[1:]:
+                z += np.take(weights, s, axis=0)
+            z += bias[of] if level else bias
+            z -= z.max(axis=1, keepdims=True, initial=-1e30)
+            p = np.exp(z)
+            total = p.sum(axis=1)
+            out[live] += z[np.arange(len(z)), child] - np.log(total)
+            p /= total[:, None]
+            levels.append((slots, child, p))
+        return out, levels
+
+    def gradients(self, features: list[np.ndarray], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(level, slots, rows) of minus the log-likelihood's gradient, by feature; rows of one slot are summed."""
+        for level, (slots, child, p) in enumerate(self.forward(features, rank)[1]):
             if not len(p):
                 continue
-            p /= norm[:, None]
-            p[np.arange(len(p)), want] -= 1
+            p[np.arange(len(p)), child] -= 1
             for s in slots:
                 order = np.argsort(s, kind="stable")
                 s = s[order]
                 first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                s = s[first]
-                g = np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
-                seen = np.take(total, s, axis=0) + g * g
-                total[s] = seen
-                weights[s] -= STEP * g / np.sqrt(seen)
+                yield level, s[first], np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+
+    def step(self, features: list[np.ndarray], rank: np.ndarray, sums: list[np.ndarray]) -> None:
+        """One gradient step on a batch of tokens."""
+        for level, s, g in self.gradients(features, rank):
+            seen = np.take(sums[level], s, axis=0) + g * g
+            sums[level][s] = seen
+            self.weights[level][s] -= STEP * g / np.sqrt(seen)
 
 
 def _gradients(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        before = model.by_class.copy(), model.by_word.copy()
+        before = [w.copy() for w in model.weights]
         sums, n = [np.full(w.shape, 1.0, np.float32) for w in before], 0
         for b in batches:
             data, offsets = raw(b.column("text"))
             for lo, hi in chunks(offsets):
                 t = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                place = model.placed(t.token)
-                for i in range(0, len(place), TOKENS):
-                    model.step(model.features(t, i, min(i + TOKENS, len(place))), place[i : i + TOKENS], sums)
-                n += len(place)
-        change = [(a - b).astype(np.float16) for a, b in zip((model.by_class, model.by_word), before, strict=True)]
-        model.by_class, model.by_word = before  # a worker may see this object again
+                distinct, at = np.unique(t.token, return_inverse=True)
+                rank = model.ranked(distinct)[at]
+                for i in range(0, len(rank), TOKENS):
+                    model.step(model.features(t, i, min(i + TOKENS, len(rank))), rank[i : i + TOKENS], sums)
+                n += len(rank)
+        change = [(a - b).astype(np.float16) for a, b in zip(model.weights, before, strict=True)]
+        model.weights = before  # a worker may see this object again
         if n:
             yield pa.RecordBatch.from_pydict({"tokens": [n], "change": [b"".join(c.tobytes() for c in change)]})
 
@@ -182,11 +188,11 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     """A model from the training rows (doc_id, text) and the counts (token, count) of all their tokens."""
     spark = texts.sparkSession
     totals = counts.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    side, slots = shape(*totals)
-    most = counts.where("count > 0").orderBy(F.desc("count"), "token").limit(side * side - 1).collect()  # a model's vocabulary
-    tokens = np.array([r["token"] for r in most], np.int64).view(np.uint64)
-    model = Model(tokens, np.array([r["count"] for r in most], float), float(totals[0]), side, slots)
-    for i in range(ROUNDS if most else 0):
+    words, slots = shape(*totals)
+    most = counts.where("count > 0").orderBy(F.desc("count"), "token").limit(words).toArrow()  # a model's vocabulary
+    tokens = most.column("token").to_numpy().view(np.uint64)
+    model = Model(tokens, most.column("count").to_numpy().astype(float), float(totals[0]), words, slots)
+    for i in range(ROUNDS if len(tokens) else 0):
         sent = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(ROUNDS)) == i).select("text")
         changes = part.mapInArrow(_gradients(sent), "tokens long, change binary")
@@ -199,48 +205,120 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
         discard(changes)
         if found:
             _, change = _mean([(r.tokens, r.change) for r in found])
-            cut = model.by_class.size
-            model.by_class = model.by_class + change[:cut].reshape(model.by_class.shape)
-            model.by_word = model.by_word + change[cut:].reshape(model.by_word.shape)
+            for w in model.weights:
+                w += change[: w.size].reshape(w.shape)
+                change = change[w.size :]
         sent.unpersist()
     return model
 
 
-def _asked(table: pa.Table) -> pa.Table:
-    """A block's distinct tokens and how often its training texts hold each."""
-    data, offsets = raw(table.column("text"))
-    trains = table.column("train").to_numpy()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo, hi in chunks(offsets):
-        t = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        tokens, at = np.unique(t.token, return_inverse=True)
-        found.append((tokens, np.bincount(at, trains[lo:hi][t.doc], len(tokens))))
-    tokens, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([c for _, c in found]), len(tokens)).astype(np.int64)
-    return pa.table({"block": pa.array(np.full(len(tokens), table.column("block")[0].as_py())), "token": pa.array(signed(tokens)), "n": pa.array(n)})
+def packed(x: np.ndarray) -> bytes:
+    """Numbers whose upper bytes are mostly alike, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    cells = np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(cells.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def grams(t: Tokens, size: int, bits: int) -> np.ndarray:
+    """Hashes of the n-grams that end with each token."""
+    x = mixed(t.before * np.uint64(0xA24BAED4963EE407) + t.token)
+    return (x if size == 2 else mixed(x + t.second * np.uint64(0x9FB21C651E98DF25))) >> np.uint64(64 - bits)
+
+
+def _cuts(sorted_: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where shards begin among sorted n-grams."""
+    return np.append(np.searchsorted(sorted_, np.array([(i << bits) // shards for i in range(shards)], np.uint64)), len(sorted_))
+
 
+ASKED = "block long, token long, n long, gram int, shard int, size int, keys binary, counts binary"
+
+
+def _asked(bits: int, shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's distinct tokens and how often its training texts hold each; and by size and shard, its distinct n-grams and the same."""
+        data, offsets = raw(table.column("text"))
+        trains = table.column("train").to_numpy().astype(bool)
+        found, keys, of_key = [], {k: [] for k in PRIORS}, []
+        for lo, hi in chunks(offsets):
+            t = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            learns = trains[lo:hi][t.doc]
+            tokens, at = np.unique(t.token, return_inverse=True)
+            found.append((tokens, np.bincount(at, learns, len(tokens))))
+            of_key.append(learns)
+            for k, held in keys.items():
+                held.append(grams(t, k, bits))
+        tokens, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in found]), len(tokens)).astype(np.int64)
+        rows = []
+        for k, held in keys.items():
+            each, at = np.unique(np.concatenate(held), return_inverse=True)
+            times = np.bincount(at, np.concatenate(of_key), len(each)).astype(np.uint32)
+            cuts = _cuts(each, bits, shards).tolist()
+            rows += [(k, i, hi - lo, packed(np.diff(each[lo:hi], prepend=np.uint64(0))), packed(times[lo:hi])) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
+        of_tokens = pa.table({"token": signed(tokens), "n": n})
+        of_grams = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "shard", "size", "keys", "counts"])
+        both = pa.concat_tables([of_tokens, of_grams], promote_options="default")
+        return both.add_column(0, "block", [np.full(len(both), table.column("block")[0].as_py())])
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """A shard's answer to each block: the corpus counts of its n-grams, in the block's order."""
+    sizes = table.column("size").to_pylist()
+    keys = np.concatenate([np.cumsum(unpacked(x.as_py(), n, np.uint64), dtype=np.uint64) for x, n in zip(table.column("keys"), sizes, strict=True)])
+    own = np.concatenate([unpacked(x.as_py(), n, np.uint32) for x, n in zip(table.column("counts"), sizes, strict=True)])
+    _, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, own).astype(np.uint64)[at]
+    ends = np.cumsum(sizes).tolist()
+    return pa.table({"block": table.column("block"), "gram": table.column("gram"), "shard": table.column("shard"), "size": table.column("size"), "counts": pa.array([packed(total[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+
+def _scored(sent, bits: int, train_tokens: int, rare: float):
+    """rare: what a rare token's count, plus one half, is divided by to give its share of the rare class."""
 
-def _scored(sent):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         model = sent.value
-        keys, counts = answers.column("token").to_numpy().view(np.uint64), answers.column("count").to_numpy()
+        of_token = answers.filter(answers.column("token").is_valid())
+        keys, counts = of_token.column("token").to_numpy().view(np.uint64), of_token.column("count").to_numpy()
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        ranks, ends = model.ranked(keys), counts[np.searchsorted(keys, END)]
         data, offsets = raw(texts.column("text"))
         n = len(offsets) - 1
-        out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_rare")} | {k: np.zeros(n) for k in ("base", "model")}
-        for lo, hi in chunks(offsets):
-            t = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            c, place, m = counts[np.searchsorted(keys, t.token)], model.placed(t.token), hi - lo
+        parts = [(lo, hi, Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in chunks(offsets)]
+        of_gram = {}
+        for k in PRIORS:
+            told = answers.filter(pc.equal(answers.column("gram"), k)).sort_by("shard")
+            times = [unpacked(x.as_py(), m.as_py(), np.uint64) for x, m in zip(told.column("counts"), told.column("size"), strict=True)]
+            _, at = np.unique(np.concatenate([grams(t, k, bits) for *_, t in parts]), return_inverse=True)
+            of_gram[k] = np.concatenate(times)[at].astype(np.int64)
+        out, begin = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known")} | {k: np.zeros(n) for k in ("base", "model")}, 0
+        for lo, hi, t in parts:
+            distinct, at = np.unique(t.token, return_inverse=True)
+            place = np.searchsorted(keys, distinct)
+            c, rank, m = counts[place][at], ranks[place][at], hi - lo
             logs = np.log10(c + 0.5)
-            p = np.zeros(len(place))
+            p = np.zeros(len(rank))
             if len(model.vocabulary):
-                for i in range(0, len(place), TOKENS):
-                    p[i : i + TOKENS] = model.forward(model.features(t, i, min(i + TOKENS, len(place))), place[i : i + TOKENS])[0]
-            p = p / np.log(10) + np.where(place < 0, logs, 0)
-            for k, x in (("n_tokens", None), ("n_known", c > 0), ("n_rare", place < 0), ("base", logs), ("model", p)):
+                for i in range(0, len(rank), TOKENS):
+                    p[i : i + TOKENS] = model.forward(model.features(t, i, min(i + TOKENS, len(rank))), rank[i : i + TOKENS])[0]
+            p = np.exp(p) * np.where(rank < 0, (c + 0.5) / rare, 1)
+            shorter, begins = c, np.append(True, t.doc[1:] != t.doc[:-1])
+            for k, (a, b) in PRIORS.items():
+                context = np.where(begins, ends, np.append(0, shorter[:-1]))  # a context is the shorter n-gram that ends with the token before
+                mu = a * np.maximum(context, 1.0) ** b
+                shorter = of_gram[k][begin : begin + len(c)]
+                p = (shorter + mu * p) / (context + mu)
+            begin += len(c)
+            for k, x in (("n_tokens", None), ("n_known", c > 0), ("base", logs), ("model", np.log10(p))):
                 out[k][lo:hi] = np.bincount(t.doc, x, m)
-        return pa.table({"doc_id": texts.column("doc_id"), "train": texts.column("train"), **{k: pa.array(v) for k, v in out.items()}})
+        train = np.full(n, train_tokens)
+        return pa.table({"doc_id": texts.column("doc_id"), "train": texts.column("train"), "train_tokens": train, **{k: pa.array(v) for k, v in out.items()}})
 
     return run
 
@@ -251,24 +329,32 @@ def score(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "tex
     prepare(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
+    blocks, bits, shards = -(-size // BLOCK_BYTES) or 1, min(64, max(32, size.bit_length() + 12)), -(-size // (4 * SHARD)) or 1  # a token has some five bytes
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    asked = written(blocked.groupBy("block").applyInArrow(_asked, "block long, token long, n long"), "asked")
-    counts = written(asked.groupBy("token").agg(F.sum("n").alias("count")), "counts")
+    asked = written(blocked.groupBy("block").applyInArrow(_asked(bits, shards), ASKED), "asked")
+    of_token = asked.where("gram is null").select("block", "token", "n")
+    counts = written(of_token.groupBy("token").agg(F.sum("n").alias("count")), "counts")
+    told = None
+    for k in PRIORS:
+        of_gram = asked.where(F.col("gram") == k).select("block", "gram", "shard", "size", "keys", "counts").repartition(shards, "shard")
+        part = written(of_gram.groupBy("shard").applyInArrow(_answered, "block long, gram int, shard int, size int, counts binary"), "grams")
+        told = part if told is None else told.unionAll(part)
+    asks = written(of_token.select("block", "token"), "asks")
+    discard(asked)
     model = train(texts.where("train").select("doc_id", "text"), counts)
+    words = spark.createDataFrame(pa.table({"token": signed(model.vocabulary)})).withColumn("known", F.lit(1))
+    rare, live = F.col("known").isNull(), F.col("count") > 0
+    totals = counts.join(F.broadcast(words), "token", "left").agg(  # words: the vocabulary, of bounded size
+        F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count_if(live).alias("types"), F.coalesce(F.sum(F.when(rare, F.col("count"))), F.lit(0)).alias("rare_tokens"), F.count_if(rare & live).alias("rare_types"),
+    ).first()
     sent = spark.sparkContext.broadcast(model)
-    answers = asked.select("block", "token").join(counts, "token").select("block", "token", "count")
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, n_rare long, base double, model double"
-    scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(sent), schema)
-    words = spark.createDataFrame([(x,) for x in signed(model.vocabulary).tolist()], "token long").withColumn("known", F.lit(1))
-    held = F.when(F.col("known").isNull(), F.col("count")).otherwise(0)
-    type_ = F.when(F.col("known").isNull() & (F.col("count") > 0), 1).otherwise(0)
-    totals = counts.join(F.broadcast(words), "token", "left").agg(  # words: the vocabulary, of fixed size
-        F.coalesce(F.sum("count"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum((F.col("count") > 0).cast("long")), F.lit(0)).alias("types"), F.coalesce(F.sum(held), F.lit(0)).alias("rare_tokens"), F.coalesce(F.sum(type_), F.lit(0)).alias("rare_types"))
-    out = scored.crossJoin(F.broadcast(totals))  # one row
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("types") + 1))
-    full = F.col("model") - F.col("n_rare") * F.log10(F.col("rare_tokens") + 0.5 * (F.col("rare_types") + 1))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", base.alias("base_score"), full.alias("score"))
+    answers = asks.join(counts, "token").select("block", "token", "count").unionByName(told, allowMissingColumns=True)
+    answers = answers.select("block", "token", "count", "gram", "shard", "size", "counts")
+    schema = "doc_id long, train boolean, train_tokens long, n_tokens long, n_known long, base double, model double"
+    run = _scored(sent, bits, totals.tokens, totals.rare_tokens + 0.5 * (totals.rare_types + 1))
+    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(totals.tokens + 0.5 * (totals.types + 1)))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", base.alias("base_score"), F.col("model").alias("score"))
 
 
 def held_out(key: str = "doc_id") -> Column:
