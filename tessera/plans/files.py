@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.registry import Tables, query
 from tessera.shipping import ship
-from tessera.sources import folders, readers, writers
+from tessera.sources import arrow_source, folders, readers, writers
 from tessera.storage import shared_dir
+from tessera.streaming import windows
 
 PARTS = "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part"
 KIND = "id bigint, name string, price double"
@@ -80,27 +81,32 @@ def loaded_by_suffix(t: Tables) -> DataFrame:
 
 @query(PARTS)
 def arrow_folder(t: Tables) -> DataFrame:
-    """Arrow files of a folder; each task writes its rows as one Arrow stream."""
-    import pyarrow as pa
-
-    ship(t.spark)
-    def streams(batches):
-        for b in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema) as w:
-                w.write_batch(b)
-            yield pa.RecordBatch.from_pydict({"content": [sink.getvalue().to_pybytes()]})
-
+    """Arrow files of a folder, written and read by tasks, a few record batches each."""
     path = _path(t, "arrow")
-    fs = t.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(t.spark._jsc.hadoopConfiguration())
-    fs.mkdirs(t.spark._jvm.org.apache.hadoop.fs.Path(path))
-    for i, r in enumerate(_parts(t).mapInArrow(streams, "content binary").toLocalIterator()):  # a few files of a small table
-        out = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part{i}.arrow"))
-        out.write(bytes(r.content))
-        out.close()
+    arrow_source.write_arrow(_parts(t).repartition(3, "id"), path)
     return folders.load_folder(t.spark, path).select("id", "name", "price")
 
 
+@query(PARTS)
+def arrow_stream(t: Tables) -> DataFrame:
+    """The same as a stream, whose offsets are a file and a place in it."""
+    path, out = _path(t, "arrows"), _path(t, "arrows-out")
+    arrow_source.write_arrow(_parts(t).repartition(3, "id"), path)
+    windows.drained(arrow_source.stream_arrow(t.spark, path), out, _path(t, "arrows-state"))
+    return t.spark.read.schema(_schema(t)).parquet(out).select("id", "name", "price")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def json_array_in_chunks(t: Tables) -> DataFrame:
+    """All documents as one JSON list in an object, read in chunks that cut strings, escapes and characters anywhere."""
+    lines = t.documents.select(F.to_json(F.struct("doc_id", "text", "lang")).alias("value"))
+    first = lines.limit(0).unionAll(t.spark.range(1).select(F.lit('{"version": {"data": [1]}, "samples": [').alias("value")))
+    rows = first.unionAll(lines.select(F.concat("value", F.lit(",")).alias("value"))).unionAll(t.spark.range(1).select(F.lit('{"doc_id": null}]}').alias("value")))
+    path = _text(t, rows.coalesce(1), "array")  # one document is one file
+    found = readers.wrapped(t.spark, path, _schema(t, "doc_id bigint, text string, lang string"), chunk=99_991)
+    return found.where("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang")
+
+
 @query(PARTS)
 def parquet_of_many_files(t: Tables) -> DataFrame:
     """Multi-turn and RL tables: many Parquet folders as one."""

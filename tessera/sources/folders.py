@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessera.sources.arrow_source import read_arrow
+from tessera.sources.ranges import listed, readable
 from tessera.sources.readers import FORMATS, load, suffix
 
 
-def listed(spark: SparkSession, path: str) -> list[str]:
-    """Files of a folder, or the file itself, in order; hidden ones don't count."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [str(s.getPath()) for s in fs.listStatus(p) if s.isFile()] if fs.getFileStatus(p).isDirectory() else [path]
-    return sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith((".", "_")))
-
-
 def load_folder(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """All files of a folder, which must be of one kind: arrow, csv, json, jsonl, parquet, orc or txt."""
     files = listed(spark, path)
@@ -45,7 +39,9 @@ def _tables(blob: bytes) -> Iterator[pa.RecordBatch]:
 
 
 def arrow_files(spark: SparkSession, files: list[str], schema: StructType | None = None) -> DataFrame:
-    """Arrow files, each read by one task; without a schema, that of the first file counts."""
+    """Arrow files, in ranges of record batches; without a schema, that of the first file counts. Where tasks can't open a path themselves, each file is one task's."""
+    if all(map(readable, files)):
+        return read_arrow(spark, files, schema)
     blobs = spark.read.format("binaryFile").load(files).select("content")
     if schema is None:
         first = next(_tables(bytes(spark.read.format("binaryFile").load(files[0]).select("content").first()[0])))

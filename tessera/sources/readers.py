@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from tessera.sources.json_arrays import CHUNK, json_texts, parsed
+from tessera.sources.ranges import readable
+
 FORMATS = {".jsonl": "json", ".json": "json", ".parquet": "parquet", ".csv": "csv", ".orc": "orc", ".txt": "text"}
 
 
@@ -37,8 +40,13 @@ def lines_or_nothing(spark: SparkSession, path: str, schema: StructType) -> Data
     return strict_lines(spark, path, schema) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def wrapped(spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] = ("data", "annotations", "samples")) -> DataFrame:
-    """A JSON file that is a list of rows, or an object that holds one under one of the names."""
+def wrapped(spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] = ("data", "annotations", "samples"), chunk: int = CHUNK) -> DataFrame:
+    """JSON files that are a list of rows, or an object that holds one under one of the names; read in chunks by many tasks.
+
+    Where tasks can't open the path themselves, each file is one task's.
+    """
+    if readable(path):
+        return parsed(json_texts(spark, path, names, chunk), F.from_json("value", schema))
     rows = spark.read.option("wholetext", True).text(path)
     kind = ArrayType(schema)
     listed = F.from_json("value", kind)
