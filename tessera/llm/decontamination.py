@@ -92,11 +92,12 @@ def decontaminate(
     found = written(each.join(known, "print", "left").where("whole or known"), "found")
 
     suspects = written(found.where("known").select("row").distinct(), "suspects")
-    cut = texts.join(sent_side(suspects), "row").select("row", words(F.col("text")).alias("words"))
+    of_suspects = texts.join(sent_side(suspects), "row")
+    cut = of_suspects.select("row", words(F.col("text")).alias("words"))
     near = _with_fingerprints(cut, length, k, short)
     places = near.select("row", F.explode_outer(F.concat(*(F.transform(f"f{n}", _place(n)) for n in sizes))).alias("p")).select("row", "p.*")
     starts = places.join(sent_side(known), "print").groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
-    spans = texts.join(written(starts, "starts"), "row").select("row", "starts", words(F.col("text")).alias("words"))
+    spans = of_suspects.join(written(starts, "starts"), "row").select("row", "starts", words(F.col("text")).alias("words"))
     spans = spans.select(
         "row",
         F.explode_outer(
