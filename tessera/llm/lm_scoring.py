@@ -197,18 +197,18 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
         part = texts.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("slice")), F.lit(ROUNDS)) == i).select("text")
         changes = part.mapInArrow(_gradients(sent), "tokens long, change binary")
         tasks = changes.rdd.getNumPartitions()
-        while tasks > FAN:
+        while tasks > 1:
             tasks = -(-tasks // FAN)
             changes = changes.repartition(tasks).mapInArrow(_added, "tokens long, change binary")
         changes = written(changes, "change")
-        found = changes.collect()  # at most FAN rows of a fixed size
+        found = changes.collect()  # one row of a fixed size
         discard(changes)
         if found:
             _, change = _mean([(r.tokens, r.change) for r in found])
             for w in model.weights:
                 w += change[: w.size].reshape(w.shape)
                 change = change[w.size :]
-        sent.unpersist()
+        sent.destroy()
     return model
 
 
