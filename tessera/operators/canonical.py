@@ -55,11 +55,11 @@ def whole_seconds(value: Column, name: str = "time") -> Column:
     return F.when(value < 0, F.raise_error(F.concat(F.lit(f"negative {name}: "), value.cast("string"))).cast("double")).otherwise(R.half_up(value).cast("double"))
 
 
-def canonical(df: DataFrame) -> DataFrame:
+def canonical_columns(df: DataFrame) -> list[Column]:
     """The eight canonical columns from rows under any of their aliases, with events() applied to query_events; missing texts fail the job."""
     video_id = _needed(first_given(df, ["video_id", "sample_id"]), "video_id")
     video = F.coalesce(first_given(df, ["video", "frames_dir"]), F.concat(F.lit("video/"), video_id))
-    return df.select(
+    return [
         _needed(first_given(df, ["dataset"]), "dataset").alias("dataset"), video_id.alias("video_id"), video.alias("video"), F.coalesce(
             first_given(df, ["frames_dir", "video"]), video,
         ).alias("frames_dir"),
@@ -67,7 +67,12 @@ def canonical(df: DataFrame) -> DataFrame:
             first_given(df, ["frame_count", "realtime", "duration"], "double"), "frame_count",
         ).cast("long").alias("frame_count"),
         F.coalesce(first_given(df, ["frame_id_base"], "long"), F.lit(0)).alias("frame_id_base"), events(F.col("query_events")).alias("query_events"),
-    )
+    ]
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """Rows of canonical_columns()."""
+    return df.select(*canonical_columns(df))
 
 
 def events(queries: Column) -> Column:
