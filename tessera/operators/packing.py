@@ -64,18 +64,35 @@ def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[list
     return [sorted(p) for _, p in heap[0][2]] if heap else [[] for _ in range(k)]
 
 
+def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
+    """k parts: each item, in order, joins the part of the least sum so far, the first of those that tie; equal: of the fewest items first (the number must divide)."""
+    if equal and len(lengths) % k:
+        raise ValueError("the number of items must be a multiple of the parts")
+    parts: list[list[int]] = [[] for _ in range(k)]
+    heap = [(0, 0, j) for j in range(k)]
+    for i, n in enumerate(lengths):
+        size, total, j = heap[0]
+        parts[j].append(i)
+        heapq.heapreplace(heap, (size + equal, total + n, j))
+    return parts
+
+
+#: Ways to cut a batch into parts, by name.
+METHODS = {"differencing": karmarkar_karp, "greedy": greedy}
+
+
 def workload(length: Column) -> Column:
     """Cost of a sequence: linear layers and attention."""
     return F.lit(24576) * length + length * length
 
 
-def balanced(df: DataFrame, key: str, length: str, batch: Column, k: int) -> DataFrame:
-    """(batch, key, part): each batch cut into k parts of nearly equal sums."""
-    kind = df.schema[key].dataType.simpleString()
+def balanced(df: DataFrame, key: str, length: str, batch: Column, k: int, method: str = "differencing", equal: bool = False) -> DataFrame:
+    """(batch, key, part): each batch cut into k parts of nearly equal sums, in the order of keys; equal: of equal sizes too."""
+    kind, cut = df.schema[key].dataType.simpleString(), METHODS[method]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        parts = karmarkar_karp(pdf[length].tolist(), k)
+        parts = cut(pdf[length].tolist(), k, equal)
         return pd.DataFrame([(pdf.batch[0], pdf[key][i], p) for p, items in enumerate(parts) for i in items], columns=["batch", key, "part"])
 
     rows = df.select(batch.cast("long").alias("batch"), key, F.col(length).cast("long").alias(length))
