@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 
 def counters(df: DataFrame, columns: list[str]) -> DataFrame:
     """(counter, key, n) of each column's values in one aggregation; null: empty."""
@@ -126,3 +132,54 @@ def best_and_worst_of(df: DataFrame, key: list[str], value: str, size: int) -> D
     best = F.pow(F.col("_r") / F.col("_n"), size) - F.pow((F.col("_r") - 1) / F.col("_n"), size)
     worst = F.pow((F.col("_n") - F.col("_r") + 1) / F.col("_n"), size) - F.pow((F.col("_n") - F.col("_r")) / F.col("_n"), size)
     return rows.groupBy(*key).agg(F.sum(best * F.col("_v")).alias("best"), F.sum(worst * F.col("_v")).alias("worst"))
+
+
+def bootstrap_of(df: DataFrame, key: list[str], value: str, size: int) -> DataFrame:
+    """(key, best, best_std, worst, worst_std, mean, mean_std): mean and standard deviation of the greatest, the least and the mean of `size` draws with replacement from each key's values.
+
+    What resampling tends to, exactly: the i-th of n sorted values is the greatest of the draws with probability (i / n) ** size - ((i - 1) / n) ** size.
+    """
+    n, r = F.count(value).over(Window.partitionBy(*key)), F.row_number().over(Window.partitionBy(*key).orderBy(value))
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"), n.alias("_n"), r.alias("_r"))
+    up = lambda k: F.pow(k / F.col("_n"), F.lit(size))
+    rows = rows.withColumns({"_b": up(F.col("_r")) - up(F.col("_r") - 1), "_w": up(F.col("_n") - F.col("_r") + 1) - up(F.col("_n") - F.col("_r"))})
+    sums = rows.groupBy(*key).agg(
+        F.sum(F.col("_b") * F.col("_v")).alias("best"), F.sum(F.col("_b") * F.col("_v") * F.col("_v")).alias("_bb"), F.sum(F.col("_w") * F.col("_v")).alias("worst"),
+        F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("_ww"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("_s"),
+    )
+    std = lambda second, first: F.sqrt(F.greatest(F.col(second) - F.col(first) * F.col(first), F.lit(0.0)))
+    return sums.select(*key, "best", std("_bb", "best").alias("best_std"), "worst", std("_ww", "worst").alias("worst_std"), "mean", (F.col("_s") / F.sqrt(F.lit(float(size)))).alias("mean_std"))
+
+
+def poisson_bootstrap(df: DataFrame, key: list[str], row: Column, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, mean, std): of the weighted means of `replicates` resamples, in each of which a row counts Poisson(1) times.
+
+    A row's counts follow from the hash of what tells it apart (`row`), the replicate and the seed, so that any partitioning gives the same. Each task
+    sums its rows by key and replicate; rows with a null value take no part.
+    """
+    ship(df.sparkSession)
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.xxhash64(row, F.lit(seed)).alias("_h"), F.col(value).cast("double").alias("_v"))
+    chance = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+
+    def weights(hashes: np.ndarray) -> np.ndarray:
+        x = hashes[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(chance, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            places = t.select(key).append_column("_i", pa.array(np.arange(len(t)))).group_by(key).aggregate([("_i", "list")])
+            hashes, values = t.column("_h").to_numpy().view(np.uint64), t.column("_v").to_numpy()
+            n, x = [], []
+            for i in places.column("_i_list").to_pylist():
+                parts = [(w.sum(axis=0), values[i[lo : lo + 4096]] @ w) for lo in range(0, len(i), 4096) for w in [weights(hashes[i[lo : lo + 4096]])]]
+                n.append(sum(p for p, _ in parts))
+                x.append(sum(p for _, p in parts))
+            yield from places.select(key).append_column("n", pa.array(n, pa.list_(pa.float64()))).append_column("x", pa.array(x, pa.list_(pa.float64()))).to_batches()
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    partial = rows.mapInArrow(run, f"{kinds}, n array<double>, x array<double>").select(*key, F.posexplode(F.arrays_zip("n", "x")).alias("r", "s"))
+    means = partial.groupBy(*key, "r").agg((F.sum("s.x") / F.nullif(F.sum("s.n"), F.lit(0.0))).alias("m"))
+    return means.groupBy(*key).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))

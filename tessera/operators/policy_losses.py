@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import with_position
+from tessera.operators.selection import first_n, number_of
 
 LOSSES: dict[str, Callable[..., Column]] = {}
 
@@ -58,22 +58,26 @@ def _covariance(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(all_)).withColumn("cov", (F.col("adv") - F.col("_a")) * (F.col("new") - F.col("_p"))).drop("_a", "_p")  # one row
 
 
+def _share(rows: DataFrame, share: float) -> int:
+    """So many of all tokens, one at least."""
+    return max(1, int(share * rows.count()))
+
+
 def clipped_by_covariance(rows: DataFrame, low: float, high: float, band: tuple[float, float], share: float, seed: str, key: str) -> DataFrame:
     """Adds loss: clipped ratios, less a seeded choice of at most share of the tokens whose covariance lies in the band."""
     plain = -F.col("adv") * F.col("ratio")
     clipped = -F.col("adv") * F.least(F.greatest("ratio", F.lit(1 - low)), F.lit(1 + high))
     rows = _covariance(rows).withColumn("_c", (F.col("cov") > band[0]) & (F.col("cov") < band[1]) & ~(clipped > plain))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("place").cast("string")))
-    ordered = with_position(rows.where("_c").withColumn("_o", order), ["_o", key, "place"], "_r")
-    out = ordered.where(F.col("_r") < F.greatest(F.lit(1), F.floor(share * F.col("_n")))).select(key, "place", F.lit(0.0).alias("_zero"))
+    found = first_n(rows.where("_c").withColumn("_o", order), [number_of(F.col("_o"))], _share(rows, share), ["_o", key, "place"])
+    out = found.select(key, "place", F.lit(0.0).alias("_zero"))
     return rows.join(out, [key, "place"], "left").withColumn("loss", F.coalesce("_zero", F.greatest(plain, clipped))).drop("_c", "_zero", "_n")
 
 
 def held_by_covariance(rows: DataFrame, share: float, weight: float, key: str) -> DataFrame:
     """Adds loss: plain ratios, and a divergence penalty on the share of tokens of greatest covariance."""
     rows = _covariance(rows)
-    ordered = with_position(rows.withColumn("_o", -F.col("cov")), ["_o", key, "place"], "_r")
-    top = ordered.where(F.col("_r") < F.greatest(F.lit(1), F.floor(share * F.col("_n")))).select(key, "place", F.lit(1.0).alias("_top"))
+    top = first_n(rows, [-F.col("cov")], _share(rows, share), [key, "place"]).select(key, "place", F.lit(1.0).alias("_top"))
     penalty = F.coalesce("_top", F.lit(0.0)) * weight * F.abs(F.col("new") - F.col("old"))
     return rows.join(top, [key, "place"], "left").withColumn("loss", -F.col("adv") * F.col("ratio") + penalty).drop("_top", "_n")
 
