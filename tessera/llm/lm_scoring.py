@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunks, discard, mixed, prepare, raw, signed, word_hashes, words_in, written
 
 BLOCK_BYTES = 8 << 20
-#: Children of a class, and the most slots and levels of a model, which bound what is sent to every executor (21 MB of weights, 12 MB of words).
-SIDE, MOST_SLOTS, MOST_DEPTH = 16, 1 << 16, 5
+#: Children of a class, and the most slots and levels of a model, which bound what is sent to every executor (7 MB of weights, and 40 MB of words at the greatest depth).
+SIDE, MOST_SLOTS, MOST_DEPTH = 20, 1 << 14, 5
 #: By the size of n-grams, how much shorter contexts weigh against counts (a, b); n-grams of a shard.
 PRIORS, SHARD = {2: (1.0, 0.8), 3: (0.5, 0.8)}, 1 << 22
 ROUNDS, STEP, FAN = 8, 0.3, 16
@@ -41,7 +41,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 def shape(tokens: int, types: int) -> tuple[int, int]:
     """Words of the vocabulary and slots for so many training tokens of so many kinds."""
-    return min(types, max(SIDE, round(types ** (2 / 3))), SIDE**MOST_DEPTH), min(MOST_SLOTS, 1 << max(10, tokens.bit_length() // 2 + 4))
+    return min(types, max(SIDE, round(types**0.6)), SIDE**MOST_DEPTH), min(MOST_SLOTS, 1 << max(10, tokens.bit_length() // 2 + 4))
 
 
 class Tokens:
