@@ -56,7 +56,7 @@ TEMPLATES: dict[str, Template] = {
         default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions.",
     ),
     "yi": Template("<|im_start|>user\n{content}<|im_end|>\n<|im_start|>assistant\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n"),
-    "zephyr": Template("<|user|>\n{content}</s>\n<|assistant|>\n", "{content}</s>\n", "<|system|>\n{content}</s>\n"),
+    "zephyr": Template("<|user|>\n{content}</s><|assistant|>\n", "{content}</s>", "<|system|>\n{content}</s>", default_system="You are Zephyr, a helpful assistant."),
 }
 
 

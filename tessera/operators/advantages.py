@@ -246,6 +246,12 @@ class AdaptiveKl:
         return self.value
 
 
+def adaptive_penalties(df: DataFrame, key: list[str], order: list[str], now: str, start: float, target: float, horizon: int, steps: int) -> DataFrame:
+    """Adds penalty: the coefficient of AdaptiveKl after each row, in order; its steps are factors, so that their logarithms add up."""
+    error = F.least(F.greatest(F.col(now) / target - 1, F.lit(-0.2)), F.lit(0.2))
+    return df.withColumn("penalty", start * F.exp(F.sum(F.log(1 + error * steps / horizon)).over(Window.partitionBy(*key).orderBy(*order))))
+
+
 def step_reward(process: Column, format_: Column, note: Column, w_process: float = 1.0, w_format: float = 0.1, w_note: float = 0.0, most: float = 1.0) -> Column:
     """Weighted process and format scores; with a weight for notes, a note score of zero voids the process score, and any other adds its weight."""
     cut = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(most))

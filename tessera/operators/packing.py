@@ -6,7 +6,7 @@ import bisect
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,6 +110,13 @@ def small_at_both_ends(costs: list[int]) -> list[int]:
     return order[::2] + order[1::2][::-1]
 
 
+def ends_first(df: DataFrame, group: list[str], cost: str, key: str, name: str = "at") -> DataFrame:
+    """Adds the place of each of a group's micro-batches in the order of small_at_both_ends()."""
+    r = F.row_number().over(Window.partitionBy(*group).orderBy(cost, key)) - 1
+    n = F.count("*").over(Window.partitionBy(*group))
+    return df.withColumn(name, F.when(r % 2 == 0, F.floor(r / 2)).otherwise(n - 1 - F.floor(r / 2)))
+
+
 def balanced_groups(df: DataFrame, key: str, group: str, length: str, batch: Column, k: int) -> DataFrame:
     """As balanced(), by workload, with all rows of a group in one part and as many groups in each part."""
     costs = df.groupBy(batch.cast("long").alias("batch"), group).agg(F.sum(workload(F.col(length))).cast("long").alias("cost"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def neighbours(times: Column, at: Column) -> Column:
@@ -49,17 +50,11 @@ def around(evidence: Column, t: Column, first: Column, last: Column, reach: int
 
 
 def complement(intervals: Column, start: Column, end: Column, slack: float = 1e-6) -> Column:
-    """What sorted, disjoint intervals leave of [start, end]."""
-    begin = F.struct(start.cast("double").alias("at"), F.array().cast("array<struct<start:double,end:double>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(
-            x["start"] > acc["at"] + slack, F.array(F.struct(acc["at"].alias("start"), x["start"].cast("double").alias("end"))),
-        ).otherwise(F.array().cast("array<struct<start:double,end:double>>"))
-        return F.struct(x["end"].cast("double").alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    closed = F.concat(intervals, F.array(F.struct(end.cast("double").alias("start"), end.cast("double").alias("end"))))
-    return F.aggregate(closed, begin, step, lambda a: a["out"])
+    """What sorted, disjoint intervals leave of [start, end]: the gaps between each and the one before, and at both ends."""
+    a, b = start.cast("double"), end.cast("double")
+    begins = F.concat(F.transform(intervals, lambda x: x["start"].cast("double")), F.array(b))
+    ends = F.concat(F.array(a), F.transform(intervals, lambda x: x["end"].cast("double")))
+    return F.filter(F.zip_with(ends, begins, lambda x, y: F.struct(x.alias("start"), y.alias("end"))), lambda g: g["end"] > g["start"] + slack)
 
 
 def within(t: Column, start: Column, end: Column, slack: float) -> Column:
@@ -76,16 +71,26 @@ def first_answer_in_time(steps: DataFrame, key: list[str], order: str, answer: s
     return first.select(*key, F.col("_f.answer").alias("answer"), hit.alias("in_time"))
 
 
+def item_kind(df: DataFrame, names: list[str]) -> StructType:
+    return StructType([df.schema[n] for n in names])
+
+
 def scores_written_back(rows: DataFrame, key: list[str], children: str, scores: DataFrame, index: str, values: list[str]) -> DataFrame:
     """Children of each row with the values of scores (key, index, values...), null where there is none."""
     fields = [f.name for f in rows.schema[children].dataType.elementType.fields]
-    lists = scores.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.struct(*values)))).alias("_s"))
+    item = F.struct(F.col(index).cast("int").alias("i"), F.struct(*values).alias("v"))
+    lists = scores.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    # scores by place: places without one are filled, so that each child finds its own at once
+    most, at = F.element_at("_l", -1)["i"], F.transform("_l", lambda x: x["i"])
+    lists = lists.withColumn("_l", F.when(F.size(F.array_distinct(at)) == F.size(at), F.col("_l")).otherwise(F.raise_error(F.lit("two scores for one child"))))
+    gaps = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), at), lambda i: F.struct(i.alias("i"), F.lit(None).cast(item_kind(scores, values)).alias("v")))
+    lists = lists.withColumn("_s", F.transform(F.filter(F.array_sort(F.concat("_l", gaps)), lambda x: x["i"] >= 0), lambda x: x["v"])).drop("_l")
     joined = rows.join(lists, key, "left")
     new = F.transform(
         children,
         lambda c, i: F.struct(
             *(c[f].alias(f) for f in fields if f not in values),
-            *(F.when(F.col("_s").isNotNull(), F.get(F.filter(F.map_entries("_s"), lambda e: e["key"] == i), F.lit(0))["value"][v]).alias(v) for v in values),
+            *(F.when(F.col("_s").isNotNull(), F.get("_s", i)[v]).alias(v) for v in values),
         ),
     )
     return joined.withColumn(children, new).drop("_s")

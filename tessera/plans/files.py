@@ -42,9 +42,13 @@ def strict_json_lines(t: Tables) -> DataFrame:
     return readers.strict_lines(t.spark, _text(t, lines, "strict"), _schema(t))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM part WHERE false")
+@query("SELECT count(*)::BIGINT AS n FROM part")
 def lines_of_a_missing_file(t: Tables) -> DataFrame:
-    return readers.lines_or_nothing(t.spark, _path(t, "missing") + ".jsonl", _schema(t)).agg(F.count("*").alias("n"))
+    """A file that is there and one that is not."""
+    path = _path(t, "there") + ".jsonl"
+    writers.lines(_parts(t), path)
+    both = [readers.lines_or_nothing(t.spark, p, _schema(t)) for p in (path, _path(t, "missing") + ".jsonl")]
+    return both[0].unionAll(both[1]).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey AS id, p_name AS name, NULL::VARCHAR AS bad FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT NULL, NULL, '{broken ' || p_partkey FROM part WHERE p_size % 5 = 0")
@@ -162,18 +166,21 @@ def summary_as_table(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(x, i) for i, x in enumerate(text.split("\n"))], "line string, at int")
 
 
-@query("SELECT 'exists' AS why UNION ALL SELECT 'reserved' UNION ALL SELECT 'safe'")
+@query("WITH k AS (SELECT DISTINCT event_type AS kind FROM events) SELECT kind, 'exists' AS why FROM k UNION ALL SELECT kind, 'reserved' FROM k UNION ALL SELECT kind, 'safe' FROM k")
 def outputs_that_are_refused(t: Tables) -> DataFrame:
+    """A folder for each kind of event: the folder itself, one below it where it is reserved, and a new one."""
     path = _path(t, "refused")
-    t.spark.range(1).write.parquet(path)
+    t.events.write.partitionBy("event_type").parquet(path)
     found = []
-    for p, reserved in ((path, []), (path + "/below", [path]), (path + "-new", [path])):
-        try:
-            folders.ensure_safe(t.spark, p, reserved)
-            found.append("safe")
-        except ValueError as e:
-            found.append("reserved" if "reserved" in str(e) else "exists")
-    return t.spark.createDataFrame([(x,) for x in found], "why string")
+    for f in folders.folders_of(t.spark, path):  # one for each kind
+        kind = f.rsplit("=", 1)[-1]
+        for p, reserved in ((f, []), (f + "/below", [f]), (f + "-new", [f])):
+            try:
+                folders.ensure_safe(t.spark, p, reserved)
+                found.append((kind, "safe"))
+            except ValueError as e:
+                found.append((kind, "reserved" if "reserved" in str(e) else "exists"))
+    return t.spark.createDataFrame(found, "kind string, why string")
 
 
 @query("SELECT user_id, event_id AS step, 'Step ' || event_id AS title, event_type FROM events")

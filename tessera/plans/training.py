@@ -71,7 +71,7 @@ def chat_templates(t: Tables) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT conv_id, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, string_agg(CASE WHEN i % 2 = 1 THEN '<|user|>' || chr(10) || text || '</s>' || chr(10) || '<|assistant|>' || chr(10) ELSE text || '</s>' || chr(10) END, '' ORDER BY turn) FILTER (i < n OR n % 2 = 1) AS source, max(CASE WHEN i = n AND n % 2 = 0 THEN text || '</s>' || chr(10) END) AS target FROM m GROUP BY conv_id
+SELECT conv_id, '<|system|>' || chr(10) || 'You are Zephyr, a helpful assistant.</s>' || string_agg(CASE WHEN i % 2 = 1 THEN '<|user|>' || chr(10) || text || '</s><|assistant|>' || chr(10) ELSE text || '</s>' END, '' ORDER BY turn) FILTER (i < n OR n % 2 = 1) AS source, max(CASE WHEN i = n AND n % 2 = 0 THEN text || '</s>' END) AS target FROM m GROUP BY conv_id
 """)
 def last_turns(t: Tables) -> DataFrame:
     return _messages(t).select("conv_id", H.one_turn(F.col("messages"), F.lit(None).cast("string"), "zephyr").alias("p")).select("conv_id", "p.source", "p.target")
@@ -373,13 +373,19 @@ def fresh_rows(t: Tables) -> DataFrame:
     return windows.in_step(t.events, "user_id", 149, 29).select("event_id")
 
 
-@query('SELECT j::INTEGER AS "at", micro::INTEGER AS micro FROM (VALUES (0, 3), (1, 2), (2, 0), (3, 4), (4, 1)) AS v(j, micro)')
+@query("""
+WITH m AS (SELECT doc_id // 50 AS batch, doc_id // 10 % 5 AS micro, sum(n_chars) AS cost FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY cost, micro) - 1 AS r, count(*) OVER (PARTITION BY batch) AS n FROM m)
+SELECT batch, micro, CASE WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - r // 2 END::BIGINT AS "at" FROM r
+""")
 def small_ends_order(t: Tables) -> DataFrame:
-    """Micro-batches of cost 9, 2, 5, 1 and 7: the cheapest at both ends."""
-    return t.spark.createDataFrame(list(enumerate(K.small_at_both_ends([9, 2, 5, 1, 7]))), "at int, micro int")
+    """Micro-batches of ten documents: of each batch of five, the cheapest at both ends."""
+    costs = t.documents.groupBy(F.floor(F.col("doc_id") / 50).alias("batch"), (F.floor(F.col("doc_id") / 10) % 5).alias("micro")).agg(F.sum("n_chars").alias("cost"))
+    return K.ends_first(costs, ["batch"], "cost", "micro").select("batch", "micro", "at")
 
 
-@query("SELECT round(0.2 * (1 + 0.2 * 256 / 1000.0), 9) AS up, round(0.2 * (1 - 0.2 * 256 / 1000.0), 9) AS down")
+@query("""
+SELECT event_id, round(0.2 * exp(sum(ln(1 + least(greatest(value / 20 - 1, -0.2), 0.2) * 64 / 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 9) AS penalty FROM events
+""")
 def adaptive_penalty(t: Tables) -> DataFrame:
-    up, down = A.AdaptiveKl(0.2, 1.0, 1000), A.AdaptiveKl(0.2, 1.0, 1000)
-    return t.spark.createDataFrame([(round(up.update(9.0, 256), 9), round(down.update(0.0, 256), 9))], "up double, down double")
+    """A coefficient for each user that follows a divergence of 20: values are divergences, 64 steps each."""
+    return A.adaptive_penalties(t.events, ["user_id"], ["ts", "event_id"], "value", 0.2, 20.0, 1000, 64).select("event_id", F.round("penalty", 9).alias("penalty"))

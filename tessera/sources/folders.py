@@ -15,6 +15,13 @@ from tessera.sources.ranges import listed, readable
 from tessera.sources.readers import FORMATS, load, suffix
 
 
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """Folders of a folder, in order; hidden ones don't count."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [str(s.getPath()) for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory()]
+    return sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith((".", "_")))
+
+
 def load_folder(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """All files of a folder, which must be of one kind: arrow, csv, json, jsonl, parquet, orc or txt."""
     files = listed(spark, path)
