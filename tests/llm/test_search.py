@@ -44,6 +44,32 @@ def test_decontamination_finds_every_shared_window(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == decontamination.brute(docs, its)
 
 
+def test_decontamination_of_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([("gsm-1", "two"), ("gsm-10", "one"), (None, "one")], "item_id string, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontamination.digest(*decontamination.decontaminate(docs, items)).collect()}
+    assert got == decontamination.brute([(1, "one two"), (2, "nothing")], [("gsm-1", "two"), ("gsm-10", "one")])
+    assert {r.item_id for r in decontamination.decontaminate(docs, items)[1].collect() if r.item_id} == {"gsm-1", "gsm-10"}
+
+
+def test_decontamination_of_a_long_text_that_is_all_hits(spark):
+    """Twice the words take less than three times the time, after a first run."""
+    import time
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60000)]
+
+    def took(n):
+        text, began = " ".join(words[:n]), time.perf_counter()
+        r = decontamination.digest(*decontamination.decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, text)], "item_id long, text string"))).first()
+        assert r.n_words == r.n_hit == n and r.n_items == 1
+        return time.perf_counter() - began
+
+    took(1000)
+    short, long = took(30000), took(60000)
+    assert long < 3 * short
+
+
 @pytest.mark.parametrize(("block", "tile"), [(4096, 4096), (3, 7)])
 def test_top_k(spark, monkeypatch, block, tile):
     monkeypatch.setattr(topk, "BLOCK", block)
