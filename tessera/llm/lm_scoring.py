@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, discard, mixed, prepare, raw, signed, word_hashes, words_in, written
+from tessera.operators.selection import first_n
 
 BLOCK_BYTES = 8 << 20
 #: Children of a class, and the most slots and levels of a model, which bound what is sent to every executor (7 MB of weights, and 40 MB of words at the greatest depth).
@@ -189,7 +190,8 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     spark = texts.sparkSession
     totals = counts.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     words, slots = shape(*totals)
-    most = counts.where("count > 0").orderBy(F.desc("count"), "token").limit(words).toArrow()  # a model's vocabulary
+    seen = counts.where("count > 0")
+    most = first_n(seen, [-F.col("count"), F.col("token")], words, ["token"]).select("token", "count").toArrow()  # a model's vocabulary, which an exact selection finds
     tokens = most.column("token").to_numpy().view(np.uint64)
     model = Model(tokens, most.column("count").to_numpy().astype(float), float(totals[0]), words, slots)
     for i in range(ROUNDS if len(tokens) else 0):
