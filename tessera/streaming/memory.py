@@ -215,7 +215,7 @@ def live(steps: DataFrame, policy: str = "full", shown: bool = True, window: flo
     """The same on a stream: state survives between micro-batches. Steps of a video come in order, or within one micro-batch in any.
 
     idle: milliseconds after which a video without steps is forgotten, by the clock, or by event time if `time` names the watermarked column.
-    ttl: milliseconds that state lives after it was written (by the clock).
+    ttl: milliseconds that state lives after it was written (by the clock). Where either goes by the clock, batches go on without data, so that the stream needs a trigger that does not wait for its end.
     """
     spark = steps.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -138,16 +138,29 @@ def test_live_memory_forgets_idle_videos(spark, tmp_path):
     ship(spark)
     schema = spark.createDataFrame([], STEP).schema
 
-    def run(part, k):
-        spark.createDataFrame(part, STEP).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
-        stream = windows.stream_of(spark, str(tmp_path / "in"), schema).drop("part")
-        windows.drained(memory.live(stream, idle=500), str(tmp_path / "out"), str(tmp_path / "check"))
-
-    run(rows[:2], 0)
-    time.sleep(1)
-    run([(9, *rows[0][1:])], 1)  # another video: the first one's timer expires
-    time.sleep(1)
-    run(rows[2:], 2)
+    (tmp_path / "in").mkdir()
+    stream = windows.stream_of(spark, str(tmp_path / "in" / "part=*"), schema).drop("part")
+    spark.createDataFrame(rows[:2], STEP).coalesce(1).write.parquet(str(tmp_path / "in" / "part=0"))
+    live = memory.live(stream, idle=500).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="200 milliseconds").start()
+    def written(n):
+        end = time.time() + 20
+        while time.time() < end:
+            try:
+                if spark.read.schema(memory.STEPS).parquet(str(tmp_path / "out")).count() >= n:
+                    return
+            except Exception:  # nothing is written yet
+                pass
+            time.sleep(0.5)
+        raise AssertionError(f"{n} rows did not come")
+
+    try:
+        written(2)
+        for k, (part, n) in enumerate([([(9, *rows[0][1:])], 3), (rows[2:], 5)], start=1):  # another video, then the first one again: its timer has expired
+            time.sleep(2)
+            spark.createDataFrame(part, STEP).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+            written(n)
+    finally:
+        live.stop()
     got = {(r.video_id, r.step_index): r.n_notes + r.n_bridges for r in spark.read.schema(memory.STEPS).parquet(str(tmp_path / "out")).collect()}
     anew = {r.step_index: r.n_notes + r.n_bridges for r in memory.replay(spark.createDataFrame(rows[2:], STEP)).collect()}
     assert got[0, 2] == anew[2] and got[0, 3] == anew[3] and len(got) == 5
