@@ -50,16 +50,17 @@ def unpadded(df: DataFrame) -> DataFrame:
     return df.where(~F.col("padding")).drop("padding")
 
 
-def dealt(df: DataFrame, place: str, workers: int) -> DataFrame:
-    """Adds worker: runs of places of equal length; a number of rows that doesn't divide fails the job."""
-    size = df.agg((F.count("*") / workers).alias("_size"), (F.count("*") % workers).alias("_rest"))
-    even = F.when(F.col("_rest") == 0, F.floor(F.col(place) / F.col("_size"))).otherwise(F.raise_error(f"rows don't divide among {workers} workers"))
+def dealt(df: DataFrame, place: str, workers: int, rest: bool = False) -> DataFrame:
+    """Adds worker: runs of places of equal length; a number of rows that doesn't divide fails the job. rest: such rows go on to further runs of that length (no length, no worker)."""
+    size = df.agg(F.floor(F.count("*") / workers).alias("_size"), (F.count("*") % workers).alias("_rest"))
+    run = F.floor(F.col(place) / F.nullif(F.col("_size"), F.lit(0)))
+    even = run if rest else F.when(F.col("_rest") == 0, run).otherwise(F.raise_error(f"rows don't divide among {workers} workers"))
     return df.crossJoin(F.broadcast(size)).withColumn("worker", even.cast("int")).drop("_size", "_rest")  # one row
 
 
-def worked(df: DataFrame, place: str, workers: int, work, schema: str) -> DataFrame:
+def worked(df: DataFrame, place: str, workers: int, work, schema: str, rest: bool = False) -> DataFrame:
     """The parts of dealt() through work (a function of a pandas frame that keeps rows and their places), collected in the old order."""
-    parts = dealt(df, place, workers)
+    parts = dealt(df, place, workers, rest)
     return parts.groupBy("worker").applyInPandas(lambda pdf: work(pdf.sort_values(place).reset_index(drop=True)), schema)
 
 

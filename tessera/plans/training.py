@@ -232,7 +232,7 @@ def dealt_to_workers(t: Tables) -> DataFrame:
     def work(pdf):
         return pdf.assign(label=pdf.label + 1)
 
-    return B.worked(rows, "vec_id", 4, work, "vec_id long, label int, worker int")
+    return B.worked(rows, "vec_id", 4, work, "vec_id long, label int, worker int", rest=True)
 
 
 @query('SELECT event_id, (i // 300)::INTEGER AS batch, (i % 300)::INTEGER AS "at" FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i >= 600')
