@@ -42,9 +42,9 @@ def packed(df: DataFrame, key: str, length: str, batch: Column, capacity: int) -
     return rows.groupBy("batch").applyInPandas(one, f"batch long, pack int, place int, {key} {kind}, {length} long, offset long")
 
 
-def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """k parts of nearly equal sums by largest differencing; equal: of equal sizes too (the number must divide)."""
-    if equal and len(lengths) % k:
+def karmarkar_karp(lengths: list[int], k: int, equal: bool = False, rest: bool = False) -> list[list[int]]:
+    """k parts of nearly equal sums by largest differencing; equal: of equal sizes too (the number must divide; with rest it need not, and sizes differ by one at most)."""
+    if equal and not rest and len(lengths) % k:
         raise ValueError("the number of items must be a multiple of the parts")
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
     heap: list[tuple] = []
@@ -64,9 +64,9 @@ def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[list
     return [sorted(p) for _, p in heap[0][2]] if heap else [[] for _ in range(k)]
 
 
-def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """k parts: each item, in order, joins the part of the least sum so far, the first of those that tie; equal: of the fewest items first (the number must divide)."""
-    if equal and len(lengths) % k:
+def greedy(lengths: list[int], k: int, equal: bool = False, rest: bool = False) -> list[list[int]]:
+    """k parts: each item, in order, joins the part of the least sum so far, the first of those that tie; equal: of the fewest items first (the number must divide; with rest it need not)."""
+    if equal and not rest and len(lengths) % k:
         raise ValueError("the number of items must be a multiple of the parts")
     parts: list[list[int]] = [[] for _ in range(k)]
     heap = [(0, 0, j) for j in range(k)]
@@ -86,13 +86,13 @@ def workload(length: Column) -> Column:
     return F.lit(24576) * length + length * length
 
 
-def balanced(df: DataFrame, key: str, length: str, batch: Column, k: int, method: str = "differencing", equal: bool = False) -> DataFrame:
-    """(batch, key, part): each batch cut into k parts of nearly equal sums, in the order of keys; equal: of equal sizes too."""
+def balanced(df: DataFrame, key: str, length: str, batch: Column, k: int, method: str = "differencing", equal: bool = False, rest: bool = False) -> DataFrame:
+    """(batch, key, part): each batch cut into k parts of nearly equal sums, in the order of keys; equal: of equal sizes too; rest: as far as the batch's size divides."""
     kind, cut = df.schema[key].dataType.simpleString(), METHODS[method]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        parts = cut(pdf[length].tolist(), k, equal)
+        parts = cut(pdf[length].tolist(), k, equal, rest)
         return pd.DataFrame([(pdf.batch[0], pdf[key][i], p) for p, items in enumerate(parts) for i in items], columns=["batch", key, "part"])
 
     rows = df.select(batch.cast("long").alias("batch"), key, F.col(length).cast("long").alias(length))

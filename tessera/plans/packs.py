@@ -61,4 +61,4 @@ def greedy_parts(t: Tables) -> DataFrame:
 @query(PARTS.format(bias="100000000"))
 def greedy_parts_of_equal_size(t: Tables) -> DataFrame:
     ship(t.spark)
-    return P.balanced(t.documents, "doc_id", "n_chars", F.floor(F.col("doc_id") / 40), 4, "greedy", equal=True)
+    return P.balanced(t.documents, "doc_id", "n_chars", F.floor(F.col("doc_id") / 40), 4, "greedy", equal=True, rest=True)

@@ -31,3 +31,8 @@ def held(spark, tmp_path):
 @pytest.mark.parametrize("n", [7, 8, 10, 402])
 def test_rows_that_do_not_divide_among_workers(held, n):
     assert len(held("dealt_to_workers", embeddings=f"SELECT i AS vec_id, (i % 5)::INTEGER AS label FROM range({n}) AS r(i)")) == n
+
+
+@pytest.mark.parametrize("n", [82, 83, 121, 3])
+def test_last_batches_that_do_not_divide_into_parts(held, n):
+    assert len(held("greedy_parts_of_equal_size", documents=f"SELECT i AS doc_id, (i * 7919) % 1013 AS n_chars FROM range({n}) AS r(i)")) == n
