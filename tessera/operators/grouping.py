@@ -62,7 +62,7 @@ def two_branches(df: DataFrame, key: str, branches: list[tuple[str, str]]) -> Da
     return df.select(key, F.inline(items)).where("item is not null").select(key, "branch", "item.*")
 
 
-def first_accepted(df: DataFrame, video: str, order: list[str], accepted: Column) -> DataFrame:
+def first_accepted(df: DataFrame, video: str, order: list, accepted: Column) -> DataFrame:
     """The first accepted row of each video, numbered by input order (id)."""
     w = Window.partitionBy(video).orderBy(*order)
     return df.where(accepted).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -36,3 +36,8 @@ def test_rows_that_do_not_divide_among_workers(held, n):
 @pytest.mark.parametrize("n", [82, 83, 121, 3])
 def test_last_batches_that_do_not_divide_into_parts(held, n):
     assert len(held("greedy_parts_of_equal_size", documents=f"SELECT i AS doc_id, (i * 7919) % 1013 AS n_chars FROM range({n}) AS r(i)")) == n
+
+
+def test_first_accepted_lines_of_parts_beyond_a_million(held):
+    lines = "SELECT i // 4 AS l_orderkey, ((i * 7919 + 13) * 104729) % 1200007 AS l_partkey, (1 + i % 3)::INTEGER AS l_linenumber, (20 + i % 31)::DOUBLE AS l_quantity FROM range(4000) AS r(i)"
+    assert len(held("first_accepted_per_video", lineitem=lines)) > 900
