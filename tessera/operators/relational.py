@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.storage import settled
 
+#: Rows that one task sorts, where their number is counted first.
+TASK_ROWS = 1 << 19
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks among which df is dealt so that each has some `rows` rows, however many there are; no fewer than the session's. Counts df."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
 
 def pending(samples: DataFrame, completed: DataFrame, key: list[str], expected: int = 1) -> DataFrame:
     """Samples whose key isn't completed `expected` times."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rounding as R
 from tessera.functions import text as T
 from tessera.operators import annotations as A
+from tessera.operators.relational import tasks_for
 from tessera.registry import Tables, query, seconds
 
 #: DuckDB: one row for each answer, with its video.
@@ -91,7 +92,8 @@ def nest_and_flatten_events(t: Tables) -> DataFrame:
 SELECT video_id, time, gt, part FROM d WHERE r = 1
 """)
 def dedupe_events_keep_first(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.orders.select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    dealt = t.lineitem.repartition(tasks_for(t.lineitem), "l_orderkey")  # one exchange serves the join and the keys
+    lines = dealt.join(t.orders.select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = lines.select(
         F.col("l_orderkey").alias("video_id"), R.to_fps(F.col("l_quantity") * F.col("l_linenumber") * 0.8, F.lit(2.0)).alias("time"),
         F.col("l_linestatus").alias("gt"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tessera.catalog import ORACLES, QUERIES
+from tessera.operators.relational import TASK_ROWS
 from tests.test_queries import plain
 
 
@@ -41,3 +42,14 @@ def test_last_batches_that_do_not_divide_into_parts(held, n):
 def test_first_accepted_lines_of_parts_beyond_a_million(held):
     lines = "SELECT i // 4 AS l_orderkey, ((i * 7919 + 13) * 104729) % 1200007 AS l_partkey, (1 + i % 3)::INTEGER AS l_linenumber, (20 + i % 31)::DOUBLE AS l_quantity FROM range(4000) AS r(i)"
     assert len(held("first_accepted_per_video", lineitem=lines)) > 900
+
+
+def test_tasks_grow_with_the_lines_to_dedupe(spark, held, tmp_path):
+    tables = {
+        "lineitem": "SELECT i // 4 AS l_orderkey, i % 977 AS l_partkey, (1 + i % 3)::INTEGER AS l_linenumber, (20 + i % 31)::DOUBLE AS l_quantity, 'R' AS l_returnflag, 'F' AS l_linestatus FROM range({n}) AS r(i)",
+        "orders": "SELECT i AS o_orderkey, i % 1000 + 0.5 AS o_totalprice FROM range(900) AS r(i)",
+    }
+    held("dedupe_events_keep_first", **{t: sql.format(n=4000) for t, sql in tables.items()})
+    duckdb.execute(f"COPY ({tables['lineitem'].format(n=5 * TASK_ROWS)}) TO '{tmp_path}/lineitem.parquet'")
+    plan = QUERIES["dedupe_events_keep_first"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert ", 5), REPARTITION_BY_NUM" in plan
