@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ SPACES = r"(?U)\s+"
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it; for costly values, above all within lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -135,8 +141,8 @@ def natural_key(x: Column) -> Column:
 def interval(x: Column) -> Column:
     """struct(start, end) of "a-b" with a hyphen or an en dash; null unless start < end."""
     pattern = "^\\s*([0-9.]+)\\s*[-–]\\s*([0-9.]+)\\s*$"
-    a, b = (F.regexp_extract(x, pattern, i).try_cast("double") for i in (1, 2))
-    return F.when(a < b, F.struct(a.alias("start"), b.alias("end")))
+    ends = lambda v: F.struct(*(F.regexp_extract(v, pattern, i).try_cast("double").alias(n) for i, n in ((1, "start"), (2, "end"))))
+    return once(x, lambda v: once(ends(v), lambda i: F.when(i["start"] < i["end"], i)))
 
 
 def filled(template: str, **values: Column) -> Column:

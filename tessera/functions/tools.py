@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import stripped
+from tessera.functions.text import once, stripped
 
 # The marks and patterns of the dialects in this module.
 CALLS = "array<struct<name:string,arguments:string>>"
@@ -32,7 +32,7 @@ def _object(call: Column) -> Column:
 def _sound(calls: Column) -> Column:
     """The calls if there are some and all have a name and JSON arguments."""
     good = lambda c: c["name"].isNotNull() & (c["name"] != "") & F.coalesce(F.get_json_object(c["arguments"], "$").isNotNull(), F.lit(False))
-    return F.when((F.size(calls) > 0) & F.forall(calls, good), calls)
+    return once(calls, lambda c: F.when((F.size(c) > 0) & F.forall(c, good), c))
 
 
 def _of_objects(texts: Column) -> Column:
@@ -80,6 +80,10 @@ def _pairs(arguments: Column) -> Column:
 
 def _value(text: Column) -> Column:
     """A value as JSON: what is a number, list, object, true, false or null stays; other text gets quotes."""
+    return once(text, _value_of)
+
+
+def _value_of(text: Column) -> Column:
     plain = text.rlike(r"^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)$") | (
         text.rlike(r"(?s)^[\[{].*[\]}]$") & F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v").isNotNull(), F.lit(False))
     )
@@ -176,7 +180,7 @@ DIALECTS["python_list"] = Dialect(
 
 
 def _marked(calls: Column) -> Column:
-    text = lambda e: F.when(_value(e["value"]) == e["value"], e["value"]).otherwise(F.concat(F.lit('<|"|>'), e["value"], F.lit('<|"|>')))
+    text = lambda e: F.when(_value_of(e["value"]) == e["value"], e["value"]).otherwise(F.concat(F.lit('<|"|>'), e["value"], F.lit('<|"|>')))
     return F.array_join(
         F.transform(
             calls,
