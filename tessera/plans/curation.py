@@ -181,7 +181,7 @@ SELECT p_partkey, 'Action: find' || chr(10) || 'Action Input: {"size":' || p_siz
 def tool_calls_round_trip(t: Tables) -> DataFrame:
     call = lambda name, key, c: F.struct(F.lit(name).alias("name"), F.concat(F.lit(f'{{"{key}":'), c.cast("string"), F.lit("}")).alias("arguments"))
     calls = F.array(call("find", "size", F.col("p_size")), call("show", "id", F.col("p_partkey")))
-    rows = t.part.select("p_partkey", calls.alias("calls"))
+    rows = t.part.repartition(J.tasks_for(t.part, 1 << 14), "p_partkey").select("p_partkey", calls.alias("calls"))  # few bytes, much work
     same = [F.coalesce(X.read(X.written(F.col("calls"), d), d) == F.col("calls"), F.lit(False)) for d in ("action", "tagged", "listed", "array")]  # these keep the arguments as they are
     n = F.size(F.filter(F.array(*same), lambda x: ~x))
     return rows.select("p_partkey", X.written(F.col("calls")).alias("text"), (F.size("calls") - n).cast("long").alias("n"))
