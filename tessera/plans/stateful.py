@@ -43,7 +43,8 @@ WITH e AS (SELECT event_id % 9 AS k, row_number() OVER (PARTITION BY user_id ORD
 SELECT code, count(*)::BIGINT AS n FROM c GROUP BY code
 """)
 def tagged_output_issues(t: Tables) -> DataFrame:
-    return tagged.parsed(raw_steps(t)).select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    codes = tagged.parsed(raw_steps(t)).select(F.explode_outer("issues").alias("code")).where("code is not null")  # of an inner one, a filter would find the issues a second time
+    return codes.groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("""
