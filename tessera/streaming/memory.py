@@ -5,6 +5,7 @@ replay() works on a batch table, grouped by video; live() keeps the same state b
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -139,12 +140,17 @@ def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFr
     The text of the memory is made only if shown.
     A group is one video's steps, whose number the video's length bounds.
     """
-    names = [c.split(" ")[0] for c in STEPS.split(", ")]
+    import pyarrow as pa
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(Memory(), pdf.itertuples(index=False), policy, shown), columns=names)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in STEPS.split(", "))])
+    row = namedtuple("row", steps.columns)
 
-    return steps.groupBy("video_id").applyInPandas(one, STEPS)
+    def one(table: pa.Table) -> pa.Table:
+        rows = map(row._make, zip(*(c.to_pylist() for c in table.itercolumns()), strict=True))
+        return pa.Table.from_pylist(_rows(Memory(), rows, policy, shown), schema)
+
+    return steps.groupBy("video_id").applyInArrow(one, STEPS)
 
 
 RECORD = "kind string, start double, end double, text string, seen boolean"

@@ -77,13 +77,13 @@ def recovered(df: DataFrame, raw: str = "raw") -> DataFrame:
     found = F.filter(F.transform(timed, lambda a: T.interval(F.regexp_extract(a, r'\bt\s*=\s*["\']([^"\']*)["\']', 1))), lambda i: i.isNotNull())
     mark = lambda e: F.struct(F.round(e["start"], 3).alias("a"), F.round(e["end"], 3).alias("b"))
     known = F.transform(F.filter("events", lambda e: e["kind"] == "note"), mark)
-    new = F.filter(
-        F.transform(
-            found,
-            lambda i, k: F.struct(i["start"].alias("start"), i["end"].alias("end"), (F.array_position(F.transform(found, mark), mark(i)) == k + 1).alias("first")),
-        ),
-        lambda i: i["first"] & ~F.array_contains(known, mark(i)),
-    )
+
+    def first_ones(i: Column) -> Column:
+        """Intervals, with their marks and those of known notes, that are the first of their mark and not known."""
+        each = F.transform(i["found"], lambda e, k: F.struct(e["start"].alias("start"), e["end"].alias("end"), (F.array_position(i["marks"], i["marks"][k]) == k + 1).alias("first"), i["marks"][k].alias("mark")))
+        return F.filter(each, lambda e: e["first"] & ~F.array_contains(i["known"], e["mark"]))
+
+    new = T.once(found, lambda f: T.once(F.struct(f.alias("found"), F.transform(f, mark).alias("marks"), known.alias("known")), first_ones))
     notes = F.transform(new, lambda i: F.struct(F.lit("note").alias("kind"), i["start"].alias("start"), i["end"].alias("end"), F.lit("").alias("text")))
     return df.withColumn("_new", notes).withColumns({"events": F.concat("events", "_new"), "n_recovered": F.size("_new")}).drop("_new")
 
