@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.registry import Tables, query, seconds
 from tessera.shipping import ship
-from tessera.storage import shared_dir
+from tessera.storage import settled, shared_dir
 from tessera.streaming import memory, tagged, windows
 
 
@@ -73,11 +73,12 @@ def memory_replay(t: Tables) -> DataFrame:
 @query("SELECT user_id AS video_id, count(*)::BIGINT AS n_steps, count(*)::BIGINT AS n_equal FROM events GROUP BY user_id")
 def live_memory(t: Tables) -> DataFrame:
     """The same steps as a stream of several micro-batches, against their replay."""
-    steps, top = _steps(t), f"{shared_dir(t.spark)}/tessera-live-{uuid.uuid4().hex}"
+    steps, top = settled(_steps(t)), f"{shared_dir(t.spark)}/tessera-live-{uuid.uuid4().hex}"  # parsed once for the five parts and the replay
     part = F.least(F.floor(F.col("step_index") / 16), F.lit(4))
+    files = max(1, steps.rdd.getNumPartitions())
     for k in range(5):  # files of later steps are written later, and read later
         steps.where(part == k).write.parquet(f"{top}/in/part={k}")
-    stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=8)
+    stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=max(8, files))  # as many batches of large tables as of small ones
     windows.drained(memory.live(stream.drop("part"), shown=False), f"{top}/out", f"{top}/state")
     got, want = t.spark.read.schema(memory.STEPS).parquet(f"{top}/out"), memory.replay(steps, shown=False)
     same = F.lit(True)
