@@ -106,8 +106,8 @@ def json_array_in_chunks(t: Tables) -> DataFrame:
     lines = t.documents.select(F.to_json(F.struct("doc_id", "text", "lang")).alias("value"))
     first = lines.limit(0).unionAll(t.spark.range(1).select(F.lit('{"version": {"data": [1]}, "samples": [').alias("value")))
     rows = first.unionAll(lines.select(F.concat("value", F.lit(",")).alias("value"))).unionAll(t.spark.range(1).select(F.lit('{"doc_id": null}]}').alias("value")))
-    path = _text(t, rows.coalesce(1), "array")  # one document is one file
-    found = readers.wrapped(t.spark, path, _schema(t, "doc_id bigint, text string, lang string"), chunk=99_991)
+    path = _text(t, rows, "array")  # one document, written by many tasks: its files follow each other
+    found = readers.wrapped(t.spark, path, _schema(t, "doc_id bigint, text string, lang string"), chunk=99_991, joined=True)
     return found.where("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang")
 
 

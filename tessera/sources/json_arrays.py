@@ -21,6 +21,10 @@ from tessera.sources.ranges import cut, listed, size_of
 CHUNK = 8 << 20
 QUOTE, BACKSLASH, COMMA = b'"'[0], b"\\"[0], b","[0]
 OPENS, CLOSES = np.frombuffer(b"[{", np.uint8), np.frombuffer(b"]}", np.uint8)
+#: By byte: whether it is a bracket or a comma, and how it changes the depth.
+MARKS, STEPS = np.zeros(256, bool), np.zeros(256, np.int8)
+MARKS[[COMMA, *OPENS, *CLOSES]] = True
+STEPS[OPENS], STEPS[CLOSES] = 1, -1
 #: Bytes before a list in which its name must stand, and bytes that are read on at once.
 NAME_BYTES, AHEAD = 1 << 12, 1 << 20
 MOST_TASKS = 4096
@@ -28,20 +32,32 @@ MOST_TASKS = 4096
 
 @dataclass(frozen=True)
 class Chunk:
-    """A stretch of a file, and how it begins: within a string or not, so many brackets deep."""
+    """A stretch of a file, and how it begins: within a string or not, so many brackets deep. parts: the files (and sizes) that make up a document of several."""
 
     file: str
     start: int
     end: int
     inside: bool = False
     depth: int = 0
+    parts: tuple[tuple[str, int], ...] = ()
 
+    def cut(self, start: int, end: int) -> bytes:
+        """Bytes of the document, wherever its files end."""
+        if not self.parts:
+            return cut(self.file, start, end)
+        out, at = [], 0
+        for name, size in self.parts:
+            if start < at + size and at < end:
+                out.append(cut(name, max(0, start - at), min(size, end - at)))
+            at += size
+        return b"".join(out)
 
-def _backslashes(file: str, at: int) -> int:
+
+def _backslashes(c: Chunk, at: int) -> int:
     """How many end right before a place."""
     n, step = 0, 256
     while at - n > 0:
-        part = cut(file, max(0, at - n - step), at - n)
+        part = c.cut(max(0, at - n - step), at - n)
         run = len(part) - len(part.rstrip(b"\\"))
         n += run
         if run < len(part):
@@ -50,41 +66,40 @@ def _backslashes(file: str, at: int) -> int:
 
 
 def _quotes(data: np.ndarray, before: int) -> np.ndarray:
-    """Whether each byte is a quote that no backslash escapes; before: backslashes right before the data."""
-    at = np.flatnonzero(data == QUOTE)
-    if not len(at):
-        return np.zeros(len(data), bool)
-    other = np.flatnonzero(data != BACKSLASH)
-    last = np.searchsorted(other, at) - 1  # the last byte before a quote that is no backslash
-    run = np.where(last >= 0, at - 1 - other[np.maximum(last, 0)], at + before)
-    out = np.zeros(len(data), bool)
-    out[at[run % 2 == 0]] = True
-    return out
+    """Places of quotes that no backslash escapes; before: backslashes right before the data. Memory goes by the marks, not by the bytes."""
+    at, slashes = np.flatnonzero(data == QUOTE), np.flatnonzero(data == BACKSLASH)
+    run = np.where(at == 0, before, 0)
+    if len(at) and len(slashes):
+        new = np.r_[True, np.diff(slashes) > 1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of each backslash: where its run begins
+        length = np.arange(len(slashes)) - first + 1 + np.where(slashes[first] == 0, before, 0)
+        k = np.searchsorted(slashes, at) - 1
+        run = np.where((k >= 0) & (slashes[np.maximum(k, 0)] == at - 1), length[np.maximum(k, 0)], run)
+    return at[run % 2 == 0]
 
 
 def structure(data: bytes, before: int, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, bytes and depths after them of all brackets and commas outside strings."""
     b = np.frombuffer(data, np.uint8)
-    within = (np.cumsum(_quotes(b, before)) + inside) % 2 == 1
-    step = np.isin(b, OPENS).astype(np.int64) - np.isin(b, CLOSES)
-    at = np.flatnonzero(((step != 0) | (b == COMMA)) & ~within)
-    return at, b[at], depth + np.cumsum(step[at])
+    at = np.flatnonzero(MARKS[b])
+    at = at[(np.searchsorted(_quotes(b, before), at) + inside) % 2 == 0]
+    return at, b[at], depth + np.cumsum(STEPS[b[at]], dtype=np.int64)
 
 
 def _effect(c: Chunk) -> dict:
-    data, before = cut(c.file, c.start, c.end), _backslashes(c.file, c.start)
+    data, before = c.cut(c.start, c.end), _backslashes(c, c.start)
     ends = [structure(data, before, inside, 0)[2] for inside in (False, True)]
-    return {"file": c.file, "start": c.start, "odd": bool(_quotes(np.frombuffer(data, np.uint8), before).sum() % 2), "outside": int(ends[0][-1]) if len(ends[0]) else 0, "within": int(ends[1][-1]) if len(ends[1]) else 0}
+    return {"file": c.file, "start": c.start, "odd": bool(len(_quotes(np.frombuffer(data, np.uint8), before)) % 2), "outside": int(ends[0][-1]) if len(ends[0]) else 0, "within": int(ends[1][-1]) if len(ends[1]) else 0}
 
 
 def _lists(c: Chunk, names: tuple[str, ...]) -> list[dict]:
     """Where a document's own list, or one under a name in its object, begins or ends in this chunk; rank: which name."""
-    data = cut(c.file, c.start, c.end)
-    at, byte, depth = structure(data, _backslashes(c.file, c.start), c.inside, c.depth)
+    data = c.cut(c.start, c.end)
+    at, byte, depth = structure(data, _backslashes(c, c.start), c.inside, c.depth)
     out = [{"file": c.file, "at": c.start + int(i), "depth": int(d), "opens": False, "rank": -1} for i, x, d in zip(at, byte, depth, strict=True) if x == CLOSES[0] and d <= 1]
     for i, x, d in zip(at.tolist(), byte.tolist(), depth.tolist(), strict=True):
         if x == OPENS[0] and d <= 2:
-            held = (cut(c.file, max(0, c.start - NAME_BYTES), c.start) + data[:i])[-NAME_BYTES:].rstrip()
+            held = (c.cut(max(0, c.start - NAME_BYTES), c.start) + data[:i])[-NAME_BYTES:].rstrip()
             rank = next((r for r, n in enumerate(names) if d == 2 and held.endswith(b":") and held[:-1].rstrip().endswith(b'"' + n.encode() + b'"')), -1 if d == 2 else 0)
             if rank >= 0:
                 out.append({"file": c.file, "at": c.start + i, "depth": d, "opens": True, "rank": rank})
@@ -93,20 +108,20 @@ def _lists(c: Chunk, names: tuple[str, ...]) -> list[dict]:
 
 def _rows(c: Chunk, begin: int, end: int, depth: int) -> Iterator[str]:
     """Elements, of the list between begin and end at a depth, whose separator (or the list's bracket) lies in this chunk."""
-    data, before = cut(c.file, c.start, min(c.end, end + 1)), _backslashes(c.file, c.start)
+    data, before = c.cut(c.start, min(c.end, end + 1)), _backslashes(c, c.start)
     at, byte, d = structure(data, before, c.inside, c.depth)
     marks = at[((byte == COMMA) & (d == depth) | (c.start + at == begin)) & (c.start + at >= begin) & (c.start + at < end)]
     if not len(marks):
         return
-    stop = None
+    stop, ahead = None, min(AHEAD, max(1 << 12, (c.end - c.start) // 4))
     while stop is None:  # the last element may go on beyond the chunk
         after = at[(at > marks[-1]) & (((byte == COMMA) & (d == depth)) | ((byte == CLOSES[0]) & (d == depth - 1)))]
         if len(after):
             stop = int(after[0])
-        elif c.start + len(data) > end or not (more := cut(c.file, c.start + len(data), c.start + len(data) + AHEAD)):
+        elif c.start + len(data) > end or not (more := c.cut(c.start + len(data), c.start + len(data) + ahead)):
             raise ValueError(f"{c.file}: a list does not end")
         else:
-            data += more
+            data, ahead = data + more, min(AHEAD, 2 * ahead)
             at, byte, d = structure(data, before, c.inside, c.depth)
     for lo, hi in zip(marks.tolist(), [*marks[1:].tolist(), stop], strict=True):
         text = data[lo + 1 : hi].decode("utf-8", "replace").strip()
@@ -129,17 +144,23 @@ def _each(spark: SparkSession, chunks: list[tuple], work, schema: str) -> DataFr
     return numbered.mapInArrow(run, schema)
 
 
-def json_texts(spark: SparkSession, path: str, names: tuple[str, ...] = ("data", "annotations", "samples"), chunk: int = CHUNK) -> DataFrame:
-    """(value): the rows, as JSON texts, of files that are a list of rows, or an object that holds one under one of the names (the first of them that is there)."""
+def json_texts(spark: SparkSession, path: str, names: tuple[str, ...] = ("data", "annotations", "samples"), chunk: int = CHUNK, joined: bool = False) -> DataFrame:
+    """(value): the rows, as JSON texts, of files that are a list of rows, or an object that holds one under one of the names (the first of them that is there).
+
+    joined: a folder's files, one after another by name, are one document; so tasks can write it side by side.
+    """
     ship(spark)
-    sizes = {f: size_of(f) for f in listed(spark, path)}
-    cuts = [Chunk(f, lo, min(lo + chunk, n)) for f, n in sizes.items() for lo in range(0, n, chunk)]
+    sizes, parts = {f: size_of(f) for f in listed(spark, path)}, ()
+    if joined:
+        parts = tuple(sizes.items())
+        sizes = {path: sum(sizes.values())}
+    cuts = [Chunk(f, lo, min(lo + chunk, n), parts=parts) for f, n in sizes.items() for lo in range(0, n, chunk)]
     found = {(r.file, r.start): r for r in _each(spark, [(c,) for c in cuts], lambda c: [_effect(c)], "file string, start long, odd boolean, outside long, within long").collect()}  # a row a chunk
     begun, file, inside, depth = [], None, False, 0
     for c in cuts:
         if c.file != file:
             file, inside, depth = c.file, False, 0
-        begun.append(Chunk(c.file, c.start, c.end, inside, depth))
+        begun.append(Chunk(c.file, c.start, c.end, inside, depth, c.parts))
         r = found[c.file, c.start]
         inside, depth = inside != r.odd, depth + (r.within if inside else r.outside)
     marks = _each(spark, [(c, names) for c in begun], _lists, "file string, at long, depth long, opens boolean, rank long").collect()  # lists of a document's top levels

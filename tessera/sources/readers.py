@@ -40,14 +40,17 @@ def lines_or_nothing(spark: SparkSession, path: str, schema: StructType) -> Data
     return strict_lines(spark, path, schema) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def wrapped(spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] = ("data", "annotations", "samples"), chunk: int = CHUNK) -> DataFrame:
+def wrapped(spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] = ("data", "annotations", "samples"), chunk: int = CHUNK, joined: bool = False) -> DataFrame:
     """JSON files that are a list of rows, or an object that holds one under one of the names; read in chunks by many tasks.
 
-    Where tasks can't open the path themselves, each file is one task's.
+    joined: the files of a folder are parts of one document. Where tasks can't open the path themselves, each document is one task's.
     """
     if readable(path):
-        return parsed(json_texts(spark, path, names, chunk), F.from_json("value", schema))
+        return parsed(json_texts(spark, path, names, chunk, joined), F.from_json("value", schema))
     rows = spark.read.option("wholetext", True).text(path)
+    if joined:
+        files = rows.select(F.struct(F.input_file_name().alias("name"), "value").alias("f"))
+        rows = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["value"]), "").alias("value"))
     kind = ArrayType(schema)
     listed = F.from_json("value", kind)
     held = [F.from_json(F.get_json_object("value", f"$.{n}"), kind) for n in names]
