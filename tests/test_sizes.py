@@ -1,10 +1,14 @@
 """Queries on tables of other sizes and values than the given ones, against their SQL in DuckDB."""
 
+import json
+import tracemalloc
+
 import duckdb
 import pytest
 
 from tessera.catalog import ORACLES, QUERIES
 from tessera.operators.relational import TASK_ROWS
+from tessera.sources import json_arrays
 from tests.test_queries import plain
 
 
@@ -53,3 +57,31 @@ def test_tasks_grow_with_the_lines_to_dedupe(spark, held, tmp_path):
     duckdb.execute(f"COPY ({tables['lineitem'].format(n=5 * TASK_ROWS)}) TO '{tmp_path}/lineitem.parquet'")
     plan = QUERIES["dedupe_events_keep_first"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert ", 5), REPARTITION_BY_NUM" in plan
+
+
+def test_one_document_of_several_files(spark, tmp_path):
+    text = json.dumps({"version": {"data": [1]}, "samples": [{"a": '\\" ]}, [' * 3, "b": i} for i in range(40)]}).encode()
+    for i, cut in enumerate(range(0, len(text), 97)):
+        (tmp_path / f"part-{i:05}").write_bytes(text[cut : cut + 97])
+    for chunk in (64, 1000, 1 << 20):
+        found = json_arrays.json_texts(spark, str(tmp_path), chunk=chunk, joined=True).collect()
+        assert sorted(json.loads(r.value)["b"] for r in found) == list(range(40))
+
+
+def test_memory_of_a_chunk():
+    data = json.dumps([{"id": i, "name": "x" * 40} for i in range(100_000)]).encode()
+    tracemalloc.start()
+    json_arrays.structure(data, 0, False, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(data)
+
+
+def test_issues_are_found_once(spark, small):
+    plan = QUERIES["tagged_output_issues"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text_outside_tags") == 1
+
+
+def test_exports_are_made_once(spark, small):
+    plan = QUERIES["records_round_trip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get" not in plan and "zip_with" not in plan
