@@ -188,7 +188,7 @@ def traces_of_runs(t: Tables) -> DataFrame:
     """Steps written as lines and as text: the title of each step's text beside its line."""
     path = _path(t, "trace")
     folders.trace(t.events.select("user_id", "event_id", "event_type"), path, "user_id", "event_id")
-    lines = t.spark.read.schema("event_id bigint, event_type string, user_id bigint").json(f"{path}/lines")
+    lines = folders.traced(t.spark, path, "user_id", "event_id bigint, event_type string, user_id bigint").drop(folders.WRITE)
     titles = t.spark.read.text(f"{path}/text").where(F.col("value").startswith("Step ")).select(F.col("value").alias("title"), F.substring("value", 6, 20).cast("long").alias("event_id"))
     return lines.join(titles, "event_id").select("user_id", F.col("event_id").alias("step"), "title", "event_type")
 

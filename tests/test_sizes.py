@@ -8,7 +8,7 @@ import pytest
 
 from tessera.catalog import ORACLES, QUERIES
 from tessera.operators.relational import TASK_ROWS
-from tessera.sources import json_arrays
+from tessera.sources import folders, json_arrays
 from tests.test_queries import plain
 
 
@@ -85,3 +85,13 @@ def test_issues_are_found_once(spark, small):
 def test_exports_are_made_once(spark, small):
     plan = QUERIES["records_round_trip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "try_variant_get" not in plan and "zip_with" not in plan
+
+
+def test_many_runs_share_files_and_the_last_write_counts(spark, tmp_path):
+    path = str(tmp_path / "trace")
+    rows = spark.range(600).selectExpr("id % 300 AS run", "id AS step", "'old' AS what")
+    folders.trace(rows, path, "run", "step")
+    folders.trace(rows.where("run < 2").selectExpr("run", "step + 1000 AS step", "'new' AS what"), path, "run", "step")
+    got = folders.traced(spark, path, "run", "run long, step long, what string").select("run", "step", "what").collect()
+    assert sorted(got) == sorted([(i % 300, i, "old") for i in range(600) if i % 300 > 1] + [(i % 300, i + 1000, "new") for i in range(600) if i % 300 < 2])
+    assert len(list((tmp_path / "trace" / "lines").rglob("*.json"))) < 20 and "what: new" in "".join(p.read_text() for p in (tmp_path / "trace" / "text").rglob("*.txt"))
