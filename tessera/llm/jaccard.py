@@ -4,7 +4,8 @@ Fingerprints of the sets within a few bits meet in the tries of operator 7 (simh
 group on the whole sets. No budget of bits finds all pairs of that similarity, so the rest is found by a prefix filter: in
 any one order of all shingles, two sets x and y of that similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles
 of x and of y. Only sets of different groups meet there, and none is left out; candidates are confirmed on the whole sets. The order is that of the
-hashes, with common shingles last: which are common is estimated from a sample, and changes the work but not the result.
+hashes, with common shingles last, the most common at the very end: which are common is estimated from a fixed share of the rows, so that the
+threshold does not rise with the table, and changes the work but not the result.
 Equal sets are one. In each of ROUNDS, all sets that share a shingle are compared with LEADERS of them only; at the end those that
 are still in different groups are with each other.
 
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm import simhash
 from tessera.llm.common import chunks, discard, mixed, prepare, raw, row_of, sent_side, texts_of, word_hashes, words_in, written
 from tessera.llm.components import components
+from tessera.operators.selection import first_n
 
-#: Texts of the sample, and in how many of them a common shingle is.
-SAMPLE_ROWS, COMMON = 4000, 8
+#: The sample, a share of the rows and so many at least; in how many of its texts a common shingle is; and the most shingles that are told to be common, which bounds what is sent.
+SHARE, SAMPLE_ROWS, COMMON, MOST_COMMON = 1 / 8, 4000, 3, 1 << 20
 #: Rounds with so many leading sets of each shingle before all pairs that are left.
 ROUNDS, LEADERS = 2, 4
 #: Words of 64 bits in a sketch: bit i is the parity of the set's shingles that fall on i, so that as many bits as differ, shingles differ at least.
@@ -68,14 +70,15 @@ def _lists(each: list[np.ndarray]) -> pa.ListArray:
 
 def _prefixes(size: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        common, times = sent.value
         for b in batches:
             sets, sizes, prints, parts, sketches, wide = [], [], [], [], [], []
             for tokens in shingle_sets(b.column("text"), size):
                 n = len(tokens)
                 if n and len(common):
-                    often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
-                    tokens_ = np.concatenate([tokens[~often], tokens[often]])
+                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+                    often = common[at] == tokens
+                    tokens_ = np.concatenate([tokens[~often], tokens[often][np.argsort(times[at[often]], kind="stable")]])
                 else:
                     tokens_ = tokens
                 sets.append(_digest(tokens))
@@ -144,10 +147,14 @@ def near_groups(docs: DataFrame, size: int = 5, bits: int = 3, key: str = "doc_i
     spark = docs.sparkSession
     prepare(spark)
     texts = texts_of(docs, key, text).select("doc_id", row_of(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    share = min(1.0, max(SHARE, SAMPLE_ROWS / max(docs.count(), 1)))
     some = texts.where(F.pmod("row", F.lit(1 << 20)) < int(share * (1 << 20))).select("text").mapInArrow(_tokens(size), "set long, tokens array<long>")
-    often = some.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON).select("token").collect()  # at most shingles of SAMPLE_ROWS texts
-    sent = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
+    often = written(some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= COMMON), "common")
+    most = first_n(often, [-F.col("times"), F.col("token")], MOST_COMMON, ["token"]).select("token", "times").toArrow()  # at most MOST_COMMON rows
+    discard(often)
+    common, times = most.column("token").to_numpy().view(np.uint64), most.column("times").to_numpy()
+    order = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[order], np.minimum(times[order], (1 << 31) - 1).astype(np.int32)))
     rows = written(texts.mapInArrow(_prefixes(size, sent), "doc_id long, row long, set long, n long, print long, prefix array<long>, sketch array<long>, wide array<long>"), "shingles")
     members = written(rows.select("doc_id", "row", "set"), "members")
     sets = written(rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "prefix", "sketch", "wide"))), "distinct")

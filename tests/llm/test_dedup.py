@@ -138,3 +138,17 @@ def test_pipeline_stage_links_all_of_jaccard_four_fifths(spark, odd_rows):
     assert {r.doc_id: r.component_id for r in jaccard.near_groups(docs).where("doc_id is not null").collect()} == want
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs.where("doc_id is not null"), "").collect()) == sorted(set(want.values()))
+
+
+def test_pairs_of_near_dedup_grow_with_the_rows(spark, monkeypatch):
+    """Texts that share a long passage, too rare for a sample of a few rows, and are far from similar: they don't meet by its shingles."""
+    met = []
+    by_sketch = jaccard._by_sketch
+    monkeypatch.setattr(jaccard, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(jaccard, "_by_sketch", lambda pairs, sketches: met.append(pairs.count()) or by_sketch(pairs, sketches))
+    rng = random.Random(11)
+    passages = [prose(rng, 60, 1 << 30) for _ in range(8)]
+    rows = [(i, passages[i % 8] + " " + prose(rng, 40, 1 << 30)) for i in range(480)] + [(480, passages[0])]
+    got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 481
+    assert sum(met) < 481
