@@ -118,32 +118,69 @@ class Model:
             for s in slots[1:]:
                 z += np.take(weights, s, axis=0)
             z += bias[of] if level else bias
-            z -= z.max(axis=1, keepdims=True, initial=-1e30)
+            most = np.full(len(z), -1e30, z.dtype)
+            for x in z.T:
+                np.maximum(most, x, out=most)
+            z -= most[:, None]
             p = np.exp(z)
-            total = p.sum(axis=1)
+            total = p @ np.ones(p.shape[1], p.dtype)
             out[live] += z[np.arange(len(z)), child] - np.log(total)
             p /= total[:, None]
             levels.append((slots, child, p))
         return out, levels
 
     def gradients(self, features: list[np.ndarray], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(level, slots, rows) of minus the log-likelihood's gradient, by feature; rows of one slot are summed."""
+        """(level, slots, rows) of minus the log-likelihood's gradient; rows of one slot are summed, whichever features select it."""
         for level, (slots, child, p) in enumerate(self.forward(features, rank)[1]):
-            if not len(p):
+            n = len(p)
+            if not n:
                 continue
-            p[np.arange(len(p)), child] -= 1
-            for s in slots:
-                order = np.argsort(s, kind="stable")
-                s = s[order]
-                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                yield level, s[first], np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+            p[np.arange(n), child] -= 1
+            s = np.concatenate(slots)
+            order = np.argsort(s, kind="stable")
+            s = s[order]
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            yield level, s[first], _sums(p, order % n, first)
 
     def step(self, features: list[np.ndarray], rank: np.ndarray, sums: list[np.ndarray]) -> None:
         """One gradient step on a batch of tokens."""
         for level, s, g in self.gradients(features, rank):
-            seen = np.take(sums[level], s, axis=0) + g * g
-            sums[level][s] = seen
-            self.weights[level][s] -= STEP * g / np.sqrt(seen)
+            seen = np.take(sums[level], s, axis=0)
+            seen += g * g
+            _put(sums[level], s, seen)
+            g *= STEP
+            g /= np.sqrt(seen, out=seen)
+            _put(self.weights[level], s, np.take(self.weights[level], s, axis=0) - g)
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows[order] that begin at first, by adding neighbours of a run until each is one row (reduceat takes several times as long)."""
+    n = np.diff(np.append(first, len(order)))
+    rows = np.take(rows, order, axis=0)
+    out = np.take(rows, first, axis=0)
+    many = np.flatnonzero(n > 1)
+    at, n = first[many], n[many]
+    while len(many):
+        half = (n + 1) // 2
+        begin = np.cumsum(half) - half
+        place = np.arange(half.sum()) - np.repeat(begin, half)
+        left = np.repeat(at, half) + 2 * place
+        pair = np.flatnonzero(2 * place + 1 < np.repeat(n, half))
+        new = np.take(rows, left, axis=0)
+        if len(pair) == len(left):
+            new += np.take(rows, left + 1, axis=0)
+        else:
+            new[pair] += np.take(rows, left[pair] + 1, axis=0)
+        done = half == 1
+        out[many[done]] = new[begin[done]]
+        rows, many, at, n = new, many[~done], begin[~done], half[~done]
+    return out
+
+
+def _put(rows: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+    """rows[at] = new, each row moved as one item."""
+    whole = np.dtype((np.void, rows.itemsize * rows.shape[1]))
+    rows.view(whole)[at, 0] = new.view(whole)[:, 0]
 
 
 def _gradients(sent):

@@ -71,6 +71,19 @@ def test_lm_gradients_are_those_of_the_likelihood():
             assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(want[level][cell], abs=1e-4)
 
 
+def test_lm_gradients_name_a_slot_once():
+    """One update a level and batch, whichever features select a slot; sums of runs are those of numpy."""
+    model, tokens, rng = random_model(400, 1 << 4)
+    t = contexts(0, 0, 50)
+    t.before, t.second = tokens[rng.integers(0, 4, 50)], tokens[rng.integers(0, 4, 50)]
+    found = list(model.gradients(model.features(t, 0, 50), rng.integers(-1, 400, 50)))
+    assert [level for level, *_ in found] == list(range(len(model.weights))) and all(len(set(s.tolist())) == len(s) for _, s, _ in found)
+    for runs in ([1], [7, 1, 1, 64, 2, 3, 33], [1, 1, 1]):
+        rows, order = rng.normal(size=(sum(runs), 3)), rng.permutation(sum(runs))
+        first = np.cumsum([0, *runs[:-1]])
+        assert np.allclose(lm_scoring._sums(rows, order, first), np.add.reduceat(rows[order], first, axis=0))
+
+
 def test_lm_score_against_brute_force(spark, odd_docs, odd_rows, monkeypatch):
     """The whole score from its definition: counts by hand, P_me from a model without updates, which is its priors."""
     monkeypatch.setattr(lm_scoring, "ROUNDS", 0)
