@@ -9,8 +9,8 @@ all training documents (shape()). Training runs in ROUNDS slices; in each, one s
 documents takes gradient steps in parallel, so that every training document is learnt from once; the tasks' updates are averaged in a tree.
 Scoring works on sparse rows gathered into numpy batches.
 
-Counts are gathered by blocks of documents (BLOCK_BYTES of text each, dealt by key and text): a block asks for its
-distinct tokens once, and gets their corpus counts back; and for its distinct bigrams and trigrams, whose hashes go, sorted and packed, to shards by hash range, which answer each block with the counts in its order. No
+Counts are gathered by blocks of documents (BLOCK_BYTES of text each, dealt by key and text): a block asks once for its
+distinct tokens, bigrams and trigrams, whose hashes go, sorted and packed, to shards by hash range, which answer each block with the corpus counts in its order. No
 task or broadcast holds all n-grams: shards grow in number with the corpus. Tokens are told apart by 64-bit hashes of their bytes and places, n-grams by as many bits as leave one false match in some 2 ** 12.
 
 Defined results: a null or empty text is one end token; without training documents every token has probability one in the base and in
@@ -35,6 +35,8 @@ BLOCK_BYTES = 8 << 20
 SIDE, MOST_SLOTS, MOST_DEPTH = 20, 1 << 14, 5
 #: By the size of n-grams, how much shorter contexts weigh against counts (a, b); n-grams of a shard.
 PRIORS, SHARD = {2: (1.0, 0.8), 3: (0.5, 0.8)}, 1 << 22
+#: Of n-grams that are counted.
+SIZES = (1, *PRIORS)
 ROUNDS, STEP, FAN = 8, 0.3, 16
 TOKENS = 1 << 13
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -105,28 +107,25 @@ class Model:
         x = feature + np.asarray(salt, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return (((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.uint16)
 
-    def forward(self, features: list[np.ndarray], rank: np.ndarray):
-        """Log-probabilities (natural; of the rare class only for rare tokens), and for each level: slots of its rows, the child that each took, and probabilities of all."""
+    def forward(self, features: list[np.ndarray], rank: np.ndarray, all_children: bool = True):
+        """Log-probabilities (natural; of the rare class only for rare tokens), and for each level, if asked for: slots of its rows, the child that each took, and probabilities of all."""
         out, levels = np.zeros(len(rank)), []
         for level, (weights, bias) in enumerate(zip(self.weights, self.bias, strict=True)):
             step = SIDE**level
             live = np.flatnonzero(rank >= 0) if level else np.arange(len(rank))
-            of = rank[live] % step
-            child = np.where(rank[live] < 0, SIDE, rank[live] // step % SIDE)
-            slots = [self.slots(f[live], of + step) for f in features]
+            at = rank[live]
+            of = at % step
+            child = np.where(at < 0, SIDE, at // step % SIDE)
+            slots = [self.slots(np.take(f, live) if level else f, of + step) for f in features]
             z = np.take(weights, slots[0], axis=0)
             for s in slots[1:]:
                 z += np.take(weights, s, axis=0)
-            z += bias[of] if level else bias
-            most = np.full(len(z), -1e30, z.dtype)
-            for x in z.T:
-                np.maximum(most, x, out=most)
-            z -= most[:, None]
-            p = np.exp(z)
-            total = p @ np.ones(p.shape[1], p.dtype)
-            out[live] += z[np.arange(len(z)), child] - np.log(total)
-            p /= total[:, None]
-            levels.append((slots, child, p))
+            z += np.take(bias, of, axis=0) if level else bias
+            taken, p, total = _softmax(z, child)
+            out[live] += taken - np.log(total)
+            if all_children:
+                p /= total[:, None]
+                levels.append((slots, child, p))
         return out, levels
 
     def gradients(self, features: list[np.ndarray], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -138,9 +137,9 @@ class Model:
             p[np.arange(n), child] -= 1
             s = np.concatenate(slots)
             order = np.argsort(s, kind="stable")
-            s = s[order]
+            s = np.take(s, order)
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            yield level, s[first], _sums(p, order % n, first)
+            yield level, s[first], _sums(p, np.take(np.tile(np.arange(n), len(slots)), order), first)
 
     def step(self, features: list[np.ndarray], rank: np.ndarray, sums: list[np.ndarray]) -> None:
         """One gradient step on a batch of tokens."""
@@ -153,27 +152,40 @@ class Model:
             _put(self.weights[level], s, np.take(self.weights[level], s, axis=0) - g)
 
 
+def _softmax(z: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's z of its child, and exponentials and their sums, of z less its row's greatest where they would leave the range of numbers."""
+    at = np.arange(len(z)), child
+    taken, ones = z[at], np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        p = np.exp(z)
+    total = p @ ones
+    if len(z) and not (total.min() > 1e-20 and total.max() < 1e30):
+        z -= z.max(axis=1, keepdims=True)
+        taken, p = z[at], np.exp(z)
+        total = p @ ones
+    return taken, p, total
+
+
+#: Places of a run that are added side by side for all runs; what a longer one has beyond them is added by itself.
+SIDE_BY_SIDE = 24
+
+
 def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows[order] that begin at first, by adding neighbours of a run until each is one row (reduceat takes several times as long)."""
+    """Sums of the runs of rows[order] that begin at first: the k-th rows of all runs that have one are added at once (reduceat takes several times as long)."""
     n = np.diff(np.append(first, len(order)))
-    rows = np.take(rows, order, axis=0)
-    out = np.take(rows, first, axis=0)
+    out = np.take(rows, np.take(order, first), axis=0)
     many = np.flatnonzero(n > 1)
-    at, n = first[many], n[many]
-    while len(many):
-        half = (n + 1) // 2
-        begin = np.cumsum(half) - half
-        place = np.arange(half.sum()) - np.repeat(begin, half)
-        left = np.repeat(at, half) + 2 * place
-        pair = np.flatnonzero(2 * place + 1 < np.repeat(n, half))
-        new = np.take(rows, left, axis=0)
-        if len(pair) == len(left):
-            new += np.take(rows, left + 1, axis=0)
-        else:
-            new[pair] += np.take(rows, left[pair] + 1, axis=0)
-        done = half == 1
-        out[many[done]] = new[begin[done]]
-        rows, many, at, n = new, many[~done], begin[~done], half[~done]
+    many = many[np.argsort((SIDE_BY_SIDE + 1 - np.minimum(n[many], SIDE_BY_SIDE + 1)).astype(np.uint8), kind="stable")]  # the longest come first
+    begin, left = first[many], np.searchsorted(-np.minimum(n[many], SIDE_BY_SIDE + 1), -np.arange(1, SIDE_BY_SIDE + 1), "left")  # left[k - 1]: runs of more than k rows
+    sums = np.take(out, many, axis=0)
+    for k, m in enumerate(left[:-1].tolist(), 1):
+        if not m:
+            break
+        sums[:m] += np.take(rows, np.take(order, begin[:m] + k), axis=0)
+    for i in range(left[-1]):
+        rest = np.take(rows, order[begin[i] + SIDE_BY_SIDE : begin[i] + n[many[i]]], axis=0)
+        sums[i] += np.ones(len(rest), rest.dtype) @ rest
+    _put(out, many, sums)
     return out
 
 
@@ -263,7 +275,9 @@ def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def grams(t: Tokens, size: int, bits: int) -> np.ndarray:
-    """Hashes of the n-grams that end with each token."""
+    """Hashes of the n-grams that end with each token; of one token, its own, whatever bits are asked for."""
+    if size == 1:
+        return t.token
     x = mixed(t.before * np.uint64(0xA24BAED4963EE407) + t.token)
     return (x if size == 2 else mixed(x + t.second * np.uint64(0x9FB21C651E98DF25))) >> np.uint64(64 - bits)
 
@@ -273,46 +287,83 @@ def _cuts(sorted_: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_, np.array([(i << bits) // shards for i in range(shards)], np.uint64)), len(sorted_))
 
 
-ASKED = "block long, token long, n long, gram int, shard int, size int, keys binary, counts binary"
+ASKED = "block long, gram int, shard int, size int, keys binary, counts binary"
 
 
 def _asked(bits: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        """A block's distinct tokens and how often its training texts hold each; and by size and shard, its distinct n-grams and the same."""
+        """By size and shard, a block's distinct n-grams and how often its training texts hold each."""
         data, offsets = raw(table.column("text"))
         trains = table.column("train").to_numpy().astype(bool)
-        found, keys, of_key = [], {k: [] for k in PRIORS}, []
+        keys, of_key, rows = {k: [] for k in SIZES}, [], []
         for lo, hi in chunks(offsets):
             t = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            learns = trains[lo:hi][t.doc]
-            tokens, at = np.unique(t.token, return_inverse=True)
-            found.append((tokens, np.bincount(at, learns, len(tokens))))
-            of_key.append(learns)
+            of_key.append(trains[lo:hi][t.doc])
             for k, held in keys.items():
                 held.append(grams(t, k, bits))
-        tokens, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in found]), len(tokens)).astype(np.int64)
-        rows = []
-        for k, held in keys.items():
-            each, at = np.unique(np.concatenate(held), return_inverse=True)
-            times = np.bincount(at, np.concatenate(of_key), len(each)).astype(np.uint32)
-            cuts = _cuts(each, bits, shards).tolist()
+        learns = np.concatenate(of_key)
+        for k in SIZES:
+            each, times = _times(np.concatenate(keys.pop(k)), learns)
+            cuts = _cuts(each, bits if k > 1 else 64, shards).tolist()
             rows += [(k, i, hi - lo, packed(np.diff(each[lo:hi], prepend=np.uint64(0))), packed(times[lo:hi])) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
-        of_tokens = pa.table({"token": signed(tokens), "n": n})
-        of_grams = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "shard", "size", "keys", "counts"])
-        both = pa.concat_tables([of_tokens, of_grams], promote_options="default")
-        return both.add_column(0, "block", [np.full(len(both), table.column("block")[0].as_py())])
+        out = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "shard", "size", "keys", "counts"])
+        return out.add_column(0, "block", [np.full(len(out), table.column("block")[0].as_py())])
 
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """A shard's answer to each block: the corpus counts of its n-grams, in the block's order."""
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """Whether a number differs from the one before it."""
+    out = np.ones(len(sorted_), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=out[1:])
+    return out
+
+
+def _times(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how many of each learn. (Two sorts of numbers take a third of the time of one that keeps their places.)"""
+    learnt = np.sort(keys[learns])
+    first = np.flatnonzero(_starts(learnt))
+    keys.sort()
+    each = keys[_starts(keys)]
+    times = np.zeros(len(each), np.uint32)
+    times[np.searchsorted(each, learnt[first])] = np.diff(np.append(first, len(learnt)))
+    return each, times
+
+
+def _distinct(keys: np.ndarray):
+    """Distinct keys, sorted, and a function that deals values of theirs to all keys."""
+    order = np.argsort(keys)
+    sorted_ = np.take(keys, order)
+    starts = _starts(sorted_)
+    n = np.diff(np.append(np.flatnonzero(starts), len(keys)))
+
+    def dealt(values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), values.dtype)
+        out[order] = np.repeat(values, n)
+        return out
+
+    return sorted_[starts], dealt
+
+
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's distinct n-grams, their corpus counts, and which of them each n-gram of its blocks is."""
     sizes = table.column("size").to_pylist()
     keys = np.concatenate([np.cumsum(unpacked(x.as_py(), n, np.uint64), dtype=np.uint64) for x, n in zip(table.column("keys"), sizes, strict=True)])
     own = np.concatenate([unpacked(x.as_py(), n, np.uint32) for x, n in zip(table.column("counts"), sizes, strict=True)])
-    _, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, own).astype(np.uint64)[at]
+    each, at = np.unique(keys, return_inverse=True)
+    return each, np.bincount(at, own).astype(np.uint64), at
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A shard's tokens and their corpus counts."""
+    tokens, counts, _ = _totals(table)
+    return pa.table({"token": signed(tokens), "count": signed(counts)})
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """A shard's answer to each block: the corpus counts of its n-grams, in the block's order."""
+    _, counts, at = _totals(table)
+    total, sizes = counts[at], table.column("size").to_pylist()
     ends = np.cumsum(sizes).tolist()
     return pa.table({"block": table.column("block"), "gram": table.column("gram"), "shard": table.column("shard"), "size": table.column("size"), "counts": pa.array([packed(total[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
@@ -322,36 +373,32 @@ def _scored(sent, bits: int, train_tokens: int, rare: float):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         model = sent.value
-        of_token = answers.filter(answers.column("token").is_valid())
-        keys, counts = of_token.column("token").to_numpy().view(np.uint64), of_token.column("count").to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        ranks, ends = model.ranked(keys), counts[np.searchsorted(keys, END)]
         data, offsets = raw(texts.column("text"))
         n = len(offsets) - 1
         parts = [(lo, hi, Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in chunks(offsets)]
         of_gram = {}
-        for k in PRIORS:
+        for k in SIZES:
             told = answers.filter(pc.equal(answers.column("gram"), k)).sort_by("shard")
-            times = [unpacked(x.as_py(), m.as_py(), np.uint64) for x, m in zip(told.column("counts"), told.column("size"), strict=True)]
-            _, at = np.unique(np.concatenate([grams(t, k, bits) for *_, t in parts]), return_inverse=True)
-            of_gram[k] = np.concatenate(times)[at].astype(np.int64)
+            times = np.concatenate([unpacked(x.as_py(), m.as_py(), np.uint64) for x, m in zip(told.column("counts"), told.column("size"), strict=True)]).astype(np.int64)
+            each, dealt = _distinct(np.concatenate([grams(t, k, bits) for *_, t in parts]))
+            of_gram[k] = dealt(times)
+            if k == 1:
+                ranks, ends = dealt(model.ranked(each).astype(np.int32)), times[np.searchsorted(each, END)]
         out, begin = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known")} | {k: np.zeros(n) for k in ("base", "model")}, 0
         for lo, hi, t in parts:
-            distinct, at = np.unique(t.token, return_inverse=True)
-            place = np.searchsorted(keys, distinct)
-            c, rank, m = counts[place][at], ranks[place][at], hi - lo
+            here = slice(begin, begin + len(t.token))
+            c, rank, m = of_gram[1][here], ranks[here], hi - lo
             logs = np.log10(c + 0.5)
             p = np.zeros(len(rank))
             if len(model.vocabulary):
                 for i in range(0, len(rank), TOKENS):
-                    p[i : i + TOKENS] = model.forward(model.features(t, i, min(i + TOKENS, len(rank))), rank[i : i + TOKENS])[0]
+                    p[i : i + TOKENS] = model.forward(model.features(t, i, min(i + TOKENS, len(rank))), rank[i : i + TOKENS], False)[0]
             p = np.exp(p) * np.where(rank < 0, (c + 0.5) / rare, 1)
             shorter, begins = c, np.append(True, t.doc[1:] != t.doc[:-1])
             for k, (a, b) in PRIORS.items():
                 context = np.where(begins, ends, np.append(0, shorter[:-1]))  # a context is the shorter n-gram that ends with the token before
                 mu = a * np.maximum(context, 1.0) ** b
-                shorter = of_gram[k][begin : begin + len(c)]
+                shorter = of_gram[k][here]
                 p = (shorter + mu * p) / (context + mu)
             begin += len(c)
             for k, x in (("n_tokens", None), ("n_known", c > 0), ("base", logs), ("model", np.log10(p))):
@@ -371,14 +418,13 @@ def score(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "tex
     blocks, bits, shards = -(-size // BLOCK_BYTES) or 1, min(64, max(32, size.bit_length() + 12)), -(-size // (4 * SHARD)) or 1  # a token has some five bytes
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
     asked = written(blocked.groupBy("block").applyInArrow(_asked(bits, shards), ASKED), "asked")
-    of_token = asked.where("gram is null").select("block", "token", "n")
-    counts = written(of_token.groupBy("token").agg(F.sum("n").alias("count")), "counts")
+    of_token = asked.where("gram = 1").select("shard", "size", "keys", "counts").repartition(shards, "shard")
+    counts = written(of_token.groupBy("shard").applyInArrow(_counted, "token long, count long"), "counts")
     told = None
-    for k in PRIORS:
+    for k in SIZES:
         of_gram = asked.where(F.col("gram") == k).select("block", "gram", "shard", "size", "keys", "counts").repartition(shards, "shard")
         part = written(of_gram.groupBy("shard").applyInArrow(_answered, "block long, gram int, shard int, size int, counts binary"), "grams")
         told = part if told is None else told.unionAll(part)
-    asks = written(of_token.select("block", "token"), "asks")
     discard(asked)
     model = train(texts.where("train").select("doc_id", "text"), counts)
     words = spark.createDataFrame(pa.table({"token": signed(model.vocabulary)})).withColumn("known", F.lit(1))
@@ -387,11 +433,9 @@ def score(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "tex
         F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count_if(live).alias("types"), F.coalesce(F.sum(F.when(rare, F.col("count"))), F.lit(0)).alias("rare_tokens"), F.count_if(rare & live).alias("rare_types"),
     ).first()
     sent = spark.sparkContext.broadcast(model)
-    answers = asks.join(counts, "token").select("block", "token", "count").unionByName(told, allowMissingColumns=True)
-    answers = answers.select("block", "token", "count", "gram", "shard", "size", "counts")
     schema = "doc_id long, train boolean, train_tokens long, n_tokens long, n_known long, base double, model double"
     run = _scored(sent, bits, totals.tokens, totals.rare_tokens + 0.5 * (totals.rare_types + 1))
-    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    out = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(totals.tokens + 0.5 * (totals.types + 1)))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", base.alias("base_score"), F.col("model").alias("score"))
 

@@ -84,6 +84,41 @@ def test_lm_gradients_name_a_slot_once():
         assert np.allclose(lm_scoring._sums(rows, order, first), np.add.reduceat(rows[order], first, axis=0))
 
 
+def test_lm_rows_of_a_block_do_not_grow_with_its_tokens():
+    """A block asks for its tokens as for its n-grams, packed: a row a size and shard, whose counts are those of the training texts."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(k, k + 500)) for k in (0, 100)]
+    table = pa.table({"block": [7, 7], "text": texts, "train": [True, False]})
+    asked = lm_scoring._asked(40, 3)(table)
+    assert asked.num_rows == 9 and asked.schema.names == ["block", "gram", "shard", "size", "keys", "counts"]
+    assert sum(r["size"] for r in asked.to_pylist() if r["gram"] == 1) == 601
+    counted = pa.concat_tables([lm_scoring._counted(asked.filter([r["gram"] == 1 and r["shard"] == i for r in asked.to_pylist()])) for i in range(3)])
+    t = lm_scoring.Tokens(*raw(pa.array(texts)))
+    want = Counter(dict.fromkeys(t.token.tolist(), 0)) | Counter(t.token[t.doc == 0].tolist())
+    assert dict(zip(counted.column("token").to_numpy().view(np.uint64).tolist(), counted.column("count").to_pylist(), strict=True)) == {w: want[w] for w in t.token.tolist()}
+
+
+def test_lm_softmax_of_very_large_and_very_small_numbers():
+    z = np.array([[0, 1, -np.inf], [500, 499, 0], [-900, -901, -np.inf]], np.float32)
+    child = np.array([1, 0, 0])
+    taken, p, total = lm_scoring._softmax(z.copy(), child)
+    want = np.exp(z - z.max(axis=1, keepdims=True).astype(float))
+    want /= want.sum(axis=1, keepdims=True)
+    assert np.allclose(p / total[:, None], want, atol=1e-6) and np.allclose(taken - np.log(total), np.log(want[np.arange(3), child]), atol=1e-5)
+
+
+def test_word_hashes_of_long_words():
+    """Values of the first places come from a table; a word has the same hash beside one that goes beyond it."""
+    from tessera.llm.common import word_hashes
+
+    long, short = b"x" * 70, b"some words here"
+    both = np.frombuffer(short + b" " + long, np.uint8)
+    starts, ends = np.array([0, 5, 11, 16]), np.array([4, 10, 15, 86])
+    assert (word_hashes(both, starts, ends)[:3] == word_hashes(both, starts[:3], ends[:3])).all()
+    assert word_hashes(both, starts, ends)[3] != word_hashes(both, starts[3:], ends[3:] - 1)[0]
+
+
 def test_lm_score_against_brute_force(spark, odd_docs, odd_rows, monkeypatch):
     """The whole score from its definition: counts by hand, P_me from a model without updates, which is its priors."""
     monkeypatch.setattr(lm_scoring, "ROUNDS", 0)
