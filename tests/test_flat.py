@@ -28,6 +28,20 @@ def test_overlaps_against_all_pairs(spark, on):
     assert intervals.overlapping(spark.createDataFrame([], schema), spark.createDataFrame(b, schema), on, ("s", "e"), ("s", "e")).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1 << 22, 1000, 20])
+def test_overlaps_by_as_many_tasks_as_pairs_need(spark, monkeypatch, pairs):
+    """Bins of many pairs are dealt to shares, whichever side is larger; tasks follow the pairs, not the bytes of the sides; a pair of lesser levels is no candidate of a higher one."""
+    monkeypatch.setattr(intervals, "PAIRS", pairs)
+    a = [(i, 0.5, 0.5 + (i % 3)) for i in range(150)] + [(i, 100.0 * i, 100.0 * i + 50) for i in range(150, 160)]
+    b = [(i, 0.75, 0.75) for i in range(40)] + [(i, 15000.0 + i / 100, 15100.0) for i in range(40, 300)]
+    left, right = (spark.createDataFrame(x, "i long, s double, e double") for x in (a, b))
+    got = intervals.overlapping(left, right, [], ("s", "e"), ("s", "e"))
+    want = Counter((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
+    assert Counter((r.l.i, r.r.i) for r in got.collect()) == want and len(want) > 4000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("RepartitionByExpression" in plan) == (pairs < 1 << 22) and ("_l_share" in plan) == (pairs < 1 << 22) and "whose" in plan
+
+
 def test_points_with_their_first_window(spark):
     points = spark.createDataFrame([("v", 1.0), ("v", 5.0), ("w", 1.0), (None, 1.0), ("v", 1.0)], "v string, t double")
     windows = spark.createDataFrame([("v", 0.0, 2.0, 7), ("v", 1.0, 3.0, 2), ("w", 2.0, 9.0, 1)], "v string, a double, b double, n int")
