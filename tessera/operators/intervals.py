@@ -1,7 +1,7 @@
 """Joins of intervals and points of flat tables, without comparing all pairs.
 
 An interval has a level, the least power of two that holds its length, and at any level from its own on lies in at most two bins of that width. Two intervals
-meet at the greater of their levels, in the first bin that both have: an equi-join on keys, level, the side that this level belongs to, and bin, with as many tasks as the pairs of its bins need; a bin of very many pairs is dealt to several. An interval
+meet at the greater of their levels, in the first bin that both have: an equi-join on keys, level, the side that this level belongs to, and bin, which adaptive execution splits where a bin is hot. Without keys, tasks are as many as the pairs of the bins need, and a bin of very many pairs is dealt to several. An interval
 is copied only to the levels from its own on that the other side has, and many candidates of a bin are true matches, since the longer of two fills half a bin at least; two of lesser levels
 never meet there.
 """
@@ -83,7 +83,9 @@ def overlapping(left: DataFrame, right: DataFrame, on: list[str], left_ends: tup
     Rows with a null end, or one before its start, meet nothing; null keys agree with nothing. condition: further demands on l and r.
     """
     a, b = _binned(left, on, *left_ends, levels_of(right, *right_ends), "l"), _binned(right, on, *right_ends, levels_of(left, *left_ends), "r")
-    a, b, names = _dealt(a, b, [*on, "level", "whose", "bin"])
+    names = [*on, "level", "whose", "bin"]
+    if not on:  # bins are few then, and hold many pairs; with keys, counting them costs more than it spares
+        a, b, names = _dealt(a, b, names)
     same = F.lit(True)
     for k in names:
         same = same & (F.col(f"_l_{k}") == F.col(f"_r_{k}"))
