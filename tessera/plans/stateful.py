@@ -78,7 +78,7 @@ def live_memory(t: Tables) -> DataFrame:
     files = max(1, steps.rdd.getNumPartitions())
     for k in range(5):  # files of later steps are written later, and read later
         steps.where(part == k).write.parquet(f"{top}/in/part={k}")
-    stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=max(8, files))  # as many batches of large tables as of small ones
+    stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=files)  # a batch a part: as many of large tables as of small ones
     windows.drained(memory.live(stream.drop("part"), shown=False), f"{top}/out", f"{top}/state")
     got, want = t.spark.read.schema(memory.STEPS).parquet(f"{top}/out"), memory.replay(steps, shown=False)
     same = F.lit(True)

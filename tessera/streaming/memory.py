@@ -153,15 +153,18 @@ def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFr
     return steps.groupBy("video_id").applyInArrow(one, STEPS)
 
 
-RECORD = "kind string, start double, end double, text string, seen boolean"
-HEAD = "count int, n_notes int, latest int, asked boolean"
+COLUMNS = ("number int", "kind string", "start double", "end double", "text string", "seen boolean", "at long")
+RECORDS = ", ".join(f"{n} array<{k}>" for n, k in (c.split(" ") for c in COLUMNS))
+HEAD = f"count int, n_notes int, latest int, asked boolean, n_chunks int, {RECORDS}"
 
 
 class Keeper(StatefulProcessor):
-    """State of one video: counts and the latest record's number (a value), records by number (a map), numbers of notes still seen (a list, as long as the window) and the dialogue (a list that grows at its end).
+    """State of one video: counts, the latest record's number and the records that may still change (a value), all others in chunks of a micro-batch (a map) and the dialogue (a list that grows at its end).
 
-    A micro-batch reads the value, the seen notes and the latest record, and writes what its own steps added or changed, however long the video is; only a shown memory reads all records.
-    After `idle` milliseconds without a step (of the clock, or of event time) a timer drops the video's state; `ttl` milliseconds after a record was last written, it goes by itself.
+    Records that may still change are the notes still seen, as many as the window holds, and the latest record; a chunk holds those of which a micro-batch was the last to know this.
+    So a micro-batch of a video reads the value and writes it, one chunk and the end of the dialogue, however many steps it has and however long the video is: each call of the state waits for the JVM's answer.
+    Only a shown memory, and a bridge that takes its end back, read all chunks; a record in several chunks is as the last one says, and as the value says if that has it.
+    After `idle` milliseconds without a step (of the clock, or of event time) a timer drops the video's state; `ttl` milliseconds after a record was last changed (`at`), it goes by itself.
     """
 
     def __init__(self, policy: str, shown: bool, window: float, idle: int | None, ttl: int | None, time: str | None):
@@ -170,36 +173,42 @@ class Keeper(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", HEAD, self.ttl)
-        self.records = handle.getMapState("records", "number int", RECORD, self.ttl)
-        self.seen = handle.getListState("seen", "number int", self.ttl)
+        self.chunks = handle.getMapState("chunks", "chunk int", RECORDS, self.ttl)
         self.dialogue = handle.getListState("dialogue", "at double, role string, text string", self.ttl)
 
-    def _older(self) -> dict[int, list]:
-        return {k[0]: list(v) for k, v in self.records.iterator()}
-
-    def _memory(self) -> Memory:
-        if not self.head.exists():
-            return Memory(self.window)
-        m = Memory(self.window, self._older, *self.head.get())
-        seen = {r[0] for r in self.seen.get()}
-        for i in seen | ({m.latest} if m.latest is not None else set()):
-            found = self.records.getValue((i,))
-            if found is not None:
-                m.records[i] = list(found)
-        m.seen = {i for i in seen if i in m.records}
-        m.latest = m.latest if m.latest in m.records else None
-        return m
+    def _unpacked(self, columns: tuple, now: int) -> dict[int, tuple[list, int]]:
+        """Records that have not gone, with the time of their last change, by number."""
+        return {i: (record, at) for i, *record, at in zip(*columns, strict=True) if not self.ttl or at + self.ttl > now}
+
+    @staticmethod
+    def _packed(records: dict[int, list], numbers: list[int], at: dict[int, int]) -> tuple:
+        rows = [(i, *records[i], at[i]) for i in numbers]
+        return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * len(COLUMNS)
+
+    def _older(self, now: int, at: dict[int, int]) -> dict[int, list]:
+        found: dict[int, tuple[list, int]] = {}
+        for _, columns in sorted(((k[0], tuple(v)) for k, v in self.chunks.iterator()), key=lambda c: c[0]):
+            found |= self._unpacked(columns, now)
+        at |= {i: t for i, (_, t) in found.items() if i not in at}
+        return {i: record for i, (record, _) in found.items()}
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
-        steps = list(rows)
-        memory = self._memory()
-        before = set(memory.seen)
+        steps, now = list(rows), timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        memory, n_chunks, live, at = Memory(self.window), 0, {}, {}
+        if head := self.head.get():
+            count, n_notes, latest, asked, n_chunks, *columns = head
+            live = self._unpacked(columns, now)
+            at = {i: t for i, (_, t) in live.items()}
+            memory = Memory(self.window, lambda: self._older(now, at), count, n_notes, latest if latest in live else None, asked)
+            memory.records = {i: record for i, (record, _) in live.items()}
+            memory.seen = {i for i, (record, _) in live.items() if record[0] == "note" and record[4]}
         out = _rows(memory, steps, self.policy, self.shown)
-        for i in sorted(memory.changed):
-            self.records.updateValue((i,), tuple(memory.records[i]))
-        self.head.update((memory.count, memory.n_notes, memory.latest, memory.asked))
-        if memory.seen != before:
-            self.seen.put([(i,) for i in sorted(memory.seen)]) if memory.seen else self.seen.clear()
+        at |= dict.fromkeys(memory.changed, now)
+        held = memory.seen | ({memory.latest} if memory.latest is not None else set())
+        settled = sorted((live.keys() | memory.changed) - held)
+        if settled:
+            self.chunks.updateValue((n_chunks,), self._packed(memory.records, settled, at))
+        self.head.update((memory.count, memory.n_notes, memory.latest, memory.asked, n_chunks + bool(settled), *self._packed(memory.records, sorted(held), at)))
         if memory.questions:
             self.dialogue.appendList(memory.questions)
         if self.idle:
@@ -212,7 +221,7 @@ class Keeper(StatefulProcessor):
             yield Row(**{n: r[n] for n in names})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        for state in (self.head, self.records, self.seen, self.dialogue):
+        for state in (self.head, self.chunks, self.dialogue):
             state.clear()
         return iter([])
 
