@@ -79,7 +79,9 @@ def live_memory(t: Tables) -> DataFrame:
     for k in range(5):  # files of later steps are written later, and read later
         steps.where(part == k).write.parquet(f"{top}/in/part={k}")
     stream = windows.stream_of(t.spark, f"{top}/in", steps.schema, files_per_batch=files)  # a batch a part: as many of large tables as of small ones
-    windows.drained(memory.live(stream.drop("part"), shown=False), f"{top}/out", f"{top}/state")
+    n, tasks = steps.where("step_index = 0").count(), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    together = min(64, max(1, n // (16 * tasks)))  # videos a group: some groups for each task, and few calls of the state
+    windows.drained(memory.live(stream.drop("part"), shown=False, groups=max(1, n // together)), f"{top}/out", f"{top}/state")
     got, want = t.spark.read.schema(memory.STEPS).parquet(f"{top}/out"), memory.replay(steps, shown=False)
     same = F.lit(True)
     for c in COUNTS:

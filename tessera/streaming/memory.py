@@ -5,12 +5,15 @@ replay() works on a batch table, grouped by video; live() keeps the same state b
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tessera.streaming.tagged import Step, repaired
@@ -126,11 +129,31 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     }
 
 
-def _rows(memory: Memory, steps: Iterable, policy: str, shown: bool = True) -> list[dict]:
+#: What a step has besides its video; n_recovered may be absent.
+Given = namedtuple("Given", ["step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered"], defaults=[0])
+
+
+def _as_text(steps: DataFrame, *keep: str) -> DataFrame:
+    """video_id, the columns to keep, and each step as one JSON text: Python reads that much faster than the cells of nested columns, which streams give one by one."""
+    fields = [c for c in Given._fields if c in steps.columns]
+    return steps.select("video_id", *keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_step"))
+
+
+def _number(x: float | str | None) -> float | None:
+    """JSON has no NaN and no infinite numbers: Spark writes their names."""
+    return float(x) if isinstance(x, str) else x
+
+
+def _step(text: str) -> Given:
+    s = Given(**json.loads(text))
+    events = [(e["kind"], _number(e["start"]), _number(e["end"]), e["text"]) for e in s.events]
+    return s._replace(step_start=_number(s.step_start), step_end=_number(s.step_end), events=events)
+
+
+def _rows(video: int, memory: Memory, texts: Iterable[str], policy: str, shown: bool = True) -> list[dict]:
     out = []
-    for r in sorted(steps, key=lambda r: r.step_index):
-        found = [(e["kind"], e["start"], e["end"], e["text"]) for e in r.events]
-        out.append({"video_id": r.video_id, "step_index": r.step_index, **advance(memory, r.step_start, r.step_end, found, r.question, r.answer, policy, getattr(r, "n_recovered", 0), shown)})
+    for s in sorted(map(_step, texts), key=lambda s: s.step_index):
+        out.append({"video_id": video, "step_index": s.step_index, **advance(memory, s.step_start, s.step_end, s.events, s.question, s.answer, policy, s.n_recovered or 0, shown)})
     return out
 
 
@@ -144,25 +167,22 @@ def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFr
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in STEPS.split(", "))])
-    row = namedtuple("row", steps.columns)
 
     def one(table: pa.Table) -> pa.Table:
-        rows = map(row._make, zip(*(c.to_pylist() for c in table.itercolumns()), strict=True))
-        return pa.Table.from_pylist(_rows(Memory(), rows, policy, shown), schema)
+        return pa.Table.from_pylist(_rows(table["video_id"][0].as_py(), Memory(), table["_step"].to_pylist(), policy, shown), schema)
 
-    return steps.groupBy("video_id").applyInArrow(one, STEPS)
+    return _as_text(steps).groupBy("video_id").applyInArrow(one, STEPS)
 
 
-COLUMNS = ("number int", "kind string", "start double", "end double", "text string", "seen boolean", "at long")
-RECORDS = ", ".join(f"{n} array<{k}>" for n, k in (c.split(" ") for c in COLUMNS))
-HEAD = f"count int, n_notes int, latest int, asked boolean, n_chunks int, {RECORDS}"
+OUT = Row("video_id", "rows")
 
 
 class Keeper(StatefulProcessor):
-    """State of one video: counts, the latest record's number and the records that may still change (a value), all others in chunks of a micro-batch (a map) and the dialogue (a list that grows at its end).
+    """State of one video, or of several kept together: for each its counts, the latest record's number and the records that may still change (a value), all other records in chunks of a micro-batch (a map) and the dialogue (a list that grows at its end).
 
     Records that may still change are the notes still seen, as many as the window holds, and the latest record; a chunk holds those of which a micro-batch was the last to know this.
-    So a micro-batch of a video reads the value and writes it, one chunk and the end of the dialogue, however many steps it has and however long the video is: each call of the state waits for the JVM's answer.
+    So a micro-batch reads the value and writes it, one chunk and the end of the dialogue, however many steps it has and however long the videos are: each call of the state waits for the JVM's answer.
+    Value and chunks are JSON texts, as Spark's Python side looks at each cell of a state. A record is [number, kind, start, end, text, seen, at].
     Only a shown memory, and a bridge that takes its end back, read all chunks; a record in several chunks is as the last one says, and as the value says if that has it.
     After `idle` milliseconds without a step (of the clock, or of event time) a timer drops the video's state; `ttl` milliseconds after a record was last changed (`at`), it goes by itself.
     """
@@ -172,53 +192,66 @@ class Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", HEAD, self.ttl)
-        self.chunks = handle.getMapState("chunks", "chunk int", RECORDS, self.ttl)
-        self.dialogue = handle.getListState("dialogue", "at double, role string, text string", self.ttl)
-
-    def _unpacked(self, columns: tuple, now: int) -> dict[int, tuple[list, int]]:
-        """Records that have not gone, with the time of their last change, by number."""
-        return {i: (record, at) for i, *record, at in zip(*columns, strict=True) if not self.ttl or at + self.ttl > now}
-
-    @staticmethod
-    def _packed(records: dict[int, list], numbers: list[int], at: dict[int, int]) -> tuple:
-        rows = [(i, *records[i], at[i]) for i in numbers]
-        return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * len(COLUMNS)
-
-    def _older(self, now: int, at: dict[int, int]) -> dict[int, list]:
-        found: dict[int, tuple[list, int]] = {}
-        for _, columns in sorted(((k[0], tuple(v)) for k, v in self.chunks.iterator()), key=lambda c: c[0]):
-            found |= self._unpacked(columns, now)
-        at |= {i: t for i, (_, t) in found.items() if i not in at}
-        return {i: record for i, (record, _) in found.items()}
+        self.head = handle.getValueState("head", "n_chunks int, videos string", self.ttl)
+        self.chunks = handle.getMapState("chunks", "chunk int", "videos string", self.ttl)
+        self.dialogue = handle.getListState("dialogue", "video_id long, at double, role string, text string", self.ttl)
+
+    def _kept(self, records: list[list], now: int) -> tuple[dict[int, list], dict[int, int]]:
+        """Records that have not gone, and the times of their last changes, by number."""
+        records = [r for r in records if not self.ttl or r[-1] + self.ttl > now]
+        return {r[0]: r[1:-1] for r in records}, {r[0]: r[-1] for r in records}
+
+    def _older(self, now: int) -> dict[int, tuple[dict[int, list], dict[int, int]]]:
+        """By video, what the chunks hold."""
+        found: dict[int, tuple[dict[int, list], dict[int, int]]] = {}
+        for _, text in sorted((k[0], v[0]) for k, v in self.chunks.iterator()):
+            for video, records in json.loads(text):
+                for all_of_it, more in zip(found.setdefault(video, ({}, {})), self._kept(records, now), strict=True):
+                    all_of_it |= more
+        return found
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
-        steps, now = list(rows), timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
-        memory, n_chunks, live, at = Memory(self.window), 0, {}, {}
-        if head := self.head.get():
-            count, n_notes, latest, asked, n_chunks, *columns = head
-            live = self._unpacked(columns, now)
-            at = {i: t for i, (_, t) in live.items()}
-            memory = Memory(self.window, lambda: self._older(now, at), count, n_notes, latest if latest in live else None, asked)
-            memory.records = {i: record for i, (record, _) in live.items()}
-            memory.seen = {i for i, (record, _) in live.items() if record[0] == "note" and record[4]}
-        out = _rows(memory, steps, self.policy, self.shown)
-        at |= dict.fromkeys(memory.changed, now)
-        held = memory.seen | ({memory.latest} if memory.latest is not None else set())
-        settled = sorted((live.keys() | memory.changed) - held)
-        if settled:
-            self.chunks.updateValue((n_chunks,), self._packed(memory.records, settled, at))
-        self.head.update((memory.count, memory.n_notes, memory.latest, memory.asked, n_chunks + bool(settled), *self._packed(memory.records, sorted(held), at)))
-        if memory.questions:
-            self.dialogue.appendList(memory.questions)
+        texts: dict[int, list[str]] = {}
+        last = 0
+        for r in rows:
+            texts.setdefault(r.video_id, []).append(r._step)
+            if self.time:
+                last = max(last, int(r[self.time].timestamp() * 1000))
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        n_chunks, heads = self.head.get() or (0, "[]")
+        videos, chunk, said, out = {v: head for v, *head in json.loads(heads)}, [], [], []
+        older = cache(lambda: self._older(now))
+        for video, steps in texts.items():
+            *counts, live = videos.get(video, (0, 0, None, False, []))
+            records, at = self._kept(live, now)
+
+            def before(video: int = video, at: dict[int, int] = at) -> dict[int, list]:
+                found, times = older().get(video, ({}, {}))
+                at |= times | at
+                return {i: list(r) for i, r in found.items()}
+
+            memory = Memory(self.window, before if n_chunks else None, *counts)
+            memory.records, memory.latest = dict(records), memory.latest if memory.latest in records else None
+            memory.seen = {i for i, r in records.items() if r[0] == "note" and r[4]}
+            out.append(OUT(video, json.dumps(_rows(video, memory, steps, self.policy, self.shown))))
+            at |= dict.fromkeys(memory.changed, now)
+            held = memory.seen | ({memory.latest} if memory.latest is not None else set())
+            settled = (records.keys() | memory.changed) - held
+            held, settled = ([[i, *memory.records[i], at[i]] for i in sorted(which)] for which in (held, settled))
+            videos[video] = [memory.count, memory.n_notes, memory.latest, memory.asked, held]
+            if settled:
+                chunk.append([video, settled])
+            said += [(video, *q) for q in memory.questions]
+        if chunk:
+            self.chunks.updateValue((n_chunks,), (json.dumps(chunk),))
+        self.head.update((n_chunks + bool(chunk), json.dumps([[v, *head] for v, head in videos.items()])))
+        if said:
+            self.dialogue.appendList(said)
         if self.idle:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            now = max(int(r[self.time].timestamp() * 1000) for r in steps) if self.time else timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.idle)
-        names = [c.split(" ")[0] for c in STEPS.split(", ")]
-        for r in out:
-            yield Row(**{n: r[n] for n in names})
+            self.handle.registerTimer((last if self.time else timerValues.getCurrentProcessingTimeInMs()) + self.idle)
+        yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         for state in (self.head, self.chunks, self.dialogue):
@@ -226,16 +259,26 @@ class Keeper(StatefulProcessor):
         return iter([])
 
 
-def live(steps: DataFrame, policy: str = "full", shown: bool = True, window: float = WINDOW, idle: int | None = None, ttl: int | None = None, time: str | None = None) -> DataFrame:
+def live(
+    steps: DataFrame, policy: str = "full", shown: bool = True, window: float = WINDOW, idle: int | None = None, ttl: int | None = None, time: str | None = None, groups: int | None = None,
+) -> DataFrame:
     """The same on a stream: state survives between micro-batches. Steps of a video come in order, or within one micro-batch in any.
 
     idle: milliseconds after which a video without steps is forgotten, by the clock, or by event time if `time` names the watermarked column.
     ttl: milliseconds that state lives after it was written (by the clock). Where either goes by the clock, batches go on without data, so that the stream needs a trigger that does not wait for its end.
+    groups: keeps the videos' states together in so many groups, dealt by hash, in place of one by one: fewer calls of the state where a micro-batch has steps of most videos. A group's value is written whole, so that it should
+    hold some dozens of videos; timers and times to live go by video, and allow none.
     """
+    if groups and (idle or ttl):
+        raise ValueError("a time after which a video's state goes needs states by video")
     spark = steps.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     mode = "EventTime" if time else "ProcessingTime" if idle or ttl else "None"
-    return steps.groupBy("video_id").transformWithState(Keeper(policy, shown, window, idle, ttl, time), STEPS, "append", mode)
+    rows, key = _as_text(steps, *([time] if time else [])), "video_id"
+    if groups:
+        rows, key = rows.withColumn("_group", F.pmod(F.xxhash64("video_id"), F.lit(groups))), "_group"
+    found = rows.groupBy(key).transformWithState(Keeper(policy, shown, window, idle, ttl, time), "video_id long, rows string", "append", mode)
+    return found.select(F.inline(F.from_json("rows", f"array<struct<{STEPS.replace(', ', ',').replace(' ', ':')}>>", {"mode": "FAILFAST"})))
 
 
 def snapshots(steps: DataFrame, queries: DataFrame, policy: str = "full") -> DataFrame:
