@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -58,7 +58,8 @@ class Memory:
         return self.records
 
     def evict(self, now: float) -> None:
-        gone = {i for i in self.seen if self.records[i][2] < now - self.window}
+        records, since = self.records, now - self.window
+        gone = {i for i in self.seen if records[i][2] < since}
         for i in gone:
             self.records[i][4] = False
         self.seen -= gone
@@ -118,7 +119,7 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     if question:
         memory.ask(step_start, question)
     memory.evict(step_end)
-    frames = [(float(x), float(x) + 1) for x in range(int(step_start), int(step_end))]
+    frames = [(x + 0.0, x + 1.0) for x in range(int(step_start), int(step_end))]
     p = POLICIES[policy]
     fixed, done = repaired(events, Step(step_start, step_end, frames, memory.tail() if p.tail else None, not memory.count))
     memory.commit(fixed if p.keeps else [], answer or "", step_end, p.tail)
@@ -129,14 +130,13 @@ def advance(memory: Memory, step_start: float, step_end: float, events: list, qu
     }
 
 
-#: What a step has besides its video; n_recovered may be absent.
-Given = namedtuple("Given", ["step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered"], defaults=[0])
+#: What is known of a step; n_recovered may be absent.
+Given = namedtuple("Given", ["video_id", "step_index", "step_start", "step_end", "events", "question", "answer", "n_recovered"], defaults=[0])
 
 
-def _as_text(steps: DataFrame, *keep: str) -> DataFrame:
-    """video_id, the columns to keep, and each step as one JSON text: Python reads that much faster than the cells of nested columns, which streams give one by one."""
-    fields = [c for c in Given._fields if c in steps.columns]
-    return steps.select("video_id", *keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_step"))
+def _as_text(steps: DataFrame) -> Column:
+    """Each step as one JSON text, which Python reads much faster than nested columns."""
+    return F.to_json(F.struct(*(c for c in Given._fields if c in steps.columns)), {"ignoreNullFields": "false"})
 
 
 def _number(x: float | str | None) -> float | None:
@@ -144,16 +144,17 @@ def _number(x: float | str | None) -> float | None:
     return float(x) if isinstance(x, str) else x
 
 
-def _step(text: str) -> Given:
-    s = Given(**json.loads(text))
-    events = [(e["kind"], _number(e["start"]), _number(e["end"]), e["text"]) for e in s.events]
-    return s._replace(step_start=_number(s.step_start), step_end=_number(s.step_end), events=events)
+def _given(text: str) -> Given:
+    s = json.loads(text)
+    s["events"] = [(e["kind"], _number(e["start"]), _number(e["end"]), e["text"]) for e in s["events"]]
+    s["step_start"], s["step_end"] = _number(s["step_start"]), _number(s["step_end"])
+    return Given(**s)
 
 
-def _rows(video: int, memory: Memory, texts: Iterable[str], policy: str, shown: bool = True) -> list[dict]:
+def _rows(memory: Memory, steps: Iterable[Given], policy: str, shown: bool = True) -> list[dict]:
     out = []
-    for s in sorted(map(_step, texts), key=lambda s: s.step_index):
-        out.append({"video_id": video, "step_index": s.step_index, **advance(memory, s.step_start, s.step_end, s.events, s.question, s.answer, policy, s.n_recovered or 0, shown)})
+    for s in sorted(steps, key=lambda s: s.step_index):
+        out.append({"video_id": s.video_id, "step_index": s.step_index, **advance(memory, s.step_start, s.step_end, s.events, s.question, s.answer, policy, s.n_recovered or 0, shown)})
     return out
 
 
@@ -169,12 +170,9 @@ def replay(steps: DataFrame, policy: str = "full", shown: bool = True) -> DataFr
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in STEPS.split(", "))])
 
     def one(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(_rows(table["video_id"][0].as_py(), Memory(), table["_step"].to_pylist(), policy, shown), schema)
+        return pa.Table.from_pylist(_rows(Memory(), map(_given, table["_step"].to_pylist()), policy, shown), schema)
 
-    return _as_text(steps).groupBy("video_id").applyInArrow(one, STEPS)
-
-
-OUT = Row("video_id", "rows")
+    return steps.select("video_id", _as_text(steps).alias("_step")).groupBy("video_id").applyInArrow(one, STEPS)
 
 
 class Keeper(StatefulProcessor):
@@ -210,18 +208,19 @@ class Keeper(StatefulProcessor):
                     all_of_it |= more
         return found
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
-        texts: dict[int, list[str]] = {}
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        by_video: dict[int, list[Given]] = {}
         last = 0
-        for r in rows:
-            texts.setdefault(r.video_id, []).append(r._step)
+        for part in rows:
+            for s in map(_given, part["step_text"]):
+                by_video.setdefault(s.video_id, []).append(s)
             if self.time:
-                last = max(last, int(r[self.time].timestamp() * 1000))
+                last = max(last, int(part["step_at"].max()))
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
         n_chunks, heads = self.head.get() or (0, "[]")
         videos, chunk, said, out = {v: head for v, *head in json.loads(heads)}, [], [], []
         older = cache(lambda: self._older(now))
-        for video, steps in texts.items():
+        for video, steps in by_video.items():
             *counts, live = videos.get(video, (0, 0, None, False, []))
             records, at = self._kept(live, now)
 
@@ -233,7 +232,7 @@ class Keeper(StatefulProcessor):
             memory = Memory(self.window, before if n_chunks else None, *counts)
             memory.records, memory.latest = dict(records), memory.latest if memory.latest in records else None
             memory.seen = {i for i, r in records.items() if r[0] == "note" and r[4]}
-            out.append(OUT(video, json.dumps(_rows(video, memory, steps, self.policy, self.shown))))
+            out.append(json.dumps(_rows(memory, steps, self.policy, self.shown)))
             at |= dict.fromkeys(memory.changed, now)
             held = memory.seen | ({memory.latest} if memory.latest is not None else set())
             settled = (records.keys() | memory.changed) - held
@@ -251,9 +250,9 @@ class Keeper(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer((last if self.time else timerValues.getCurrentProcessingTimeInMs()) + self.idle)
-        yield from out
+        yield pd.DataFrame({"rows": out})
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for state in (self.head, self.chunks, self.dialogue):
             state.clear()
         return iter([])
@@ -274,10 +273,10 @@ def live(
     spark = steps.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     mode = "EventTime" if time else "ProcessingTime" if idle or ttl else "None"
-    rows, key = _as_text(steps, *([time] if time else [])), "video_id"
-    if groups:
-        rows, key = rows.withColumn("_group", F.pmod(F.xxhash64("video_id"), F.lit(groups))), "_group"
-    found = rows.groupBy(key).transformWithState(Keeper(policy, shown, window, idle, ttl, time), "video_id long, rows string", "append", mode)
+    key = F.pmod(F.xxhash64("video_id"), F.lit(groups)) if groups else F.coalesce(F.col("video_id").cast("string"), F.lit(""))  # never null, which pandas has no integers for
+    at = [time, F.unix_millis(F.col(time).cast("timestamp")).alias("step_at")] if time else []
+    rows = steps.select(key.alias("video_key"), _as_text(steps).alias("step_text"), *at)
+    found = rows.groupBy("video_key").transformWithStateInPandas(Keeper(policy, shown, window, idle, ttl, time), "rows string", "append", mode)
     return found.select(F.inline(F.from_json("rows", f"array<struct<{STEPS.replace(', ', ',').replace(' ', ':')}>>", {"mode": "FAILFAST"})))
 
 

@@ -99,7 +99,7 @@ class Step:
     first: bool = False  # memory is empty: the first event must be a note on the first frame
 
 
-def near(a: tuple[float, float], b: tuple[float, float], slack: float = INTERVAL_SLACK) -> bool:
+def near(a: tuple, b: tuple, slack: float = INTERVAL_SLACK) -> bool:
     return abs(a[0] - b[0]) <= slack and abs(a[1] - b[1]) <= slack
 
 
@@ -192,7 +192,7 @@ def repaired(found: list[tuple[str, float, float, str]], step: Step) -> tuple[li
     sources: list[tuple[float, float, str]] = []
     for kind, a, b, text in found:
         if kind == "note":
-            hits = [f for f in step.frames if near((a, b), f)]
+            hits = [f for f in step.frames if abs(a - f[0]) <= INTERVAL_SLACK and abs(b - f[1]) <= INTERVAL_SLACK]  # near(), without a call a frame
             if len(hits) != 1:
                 done.append("drop_note_time_unmatched" if not hits else "drop_note_time_ambiguous")
             elif (key := (round(hits[0][0], 3), round(hits[0][1], 3))) in notes:
@@ -246,8 +246,10 @@ def _source(sources: list[tuple[float, float, str]], gap: tuple[float, float], u
     """The unused bridge on the gap, else the one that overlaps it most, then lies nearest."""
     free = [i for i in range(len(sources)) if i not in used]
     for i in free:
-        if near(sources[i][:2], gap):
+        if near(sources[i], gap):
             return i
+    if not free:
+        return None
 
     def rank(i: int) -> tuple[float, float]:
         a, b, _ = sources[i]

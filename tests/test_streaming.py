@@ -130,6 +130,70 @@ def test_live_memory_by_policy_without_text(spark, tmp_path):
     assert len(live) == 14 and all(r[-1] is None for r in live)
 
 
+def test_live_memory_calls_its_state_seldom(spark, tmp_path):
+    """A video's micro-batch writes its value, one chunk and what was said, however many steps it has."""
+    rows, written = _script(3, 60), []
+    live = _live(spark, tmp_path, [[r for r in rows if r[1] // 20 == k] for k in range(3)], written)
+    assert live == sorted(map(tuple, memory.replay(spark.createDataFrame(rows, STEP)).collect()))
+    said = sum(r[-2] is not None for r in rows) + sum(r[-1] != "" for r in rows)
+    assert len(written) == 3 and sum(written) <= 3 * 3 * 2 + said
+
+
+def test_live_memory_of_videos_together(spark, tmp_path):
+    """Videos in groups, one without a number, one that comes later: the same memory; odd numbers and texts travel whole."""
+    odd = [(None if r[0] == 1 else r[0] + 2**60, *r[1:]) for r in _script(5, 30)]
+    odd[4] = (*odd[4][:4], [("note", float("nan"), float("inf"), ""), ("bridge", 20.0, 25.0, 'a "b"\n\u2028</x>')], *odd[4][5:])
+    parts = [[r for r in odd if r[1] // 10 == k and (k or r[0] != 2**60 + 4)] for k in range(3)]
+    ship(spark)
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, STEP).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = windows.stream_of(spark, str(tmp_path / "in"), spark.createDataFrame([], STEP).schema).drop("part")
+    windows.drained(memory.live(stream, groups=2), str(tmp_path / "out"), str(tmp_path / "check"))
+    live = spark.read.schema(memory.STEPS).parquet(str(tmp_path / "out")).collect()
+    want = memory.replay(spark.createDataFrame([r for p in parts for r in p], STEP)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, live), key=key) == sorted(map(tuple, want), key=key) and len(want) == 140
+    with pytest.raises(ValueError):
+        memory.live(spark.createDataFrame(odd, STEP), groups=2, idle=5)
+
+
+def test_live_memory_by_event_time(spark, tmp_path):
+    """A video's timer goes by its watermarked time."""
+    ship(spark)
+    rows = _script(2, 12)
+    at = F.timestamp_seconds(F.col("step_end"))
+    for k in range(2):
+        spark.createDataFrame([r for r in rows if r[1] // 6 == k], STEP).withColumn("ts", at).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = windows.stream_of(spark, str(tmp_path / "in"), spark.createDataFrame([], STEP).withColumn("ts", at).schema).drop("part").withWatermark("ts", "1 minute")
+    windows.drained(memory.live(stream, idle=3_600_000, time="ts"), str(tmp_path / "out"), str(tmp_path / "check"))
+    live = spark.read.schema(memory.STEPS).parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, live)) == sorted(map(tuple, memory.replay(spark.createDataFrame(rows, STEP)).collect()))
+
+
+def test_records_go_after_their_time_to_live():
+    """By a state of plain dictionaries: what was last changed too long ago is shown no more."""
+    from types import SimpleNamespace as Some
+
+    import pandas as pd
+
+    cells, chunks = {}, {}
+    value = Some(get=lambda: cells.get("head"), update=lambda v: cells.update(head=v))
+    of_chunks = Some(iterator=lambda: iter(chunks.items()), updateValue=chunks.__setitem__)
+    keeper = memory.Keeper("full", True, 120.0, None, 10, None)
+    keeper.init(Some(getValueState=lambda *_: value, getMapState=lambda *_: of_chunks, getListState=lambda *_: Some(appendList=lambda _: None)))
+
+    def shown(i, now):
+        events = [{"kind": "bridge", "start": 5.0 * i, "end": 5.0 * i + 5, "text": f"s{i}"}] if i else []
+        step = json.dumps({"video_id": 1, "step_index": i, "step_start": 5.0 * i, "step_end": 5.0 * i + 5, "events": events, "question": None, "answer": ""})
+        (part,) = keeper.handleInputRows(("1",), iter([pd.DataFrame({"step_text": [step]})]), Some(getCurrentProcessingTimeInMs=lambda: now))
+        return json.loads(part["rows"][0])[0]["memory"]
+
+    first, second = shown(0, 0), shown(1, 5)
+    assert "t=\"0.0-1.0\"" in first and "t=\"0.0-1.0\"" in second
+    third = shown(2, 12)
+    assert "t=\"0.0-1.0\"" not in third and third.endswith("s2</delta>") and third.count("<delta") >= 1
+
+
 def test_live_memory_forgets_idle_videos(spark, tmp_path):
     """After the idle time a video starts anew; a timer has dropped its state."""
     rows = _script(1, 4)
